@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .exact import OP10_SQL, op10_exact_dedup
+from .minhash import op8_minhash
 from .mixing import op4_mixing
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_mixing, op8_minhash, op10_exact_dedup)}
 
 ORACLE_SQL = {"op10_exact_dedup": OP10_SQL}
