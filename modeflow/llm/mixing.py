@@ -14,8 +14,9 @@ from pyspark.sql.window import Window as W
 
 from .common import WORD, cut, table, text_or_empty
 
-#: Words of a block; shards over all sources (a bound on the rows of the quota tables); the seed; the most a source repeats.
-BLOCK, SHARDS, SEED, REPEATS = 16, 4096, "17", 3
+#: Words of a block; about so many words of all sources together for each shard number, and the most such numbers (a bound on
+#: the rows of the quota tables for each source); the seed; the most a source repeats.
+BLOCK, SHARD_WORDS, SHARDS, SEED, REPEATS = 16, 50_000, 65_536, "17", 3
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = REPEATS) -> DataFrame:
@@ -63,7 +64,7 @@ def number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The rows of df with __size, __source_size, __target and __taken (words that the mix takes, repeats counted).
 
     A null text has size 0, a null source is a source of its own and comes last. Rows that repeat an id are separate
@@ -74,19 +75,18 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rows = rows.withColumn("__key", key).withColumn("__digest", seeded(F.coalesce(F.col(id_col), F.lit(-1))))
     small = cut(rows.select(F.col(source_col).alias("source"), "__key", "__digest", F.col("__size").alias("size")))
     targets = source_targets(small).withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
-    total = W.partitionBy()
-    targets = targets.withColumn("__T", F.sum("source_size").over(total)).withColumn("__seats", F.round(F.sum("target").over(total) / block).cast("bigint")).withColumn("__all", F.lit(1))
-    split = F.greatest(F.lit(1), F.least(F.ceil(F.try_divide(F.col("source_size") * F.lit(float(shards)), F.col("__T"))), F.floor(F.col("source_size") / F.lit(16.0 * block))))
-    sources = sainte_lague(targets.withColumn("__shards", F.coalesce(split, F.lit(1)).cast("bigint")), ["__all"], ["__key"], "target", "__seats")
-    sources = cut(sources.select("__key", "source_size", "target", "__shards", F.col("quota").alias("__source_quota")))
-    shard = F.pmod(number(F.col("__digest")), F.col("__shards")).alias("__shard")
-    parts = small.join(sources, "__key").select("__key", shard, "size", "__source_quota").groupBy("__key", "__shard").agg(F.sum("size").alias("__words"), F.max("__source_quota").alias("__source_quota"))
+    targets = targets.withColumn("__seats", F.round(F.sum("target").over(W.partitionBy()) / block).cast("bigint")).withColumn("__all", F.lit(1))
+    sources = sainte_lague(targets, ["__all"], ["__key"], "target", "__seats").select("__key", "source_size", "target", F.col("quota").alias("__source_quota"))
+    words = small.agg(F.sum("size")).first()[0] or 0
+    split = min(SHARDS, max(1, words // shard_words))
+    shard = F.pmod(number(F.col("__digest")), F.lit(split)).alias("__shard")
+    parts = small.groupBy("__key", shard).agg(F.sum("size").alias("__words")).join(sources, "__key")
     quotas = sainte_lague(parts, ["__key"], ["__shard"], "__words", "__source_quota")
     blocks = F.greatest(F.lit(1), F.floor(F.col("__words") / F.lit(float(block)) + 0.5).cast("bigint"))
     quotas = quotas.withColumn("__n", blocks).withColumn("__q", F.least(F.col("quota"), REPEATS * F.col("__n")))
     quotas = quotas.withColumn("__o", F.pmod(number(seeded(F.col("__key"), F.col("__shard"))), F.col("__n")))
-    quotas = cut(quotas.select("__key", "__shard", "__words", "__n", "__q", "__o"))
-    placed = rows.join(sources, "__key").withColumn("__shard", shard)
+    quotas = cut(quotas.select("__key", "__shard", "__words", "__n", "__q", "__o", "source_size", "target"))
+    placed = rows.withColumn("__shard", shard)
     placed = placed.withColumn("__end", F.sum("__size").over(W.partitionBy("__key", "__shard").orderBy("__digest", "__size").rowsBetween(W.unboundedPreceding, 0)))
     placed = placed.join(quotas, ["__key", "__shard"])
     edge = lambda b: F.expr(f"(({b}) * __words) div __n")
