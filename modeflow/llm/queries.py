@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .exact import OP10_SQL, op10_exact_dedup
+from .langid import op9_langid
+from .lm import op6_lattice_lm
 from .minhash import op8_minhash
 from .mixing import op4_mixing
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op8_minhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_mixing, op6_lattice_lm, op8_minhash, op9_langid, op10_exact_dedup)}
 
 ORACLE_SQL = {"op10_exact_dedup": OP10_SQL}

@@ -47,7 +47,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def steps(texts: pa.Array, size: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bytes, offsets) of consecutive rows of a string column; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -58,7 +58,7 @@ def steps(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
     i = 0
     while i < len(texts):
-        j = int(np.searchsorted(offs, offs[i] + STEP_BYTES, "right")) - 1
+        j = int(np.searchsorted(offs, offs[i] + size, "right")) - 1
         j = min(max(j, i + 1), len(texts))
         yield i, j - i, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
