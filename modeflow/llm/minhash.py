@@ -255,7 +255,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     schema = "id bigint, n_shingles bigint, digest binary, signature binary, keys array<bigint>"
     signed = cut(docs.mapInArrow(lambda batches: signatures(batches, k, rows, minima_), schema))
     some = signed.where("n_shingles > 0")
-    same = some.groupBy("digest", "n_shingles").agg(F.min("id").alias("representative"))
+    same = cut(some.groupBy("digest", "n_shingles").agg(F.min("id").alias("representative")))  # cut: the join below can then split a hot set
     representative = cut(some.select("id", "digest", "n_shingles").join(same, ["digest", "n_shingles"]).select("id", "representative"))
     unique = some.groupBy("digest").agg(F.min_by(F.struct("id", "signature", "keys"), "id").alias("r")).select("r.*")
     banded = unique.select("id", "signature", F.explode("keys").alias("key"))
