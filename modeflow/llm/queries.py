@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .exact import OP10_SQL, op10_exact_dedup
+from .fingerprint import op7_fingerprint
 from .langid import op9_langid
 from .lm import op6_lattice_lm
 from .minhash import op8_minhash
 from .mixing import op4_mixing
+from .packing import op2_packing
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op6_lattice_lm, op8_minhash, op9_langid, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_packing, op4_mixing, op6_lattice_lm, op7_fingerprint, op8_minhash, op9_langid, op10_exact_dedup)}
 
 ORACLE_SQL = {"op10_exact_dedup": OP10_SQL}
