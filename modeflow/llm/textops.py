@@ -88,14 +88,21 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges, equal for equal bytes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(low) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([_ZERO, np.cumsum(_BYTE[low] * up[: len(low)])])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, segment: int = 1 << 18) -> np.ndarray:
+    """64-bit hashes of the byte ranges, equal for equal bytes wherever they stand; the work goes in bounded segments."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        first = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, first + segment, "right")))
+        part = low[first : ends[j - 1]]
+        up, down = powers(len(part) + 1)
+        a, b = starts[i:j] - first, ends[i:j] - first
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([_ZERO, np.cumsum(_BYTE[part] * up[: len(part)])])
+            out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
 
 
 def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
