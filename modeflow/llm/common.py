@@ -16,8 +16,14 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows and bytes that cross to a Python worker at once: long texts must not come ten thousand at a time.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package even where only the driver has it on its path."""
+    """Let Python workers import this package even where only the driver has it on its path, and bound their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:

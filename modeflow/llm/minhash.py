@@ -23,7 +23,7 @@ from .common import cut, table
 from .components import components
 
 #: Minima, bits kept of each, and members of a block side.
-MINIMA, BITS, CHUNK = 192, 2, 2048
+MINIMA, BITS, CHUNK = 192, 2, 512
 _rng = np.random.default_rng(20240611)
 _MULTIPLIERS = (_rng.integers(0, 1 << 32, 256, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 _ADDENDS = _rng.integers(0, 1 << 32, 256, dtype=np.uint32)

@@ -28,7 +28,7 @@ from .common import table
 
 #: Window sizes; tokens of a block and of a step group; the id that ends a document; words kept with their ids by a worker.
 TIERS = (2048, 1024, 512, 256, 128)
-BLOCK_TOKENS, STEP_TOKENS, END_ID, KEPT_WORDS = 1 << 20, 16 * 2048, 1, 500_000
+BLOCK_TOKENS, STEP_TOKENS, END_ID, KEPT_WORDS = 1 << 20, 16 * 2048, 1, 300_000
 #: Texts of these characters split into words alike in Python and in the tokenizer; others go to the tokenizer whole.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]*")
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")

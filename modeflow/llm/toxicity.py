@@ -39,7 +39,7 @@ ADDRESS = frozenset("you your you're youre u ya du dich dir dein deine ihr euch
 SEEDS = "idiot moron scum loser stupid clown trash pathetic worthless disgusting bastard arschloch trottel connard salaud cabrón imbécil".split()
 SEED_WEIGHT = 4.0
 #: Words that a worker keeps as known.
-CLEAN_KEPT = 400_000
+CLEAN_KEPT = 200_000
 
 
 def allowed(term: str, fuzzy: bool) -> int:
