@@ -13,6 +13,8 @@ block.
 from __future__ import annotations
 
 import heapq
+import os
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -20,18 +22,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: Window sizes; tokens of a block and of a step group; the id that ends a document; words kept with their ids by a worker.
+#: Window sizes; tokens of a block and of a step group; the id that ends a document; word parts kept with their ids by a worker.
 TIERS = (2048, 1024, 512, 256, 128)
-BLOCK_TOKENS, STEP_TOKENS, END_ID, KEPT_WORDS = 1 << 20, 16 * 2048, 1, 300_000
-#: Texts of these characters split into words alike in Python and in the tokenizer; others go to the tokenizer whole.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]*")
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+BLOCK_TOKENS, STEP_TOKENS, END_ID, KEPT_PARTS = 1 << 20, 16 * 2048, 1, 600_000
+#: Texts without any other character split into words alike in Python and in the tokenizer; others go to the tokenizer whole.
+_OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]")
+_LETTERS, _NUMBERS = "a-zªµºÀ-ÖØ-öø-ÿĀ-ſ", "0-9²³¹¼½¾"
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 
 
 def default_path() -> str:
@@ -41,30 +43,45 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Ids of whole texts as the tokenizer gives them; words are encoded once and kept up to a bound."""
+    """Ids of whole texts as the tokenizer gives them; parts of words are encoded once and kept up to a bound.
+
+    The tokenizer drops white space and splits what is left into parts that it encodes each for itself, so a text's ids are
+    those of its parts. The last id of a part, and only that, stands for an end.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {}
 
-    def __call__(self, text: str) -> np.ndarray:
-        if "<|" in text or not _PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        words = _SPLIT.findall(text.lower())
-        kept = self.kept
-        try:
-            raw = b"".join([kept[w] for w in words])
-        except KeyError:
-            missing = list({w for w in words if w not in kept})
-            if len(kept) + len(missing) > KEPT_WORDS:
-                kept.clear()
-                missing = list(set(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                kept[w] = np.array(e.ids, "<u2").tobytes()
-            raw = b"".join([kept[w] for w in words])
-        return np.frombuffer(raw, "<u2").astype("<u4")
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        split = [None if "<|" in t or _OTHER.search(t) else _SPLIT.findall(t.lower()) for t in texts]
+        used = set().union(*[s for s in split if s])
+        missing = used.difference(self.kept)
+        if len(self.kept) + len(missing) > KEPT_PARTS:  # what these texts use stays, and with it all frequent parts
+            self.kept = {p: self.kept[p] for p in used.difference(missing)}
+        self.learn(list(missing))
+        kept, out = self.kept, []
+        for text, own in zip(texts, split, strict=True):
+            if own is None:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4"))
+            else:
+                out.append(np.frombuffer(b"".join([kept[p] for p in own]), "<u2").astype("<u4"))
+        return out
+
+    def learn(self, missing: list[str]) -> None:
+        for i in range(0, len(missing), 1000):
+            some = missing[i : i + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
+            raw, at = ids.tobytes(), 0
+            for part, end in zip(some, ((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist(), strict=True):
+                self.kept[part] = raw[at:end]
+                at = end
 
 
 @lru_cache(maxsize=2)
@@ -72,6 +89,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def encoded(encode: Encoder, texts: pa.Array, size: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Ids of each text, about `size` characters at a time; null counts as empty."""
+    held: list[str] = []
+    for text in texts.to_pylist():
+        held.append(text or "")
+        if sum(map(len, held[-8:])) >= size or len(held) >= 250:
+            yield from encode(held)
+            held = []
+    yield from encode(held)
+
+
 class Packer:
     """Packs documents of known lengths; yields sequences as lists of (document, start, length)."""
 
@@ -184,9 +212,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
         kind = pa.int64()
         for batch in batches:
             kind = batch.schema.field(0).type
-            for i in range(batch.num_rows):
-                own = np.append(encode(batch.column(1)[i].as_py() or ""), np.uint32(end_id)).astype("<u4")
-                ids[serial] = batch.column(0)[i].as_py(), own
+            for doc, found in zip(batch.column(0).to_pylist(), encoded(encode, batch.column(1)), strict=True):
+                own = np.append(found, np.uint32(end_id)).astype("<u4")
+                ids[serial] = doc, own
                 ready += packer.add(serial, len(own))
                 serial += 1
                 tokens += len(own)
