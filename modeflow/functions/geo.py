@@ -11,10 +11,11 @@ DEGREE_M = EARTH_M * 3.141592653589793 / 180
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Metres between two points in degrees."""
+    """Metres between two points in degrees; null where a coordinate is."""
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), F.lit(2.0))
     a = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))))
+    held = F.when(a > 1, 1.0).when(a < 0, 0.0).otherwise(a)  # least() would pass over a null
+    return 2 * EARTH_M * F.asin(F.sqrt(held))
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

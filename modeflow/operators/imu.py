@@ -96,7 +96,7 @@ def rotation_invariant(rows: DataFrame, keys: list[str], axes: tuple[str, str, s
     second = F.sqrt(total([(F.col(a) - 2 * F.col(f"__{a}1") + F.col(f"__{a}2")) ** 2 for a in axes]))
     norm = lambda names: F.sqrt(total([F.col(c) ** 2 for c in names]))
     cosine = total([F.col(a) * F.col(f"__{a}1") for a in axes]) / (norm(axes) * norm([f"__{a}1" for a in axes]) + 1e-9)
-    x = x.withColumn("d2v", second).withColumn("angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    x = x.withColumn("d2v", second).withColumn("angle", F.when(cosine.isNotNull(), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
     many = {"d2v": 4, "angle": 3}
     stats = [F.when(F.count(F.lit(1)) >= many[s], f).alias(f"{prefix}_{s}_{n}") for s in many for n, f in (("mean", F.avg(s)), ("std", F.stddev_pop(s)), ("iqr", iqr(s)), ("p95", pct(s, 0.95)))]
     cov = [F.covar_samp(axes[i], axes[j]).alias(f"__c{i}{j}") for i in range(3) for j in range(i, 3)]

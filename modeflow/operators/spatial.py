@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.geo import DEGREE_M, EARTH_M, haversine
 from ..functions.stats import pct, share
+from ..session import cut
 
 #: Layers, the distance (m) at which a point is at a place of them, and the features made of each.
 LAYERS = {
@@ -85,12 +86,12 @@ def unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
 def nearest_by_cells(points: DataFrame, places: DataFrame, name: str = "dist_m", start_m: float = 500.0, rounds: int = 12) -> DataFrame:
     """Nearest distances by widening the cells for the points that found nothing yet; for layers too large to broadcast."""
     rest = points.withColumn("__id", F.monotonically_increasing_id())
-    rest, out, size = rest.checkpoint(), None, start_m
+    rest, out, size = cut(rest), None, start_m
     for _ in range(rounds):
         found = near_pairs(rest.select("__id", "latitude", "longitude"), places.select("lat", "lon"), size).groupBy("__id").agg(F.min("dist_m").alias(name))
         got = rest.join(found, "__id")
         out = got if out is None else out.unionByName(got)
-        rest = rest.join(found, "__id", "left_anti").checkpoint()
+        rest = cut(rest.join(found, "__id", "left_anti"))
         if rest.isEmpty():
             break
         size *= 4

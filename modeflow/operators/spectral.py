@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..schemas import FEATURES_A
@@ -33,15 +33,31 @@ def settled(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.array([b[1] - a[1] * gain + z2, z2])
 
 
+@lru_cache(maxsize=64)
+def echo(a1: float, a2: float, n: int) -> np.ndarray:
+    """The first n values of the answer of 1 / (1 + a1 z + a2 z^2) to an impulse."""
+    g = np.zeros(n)
+    g[0] = 1.0
+    if n > 1:
+        g[1] = -a1
+    for i in range(2, n):
+        g[i] = -a1 * g[i - 1] - a2 * g[i - 2]
+        if abs(g[i]) + abs(g[i - 1]) < 1e-18:
+            break
+    return g
+
+
 def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Direct form II transposed over the rows of x (n, channels)."""
-    z1, z2 = state[0].copy(), state[1].copy()
-    y = np.empty_like(x)
-    for i in range(len(x)):
-        y[i] = b[0] * x[i] + z1
-        z1 = b[1] * x[i] - a[1] * y[i] + z2
-        z2 = b[2] * x[i] - a[2] * y[i]
-    return y
+    """The filter over the rows of x (n, channels) from a starting state: what drives it, convolved with its echo."""
+    n = len(x)
+    drive = b[0] * x
+    drive[1:] += b[1] * x[:-1]
+    drive[2:] += b[2] * x[:-2]
+    drive[0] += state[0]
+    drive[1] += state[1]
+    size = 1 << (2 * n - 1).bit_length()
+    g = echo(float(a[1]), float(a[2]), 1 << (n - 1).bit_length())[:n]
+    return np.fft.irfft(np.fft.rfft(drive, size, axis=0) * np.fft.rfft(g, size)[:, None], size, axis=0)[:n]
 
 
 def zero_phase(x: np.ndarray, cutoff: float, fs: float, high: bool) -> np.ndarray:
@@ -189,14 +205,14 @@ def features(samples: DataFrame, keys: list[str], fs: str | float = 50.0, column
     has = set(samples.columns)
     axes = {p: [f"{p}_{a}" for a in "xyz"] for p in ("acc", "gyr", "lin_acc", "grav", "mag") if {f"{p}_{a}" for a in "xyz"} <= has}
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["timestamp", tie])
-        rate = float(pdf[fs].iloc[0]) if isinstance(fs, str) else fs
-        arrays = {p: pdf[c].to_numpy(float) for p, c in axes.items()}
+    def one(key, group):
+        order = np.lexsort((group.column(tie).to_numpy(), group.column("timestamp").to_numpy()))
+        rate = float(group.column(fs)[0].as_py()) if isinstance(fs, str) else fs
+        arrays = {p: np.stack([group.column(c).to_numpy()[order].astype(float) for c in cs], axis=1) for p, cs in axes.items()}
         got = inertial(arrays["acc"], arrays["gyr"], rate, arrays.get("lin_acc"), arrays.get("grav"), arrays.get("mag"))
-        row = {k: pdf[k].iloc[0] for k in keys} | {c: got.get(c, np.nan) for c in wanted}
-        return pd.DataFrame([row]).replace({np.nan: None})
+        row = [group.column(k).slice(0, 1) for k in keys] + [pa.array([got.get(c, np.nan)], pa.float64(), from_pandas=True) for c in wanted]
+        return pa.table(row, [*keys, *wanted])
 
     kinds = ", ".join(f"`{k}` {samples.schema[k].dataType.simpleString()}" for k in keys)
     used = [*keys, "timestamp", tie, *([fs] if isinstance(fs, str) else []), *[c for a in axes.values() for c in a]]
-    return samples.select(*dict.fromkeys(used)).groupBy(*keys).applyInPandas(one, f"{kinds}, {', '.join(f'{c} double' for c in wanted)}")
+    return samples.select(*dict.fromkeys(used)).groupBy(*keys).applyInArrow(one, f"{kinds}, {', '.join(f'{c} double' for c in wanted)}")

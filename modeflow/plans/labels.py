@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregate, intervals, labeling, metrics, models, quality, selection, smoothing, splits, windows
+from ..session import cut
 from . import trajectory as T
 from .registry import query, rounded
 from .timeline import ASOF, KEYS, KINEMATICS, LABELLED, kinematic, labelled, timeline
@@ -351,7 +352,7 @@ def training_rows(spark, sf) -> DataFrame:
 @query()
 def hier_rf(spark, sf):
     cols = ["B_speed_mean", "B_speed_max", "B_stop_frac", "C_osm_rail_prop", "C_bus_stops_prop"]
-    rows = training_rows(spark, sf).select(*KEYS, *cols, "silver_label")
+    rows = cut(training_rows(spark, sf).select(*KEYS, *cols, "silver_label"))
     classes = ["Still", "Walk", "Bus", "Car", "Train"]
     train = splits.temporal(rows)
     model = models.Hierarchical(cols, classes).fit(train.where("split = 'train'"), "silver_label", numTrees=20, maxDepth=8)

@@ -149,9 +149,10 @@ def stop_detection(spark, sf):
 
 @query(WINDOWS + """, g AS (SELECT *, ("timestamp" - lag("timestamp") OVER (PARTITION BY "userId", session_id, ts_start ORDER BY "timestamp", event_id)) / 1000.0::DOUBLE AS gap FROM wfix)
 SELECT "userId", session_id, ts_start, round(CASE WHEN count(accuracy) = count(*) THEN avg(accuracy) END, 4) AS "D_acc_mean", CASE WHEN count(accuracy) = count(*) THEN max(accuracy) END AS "D_acc_max",
-  CASE WHEN count(accuracy) = count(*) AND quantile_cont(accuracy, 0.5) <= 20 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "D_has_reliable_gps", count(*) FILTER (WHERE gap > 30) AS "D_n_gaps", round(least(1.0::DOUBLE, coalesce(sum(gap) FILTER (WHERE gap > 30), 0) / 120.0::DOUBLE), 4) AS "D_gap_fraction" FROM g GROUP BY ALL""")
+  CASE WHEN count(accuracy) = count(*) AND quantile_cont(accuracy, 0.5) <= 20 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "D_has_reliable_gps", count(*) FILTER (WHERE gap > 30) AS "D_n_gaps", round(least(1.0::DOUBLE, coalesce(sum(gap) FILTER (WHERE gap > 30), 0) / 120.0::DOUBLE), 6) AS "D_gap_fraction" FROM g GROUP BY ALL""")
 def gps_gaps(spark, sf):
-    return rounded(gps.quality(in_windows(T.fixes(spark, sf), spark, sf), KEYS))
+    q = gps.quality(in_windows(T.fixes(spark, sf), spark, sf), KEYS)
+    return q.withColumns({"D_acc_mean": F.round("D_acc_mean", 4) + 0.0, "D_gap_fraction": F.round("D_gap_fraction", 6) + 0.0})
 
 
 @query(WINDOWS + """ SELECT w."userId", w.session_id, w.ts_start, round(count(f.event_id) / 120.0::DOUBLE, 4) AS gps_frac, count(f.event_id) / 120.0::DOUBLE <= 0.025::DOUBLE AS used FROM windows w LEFT JOIN wfix f USING ("userId", session_id, ts_start) GROUP BY ALL""")

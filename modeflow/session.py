@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Results depend on the time zone only; the others let Spark adapt plans to the data it meets.
 SETTINGS = {
@@ -26,3 +28,11 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute rows once, in the shared folder that spark.checkpoint.dir names (a temporary one only where it is unset)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="modeflow-"))
+    return df.checkpoint()
