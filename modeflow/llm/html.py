@@ -26,6 +26,7 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
 SHAPES = [
     (45, 0.0, 30, 0.0, 60, 0.0), (1, 0.0, 40, 0.0, 80, 0.0), (2, 0.0, 0, 0.0, 2, 0.0), (8, 0.0, 3, 1.0, 70, 0.0), (120, 0.1, 8, 0.0, 4, 1.0), (3, 1.0, 60, 0.0, 50, 0.0),
     (12, 0.6, 90, 0.0, 40, 0.1), (300, 0.0, 0, 0.0, 0, 0.0), (1, 1.0, 2, 0.0, 2, 1.0), (25, 0.3, 1, 1.0, 1, 1.0), (4, 1.0, 3, 1.0, 5, 1.0), (10, 0.0, 1, 1.0, 9, 0.0),
+    (1, 0.0, 10, 0.0, 1, 1.0), (1, 0.0, 1, 1.0, 1, 1.0), (3, 0.0, 5, 0.0, 2, 1.0), (2, 0.0, 3, 1.0, 2, 1.0), (14, 0.1, 20, 0.0, 12, 0.9), (6, 0.5, 2, 0.8, 40, 0.0), (30, 0.8, 4, 0.0, 5, 0.7), (15, 0.7, 15, 0.6, 15, 0.8),
 ]
 #: Rows of pages without an article, with their labels.
 PLAIN = [
@@ -33,6 +34,7 @@ PLAIN = [
     (6, 0.1, 0, 0.0, 3, 1.0, 0), (1, 1.0, 0, 0.0, 0, 0.0, 0), (8, 0.0, 2, 1.0, 60, 0.0, 1), (4, 0.0, 50, 0.0, 80, 0.0, 1), (2, 0.0, 70, 0.0, 45, 0.1, 1), (1, 0.0, 30, 0.0, 25, 0.0, 1),
     (60, 0.0, 8, 0.0, 50, 0.0, 1), (25, 0.0, 2, 1.0, 3, 1.0, 1), (45, 0.2, 40, 0.1, 2, 1.0, 1), (200, 0.1, 0, 0.0, 0, 0.0, 1), (18, 0.0, 20, 0.0, 16, 0.0, 1), (30, 0.3, 70, 0.0, 60, 0.1, 1),
     (6, 0.0, 40, 0.0, 2, 1.0, 1), (12, 0.0, 0, 0.0, 0, 0.0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 1), (4, 0.0, 0, 0.0, 30, 0.0, 1), (5, 0.0, 6, 0.0, 5, 0.0, 1),
+    (50, 0.0, 0, 0.0, 3, 1.0, 1), (100, 0.05, 0, 0.0, 2, 1.0, 1), (20, 0.0, 1, 0.0, 6, 0.9, 1), (15, 0.0, 0, 0.0, 5, 0.8, 1), (4, 0.0, 0, 0.0, 5, 1.0, 0),
 ]
 LABELLED = [(*row, place, mark, int(place == 1 and not mark)) for row in SHAPES for place, mark in ((1, 0), (1, 1), (-1, 0), (-1, 1), (0, 1))] + [(*row[:-1], 0, 0, row[-1]) for row in PLAIN]
 

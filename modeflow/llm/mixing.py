@@ -85,7 +85,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     blocks = F.greatest(F.lit(1), F.floor(F.col("__words") / F.lit(float(block)) + 0.5).cast("bigint"))
     quotas = quotas.withColumn("__n", blocks).withColumn("__q", F.least(F.col("quota"), REPEATS * F.col("__n")))
     quotas = quotas.withColumn("__o", F.pmod(number(seeded(F.col("__key"), F.col("__shard"))), F.col("__n")))
-    quotas = cut(quotas.select("__key", "__shard", "__words", "__n", "__q", "__o", "source_size", "target"))
+    quotas = cut(quotas.select("__key", "__shard", "__words", "__n", "__q", "__o", F.col("source_size").alias("__source_size"), F.col("target").alias("__target")))
     placed = rows.withColumn("__shard", shard)
     placed = placed.withColumn("__end", F.sum("__size").over(W.partitionBy("__key", "__shard").orderBy("__digest", "__size").rowsBetween(W.unboundedPreceding, 0)))
     placed = placed.join(quotas, ["__key", "__shard"])
@@ -93,7 +93,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     overlap = lambda a, b: F.greatest(F.lit(0), F.least(F.col("__end"), b) - F.greatest(F.col("__end") - F.col("__size"), a))
     once = overlap(edge("__o"), edge("least(__n, __o + __q % __n)")) + overlap(F.lit(0), edge("greatest(0, __o + __q % __n - __n)"))
     taken = F.expr("__q div __n") * F.col("__size") + once
-    return placed.select(*[F.col(f"`{c}`") for c in df.columns], "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), taken.cast("bigint").alias("__taken"))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], "__size", "__source_size", "__target", taken.cast("bigint").alias("__taken"))
 
 
 def mixed_rows(df: DataFrame, **options) -> DataFrame:
