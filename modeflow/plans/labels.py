@@ -378,3 +378,45 @@ def masked_positions(spark, sf):
     """Windows after a share of them lost their positions; the count stays."""
     rows = feature_windows(spark, sf).withColumn("gps_frac", F.col("B_n_gps") / F.lit(120.0))
     return quality.mask_positions(rows, 0.7, 42, KEYS).agg(F.count(F.lit(1)).alias("n"))
+
+
+def city():
+    from ..config import City
+
+    return City("view", session={"gap_s": T.GAP_S, "min_duration_s": T.MIN_S}, window={"win_s": 120.0, "step_s": 60.0})
+
+
+@query()
+def feature_table(spark, sf):
+    """The window table with all 230 features, from the processing workflow."""
+    from . import workflows
+
+    places = T.layer(spark, sf)
+    return workflows.process(T.fixes(spark, sf), T.samples(spark, sf), city(), {"bus_stops": places, "osm_rail": T.layer(spark, sf, "customer")}, T.intervals(spark, sf))
+
+
+@query()
+def workflow_predictions(spark, sf):
+    """Process, label, train and predict in one go, with small forests."""
+    from . import workflows
+
+    table = cut(workflows.label(feature_table(spark, sf), city()))
+    done = workflows.train(table, city(), numTrees=10, maxDepth=6)
+    return workflows.predict(table, done.model, city())
+
+
+@query(CASCADE + """ SELECT w.label, count(*) AS n, round(avg(CASE WHEN w.label = c.silver THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS agreement, round(avg(CASE WHEN c.silver IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS abstained FROM casc c JOIN (SELECT * FROM (""" + LABELLED.replace("WITH points", "WITH points", 1) + """ SELECT "userId", session_id, ts_start, label FROM labelled) x) w USING ("userId", session_id, ts_start) WHERE w.label IS NOT NULL GROUP BY ALL""")
+def rule_agreement(spark, sf):
+    """How often the cascade agrees with the reference label, and abstains."""
+    both = silver(spark, sf).join(labelled(spark, sf).select(*KEYS, "label"), KEYS).where("label is not null")
+    agree = F.coalesce((F.col("label") == F.col("silver_label")).cast("double"), F.lit(0.0))
+    return rounded(both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(agree).alias("agreement"), F.avg(F.col("silver_label").isNull().cast("double")).alias("abstained")))
+
+
+@query(CASCADE + """ SELECT silver, count(*) AS n, count(*) FILTER (WHERE s > CASE silver WHEN 'Still' THEN 0.1 WHEN 'Walk' THEN 2.0 WHEN 'Bus' THEN 10 WHEN 'Car' THEN 18 ELSE 1000 END) AS impossible FROM casc WHERE silver IS NOT NULL GROUP BY ALL""")
+def physics_bounds(spark, sf):
+    from ..operators.evaluation import physics_flags
+
+    rows = silver(spark, sf).where("silver_label is not null")
+    flagged = physics_flags(rows, "silver_label", F.coalesce("B_speed_mean", F.lit(0.0)), {"Still": 0.1, "Walk": 2.0, "Bus": 10.0, "Car": 18.0})
+    return flagged.groupBy(F.col("silver_label").alias("silver")).agg(F.count(F.lit(1)).alias("n"), F.count_if("impossible").alias("impossible"))
