@@ -5,7 +5,8 @@ pairs are compared by bit counts with the collision-corrected estimate, and only
 candidates. The candidate components then get their whole shingle sets once, and links are confirmed on these.
 
 Scale: documents of equal sets are merged first; a band group or a candidate component of more than CHUNK members is dealt
-out as blocks of two chunks each, so no task holds more than two chunks; only links that join different parts leave a block.
+out as blocks of two chunks each, so no task holds more than two chunks (those with whole sets are bounded by shingles, too);
+only links that join different parts leave a block.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from . import textops as T
 from .common import cut, table
 from .components import components
 
-#: Minima, bits kept of each, and members of a block side.
-MINIMA, BITS, CHUNK = 192, 2, 512
+#: Minima, bits kept of each, members of a block side and shingles of one (about; a larger document is a side of its own).
+MINIMA, BITS, CHUNK, CHUNK_SHINGLES = 192, 2, 512, 1 << 20
 _rng = np.random.default_rng(20240611)
 _MULTIPLIERS = (_rng.integers(0, 1 << 32, 256, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 _ADDENDS = _rng.integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -230,10 +231,11 @@ def confirmed_links(batches: Iterator[pa.RecordBatch], k: int, numerator: int, d
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def in_blocks(rows: DataFrame, key: str, chunk: int) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, chunk: int, weight: str | None = None) -> DataFrame:
     """Adds `side`: 0 for all members of a group of up to `chunk`; members of larger groups go to all blocks of two chunks
-    that theirs is part of, as a row for each block."""
-    many = rows.groupBy(key).count().where("count > 1").select(key, F.ceil(F.col("count") / chunk).cast("int").alias("__chunks"))
+    that theirs is part of, as a row for each block. A column of weights (shingles) bounds the chunks by CHUNK_SHINGLES, too."""
+    heavy = F.sum(weight) / CHUNK_SHINGLES if weight else F.lit(0.0)
+    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.ceil(F.greatest(F.count(F.lit(1)) / chunk, heavy)).cast("int").alias("__chunks")).where("__n > 1").drop("__n")
     own = F.pmod(F.xxhash64("id"), F.col("__chunks")).cast("int")
     other = F.when(F.col("__chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("__chunks") - 1))
     dealt = rows.join(many, key).withColumn("__own", own).withColumn("__other", F.explode(other))
@@ -263,7 +265,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     grouped = grouped.repartition("key", "side").sortWithinPartitions("key", "side", "id")
     links = grouped.mapInArrow(lambda batches: candidate_links(batches, least), "a bigint, b bigint").distinct()
     candidates = components(links)
-    wide = in_blocks(candidates.select(F.col("node").alias("id"), F.col("component").alias("key")), "key", chunk)
+    weights = some.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
+    wide = in_blocks(candidates.select(F.col("node").alias("id"), F.col("component").alias("key")).join(weights, "id"), "key", chunk, "n_shingles").drop("n_shingles")
     texts = docs.join(representative.where("id = representative").select("id").distinct().join(wide, "id"), "id").select("key", "side", "id", "text")
     texts = texts.repartition("key", "side").sortWithinPartitions("key", "side", "id")
     held = texts.mapInArrow(lambda batches: confirmed_links(batches, k, numerator, denominator, least, minima_), "a bigint, b bigint")
