@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -93,17 +94,18 @@ def coherent(modes: list, least: dict[str, int], impossible: tuple[frozenset, ..
 
 
 def coherence(windows: DataFrame, keys: list[str], mode: str = "smooth", name: str = "coherent", order: str = "ts_start", least: dict[str, int] | None = None) -> DataFrame:
-    """Adds the healed mode. Sessions are grouped into arrays of modes, which are short (a window a minute)."""
+    """Adds the healed mode. A session is one array of its windows (one a minute); many arrays cross to Python at once."""
     limits = least or min_windows()
 
-    def one(pdf):
-        pdf = pdf.sort_values(order)
-        pdf[name] = coherent(pdf[mode].tolist(), limits)
-        return pdf
+    @F.pandas_udf("array<string>")
+    def heal(modes: pd.Series) -> pd.Series:
+        return modes.map(lambda m: coherent(list(m), limits))
 
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    return windows.groupBy(*keys).applyInPandas(one, StructType([*windows.schema.fields, StructField(name, StringType())]))
+    rest = [c for c in windows.columns if c not in (*keys, order)]
+    sessions = windows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("__w"))
+    healed = sessions.withColumn("__h", heal(F.col(f"__w.{mode}")))
+    rows = healed.select(*keys, "__h", F.posexplode("__w").alias("__i", "__r"))
+    return rows.select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in windows.columns], F.get("__h", F.col("__i")).alias(name))
 
 
 def plausible(mode: Column, speed: Column, bounds: dict[str, tuple[float | None, float | None]]) -> Column:
