@@ -106,3 +106,28 @@ def mixed_rows(df: DataFrame, **options) -> DataFrame:
 def op4_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+
+
+#: The same rows by ranking every quotient of every party.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '-1') || '/17') AS h FROM documents),
+ranked AS (SELECT k, CAST(sum(size) AS BIGINT) AS total, row_number() OVER (ORDER BY any_value(source) NULLS LAST) AS rn FROM d GROUP BY k),
+weighed AS (SELECT *, CAST([1, 2, 3][(rn - 1) % 3 + 1] AS DOUBLE) AS w, total * 3.0::DOUBLE AS most FROM ranked),
+levels AS (SELECT *, (sum(total) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY most / w, rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+targets AS (SELECT k, total, least(most, max(level) OVER () * w) AS target FROM levels),
+seats AS (SELECT CAST(round(sum(target) / 16) AS BIGINT) AS n FROM targets),
+source_bids AS (SELECT k, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, k, i) AS place FROM targets, seats, LATERAL (SELECT unnest(range(0, seats.n + 1)) AS i) WHERE target > 0),
+source_quotas AS (SELECT t.*, (SELECT count(*) FROM source_bids b, seats WHERE b.k = t.k AND place <= seats.n) AS quota FROM targets t),
+split AS (SELECT least(65536, greatest(1, CAST(coalesce(sum(size), 0) AS BIGINT) // 50000)) AS n FROM d),
+sharded AS (SELECT d.*, CAST('0x' || substr(h, 1, 8) AS BIGINT) % split.n AS shard FROM d, split),
+shards AS (SELECT k, shard, CAST(sum(size) AS BIGINT) AS words FROM sharded GROUP BY ALL),
+shard_bids AS (SELECT s.k, shard, row_number() OVER (PARTITION BY s.k ORDER BY words / CAST(2 * i + 1 AS DOUBLE) DESC, shard, i) AS place, q.quota FROM shards s JOIN source_quotas q USING (k), LATERAL (SELECT unnest(range(0, q.quota + 1)) AS i) WHERE words > 0),
+won AS (SELECT k, shard, count(*) AS quota FROM shard_bids WHERE place <= quota GROUP BY ALL),
+blocks AS (SELECT s.*, greatest(1, CAST(floor(words / 16.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)) AS n, coalesce(quota, 0) AS quota FROM shards s LEFT JOIN won USING (k, shard)),
+starts AS (SELECT *, least(quota, 3 * n) AS q, CAST('0x' || substr(md5(k || '/' || shard || '/17'), 1, 8) AS BIGINT) % n AS o FROM blocks),
+placed AS (SELECT doc_id, k, shard, size, CAST(sum(size) OVER (PARTITION BY k, shard ORDER BY h, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM sharded)
+SELECT doc_id, size, total AS source_size, target, CAST((q // n) * size
+  + greatest(0, least(e, least(n, o + q % n) * words // n) - greatest(e - size, o * words // n))
+  + greatest(0, least(e, greatest(0, o + q % n - n) * words // n) - greatest(e - size, 0)) AS BIGINT) AS taken
+FROM placed JOIN starts USING (k, shard) JOIN source_quotas USING (k)
+"""
