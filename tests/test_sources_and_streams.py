@@ -122,3 +122,35 @@ def test_random_sessions(spark, share):
 
     df = spark.createDataFrame([(f"s{i % 10}", i) for i in range(100)], "session_id string, ts_start bigint")
     assert splits.random_sessions(df, share).where("split = 'test'").select("session_id").distinct().count() == int(10 * share)
+
+
+def test_streamed_coherence_equals_batch(spark, tmp_path):
+    import random
+
+    from modeflow.operators.smoothing import coherence
+
+    rng, src = random.Random(4), str(tmp_path / "w")
+    rows = [("u", f"s{s}", 1_700_000_000 + s * 20_000 + 60 * i, rng.choice(["Bus", "Car", "Train", "Still"])) for s in range(5) for i in range(rng.randrange(3, 25))]
+    df = spark.createDataFrame(rows, "userId string, session_id string, t bigint, mode string").select("userId", "session_id", F.timestamp_seconds("t").alias("ts_start"), "mode")
+    df.coalesce(1).write.parquet(src)
+    for day in ("2030-01-01", "2031-01-01", "2032-01-01"):  # later sessions move the watermark on
+        spark.createDataFrame([("u", "end", day, "Car")], "userId string, session_id string, d string, mode string").select("userId", "session_id", F.to_timestamp("d").alias("ts_start"), "mode").coalesce(1).write.mode("append").parquet(src)
+    q = ingest.healed(ingest.read_new(spark, src, df.schema, files=1)).writeStream.format("memory").queryName("healed").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r["session_id"], r["ts_start"], r["coherent"]) for r in spark.table("healed").where("session_id <> 'end'").collect()}
+    assert got == {(r["session_id"], r["ts_start"], r["coherent"]) for r in coherence(df, ["userId", "session_id"], mode="mode").collect()}
+
+
+def test_streamed_windows_and_first_rows(spark, sf, tmp_path):
+    ev = spark.read.parquet(f"{sf}/events.parquet").where("user_id < 2")
+    rows = ev.select(F.col("user_id").cast("string").alias("userId"), F.col("ts").cast("timestamp").alias("time"), F.col("value").alias("speed"), "event_id")
+    rows.write.parquet(str(tmp_path / "p"))
+    rows.write.mode("append").parquet(str(tmp_path / "p"))
+    once = ingest.deduplicated(ingest.read_new(spark, str(tmp_path / "p"), rows.schema), ["event_id"]).writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "a")).trigger(availableNow=True).start()
+    once.awaitTermination()
+    assert spark.table("once").count() == rows.count()
+    w = ingest.windowed(ingest.read_new(spark, str(tmp_path / "p"), rows.schema), "1 second", "1 day", "12 hours").writeStream.format("memory").queryName("windowed").option("checkpointLocation", str(tmp_path / "b")).outputMode("append").trigger(availableNow=True).start()
+    w.awaitTermination()
+    batch = {(r["userId"], r["s"]): r["n"] for r in rows.union(rows).groupBy("userId", F.window("time", "1 day", "12 hours")).agg(F.count(F.lit(1)).alias("n")).select("userId", F.col("window.start").alias("s"), "n").collect()}
+    streamed = {(r["userId"], r["ts_start"]): r["n"] for r in spark.table("windowed").collect()}
+    assert streamed and all(batch[k] == n for k, n in streamed.items())
