@@ -10,7 +10,7 @@ from ..operators import aggregate, intervals, labeling, metrics, models, quality
 from ..session import cut
 from . import trajectory as T
 from .registry import query, rounded
-from .timeline import ASOF, KEYS, KINEMATICS, LABELLED, kinematic, labelled, timeline
+from .timeline import ASOF, KEYS, KINEMATICS, LABELLED, View, kinematic, labelled, timeline
 
 #: The cascade in SQL over kinematic features, with a constructed rail and bus share.
 CASCADE = (
@@ -24,10 +24,8 @@ casc AS (SELECT *, CASE WHEN (n > 0 AND (s < 0.2 OR (s < 0.5 AND st > 0.85))) OR
 
 def feature_windows(spark, sf) -> DataFrame:
     """All windows of the view with kinematic features and constructed infrastructure shares."""
-    from .timeline import anchored
-
-    w = windows.sliding(anchored(spark, sf), T.WIN_MS, T.STEP_MS).join(kinematic(spark, sf), KEYS, "left")
-    w = w.withColumn("B_n_gps", F.coalesce("B_n_gps", F.lit(0)))
+    view = View(spark, sf)
+    w = view.windows.join(view.kinematics(), KEYS, "left").withColumn("B_n_gps", F.coalesce("B_n_gps", F.lit(0)))
     return w.withColumn("C_osm_rail_prop", F.expr("ts_start div 60000 % 10") / F.lit(10.0)).withColumn("C_bus_stops_prop", F.expr("ts_start div 60000 % 7") / F.lit(7.0))
 
 
@@ -272,7 +270,7 @@ SESSION_STARTS = LABELLED + """, starts AS (SELECT session_id, min(ts_start) AS
 blocks AS (SELECT fold, lo, hi, start AS block_start FROM edges JOIN numbered ON i = lo)
 SELECT fold, block_start, CAST(sum(CASE WHEN NOT i BETWEEN lo AND hi - 1 AND start < block_start THEN w ELSE 0 END) AS BIGINT) AS n_train, CAST(sum(CASE WHEN i BETWEEN lo AND hi - 1 THEN w ELSE 0 END) AS BIGINT) AS n_test FROM blocks, numbered GROUP BY ALL HAVING n_test >= 10 AND n_train > 0""")
 def splits_rolling(spark, sf):
-    return splits.rolling(labelled(spark, sf))
+    return splits.rolling(cut(labelled(spark, sf)))
 
 
 @query(LABELLED + """, n AS (SELECT "userId" AS fold, count(*) AS n_test FROM labelled GROUP BY ALL) SELECT fold, n_test, CAST(sum(n_test) OVER () - n_test AS BIGINT) AS n_train FROM n""")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators import gps, imu, intervals, quality, sessions, spatial, windows
+from ..session import cut
 from . import trajectory as T
 from .registry import query, rounded
 
@@ -18,19 +21,37 @@ def built(spark, sf) -> DataFrame:
     return sessions.build(T.fixes(spark, sf), T.samples(spark, sf), T.GAP_S, T.MIN_S)
 
 
-def anchored(spark, sf) -> DataFrame:
-    """Sessions with samples, anchored at their first and last sample."""
-    s = sessions.processable(built(spark, sf)).select("userId", "session_id", "t0_ms", "t1_ms")
-    return windows.anchors(sessions.within(T.samples(spark, sf), s, ["userId"]), ["userId", "session_id"])
+class View:
+    """Sessions and anchors of the view, computed once for all that a query builds on them: one row for each session."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        """Sessions with samples."""
+        return cut(sessions.processable(built(self.spark, self.sf)).select("userId", "session_id", "t0_ms", "t1_ms"))
+
+    @cached_property
+    def anchors(self) -> DataFrame:
+        """Those sessions, anchored at their first and last sample."""
+        return cut(windows.anchors(self.inside(T.samples(self.spark, self.sf)), ["userId", "session_id"]))
 
+    @cached_property
+    def windows(self) -> DataFrame:
+        return windows.sliding(self.anchors, T.WIN_MS, T.STEP_MS)
 
-def in_session(points: DataFrame, spark, sf) -> DataFrame:
-    s = sessions.processable(built(spark, sf)).select("userId", "session_id", "t0_ms", "t1_ms")
-    return sessions.within(points, s, ["userId"]).drop("t0_ms", "t1_ms")
+    def inside(self, points: DataFrame) -> DataFrame:
+        return sessions.within(points, self.spans, ["userId"]).drop("t0_ms", "t1_ms")
 
+    def assigned(self, points: DataFrame) -> DataFrame:
+        return windows.assign(self.inside(points), self.anchors, ["userId", "session_id"], T.WIN_MS, T.STEP_MS)
 
-def in_windows(points: DataFrame, spark, sf) -> DataFrame:
-    return windows.assign(in_session(points, spark, sf), anchored(spark, sf), ["userId", "session_id"], T.WIN_MS, T.STEP_MS)
+    def kinematics(self) -> DataFrame:
+        return gps.kinematics(self.assigned(quality.accuracy_filter(T.fixes(self.spark, self.sf))), KEYS)
+
+    def labelled(self, least: float = 0.8) -> DataFrame:
+        return intervals.overlap_labels(self.windows, T.intervals(self.spark, self.sf), ["userId"], ["session_id"], least)
 
 
 #: Windows of the view in SQL, and the accurate fixes of each.
@@ -71,7 +92,7 @@ def fix_intervals(spark, sf):
 
 @query(WINDOWS + """ SELECT * FROM windows""")
 def sliding_windows(spark, sf):
-    return windows.sliding(anchored(spark, sf), T.WIN_MS, T.STEP_MS)
+    return View(spark, sf).windows
 
 
 @query(T.SQL + """, t AS (SELECT i."userId", i.seq, i.mode, i.started_at + ((f."timestamp" - i.started_at) // 120000) * 120000 AS ts_start, f.event_id FROM intervals i JOIN fixes f ON f."userId" = i."userId" AND f."timestamp" BETWEEN i.started_at AND i.finished_at)
@@ -84,7 +105,7 @@ def tumbling_segments(spark, sf):
 
 @query(WINDOWS + """ SELECT "userId", session_id, ts_start, event_id FROM wfix""")
 def window_assign(spark, sf):
-    return in_windows(T.fixes(spark, sf), spark, sf).select(*KEYS, "event_id")
+    return View(spark, sf).assigned(T.fixes(spark, sf)).select(*KEYS, "event_id")
 
 
 PAIRS = (
@@ -111,12 +132,8 @@ FROM counts c LEFT JOIN close p USING ("userId", session_id, ts_start) LEFT JOIN
 )
 
 
-def window_fixes(spark, sf) -> DataFrame:
-    return in_windows(quality.accuracy_filter(T.fixes(spark, sf)), spark, sf)
-
-
 def kinematic(spark, sf) -> DataFrame:
-    return gps.kinematics(window_fixes(spark, sf), KEYS)
+    return View(spark, sf).kinematics()
 
 
 @query(KINEMATICS + """ SELECT "userId", session_id, ts_start, n_gps AS "B_n_gps", n_valid_pairs AS "B_n_valid_pairs", round(speed_mean, 4) AS "B_speed_mean", round(speed_std, 4) AS "B_speed_std", round(speed_max, 4) AS "B_speed_max",
@@ -143,7 +160,8 @@ grouped AS (SELECT "userId", session_id, ts_start, run, bool_and(sv < 1) AS slow
 ends AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY "userId", session_id, ts_start ORDER BY run), last) - start AS dwell FROM grouped)
 SELECT "userId", session_id, ts_start, round(start, 3) AS start, round(dwell, 3) AS dwell FROM ends WHERE slow AND dwell >= 3""")
 def stop_detection(spark, sf):
-    valid = gps.pairs(window_fixes(spark, sf), KEYS).where("sv is not null")
+    fixes = View(spark, sf).assigned(quality.accuracy_filter(T.fixes(spark, sf)))
+    valid = gps.pairs(fixes, KEYS).where("sv is not null")
     return rounded(gps.stops(valid, KEYS), 3)
 
 
@@ -151,16 +169,16 @@ def stop_detection(spark, sf):
 SELECT "userId", session_id, ts_start, round(CASE WHEN count(accuracy) = count(*) THEN avg(accuracy) END, 4) AS "D_acc_mean", CASE WHEN count(accuracy) = count(*) THEN max(accuracy) END AS "D_acc_max",
   CASE WHEN count(accuracy) = count(*) AND quantile_cont(accuracy, 0.5) <= 20 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "D_has_reliable_gps", count(*) FILTER (WHERE gap > 30) AS "D_n_gaps", round(least(1.0::DOUBLE, coalesce(sum(gap) FILTER (WHERE gap > 30), 0) / 120.0::DOUBLE), 6) AS "D_gap_fraction" FROM g GROUP BY ALL""")
 def gps_gaps(spark, sf):
-    q = gps.quality(in_windows(T.fixes(spark, sf), spark, sf), KEYS)
+    q = gps.quality(View(spark, sf).assigned(T.fixes(spark, sf)), KEYS)
     return q.withColumns({"D_acc_mean": F.round("D_acc_mean", 4) + 0.0, "D_gap_fraction": F.round("D_gap_fraction", 6) + 0.0})
 
 
 @query(WINDOWS + """ SELECT w."userId", w.session_id, w.ts_start, round(count(f.event_id) / 120.0::DOUBLE, 4) AS gps_frac, count(f.event_id) / 120.0::DOUBLE <= 0.025::DOUBLE AS used FROM windows w LEFT JOIN wfix f USING ("userId", session_id, ts_start) GROUP BY ALL""")
 def gps_density(spark, sf):
-    all_windows = windows.sliding(anchored(spark, sf), T.WIN_MS, T.STEP_MS)
-    n = in_windows(T.fixes(spark, sf), spark, sf).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_gps"))
+    view = View(spark, sf)
+    n = view.assigned(T.fixes(spark, sf)).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_gps"))
     frac, used = gps.density("n_gps", 120.0, 0.025)
-    return rounded(all_windows.join(n, KEYS, "left").withColumn("n_gps", F.coalesce("n_gps", F.lit(0))).select(*KEYS, frac.alias("gps_frac"), used.alias("used")))
+    return rounded(view.windows.join(n, KEYS, "left").withColumn("n_gps", F.coalesce("n_gps", F.lit(0))).select(*KEYS, frac.alias("gps_frac"), used.alias("used")))
 
 
 Z = T.SQL + """, z AS (SELECT "userId", event_id, "timestamp", gyr_x, gyr_y, gyr_z, sqrt(gyr_x * gyr_x + gyr_y * gyr_y + gyr_z * gyr_z) AS gyr_mag,
@@ -229,7 +247,7 @@ def imu_full(spark, sf):
     """All 188 inertial features of each session: filters and spectra in grouped Arrow batches."""
     from ..operators.spectral import features
 
-    rows = in_session(T.samples(spark, sf), spark, sf)
+    rows = View(spark, sf).inside(T.samples(spark, sf))
     return features(rows, ["userId", "session_id"])
 
 
@@ -247,9 +265,8 @@ def imu_gravity(spark, sf):
     return features(T.samples(spark, sf), ["userId"], columns=[f"A_grav_{a}_{s}" for a in ("x", "y", "z", "mag") for s in ("mean", "std")])
 
 
-def labelled(spark, sf, least: float = 0.8) -> DataFrame:
-    w = windows.sliding(anchored(spark, sf), T.WIN_MS, T.STEP_MS)
-    return intervals.overlap_labels(w, T.intervals(spark, sf), ["userId"], ["session_id"], least)
+def labelled(spark, sf) -> DataFrame:
+    return View(spark, sf).labelled()
 
 
 LABELLED = WINDOWS + """, met AS (SELECT w."userId", w.session_id, w.ts_start, w.ts_end, i.mode, least(w.ts_end, i.finished_at) - greatest(w.ts_start, i.started_at) AS c, i.started_at, i.seq FROM windows w JOIN intervals i ON i."userId" = w."userId" AND i.started_at < w.ts_end AND i.finished_at > w.ts_start),
