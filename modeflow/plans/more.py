@@ -64,7 +64,7 @@ def cumulative_importance(spark, sf):
 
     each = metrics.by_class(pairs(spark, sf), "t", "p")
     by_worth = W.orderBy(F.desc("f1"), "class").rowsBetween(W.unboundedPreceding, 0)
-    return rounded(each.select("class", F.rank().over(W.orderBy(F.desc("f1"))).alias("place"), (F.sum("f1").over(by_worth) / F.sum("f1").over(W.partitionBy())).alias("running")))
+    return rounded(each.select("class", F.rank().over(W.orderBy(F.desc("f1"))).cast("bigint").alias("place"), (F.sum("f1").over(by_worth) / F.sum("f1").over(W.partitionBy())).alias("running")))
 
 
 @query("""SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_quantity > 40""")
