@@ -6,10 +6,12 @@ design is the bilinear transform of the second-order prototype, the spectrum is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..schemas import FEATURES_A
@@ -199,20 +201,60 @@ def inertial(acc: np.ndarray, gyr: np.ndarray, fs: float, lin: np.ndarray | None
     return out
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups of rows with equal keys (not null), from batches sorted by them; one group is held at a time."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        new = np.zeros(table.num_rows - 1, bool)
+        for k in keys:
+            column = table.column(k).combine_chunks()
+            new |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield table.slice(a, b - a)
+        held = table.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
 def features(samples: DataFrame, keys: list[str], fs: str | float = 50.0, columns: list[str] | None = None, tie: str = "event_id") -> DataFrame:
-    """keys and the A features (or some) of each group of samples; fs is a rate or the name of a column that holds it."""
+    """keys and the A features (or some) of each group of samples; fs is a rate or the name of a column that holds it.
+
+    Groups are dealt and sorted by Spark and walked in Arrow batches, so many small groups share one crossing to Python.
+    """
     wanted = columns or FEATURES_A
     has = set(samples.columns)
     axes = {p: [f"{p}_{a}" for a in "xyz"] for p in ("acc", "gyr", "lin_acc", "grav", "mag") if {f"{p}_{a}" for a in "xyz"} <= has}
 
-    def one(key, group):
-        order = np.lexsort((group.column(tie).to_numpy(), group.column("timestamp").to_numpy()))
-        rate = float(group.column(fs)[0].as_py()) if isinstance(fs, str) else fs
-        arrays = {p: np.stack([group.column(c).to_numpy()[order].astype(float) for c in cs], axis=1) for p, cs in axes.items()}
-        got = inertial(arrays["acc"], arrays["gyr"], rate, arrays.get("lin_acc"), arrays.get("grav"), arrays.get("mag"))
-        row = [group.column(k).slice(0, 1) for k in keys] + [pa.array([got.get(c, np.nan)], pa.float64(), from_pandas=True) for c in wanted]
-        return pa.table(row, [*keys, *wanted])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: list[pa.Table] = []
+        rows: list[list[float]] = []
+
+        def out() -> pa.RecordBatch:
+            named = pa.concat_tables(heads).combine_chunks()
+            values = np.array(rows, float)
+            arrays = [named.column(k).chunk(0) for k in keys] + [pa.array(values[:, c], from_pandas=True) for c in range(len(wanted))]
+            heads.clear()
+            rows.clear()
+            return pa.RecordBatch.from_arrays(arrays, [*keys, *wanted])
+
+        for group in sorted_groups(batches, keys):
+            rate = float(group.column(fs)[0].as_py()) if isinstance(fs, str) else fs
+            arrays = {p: np.stack([group.column(c).to_numpy().astype(float) for c in cs], axis=1) for p, cs in axes.items()}
+            got = inertial(arrays["acc"], arrays["gyr"], rate, arrays.get("lin_acc"), arrays.get("grav"), arrays.get("mag"))
+            heads.append(group.select(keys).slice(0, 1))
+            rows.append([got.get(c, np.nan) for c in wanted])
+            if len(rows) == 500:
+                yield out()
+        if rows:
+            yield out()
 
     kinds = ", ".join(f"`{k}` {samples.schema[k].dataType.simpleString()}" for k in keys)
     used = [*keys, "timestamp", tie, *([fs] if isinstance(fs, str) else []), *[c for a in axes.values() for c in a]]
-    return samples.select(*dict.fromkeys(used)).groupBy(*keys).applyInArrow(one, f"{kinds}, {', '.join(f'{c} double' for c in wanted)}")
+    n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes but much work stay dealt out
+    dealt = samples.select(*dict.fromkeys(used)).repartition(n, *keys).sortWithinPartitions(*keys, "timestamp", tie)
+    return dealt.mapInArrow(run, f"{kinds}, {', '.join(f'{c} double' for c in wanted)}")
