@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, held_out, table
 
-#: About so many labelled documents are learned from at most; learned terms; those of them at most that are matched with edits
-#: (of words that a tenth of the toxic documents hold).
-SAMPLE, SEED, TERMS, FUZZY = 40_000, 41, 1500, 150
+#: About so many labelled documents are learned from at most; learned terms.
+SAMPLE, SEED, TERMS = 40_000, 41, 1500
 #: Lengths of stems; support and strength that a term needs; words on either side of a match; weights of contexts.
 STEMS, SUPPORT, STRENGTH, WINDOW = (4, 5, 6), 6, 3.0, 8
 QUOTED, REPORTED, ADDRESSED, MOST = 0.35, 0.3, 1.25, 14.0
@@ -35,16 +34,16 @@ _OPEN = {'"': '"', "“": "”", "„": "“", "«": "»", "‹": "›"}
 # Fixed word lists: reporting words and words of address.
 REPORTING = frozenset("said says say wrote writes called calls quoted quote quotes quoting cited cites word term phrase sagte sagt schrieb nannte zitiert wort begriff dit disait écrit appelé cite mot terme dijo dice escribió llamó cita palabra".split())
 ADDRESS = frozenset("you your you're youre u ya du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti tus usted ustedes".split())
-#: Seed terms that are in the lexicon whatever the labels hold, and the weight of one that they do not speak against.
+#: Terms of a lexicon where the labels teach none, and their weight.
 SEEDS = "idiot moron scum loser stupid clown trash pathetic worthless disgusting bastard arschloch trottel connard salaud cabrón imbécil".split()
 SEED_WEIGHT = 4.0
 #: Words that a worker keeps as known.
 CLEAN_KEPT = 200_000
 
 
-def allowed(term: str, fuzzy: bool) -> int:
+def allowed(term: str) -> int:
     """Edits within which a term is matched."""
-    return 0 if not fuzzy or len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
 class Automaton:
@@ -238,6 +237,23 @@ def cover(sample: DataFrame, keys: list[tuple[str, float]], least: int) -> list[
         open_rows = [row for row in open_rows if best not in row]
 
 
+def varied(sample: DataFrame, words: frozenset[str]) -> dict[str, int]:
+    """For each word the number of different neighbours at its first place in the toxic documents of the sample: one for all
+    copies of a document, but about the number of documents for a word of its own."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met: list[tuple[str, str]] = []
+            for text in batch.column(0).to_pylist():
+                tokens = _TOKEN.findall((text or "").lower())
+                first = {w: i for i, w in zip(range(len(tokens) - 1, -1, -1), reversed(tokens), strict=True) if w in words}
+                met += [(w, " ".join(tokens[max(0, i - 1) : i + 2])) for w, i in first.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in met], pa.string()), pa.array([c for _, c in met], pa.string())], ["word", "near"])
+
+    met = sample.where("toxic = 1").select("text").mapInArrow(places, "word string, near string")
+    return {r["word"]: r["n"] for r in met.groupBy("word").agg(F.count_distinct("near").alias("n")).collect()}
+
+
 class Model:
     """The lexicon, the weight of each (term, edits), and the log-odds of a text without any match."""
 
@@ -255,23 +271,29 @@ class Model:
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """labelled: (id, text, toxic 0 or 1), of which a bounded sample is used. Without toxic rows only seed terms count."""
+    """labelled: (id, text, toxic 0 or 1), of which a bounded sample is used. Seed terms count only where no term is learned.
+
+    Terms are those of a cover of the toxic documents, and all strong words whose neighbours vary: words that often stand beside
+    other terms, but not in copies only. Every learned word is matched with the edits that its length allows. A stem is matched
+    exactly, but the words below it that are strong themselves are terms beside it, so that their misspellings are met, too.
+    """
     chosen = bounded_sample(labelled, "id", sample, SEED).select(F.col("toxic").cast("int"), "text")
     pos, neg = chosen.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     prior = math.log((pos + 0.5) / (neg + 0.5)) if pos + neg else -3.0
-    if not pos:
-        seeds = tuple((w, False, allowed(w, True)) for w in SEEDS)
-        return Model(seeds, {(t, e): SEED_WEIGHT / (1 + e) for t, x in enumerate(seeds) for e in range(x[2] + 1)}, min(prior, -2.0), 0.0)
     p, n = F.col("pos"), F.col("neg")
     sure = F.log((p - 1.5 * F.sqrt(p) + 0.5) / (pos + 1.0)) - F.log((n + 0.5) / (neg + 1.0))
     strong = label_counts(chosen, candidates).where(p >= max(SUPPORT, pos // 100)).withColumn("sure", sure).where(F.col("sure") >= STRENGTH)
     rows = strong.orderBy(F.col("sure").desc(), "key").limit(TERMS).collect()
     found_terms = cover(chosen, [(r["key"], r["sure"]) for r in rows], max(SUPPORT // 2, pos // 200))
-    words = list(dict.fromkeys([*SEEDS, *(k[1:] for k in found_terms if k[0] == "=")]))
     stems = [k[1:] for k in found_terms if k[0] == "^"]
-    common = [r["key"][1:] for r in rows if r["key"][0] == "=" and r["pos"] >= 0.1 * pos and r["key"] in found_terms]
-    fuzzy = {*SEEDS, *common[:FUZZY]}
-    terms = tuple((w, False, allowed(w, w in fuzzy)) for w in words) + tuple((s, True, 0) for s in stems)
+    strong_words = {r["key"][1:]: r["pos"] for r in rows if r["key"][0] == "="}
+    near = varied(chosen, frozenset(strong_words)) if strong_words else {}
+    own = [w for w, k in strong_words.items() if w.startswith(tuple(stems)) or near.get(w, 0) >= max(SUPPORT, pos // 100, k / 2)]
+    words = list(dict.fromkeys([*(k[1:] for k in found_terms if k[0] == "="), *own]))
+    terms = tuple((w, False, allowed(w)) for w in words) + tuple((s, True, 0) for s in stems)
+    if not terms:
+        seeds = tuple((w, False, allowed(w)) for w in SEEDS)
+        return Model(seeds, {(t, e): SEED_WEIGHT / (1 + e) for t, x in enumerate(seeds) for e in range(x[2] + 1)}, min(prior, -2.0), 0.0)
 
     def found(text: str) -> set[str]:
         hits = set(matching(terms, _TOKEN.findall(text)).values())
@@ -283,9 +305,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     for t, (text, _, edits) in enumerate(terms):
         a, b = counts.get(f"{t} 0", (0, 0))
         exact = odds(a, b, 0.5)
-        if text in SEEDS and b * pos <= 0.2 * a * neg:
-            exact = max(exact, SEED_WEIGHT)
-        weights[t, 0] = exact if text in SEEDS or exact >= STRENGTH else 0.0
+        weights[t, 0] = exact if exact >= STRENGTH else 0.0
         for e in range(1, edits + 1):  # unseen misspellings weigh half of the term; those that clean texts hold as well, nothing
             a, b = counts.get(f"{t} {e}", (0, 0))
             weight = 0.5 * weights[t, 0] if not a + b else min(weights[t, 0], odds(a, b, 0.5))

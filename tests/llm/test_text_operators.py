@@ -143,6 +143,16 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert none.score("hello") < 0.3 and none.score("you idiot") > 0.3
 
 
+def test_toxicity_of_a_broad_lexicon(spark):
+    """Misspellings of learned words that a small share of the toxic documents holds; seeds do not count beside learned words."""
+    terms = [f"{a}{b}" for a in ("zwark", "plonth", "vurmig", "quesk", "drabul", "fnorpel") for b in ("iddle", "omat", "ung", "esque", "arro", "ibus")]
+    rows = [(i, f"the {terms[i // 2 % 36] if i % 2 else 'calm'} of plain words number{i} here", i % 2) for i in range(1440)]
+    model = toxicity.learn(spark.createDataFrame(rows, "id bigint, text string, toxic int"))
+    for t in terms:
+        assert model.score(f"a {t} here") > 0.9 and model.score(f"a {t[:3]}x{t[4:]} here") > 0.3 and model.score(f"a {t[:4] + t[5:]} here") > 0.3
+    assert model.score("a moron here") == model.score("a calm here") < 0.1
+
+
 def test_toxicity_query(spark):
     sf = "/root/testdata/sf0.01"
     got = toxicity.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left")
