@@ -19,13 +19,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, held_out, table
 
-#: About so many labelled documents are learned from at most; learned terms.
-SAMPLE, SEED, TERMS = 40_000, 41, 1500
+#: About so many labelled documents are learned from at most.
+SAMPLE, SEED = 40_000, 41
 #: Lengths of stems; support and strength that a term needs; words on either side of a match; weights of contexts.
 STEMS, SUPPORT, STRENGTH, WINDOW = (4, 5, 6), 6, 3.0, 8
 QUOTED, REPORTED, ADDRESSED, MOST = 0.35, 0.3, 1.25, 14.0
@@ -207,7 +208,7 @@ def label_counts(sample: DataFrame, found) -> DataFrame:
 
 def candidates(text: str) -> set[str]:
     """=word for the words of a text, ^stem for their beginnings."""
-    words = {w for w in _TOKEN.findall(text) if len(w) >= 4}
+    words = set(_TOKEN.findall(text))
     return {f"={w}" for w in words if len(w) <= 40} | {f"^{w[:n]}" for w in words for n in STEMS if len(w) > n}
 
 
@@ -215,6 +216,8 @@ def cover(sample: DataFrame, keys: list[tuple[str, float]], least: int) -> list[
     """The candidate terms that explain the toxic documents of the bounded sample, chosen greedily: each in turn the one that
     most documents without a chosen term hold, at least `least`. Words that only stand beside others, as in copies of one
     document, explain nothing new and stay out."""
+    if not keys:
+        return []
     number = {k: i for i, (k, _) in enumerate(keys)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,19 +225,22 @@ def cover(sample: DataFrame, keys: list[tuple[str, float]], least: int) -> list[
             rows = [sorted(number[k] for k in candidates((t or "").lower()) if k in number) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["held"])
 
-    open_rows = [set(r["held"]) for r in sample.where("toxic = 1").select("text").mapInArrow(held, "held array<int>").collect()]
-    rank = lambda k: (keys[k][0][0] == "=", keys[k][1], keys[k][0])
-    out = []
-    while True:
-        counts = Counter(k for row in open_rows for k in row)
-        if not counts:
-            return out
-        most = max(counts.values())
-        if most < least:
-            return out
-        best = max((k for k, n in counts.items() if n >= 0.98 * most), key=rank)
+    lists = sample.where("toxic = 1").select("text").mapInArrow(held, "held array<int>").toArrow().column(0).combine_chunks()
+    held_keys = lists.flatten().to_numpy().astype(np.int32)
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    row_of = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(starts))
+    by_key = np.argsort(held_keys, kind="stable")
+    bounds = np.searchsorted(held_keys[by_key], np.arange(len(keys) + 1))
+    rank = sorted(range(len(keys)), key=lambda k: (keys[k][0][0] == "=", keys[k][1], keys[k][0]), reverse=True)
+    counts, open_rows, out = np.bincount(held_keys, minlength=len(keys)), np.ones(len(lists), bool), []
+    while (most := counts.max()) >= least:
+        best = rank[int(np.argmax(counts[rank] >= 0.98 * most))]
         out.append(keys[best][0])
-        open_rows = [row for row in open_rows if best not in row]
+        for i in row_of[by_key[bounds[best] : bounds[best + 1]]]:
+            if open_rows[i]:
+                open_rows[i] = False
+                counts[held_keys[starts[i] : starts[i + 1]]] -= 1
+    return out
 
 
 def varied(sample: DataFrame, words: frozenset[str]) -> dict[str, int]:
@@ -283,7 +289,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     p, n = F.col("pos"), F.col("neg")
     sure = F.log((p - 1.5 * F.sqrt(p) + 0.5) / (pos + 1.0)) - F.log((n + 0.5) / (neg + 1.0))
     strong = label_counts(chosen, candidates).where(p >= max(SUPPORT, pos // 100)).withColumn("sure", sure).where(F.col("sure") >= STRENGTH)
-    rows = strong.orderBy(F.col("sure").desc(), "key").limit(TERMS).collect()
+    rows = strong.orderBy(F.col("sure").desc(), "key").collect()
     found_terms = cover(chosen, [(r["key"], r["sure"]) for r in rows], max(SUPPORT // 2, pos // 200))
     stems = [k[1:] for k in found_terms if k[0] == "^"]
     strong_words = {r["key"][1:]: r["pos"] for r in rows if r["key"][0] == "="}

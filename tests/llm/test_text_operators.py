@@ -153,6 +153,16 @@ def test_toxicity_of_a_broad_lexicon(spark):
     assert model.score("a moron here") == model.score("a calm here") < 0.1
 
 
+def test_toxicity_beside_copies(spark):
+    """A long toxic text in many copies, whose rare words are many and strong, and other toxic texts with words of their own."""
+    long = " ".join(f"{a}{b}{c}{d}" for a in ("brelo", "cundi", "dravo", "fimps", "gortu", "hulka", "jarvo", "klepi") for b in ("stan", "meri", "voku", "tald", "ripo", "zenk", "wolb", "quar") for c in ("ed", "um", "ost", "ine", "arg", "ily", "ops", "eth", "unk") for d in ("a", "o", "ip", "us"))
+    words = ("zwarkle", "plonth", "fnorpel", "quesk")
+    rows = [(i, long, 1) for i in range(300)] + [(i, f"the {words[i % 4]} of plain words number{i} here", 1) for i in range(300, 420)] + [(i, f"the calm of plain words number{i} here", 0) for i in range(420, 1000)]
+    model = toxicity.learn(spark.createDataFrame(rows, "id bigint, text string, toxic int"))
+    assert all(model.score(f"a {w} here") > 0.9 for w in words) and model.score(long) > 0.9 and model.score("a calm here") < 0.3
+    assert len(model.terms) < 20
+
+
 def test_toxicity_query(spark):
     sf = "/root/testdata/sf0.01"
     got = toxicity.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left")
