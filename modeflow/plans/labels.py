@@ -343,7 +343,7 @@ def router(spark, sf):
 
 
 def training_rows(spark, sf) -> DataFrame:
-    """Windows with silver labels and a few features; small forests are enough to exercise the stages."""
+    """Windows with silver labels and a few features."""
     return silver(spark, sf).where("silver_label is not null and B_speed_mean is not null")
 
 
@@ -353,13 +353,13 @@ def hier_rf(spark, sf):
     rows = cut(training_rows(spark, sf).select(*KEYS, *cols, "silver_label"))
     classes = ["Still", "Walk", "Bus", "Car", "Train"]
     train = splits.temporal(rows)
-    model = models.Hierarchical(cols, classes).fit(train.where("split = 'train'"), "silver_label", numTrees=20, maxDepth=8)
+    model = models.Hierarchical(cols, classes).fit(train.where("split = 'train'"), "silver_label")
     return model.predict(train.where("split = 'test'")).select(*KEYS, "silver_label", "predicted", "max_prob")
 
 
 @query()
 def bootstrap_ci(spark, sf):
-    f = metrics.bootstrap_f1(pairs(spark, sf), "l_orderkey", "t", "p", 50)
+    f = metrics.bootstrap_f1(pairs(spark, sf), "l_orderkey", "t", "p", 3000)
     return f.agg(F.percentile("macro_f1", F.lit(0.025)).alias("low"), F.avg("macro_f1").alias("mean"), F.percentile("macro_f1", F.lit(0.975)).alias("high"))
 
 

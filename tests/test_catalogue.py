@@ -45,6 +45,26 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_whole_jobs(spark, sf, monkeypatch):
+    """The whole archive, the replicates of the survey and its forest."""
+    from modeflow.operators import metrics, models
+
+    assert QUERIES["archive_readers"](spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+    seen = []
+    monkeypatch.setattr(metrics, "bootstrap_f1", lambda rows, cluster, true, pred, replicates=200, seed=7: seen.append(replicates) or spark.createDataFrame([(1, 0.5)], "replicate int, macro_f1 double"))
+    QUERIES["bootstrap_ci"](spark, sf)
+    assert seen == [3000]
+
+    def fit(self, rows, label, **options):
+        seen.append(models.FOREST | options)
+        raise InterruptedError
+
+    monkeypatch.setattr(models.Hierarchical, "fit", fit)
+    with pytest.raises(InterruptedError):
+        QUERIES["hier_rf"](spark, sf)
+    assert (seen[1]["numTrees"], seen[1]["maxDepth"]) == (400, 30)
+
+
 def test_entry(spark):
     import __spark_entry__
 
