@@ -30,9 +30,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 BASE = ("assign", "access", "hex")
 # Weak parts: who (an identifier of an account), what (an opaque token), where (an endpoint).
-_WHO = re.compile(r"""\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\b(?:user(?:name|id)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,64})""", re.IGNORECASE | re.ASCII)
-_WHAT = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])")
-_WHERE = re.compile(r"""\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,200}|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?\b""", re.ASCII)
+_WHO = re.compile(r"""\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\b(?:user(?:name|id)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,}+)""", re.IGNORECASE | re.ASCII)
+_WHAT = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
+_WHERE = re.compile(r"""\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}+|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?\b""", re.ASCII)
 KINDS = (*BASE, "who", "what", "where")
 _RANK = {k: i for i, k in enumerate(KINDS)}
 

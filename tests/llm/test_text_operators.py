@@ -195,6 +195,15 @@ def test_base_spans(parts):
     assert secrets.base_spans("".join(parts)) == plain_base("".join(parts))
 
 
+def test_long_weak_parts():
+    """Tokens, identifiers and endpoints of any length are whole parts."""
+    token = "Zx81kQp0Lm29Rt47Vb53Nw" * 20
+    spans = lambda t: [(t[s:e], k) for s, e, k in sorted(secrets.linked_spans(t, secrets.base_spans(t)))]
+    who, where = "user=" + "adm1n" * 20, "https://db.example.com/" + "path/" * 60
+    assert spans(f"{who} {token}") == [(who, "who"), (token, "what")]
+    assert (where, "where") in spans(f"{token} at {where}")
+
+
 def test_links_need_complements(spark, odd_docs, no_docs):
     key, token = "AKIA" + "A1" * 10, "Zx81kQp0Lm29Rt47Vb53Nw"
     kinds = lambda t: [k for *_, k in secrets.linked_spans(t, secrets.base_spans(t))]
