@@ -255,14 +255,14 @@ def imu_full(spark, sf):
 def imu_spectrum(spark, sf):
     from ..operators.spectral import features
 
-    return features(T.samples(spark, sf), ["userId"], columns=[f"A_acc_mag_{p}" for p in ("dom_freq", "spec_entropy", "psd_0_2", "psd_2_4", "psd_4_8", "psd_8_20")])
+    return features(View(spark, sf).assigned(T.samples(spark, sf)), KEYS, columns=[f"A_acc_mag_{p}" for p in ("dom_freq", "spec_entropy", "psd_0_2", "psd_2_4", "psd_4_8", "psd_8_20")])
 
 
 @query()
 def imu_gravity(spark, sf):
     from ..operators.spectral import features
 
-    return features(T.samples(spark, sf), ["userId"], columns=[f"A_grav_{a}_{s}" for a in ("x", "y", "z", "mag") for s in ("mean", "std")])
+    return features(View(spark, sf).assigned(T.samples(spark, sf)), KEYS, columns=[f"A_grav_{a}_{s}" for a in ("x", "y", "z", "mag") for s in ("mean", "std")])
 
 
 def labelled(spark, sf) -> DataFrame:

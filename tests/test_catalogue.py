@@ -65,6 +65,17 @@ def test_whole_jobs(spark, sf, monkeypatch):
     assert (seen[1]["numTrees"], seen[1]["maxDepth"]) == (400, 30)
 
 
+@pytest.mark.parametrize("name", ["imu_spectrum", "imu_gravity"])
+def test_spectra_are_of_windows(spark, sf, name):
+    """One row of each window that holds samples, so no group is longer than a window."""
+    from modeflow.plans import trajectory
+    from modeflow.plans.timeline import KEYS, View
+
+    windows = View(spark, sf).assigned(trajectory.samples(spark, sf)).select(*KEYS).distinct()
+    got = QUERIES[name](spark, sf)
+    assert sorted(map(tuple, got.select(*KEYS).collect())) == sorted(map(tuple, windows.collect())) != []
+
+
 def test_entry(spark):
     import __spark_entry__
 
