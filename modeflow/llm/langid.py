@@ -81,6 +81,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_
     """
     langs, shares, models = model
     path = path or L.default_path()
+    shared = df.sparkSession.sparkContext.broadcast(models)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, _ = L.load(path)
@@ -91,7 +92,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_
                 names, scores = np.array([UNKNOWN] * n, object), np.zeros(n)
                 if langs:
                     low, starts, ends, which, owner = distinct_words(data, offs)
-                    each = L.marginals(vocabulary, models, low, starts, ends)
+                    each = L.marginals(vocabulary, shared.value, low, starts, ends)
                     sums = np.stack([np.bincount(owner, each[k][which], n) for k in range(len(langs))]) + prior[:, None]
                     best = sums.argmax(axis=0)
                     lettered = np.zeros(n, bool)

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import re
@@ -241,6 +242,44 @@ def segmentations(word, known):
                 yield [word[:n], *rest]
 
 
+def plain_forward(v, word, logs):
+    """The forward recursion over all earlier positions, term by term."""
+    alpha = [0.0]
+    for e in range(1, len(word) + 1):
+        alpha.append(np.logaddexp.reduce([alpha[i] + logs[v.ids[word[i:e]]] for i in range(e) if word[i:e] in v.ids]))
+    return alpha[-1]
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_lattice_of_any_length_and_floor(copies):
+    """Words of 1 to 200 bytes, few or many of a length, under models with tiny floors; pieces of any length count."""
+    v, own = lattice.load(lattice.default_path())
+    assert v.longest > 10 and sum(len(p) > 10 for p in v.pieces) > 500 and all(p == p.lower() for p in v.pieces if len(p) > 1)
+    rng = np.random.default_rng(copies)
+    floored = np.maximum(rng.dirichlet(np.full(v.n, 0.001)), 1e-12)
+    models = np.stack([own, floored / floored.sum() * 0.75])
+    lengths = np.repeat([1, 2, 7, 44, 47, 48, 49, 120, 200], copies)
+    words = [bytes(rng.choice(np.frombuffer("abetionschüÉqzxj".encode(), np.uint8), n)) for n in lengths] + [b"qzxj" * 11, b"responsibilities"]
+    ends = np.cumsum([len(w) for w in words])
+    starts, data = ends - [len(w) for w in words], np.frombuffer(b"".join(words), np.uint8)
+    got = lattice.marginals(v, models, data, starts, ends)
+    for m, p in enumerate(models):
+        c = math.log((1 - p.sum()) / p.sum())
+        for k in [*range(0, len(lengths), copies), len(words) - 2, len(words) - 1]:
+            assert got[m, k] == pytest.approx(plain_forward(v, words[k], np.log(p)) + c, rel=1e-9)
+    together = lattice.expected_counts(v, own, data, starts, ends, np.ones(len(words)))
+    alone = sum(lattice.uses(v, np.log(own), np.frombuffer(w, np.uint8)) for w in words)
+    assert np.allclose(together, alone) and together @ np.array([len(p) for p in v.pieces]) == pytest.approx(ends[-1])
+
+
+def test_long_words_in_blocks(tiny, monkeypatch):
+    v, p = tiny
+    word = np.frombuffer(b"abbaabab" * 30, np.uint8)
+    whole, used = lattice.forward(v, word, np.log(p)), lattice.uses(v, np.log(p), word)
+    monkeypatch.setattr(lattice, "BLOCK", 7)
+    assert np.allclose(lattice.forward(v, word, np.log(p)), whole) and np.allclose(lattice.uses(v, np.log(p), word), used)
+
+
 def test_lattice_sums_all_segmentations(tiny):
     v, p = tiny
     words = [b"a", b"abab", b"abba", b"babab", b"cab", b"ab" * 40]
@@ -250,7 +289,7 @@ def test_lattice_sums_all_segmentations(tiny):
     for w, x in zip(words[:-1], got, strict=False):
         want = sum(math.prod(p[v.ids[s]] for s in seg) for seg in segmentations(w, v.ids)) * 0.3 / 0.7
         assert x == pytest.approx(math.log(want))
-    assert got[-1] == pytest.approx(lattice.long_word(v, words[-1], np.log(p)[None])[0] + math.log(0.3 / 0.7))
+    assert got[-1] == pytest.approx(plain_forward(v, words[-1], np.log(p)) + math.log(0.3 / 0.7))
     counts = lattice.expected_counts(v, p, data, starts[:2], ends[:2], np.array([2.0, 1.0]))
     segs = [(math.prod(p[v.ids[s]] for s in seg), seg) for seg in segmentations(b"abab", v.ids)]
     want = Counter({b"a": 2.0})
@@ -272,11 +311,22 @@ def test_lm_scores(spark, sf, odd_docs, no_docs):
     for r in got:
         tokens = [*split(docs[r["doc_id"]]), "\n"]
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) and (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(c[w] > 0 for w in tokens), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens)) and -1e6 < r["score"] < 0
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens))
+    pieces, own = lattice.load(lattice.default_path())
+    end, stop = c["\n"] / n, math.log((1 - own.sum()) / own.sum())
+    word_score = functools.lru_cache(None)(lambda w: plain_forward(pieces, w.encode(), np.log(own)) + stop)
+    for r in got[:100]:  # the marginal of the document under the vocabulary's own weights, one end for each document
+        words = split(docs[r["doc_id"]])[:400]
+        if len(words) == r["n_tokens"] - 1:
+            assert r["score"] == pytest.approx(sum(word_score(w) / math.log(10) + math.log10(1 - end) for w in words) + math.log10(end))
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["adapted_score"] for r in held) > 0.85 * sum(r["score"] for r in held)  # adapted to the corpus, better on unseen texts
     for learn in (F.lit(True), F.lit(False), F.col("doc_id") > 7):
         odd = lm.score(odd_docs, learn).collect()
-        assert len(odd) == odd_docs.count() and all(math.isfinite(r["score"]) for r in odd) and {r["n_tokens"] for r in odd if r["id"] < 4} == {1}
+        assert len(odd) == odd_docs.count() and all(math.isfinite(r["score"]) and r["score"] < 0 for r in odd) and {r["n_tokens"] for r in odd if r["id"] < 4} == {1}
     assert lm.score(no_docs, F.lit(True)).count() == 0
+    nulls = spark.createDataFrame([(None, "a b"), ("x", "a"), (None, None)], "doc_id string, text string")  # ids of any type, null ones too
+    assert sorted((r["id"] or "", r["n_tokens"], r["n_known"], r["train_tokens"]) for r in lm.score(nulls, F.lit(True)).collect()) == [("", 1, 1, 6), ("", 3, 3, 6), ("x", 2, 2, 6)]
 
 
 def test_lm_is_a_distribution(spark):
@@ -286,7 +336,7 @@ def test_lm_is_a_distribution(spark):
     probes = spark.createDataFrame([(1000 + i, w) for i, w in enumerate([a + b for a in letters for b in letters])], "doc_id bigint, text string")
     scores = {r["id"]: r["score"] for r in lm.score(train.union(probes).union(spark.createDataFrame([(9999, "")], "doc_id bigint, text string")), F.col("doc_id") < 1000).collect()}
     total = sum(10 ** (scores[i] - scores[9999]) for i in scores if 1000 <= i < 9999)
-    assert 0.3 < total <= 1 - 10 ** scores[9999] + 1e-9
+    assert 0 < total <= 1 - 10 ** scores[9999] + 1e-9
 
 
 def test_languages(spark, odd_docs, no_docs):
