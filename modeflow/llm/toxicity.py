@@ -3,7 +3,7 @@
 Learning (on a bounded sample of labelled documents): words, and word beginnings as stems, that occur in toxic documents far
 more often than in others form the lexicon. The automaton of the whole lexicon is the product of its trie and the Levenshtein
 automata of its terms, determinised as words are read: a state is a set of (trie node, edits used). Then the matches of each
-(term, edits) are counted again by label and give log-odds weights.
+(term, edits) and of each kind of context are counted again by label; the first give log-odds weights, the second factors.
 
 Scoring: each match in a text weighs by its context window. Matches inside quotation marks or next to reporting words count
 less (quotation), those next to words of address count more (abuse). The weights of the distinct terms of a text add up.
@@ -13,25 +13,31 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, table
+from .common import bounded_sample, cut, held_out, table
 
 #: About so many labelled documents are learned from at most.
 SAMPLE, SEED = 40_000, 41
-#: Lengths of stems; support and strength that a term needs; words on either side of a match; weights of contexts.
-STEMS, SUPPORT, STRENGTH, WINDOW = (4, 5, 6), 6, 3.0, 8
-QUOTED, REPORTED, ADDRESSED, MOST = 0.35, 0.3, 1.25, 14.0
+#: Lengths of stems; support and strength that a term needs; words on either side of a match; the most that a text's terms add.
+STEMS, SUPPORT, STRENGTH, WINDOW, MOST = (4, 5, 6), 6, 3.0, 8, 14.0
+#: Factors of the contexts (quoted or not; nothing, a reporting word or a word of address near) before any is learned, and
+#: the number of labelled documents that weighs as much as they do.
+FACTORS = {"plain": 1.0, "reported": 0.3, "addressed": 1.25, "quoted plain": 0.35, "quoted reported": 0.105, "quoted addressed": 0.4375}
+FACTOR_WEIGHT = 50
+#: From this length on a run of letters is data rather than a word: it is matched as it is, outside of the trie.
+DATA_LENGTH = 100
 _TOKEN = re.compile(r"[^\W_]+(?:[@$*!|'][^\W_]+)*")
 _OPEN = {'"': '"', "“": "”", "„": "“", "«": "»", "‹": "›"}
+_QUOTES = re.compile('["“”„«»‹›\n]')
 # Fixed word lists: reporting words and words of address.
 REPORTING = frozenset("said says say wrote writes called calls quoted quote quotes quoting cited cites word term phrase sagte sagt schrieb nannte zitiert wort begriff dit disait écrit appelé cite mot terme dijo dice escribió llamó cita palabra".split())
 ADDRESS = frozenset("you your you're youre u ya du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti tus usted ustedes".split())
@@ -44,7 +50,7 @@ CLEAN_KEPT = 200_000
 
 def allowed(term: str) -> int:
     """Edits within which a term is matched."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 5 or len(term) >= DATA_LENGTH else 1 if len(term) < 9 else 2
 
 
 class Automaton:
@@ -58,7 +64,11 @@ class Automaton:
         self.words: list[list[tuple[int, int]]] = [[]]  # (term, edits allowed) that end at a node
         self.stems: list[int | None] = [None]
         self.most: list[int] = [0]  # edits allowed to any term below a node
+        self.data: dict[str, int] = {}  # terms of DATA_LENGTH and more
         for number, (text, stem, edits) in enumerate(terms):
+            if len(text) >= DATA_LENGTH:
+                self.data[text] = number
+                continue
             node = 0
             path = [0]
             for c in text:
@@ -115,6 +125,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """The best (term, edits) of a word: fewest edits, whole words before stems, then the first term."""
+        if word in self.data:
+            return self.data[word], 0
         state, stem = self.start, None
         for c in word:
             after = self.next[state].get(c)
@@ -157,36 +169,38 @@ def matching(terms: tuple[tuple[str, bool, int], ...], words: list[str]) -> dict
 
 
 def quoted_ranges(text: str) -> list[tuple[int, int]]:
-    """Spans between quotation marks, at most 600 code points each."""
-    out, at = [], 0
-    while m := re.compile('["“„«‹]').search(text, at):
-        end = text.find(_OPEN[m.group()], m.end(), m.end() + 600)
-        if end < 0:
-            at = m.end()
-            continue
-        out.append((m.start(), end))
-        at = end + 1
+    """Spans between quotation marks, in order and disjoint; a quotation ends on the line on which it begins."""
+    out, start, closing = [], -1, ""
+    for m in _QUOTES.finditer(text):
+        if m[0] == "\n":
+            closing = ""
+        elif closing:
+            if m[0] == closing:
+                out.append((start, m.start()))
+                closing = ""
+        elif m[0] in _OPEN:
+            start, closing = m.start(), _OPEN[m[0]]
     return out
 
 
-def contextual(text: str, hits: dict[str, tuple[int, int]]) -> dict[tuple[int, int], float]:
-    """For each (term, edits) matched in a lower-cased text the largest weight of its contexts: 1 plain, less in quotation,
-    more in address."""
+def contexts(text: str, hits: dict[str, tuple[int, int]]) -> dict[tuple[int, int], set[str]]:
+    """For each (term, edits) matched in a lower-cased text the kinds of its contexts (see FACTORS)."""
     tokens = [(m.start(), m.group()) for m in _TOKEN.finditer(text)]
     quotes = quoted_ranges(text)
-    out: dict[tuple[int, int], float] = {}
+    begins = [a for a, _ in quotes]
+    marks = [0, 0]  # places up to which a reporting word and a word of address are near the words before
+    ahead = 0
+    out: dict[tuple[int, int], set[str]] = {}
     for i, (start, word) in enumerate(tokens):
-        if word not in hits:
-            continue
-        near = {w for _, w in tokens[max(0, i - WINDOW) : i + WINDOW + 1]}
-        weight = 1.0
-        if any(a < start < b for a, b in quotes):
-            weight *= QUOTED
-        if not REPORTING.isdisjoint(near):
-            weight *= REPORTED
-        elif not ADDRESS.isdisjoint(near):
-            weight *= ADDRESSED
-        out[hits[word]] = max(out.get(hits[word], 0.0), weight)
+        while ahead < len(tokens) and ahead <= i + WINDOW:
+            for k, known in enumerate((REPORTING, ADDRESS)):
+                if tokens[ahead][1] in known:
+                    marks[k] = ahead + WINDOW + 1
+            ahead += 1
+        if word in hits:
+            k = bisect_right(begins, start) - 1
+            kind = "reported" if marks[0] > i else "addressed" if marks[1] > i else "plain"
+            out.setdefault(hits[word], set()).add(f"quoted {kind}" if k >= 0 and start < quotes[k][1] else kind)
     return out
 
 
@@ -209,38 +223,36 @@ def label_counts(sample: DataFrame, found) -> DataFrame:
 def candidates(text: str) -> set[str]:
     """=word for the words of a text, ^stem for their beginnings."""
     words = set(_TOKEN.findall(text))
-    return {f"={w}" for w in words if len(w) <= 40} | {f"^{w[:n]}" for w in words for n in STEMS if len(w) > n}
+    return {f"={w}" for w in words} | {f"^{w[:n]}" for w in words for n in STEMS if len(w) > n}
+
 
+def cover(sample: DataFrame, strong: DataFrame, least: int) -> list[str]:
+    """The candidate terms that explain the toxic documents of the bounded sample, `least` documents each or more.
 
-def cover(sample: DataFrame, keys: list[tuple[str, float]], least: int) -> list[str]:
-    """The candidate terms that explain the toxic documents of the bounded sample, chosen greedily: each in turn the one that
-    most documents without a chosen term hold, at least `least`. Words that only stand beside others, as in copies of one
-    document, explain nothing new and stay out."""
-    if not keys:
-        return []
-    number = {k: i for i, (k, _) in enumerate(keys)}
+    A greedy cover in rounds: each document without a chosen term votes for the one of its candidates that most such documents
+    hold (about as many: words before stems, then the surer); the candidates with enough votes are chosen. Words that only
+    stand beside others, as in copies of one document, explain nothing new and stay out. strong: (key, sure).
+    """
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sorted(number[k] for k in candidates((t or "").lower()) if k in number) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["held"])
-
-    lists = sample.where("toxic = 1").select("text").mapInArrow(held, "held array<int>").toArrow().column(0).combine_chunks()
-    held_keys = lists.flatten().to_numpy().astype(np.int32)
-    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    row_of = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(starts))
-    by_key = np.argsort(held_keys, kind="stable")
-    bounds = np.searchsorted(held_keys[by_key], np.arange(len(keys) + 1))
-    rank = sorted(range(len(keys)), key=lambda k: (keys[k][0][0] == "=", keys[k][1], keys[k][0]), reverse=True)
-    counts, open_rows, out = np.bincount(held_keys, minlength=len(keys)), np.ones(len(lists), bool), []
-    while (most := counts.max()) >= least:
-        best = rank[int(np.argmax(counts[rank] >= 0.98 * most))]
-        out.append(keys[best][0])
-        for i in row_of[by_key[bounds[best] : bounds[best + 1]]]:
-            if open_rows[i]:
-                open_rows[i] = False
-                counts[held_keys[starts[i] : starts[i + 1]]] -= 1
-    return out
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys = list(candidates((text or "").lower()))
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(keys), pa.int64()), pa.array(keys, pa.string())], ["doc", "key"])
+
+    toxic = sample.where("toxic = 1").select(F.monotonically_increasing_id().alias("doc"), "text")
+    open_ = cut(toxic.mapInArrow(held, "doc bigint, key string").join(strong, "key"))
+    out: list[str] = []
+    while True:
+        n = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        worth = F.struct(F.floor(25 * F.log("n")).alias("about"), F.col("key").startswith("=").alias("word"), "sure", "key")
+        votes = open_.join(n, "key").groupBy("doc").agg(F.max(worth)["key"].alias("key"))
+        chosen = [r["key"] for r in votes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "key").collect()]
+        if not chosen:
+            return out
+        out += chosen
+        met = open_.where(F.col("key").isin(chosen)).select("doc").distinct()
+        open_ = cut(open_.join(met, "doc", "left_anti"))
 
 
 def varied(sample: DataFrame, words: frozenset[str]) -> dict[str, int]:
@@ -261,10 +273,11 @@ def varied(sample: DataFrame, words: frozenset[str]) -> dict[str, int]:
 
 
 class Model:
-    """The lexicon, the weight of each (term, edits), and the log-odds of a text without any match."""
+    """The lexicon, the weight of each (term, edits), the log-odds of a text without any match, and the factors of contexts."""
 
-    def __init__(self, terms: tuple[tuple[str, bool, int], ...], weights: dict[tuple[int, int], float], prior: float, without: float):
+    def __init__(self, terms: tuple[tuple[str, bool, int], ...], weights: dict[tuple[int, int], float], prior: float, without: float, factors: dict[str, float] | None = None):
         self.terms, self.weights, self.prior, self.without = terms, weights, prior, without
+        self.factors = factors or FACTORS
 
     def score(self, text: str) -> float:
         low = text.lower()
@@ -272,14 +285,14 @@ class Model:
         hits = {w: k for w, k in hits.items() if self.weights[k] > 0}
         if not hits:
             return 1 / (1 + math.exp(-self.prior - self.without))
-        total = sum(self.weights[k] * c for k, c in contextual(low, hits).items())
+        total = sum(self.weights[k] * max(self.factors[c] for c in kinds) for k, kinds in contexts(low, hits).items())
         return 1 / (1 + math.exp(-self.prior - min(MOST, total)))
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """labelled: (id, text, toxic 0 or 1), of which a bounded sample is used. Seed terms count only where no term is learned.
 
-    Terms are those of a cover of the toxic documents, and all strong words whose neighbours vary: words that often stand beside
+    Terms may have any length; they are those of a cover of the toxic documents, and all strong words whose neighbours vary: words that often stand beside
     other terms, but not in copies only. Every learned word is matched with the edits that its length allows. A stem is matched
     exactly, but the words below it that are strong themselves are terms beside it, so that their misspellings are met, too.
     """
@@ -288,9 +301,9 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     prior = math.log((pos + 0.5) / (neg + 0.5)) if pos + neg else -3.0
     p, n = F.col("pos"), F.col("neg")
     sure = F.log((p - 1.5 * F.sqrt(p) + 0.5) / (pos + 1.0)) - F.log((n + 0.5) / (neg + 1.0))
-    strong = label_counts(chosen, candidates).where(p >= max(SUPPORT, pos // 100)).withColumn("sure", sure).where(F.col("sure") >= STRENGTH)
+    strong = cut(label_counts(chosen, candidates).where(p >= max(SUPPORT, pos // 100)).withColumn("sure", sure).where(F.col("sure") >= STRENGTH))
     rows = strong.orderBy(F.col("sure").desc(), "key").collect()
-    found_terms = cover(chosen, [(r["key"], r["sure"]) for r in rows], max(SUPPORT // 2, pos // 200))
+    found_terms = cover(chosen, strong.select("key", "sure"), max(SUPPORT // 2, pos // 200)) if rows else []
     stems = [k[1:] for k in found_terms if k[0] == "^"]
     strong_words = {r["key"][1:]: r["pos"] for r in rows if r["key"][0] == "="}
     near = varied(chosen, frozenset(strong_words)) if strong_words else {}
@@ -302,8 +315,9 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(seeds, {(t, e): SEED_WEIGHT / (1 + e) for t, x in enumerate(seeds) for e in range(x[2] + 1)}, min(prior, -2.0), 0.0)
 
     def found(text: str) -> set[str]:
-        hits = set(matching(terms, _TOKEN.findall(text)).values())
-        return {f"{t} {e}" for t, e in hits} or {"none"}
+        met = contexts(text, matching(terms, _TOKEN.findall(text)))
+        kinds = set().union(*met.values())
+        return {f"{t} {e}" for t, e in met} | ({max(kinds, key=FACTORS.get)} if kinds else {"none"})
 
     counts = {r["key"]: (r["pos"], r["neg"]) for r in label_counts(chosen, found).collect()}
     odds = lambda a, b, few: math.log((a + few) / (pos + 2 * few)) - math.log((b + few) / (neg + 2 * few))
@@ -316,7 +330,19 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             a, b = counts.get(f"{t} {e}", (0, 0))
             weight = 0.5 * weights[t, 0] if not a + b else min(weights[t, 0], odds(a, b, 0.5))
             weights[t, e] = weight if weight >= SEED_WEIGHT / 3 and (not b or weight >= STRENGTH) else 0.0
-    return Model(terms, weights, prior, odds(*counts.get("none", (0, 0)), 0.5))
+    return Model(terms, weights, prior, odds(*counts.get("none", (0, 0)), 0.5), learned_factors(counts, odds))
+
+
+def learned_factors(counts: dict[str, tuple[int, int]], odds) -> dict[str, float]:
+    """The factor of each kind of context: the log-odds of the documents whose strongest context it is, by those of plain
+    ones, and the assumed factor as so many documents more."""
+    plain = odds(*counts.get("plain", (0, 0)), 0.5)
+    out = {}
+    for kind, assumed in FACTORS.items():
+        a, b = counts.get(kind, (0, 0))
+        met = odds(a, b, 0.5) / plain if plain >= STRENGTH / 2 else assumed
+        out[kind] = (min(1.5, max(0.1, met)) * (a + b) + assumed * FACTOR_WEIGHT) / (a + b + FACTOR_WEIGHT)
+    return out
 
 
 def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import functools
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -202,21 +203,56 @@ def test_toxicity_beside_copies(spark):
     assert len(model.terms) < 20
 
 
-def test_toxicity_query(spark):
-    sf = "/root/testdata/sf0.01"
-    got = toxicity.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left")
-    assert got.count() == 1000
-    clean = got.where("held_out and toxic = 0")
-    assert clean.where("predicted = 1").count() <= 0.03 * clean.count()
+def test_contexts_are_swept_once():
+    """One MB of quoted hits; a quotation ends with its line; the nearest words on both sides count."""
+    hits = {"idiot": (0, 0)}
+    began = time.time()
+    assert toxicity.contexts('"idiot" ' * 125_000, hits) == {(0, 0): {"quoted plain"}} and time.time() - began < 3
+    assert toxicity.contexts('"an idiot\nidiot"', hits) == {(0, 0): {"plain"}} and toxicity.contexts('a " b idiot c', hits) == {(0, 0): {"plain"}}
+    near, far = "x " * toxicity.WINDOW, "x " * (toxicity.WINDOW + 1)
+    kinds = lambda t: toxicity.contexts(t, hits)[0, 0]
+    assert kinds(f"you {near[2:]}idiot") == kinds(f"idiot {near[2:]}you") == {"addressed"} and kinds(f"you {far[2:]}idiot") == kinds(f"idiot {near}you") == {"plain"}
+    assert kinds(f"“said {near}you idiot”") == {"quoted addressed"} and kinds("he said you idiot") == {"reported"}
+
+
+def test_context_factors_are_learned(spark):
+    """Quoted matches of clean documents lower the factor of quotation, quoted matches of toxic ones raise it."""
+    def learned(toxic_quotes):
+        rows = [(i, f"the {'grumbel' if i % 2 else 'calm'} of plain words number{i}", i % 2) for i in range(400)]
+        rows += [(1000 + i, f'a text {i} with "grumbel" inside', toxic_quotes) for i in range(60 if toxic_quotes else 8)]
+        rows += [(2000 + i, f'a text {i} with "calm" inside', 0) for i in range(60)]
+        return toxicity.learn(spark.createDataFrame(rows, "id bigint, text string, toxic int")).factors["quoted plain"]
+
+    assert learned(0) < toxicity.FACTORS["quoted plain"] < learned(1)
+
+
+def test_terms_of_any_length(spark):
+    """Short words and very long runs are learned; the latter as they are."""
+    blob = "ab1" * 50
+    rows = [(i, f"{('calm', 'zog', 'quiet', blob)[i % 4]} of plain words number{i} here", i % 2) for i in range(400)]
+    model = toxicity.learn(spark.createDataFrame(rows, "id bigint, text string, toxic int"))
+    assert model.score("a zog here") > 0.9 and model.score(f"a {blob} here") > 0.9 and model.score(f"a {blob}x here") < 0.3 and model.score("a calm here") < 0.3
+
+
+@pytest.mark.parametrize(("sf", "recall"), [("sf0.01", 0.6), ("sf0.1", 0.8)])
+def test_toxicity_query(spark, sf, recall):
+    """Held-out recall and false positives; with few labels the rarer word families are not learned."""
+    sf = f"/root/testdata/{sf}"
+    got = toxicity.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left").cache()
+    assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    clean, toxic = (got.where(f"held_out and toxic = {k}") for k in (0, 1))
+    caught, false = toxic.where("predicted = 1").count(), clean.where("predicted = 1").count()
+    assert false <= 0.02 * clean.count() and toxic.count() > 10 and caught >= recall * toxic.count() and caught >= 0.85 * (caught + false)
     assert got.where("predicted <> cast(score >= 0.3 as int)").count() == 0
     seeds = spark.read.parquet(f"{sf}/documents.parquet").where(r"text rlike '\\b(idiot|moron|scum)\\b'")
-    assert got.join(seeds, "doc_id", "left_semi").where("predicted = 0").count() == 0
+    assert got.join(seeds, "doc_id", "left_semi").where("predicted = 0").count() <= (0 if recall < 0.7 else 0.02 * seeds.count())
+    got.unpersist()
 
 
 def test_filter_keeps_columns(spark, odd_docs):
     labels = spark.createDataFrame([(4, 0, 0), (4, 0, 1), (99, 1, None)], "doc_id bigint, quality int, toxic int")
     kept = toxicity.filter_toxic(odd_docs, labels, F.lit(True))
-    assert kept.columns == odd_docs.columns
+    assert kept.columns == odd_docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in odd_docs.collect())  # null and empty texts, too
 
 
 # --- op5 ---------------------------------------------------------------------------------------------------------------
