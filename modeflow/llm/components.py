@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 1000) -> DataFrame:
     """node, component (the smallest node reachable) for every node of links(a, b); isolated nodes do not appear.
 
     Each round is two aggregations and two joins by node. The aggregates are cut off before they are joined, so the joins are
-    plain inner joins of two exchanges, which adaptive execution splits where a node has very many links. Rounds end when a round changes nothing; their number grows with the logarithm of the
-    longest shortest path.
+    plain inner joins of two exchanges, which adaptive execution splits where a node has very many links. Rounds end when one changes nothing; their number grows with the logarithm of the
+    longest shortest path, so `rounds` is out of reach: if it is met all the same, that is an error, and no links are lost.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = cut(edges)
@@ -29,5 +29,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("component"))
     return roots.select(F.col("u").alias("node"), "component").union(roots.select(F.col("component").alias("node"), "component").distinct())

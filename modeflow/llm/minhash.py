@@ -4,27 +4,32 @@ Signatures keep the low bits of each minimum, packed into words. Bands of full m
 pairs are compared by bit counts with the collision-corrected estimate, and only those near the threshold or above link
 candidates. The candidate components then get their whole shingle sets once, and links are confirmed on these.
 
-Scale: documents of equal sets are merged first; a band group or a candidate component of more than CHUNK members is dealt
-out as blocks of two chunks each, so no task holds more than two chunks (those with whole sets are bounded by shingles, too);
-only links that join different parts leave a block.
+Scale: documents of equal sets are merged first. A band group or a candidate component of more than CHUNK members first forms
+stars: all members are compared with one of them, in tasks of bounded size, and most join it. What joins no star is compared
+with all members, in blocks of two chunks each. So a hot group moves its members once for each star and once for each chunk of
+those left over, no task holds more than two chunks (those with whole sets are bounded by shingles, too), and only links that
+join different parts leave a block.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import cut, table
+from .common import cut, stored, table
 from .components import components
 
 #: Minima, bits kept of each, members of a block side and shingles of one (about; a larger document is a side of its own).
-MINIMA, BITS, CHUNK, CHUNK_SHINGLES = 192, 2, 512, 1 << 20
+MINIMA, BITS, CHUNK, CHUNK_SHINGLES = 192, 2, 256, 1 << 19
+#: A further round of stars must have joined at least one in so many members that were left.
+STAR_GAIN = 16
 _rng = np.random.default_rng(20240611)
 _MULTIPLIERS = (_rng.integers(0, 1 << 32, 256, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 _ADDENDS = _rng.integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -93,6 +98,16 @@ class Parts:
             i = up[i]
         return i
 
+    @classmethod
+    def of(cls, ids: np.ndarray, part: np.ndarray) -> Parts:
+        """Rows of equal parts, and rows of one id, together."""
+        parts = cls(len(ids))
+        for values in (part, ids):
+            _, start, which = np.unique(values, return_index=True, return_inverse=True)
+            for i, j in enumerate(start[which]):
+                parts.join(i, int(j))
+        return parts
+
     def roots(self) -> np.ndarray:
         return np.array([self.find(i) for i in range(len(self.up))], np.int64)
 
@@ -105,7 +120,7 @@ class Parts:
 
 
 def signatures(batches: Iterator[pa.RecordBatch], k: int, rows: int, n: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, n_shingles, set digest, packed signature, band keys)."""
+    """(id, text) to (id, n_shingles, SHA-256 of the sorted set, packed signature, band keys)."""
     bands = n // rows
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
@@ -115,11 +130,7 @@ def signatures(batches: Iterator[pa.RecordBatch], k: int, rows: int, n: int) ->
             sets, at = T.shingles(T.word_hashes(low, starts, ends), owner, count, k)
             sizes = np.diff(at)
             some = np.flatnonzero(sizes)
-            digests = np.zeros((count, 2), np.uint64)
-            with np.errstate(over="ignore"):
-                if len(some):
-                    digests[some, 0] = np.add.reduceat(T.mix(sets), at[some])
-                    digests[some, 1] = np.add.reduceat(T.mix(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at[some])
+            digests = [sha256(sets[at[r] : at[r + 1]].tobytes()).digest() for r in range(count)]
             signs = [None] * count
             keys = [None] * count
             if len(some):
@@ -131,9 +142,9 @@ def signatures(batches: Iterator[pa.RecordBatch], k: int, rows: int, n: int) ->
                         h = T.mix(h * np.uint64(0x9E3779B97F4A7C15) + part[:, :, i] + np.uint64(i + 1))
                     h = T.mix(h + np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
                 for r, s, key in zip(some, packed(m), h, strict=True):
-                    signs[r] = s.tobytes()
+                    signs[r] = s.view(np.int64)
                     keys[r] = key
-            yield pa.RecordBatch.from_arrays([ids.slice(first, count), pa.array(sizes, pa.int64()), pa.array([d.tobytes() for d in digests], pa.binary()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n_shingles", "digest", "signature", "keys"])
+            yield pa.RecordBatch.from_arrays([ids.slice(first, count), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["id", "n_shingles", "digest", "signature", "keys"])
 
 
 def runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
@@ -170,17 +181,20 @@ def runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
 
 
 def candidate_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Links of a band group's members whose estimate reaches `least`; a spanning forest of them."""
+    """Links of a block's members whose estimate reaches `least`; a spanning forest of them.
+
+    Pairs are compared where one of the two is `first`; rows of equal `part` are joined before.
+    """
     for group in runs(batches, 2):
-        ids = group.column("id").to_numpy()
-        sign = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-        parts, a, b = Parts(len(ids)), [], []
+        ids, first, part = (group.column(c).to_numpy() for c in ("id", "first", "part"))
+        sign = group.column("signature").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint8)
+        parts, a, b = Parts.of(ids, part), [], []
         roots = parts.roots()
-        for i in range(len(ids) - 1):
-            other, changed = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1, False
+        for i in np.flatnonzero(first):
+            other, changed = np.flatnonzero((roots != roots[i]) & (~first | (np.arange(len(ids)) > i))), False
             if len(other):
                 for j in other[estimates(sign[i], sign[other]) >= least]:
-                    if parts.join(i, int(j)):
+                    if parts.join(int(i), int(j)):
                         a.append(ids[i])
                         b.append(ids[j])
                         changed = True
@@ -190,57 +204,150 @@ def candidate_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def shingle_sets(texts: pa.ChunkedArray, k: int) -> list[np.ndarray]:
+    sets: list[np.ndarray] = []
+    for _, count, data, offs in T.steps(texts):
+        low = T.lowered(data)
+        starts, ends, owner = T.words(data, offs)
+        h, at = T.shingles(T.word_hashes(low, starts, ends), owner, count, k)
+        sets += [h[at[i] : at[i + 1]].copy() for i in range(count)]
+    return sets
+
+
+def alike(one: np.ndarray, two: np.ndarray, numerator: int, denominator: int) -> bool:
+    """Whether two whole sets, sorted, reach the threshold."""
+    small, large = sorted((len(one), len(two)))
+    if denominator * small < numerator * large:
+        return False
+    both = np.concatenate([one, two])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return denominator * common >= numerator * (small + large - common)
+
+
+def star_links(batches: Iterator[pa.RecordBatch], k: int, numerator: int, denominator: int) -> Iterator[pa.RecordBatch]:
+    """(key, centre, id) of the members of a chunk whose whole sets link them with the centre of their star."""
+    for group in runs(batches, 2):
+        ids, centre, key = (group.column(c).to_numpy() for c in ("id", "centre", "key"))
+        sets = shingle_sets(group.column("text"), k)
+        middle = sets[int(np.flatnonzero(ids == centre)[0])]
+        met = [i for i in range(len(ids)) if ids[i] != centre[i] and alike(middle, sets[i], numerator, denominator)]
+        yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array(centre[met]), pa.array(ids[met])], ["key", "centre", "id"])
+
+
 def confirmed_links(batches: Iterator[pa.RecordBatch], k: int, numerator: int, denominator: int, least: float, n: int) -> Iterator[pa.RecordBatch]:
-    """Links of a candidate component's members that hold on their whole sets; a spanning forest of them."""
+    """Links of a block's members that hold on their whole sets; a spanning forest of them.
+
+    Pairs are compared where one of the two is `first`; rows of equal `part` are joined before.
+    """
     for group in runs(batches, 2):
-        ids = group.column("id").to_numpy()
-        sets: list[np.ndarray] = []
-        for _, count, data, offs in T.steps(group.column("text")):
-            low = T.lowered(data)
-            starts, ends, owner = T.words(data, offs)
-            h, at = T.shingles(T.word_hashes(low, starts, ends), owner, count, k)
-            sets += [h[at[i] : at[i + 1]].copy() for i in range(count)]
+        ids, first, part = (group.column(c).to_numpy() for c in ("id", "first", "part"))
+        sets = shingle_sets(group.column("text"), k)
         sizes = np.array([len(s) for s in sets])
         order = np.argsort(sizes, kind="stable")
-        sizes = sizes[order]
+        ids, first, part, sizes = ids[order], first[order], part[order], sizes[order]
         sign = packed(minima(np.concatenate([sets[i] for i in order]), np.concatenate([[0], np.cumsum(sizes)]), n))
-        parts, a, b = Parts(len(ids)), [], []
+        parts, a, b = Parts.of(ids, part), [], []
         roots = parts.roots()
         for i in range(len(ids) - 1):
             top = int(np.searchsorted(sizes * numerator, sizes[i] * denominator, "right"))  # |x| / |y| bounds the similarity
-            other = np.flatnonzero(roots[i + 1 : top] != roots[i]) + i + 1
+            other = np.flatnonzero((roots[i + 1 : top] != roots[i]) & (first[i] | first[i + 1 : top])) + i + 1
             if not len(other):
                 continue
-            near = other[estimates(sign[i], sign[other]) >= least]
-            mine, changed = sets[order[i]], False
-            for j in near:
-                if parts.find(i) == parts.find(int(j)):
-                    continue
-                theirs = sets[order[j]]
-                both = np.concatenate([mine, theirs])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if denominator * common >= numerator * (len(mine) + len(theirs) - common):
+            changed = False
+            for j in other[estimates(sign[i], sign[other]) >= least]:
+                if parts.find(i) != parts.find(int(j)) and alike(sets[order[i]], sets[order[j]], numerator, denominator):
                     parts.join(i, int(j))
                     changed = True
-                    a.append(ids[order[i]])
-                    b.append(ids[order[j]])
+                    a.append(ids[i])
+                    b.append(ids[j])
             if changed:
                 roots = parts.roots()
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def in_blocks(rows: DataFrame, key: str, chunk: int, weight: str | None = None) -> DataFrame:
-    """Adds `side`: 0 for all members of a group of up to `chunk`; members of larger groups go to all blocks of two chunks
-    that theirs is part of, as a row for each block. A column of weights (shingles) bounds the chunks by CHUNK_SHINGLES, too."""
-    heavy = F.sum(weight) / CHUNK_SHINGLES if weight else F.lit(0.0)
-    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.ceil(F.greatest(F.count(F.lit(1)) / chunk, heavy)).cast("int").alias("__chunks")).where("__n > 1").drop("__n")
-    own = F.pmod(F.xxhash64("id"), F.col("__chunks")).cast("int")
-    other = F.when(F.col("__chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("__chunks") - 1))
-    dealt = rows.join(many, key).withColumn("__own", own).withColumn("__other", F.explode(other))
-    pair = F.least("__own", "__other") * F.col("__chunks") + F.greatest("__own", "__other")
-    return dealt.withColumn("side", pair.cast("bigint")).drop("__chunks", "__own", "__other")
+def chunk_of(chunks: str) -> Column:
+    return F.pmod(F.xxhash64("id"), F.col(chunks)).cast("bigint")
+
+
+def in_blocks(rows: DataFrame, chunk: int, heavy: Column | None = None) -> DataFrame:
+    """Rows (key, id, part or null, ...) dealt to blocks: adds `first` and `side`, a row for each block that it is part of.
+
+    A row without a part, or outside of the largest part of its key, is left over. Those left over are cut into chunks, and so
+    are all rows of the key; each block holds a chunk of both. Keys with nothing left over have no blocks. heavy: what a row
+    adds to the number of chunks beside its own.
+    """
+    weigh = F.count(F.lit(1)) / chunk if heavy is None else F.greatest(F.count(F.lit(1)) / chunk, F.sum(heavy))
+    part = F.coalesce("part", "id")
+    largest = rows.groupBy("key", part.alias("p")).agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("p", F.struct("n", -F.col("p"))).alias("__largest"), F.count(F.lit(1)).alias("__parts")).where("__parts > 1").drop("__parts")
+    judged = cut(rows.withColumn("part", part).join(largest, "key").withColumn("first", F.col("part") != F.col("__largest")).drop("__largest"))
+    counts = judged.groupBy("key").agg(F.ceil(weigh).cast("int").alias("__all"))
+    counts = counts.join(judged.where("first").groupBy("key").agg(F.ceil(weigh).cast("int").alias("__left")), "key")
+    dealt = judged.join(counts, "key")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    whole = dealt.withColumn("__other", each("__left")).withColumn("side", chunk_of("__all") * F.col("__left") + F.col("__other")).withColumn("first", F.lit(False))
+    left = dealt.where("first").withColumn("__other", each("__all")).withColumn("side", F.col("__other") * F.col("__left") + chunk_of("__left"))
+    return whole.unionByName(left).drop("__all", "__left", "__other")
+
+
+def near_in_sql(one: str, two: str, least: float, minima_: int) -> Column:
+    """Whether the estimate of two packed signatures (2 bits of each minimum, in longs) reaches `least`."""
+    differing = F.transform(F.zip_with(one, two, lambda x, y: x.bitwiseXOR(y)), lambda d: F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555))))
+    equal = 1 - F.aggregate(differing, F.lit(0), lambda total, d: total + d) / F.lit(float(minima_))
+    return (equal - 0.25) / 0.75 >= least
+
+
+def band_links(unique: DataFrame, least: float, minima_: int, chunk: int) -> DataFrame:
+    """Candidate links (a, b) of documents that share a band: a star around the first member of each large group, and all
+    pairs of small groups and of what no star holds."""
+    banded = unique.select("id", "signature", F.explode("keys").alias("key"))
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    sized = cut(banded.join(sizes, "key"))
+    small = sized.where(F.col("__n") <= chunk).select("key", F.lit(0).cast("bigint").alias("side"), F.lit(True).alias("first"), F.col("id").alias("part"), "id", "signature")
+    large = sized.where(F.col("__n") > chunk).drop("__n")
+    centres = cut(large.groupBy("key").agg(F.min_by(F.struct("id", "signature"), "id").alias("__c")))
+    near = F.when(near_in_sql("signature", "__c.signature", least, minima_), F.col("__c.id"))
+    stars = cut(large.join(centres, "key").select("key", "id", "signature", near.alias("part")))
+    blocks = in_blocks(stars, chunk).select("key", "side", "first", "part", "id", "signature")
+    grouped = small.union(blocks).repartition("key", "side").sortWithinPartitions("key", "side", "id")
+    links = grouped.mapInArrow(lambda batches: candidate_links(batches, least), "a bigint, b bigint")
+    return stars.where("part <> id").select(F.col("part").alias("a"), F.col("id").alias("b")).union(links).distinct()
+
+
+def whole_links(docs: DataFrame, candidates: DataFrame, weights: DataFrame, k: int, numerator: int, denominator: int, least: float, minima_: int, chunk: int) -> DataFrame:
+    """Links (a, b) within the candidate components (id, key) that hold on the whole sets; enough of them to connect all that
+    any such links connect."""
+    heavy = F.col("n_shingles") / CHUNK_SHINGLES
+    members = candidates.join(weights, "id")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), F.sum("n_shingles").alias("__w"))
+    large = F.greatest(F.col("__n") / chunk, F.col("__w") / CHUNK_SHINGLES) > 1
+    sized = cut(members.join(sizes, "key").withColumn("__large", large))
+    small = sized.where("not __large").select("id", "key", F.lit(0).cast("bigint").alias("side"), F.lit(True).alias("first"), F.col("id").alias("part"))
+    open_ = sized.where("__large").select("key", "id", "n_shingles")
+    links, blocks, n = None, None, open_.count()
+    if n:
+        held = open_
+        texts = stored(docs.join(open_, "id").select("id", "text"), "near-texts")  # of large components, for all rounds
+        while n:
+            centres = open_.groupBy("key").agg(F.min("id").alias("centre"), F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum(heavy))).cast("int").alias("__chunks"))
+            dealt = open_.join(centres, "key")
+            spread = dealt.where("id = centre").withColumn("side", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__chunks").cast("bigint") - 1))).union(dealt.where("id <> centre").withColumn("side", chunk_of("__chunks")))
+            rows = spread.select("id", "key", "side", "centre").join(texts, "id").repartition("key", "side").sortWithinPartitions("key", "side", "id")
+            met = cut(rows.select("key", "side", "id", "centre", "text").mapInArrow(lambda batches: star_links(batches, k, numerator, denominator), "key bigint, centre bigint, id bigint"))
+            links = met if links is None else links.union(met)
+            gone = met.select("id").union(centres.select("centre"))
+            open_ = cut(open_.join(gone, "id", "left_anti"))
+            before, n = n, open_.count()
+            if (before - n) * STAR_GAIN < before:
+                break
+        parts = links.select("key", "id", F.col("centre").alias("part")).distinct()
+        blocks = in_blocks(held.join(parts, ["key", "id"], "left"), chunk, heavy).select("id", "key", "side", "first", "part")
+        blocks = texts.join(blocks, "id").select("key", "side", "first", "part", "id", "text")
+    rows = docs.join(small, "id").select("key", "side", "first", "part", "id", "text")
+    rows = (rows if blocks is None else rows.union(blocks)).repartition("key", "side").sortWithinPartitions("key", "side", "id")
+    found = rows.mapInArrow(lambda batches: confirmed_links(batches, k, numerator, denominator, least, minima_), "a bigint, b bigint")
+    return found if links is None else found.union(links.select("centre", "id"))
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, numerator: int = 80, denominator: int = 100, minima_: int = MINIMA, chunk: int = CHUNK) -> DataFrame:
@@ -249,27 +356,22 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     Two documents are linked where denominator * intersection >= numerator * union of their sets of k-word shingles (A-Z in
     lower case). With 1 to k-1 words the whole sequence is the one shingle. A null or empty text, or one of white space only,
     has an empty set and is linked with nothing. Rows that repeat an id are compared as documents of their own and share its
-    component. Ids must be integers, not null. Other columns are ignored.
+    component. Ids must be integers; a row with a null id is linked with nothing and has a null component. Other columns are
+    ignored.
     """
     threshold = numerator / denominator
     rows, least = band_rows(threshold, minima_), threshold - margin(threshold, minima_)
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id bigint, n_shingles bigint, digest binary, signature binary, keys array<bigint>"
+    schema = "id bigint, n_shingles bigint, digest binary, signature array<bigint>, keys array<bigint>"
     signed = cut(docs.mapInArrow(lambda batches: signatures(batches, k, rows, minima_), schema))
-    some = signed.where("n_shingles > 0")
+    some = signed.where("n_shingles > 0 and id is not null")
     same = cut(some.groupBy("digest", "n_shingles").agg(F.min("id").alias("representative")))  # cut: the join below can then split a hot set
     representative = cut(some.select("id", "digest", "n_shingles").join(same, ["digest", "n_shingles"]).select("id", "representative"))
     unique = some.groupBy("digest").agg(F.min_by(F.struct("id", "signature", "keys"), "id").alias("r")).select("r.*")
-    banded = unique.select("id", "signature", F.explode("keys").alias("key"))
-    grouped = in_blocks(banded, "key", chunk).select("key", "side", "id", "signature")
-    grouped = grouped.repartition("key", "side").sortWithinPartitions("key", "side", "id")
-    links = grouped.mapInArrow(lambda batches: candidate_links(batches, least), "a bigint, b bigint").distinct()
-    candidates = components(links)
+    candidates = components(band_links(unique, least, minima_, chunk)).select(F.col("node").alias("id"), F.col("component").alias("key"))
     weights = some.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
-    wide = in_blocks(candidates.select(F.col("node").alias("id"), F.col("component").alias("key")).join(weights, "id"), "key", chunk, "n_shingles").drop("n_shingles")
-    texts = docs.join(representative.where("id = representative").select("id").distinct().join(wide, "id"), "id").select("key", "side", "id", "text")
-    texts = texts.repartition("key", "side").sortWithinPartitions("key", "side", "id")
-    held = texts.mapInArrow(lambda batches: confirmed_links(batches, k, numerator, denominator, least, minima_), "a bigint, b bigint")
+    chosen = representative.where("id = representative").select("id").distinct()
+    held = whole_links(docs, candidates.join(chosen, "id", "left_semi"), weights, k, numerator, denominator, least, minima_, chunk)
     found = components(held.union(representative.where("id <> representative").select("id", "representative")))
     sizes = signed.select("id", "n_shingles")
     return sizes.join(found, sizes.id == found.node, "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
@@ -283,4 +385,4 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 def op8_minhash(spark, sf_dir):
     found = near_groups(table(spark, sf_dir, "documents"), k=3, numerator=85)
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

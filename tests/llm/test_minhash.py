@@ -61,6 +61,48 @@ def test_groups_equal_brute_force(near, k, numerator, chunk):
     assert got == want
 
 
+def test_one_large_group_of_different_texts(spark):
+    """5,000 different members of one group, sub-groups of it that are not linked with the rest, and chains between."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**5)}" for _ in range(120)]
+    rows = [edited(rng, base, 0.01) for _ in range(4500)]
+    for _ in range(3):  # sub-groups below the threshold, some of them bridged
+        other = edited(rng, base, 0.05).split()
+        rows += [edited(rng, other, 0.01) for _ in range(150)]
+    for _ in range(50):
+        rows.append(edited(rng, base, 0.04))
+    docs = [(3 * i + 1, t) for i, t in enumerate(rows)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8)
+    got = {r["id"]: r["component_id"] for r in minhash.near_groups(df, k=3, numerator=85).collect()}
+    sets = [shingle_set(t, 3) for _, t in docs]
+    shared = [x for x, n in Counter(x for s in sets for x in s).items() if n > 1]
+    number = {x: i for i, x in enumerate(shared)}
+    has = np.zeros((len(docs), len(shared)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number[x] for x in s if x in number]] = 1
+    sizes, up = np.array([len(s) for s in sets]), list(range(len(docs)))
+
+    def root(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i in range(len(docs)):  # all pairs, by counts of common shingles
+        common = has[:i] @ has[i]
+        for j in np.flatnonzero(100 * common >= 85 * (sizes[i] + sizes[:i] - common)):
+            a, b = root(i), root(int(j))
+            up[max(a, b)] = min(a, b)
+    assert got == {d: docs[root(i)][0] for i, (d, _) in enumerate(docs)} and len(set(got.values())) > 1
+
+
+def test_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(None, text), (None, text), (4, text), (5, text + " x")], "doc_id bigint, text string")
+    assert sorted((r["id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in minhash.near_groups(df).collect()) == [(0, 26, 0), (0, 26, 0), (4, 26, 4), (5, 27, 4)]
+    assert sorted(r["doc_id"] or 0 for r in minhash.near_dedup(df).collect()) == [0, 0, 4]
+
+
 def test_query(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = brute(docs, 3, 85)
