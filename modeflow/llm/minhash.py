@@ -30,6 +30,8 @@ from .components import components
 MINIMA, BITS, CHUNK, CHUNK_SHINGLES = 192, 2, 256, 1 << 19
 #: A further round of stars must have joined at least one in so many members that were left.
 STAR_GAIN = 16
+#: Salts over which a hot group meets what is known about groups; rows of signatures and of texts that one task compares, about.
+SALTS, SIGNED_ROWS, TEXT_ROWS = 32, 20_000, 4000
 _rng = np.random.default_rng(20240611)
 _MULTIPLIERS = (_rng.integers(0, 1 << 32, 256, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 _ADDENDS = _rng.integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -271,6 +273,18 @@ def chunk_of(chunks: str) -> Column:
     return F.pmod(F.xxhash64("id"), F.col(chunks)).cast("bigint")
 
 
+def attached(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows (key, id, ...) with what is known of each key, one row for each; a key with many rows is met in many tasks."""
+    salted = known.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(salted, ["key", "__salt"]).drop("__salt")
+
+
+def dealt_by_block(rows: DataFrame, n: int, a_task: int) -> DataFrame:
+    """n rows (key, side, ...), each block in one task and by id; about `a_task` of them in each."""
+    partitions = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // a_task)
+    return rows.repartition(partitions, "key", "side").sortWithinPartitions("key", "side", "id")
+
+
 def in_blocks(rows: DataFrame, chunk: int, heavy: Column | None = None) -> DataFrame:
     """Rows (key, id, part or null, ...) dealt to blocks: adds `first` and `side`, a row for each block that it is part of.
 
@@ -281,10 +295,10 @@ def in_blocks(rows: DataFrame, chunk: int, heavy: Column | None = None) -> DataF
     weigh = F.count(F.lit(1)) / chunk if heavy is None else F.greatest(F.count(F.lit(1)) / chunk, F.sum(heavy))
     part = F.coalesce("part", "id")
     largest = rows.groupBy("key", part.alias("p")).agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("p", F.struct("n", -F.col("p"))).alias("__largest"), F.count(F.lit(1)).alias("__parts")).where("__parts > 1").drop("__parts")
-    judged = cut(rows.withColumn("part", part).join(largest, "key").withColumn("first", F.col("part") != F.col("__largest")).drop("__largest"))
+    judged = cut(attached(rows.withColumn("part", part), largest).withColumn("first", F.col("part") != F.col("__largest")).drop("__largest"))
     counts = judged.groupBy("key").agg(F.ceil(weigh).cast("int").alias("__all"))
     counts = counts.join(judged.where("first").groupBy("key").agg(F.ceil(weigh).cast("int").alias("__left")), "key")
-    dealt = judged.join(counts, "key")
+    dealt = attached(judged, counts)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     whole = dealt.withColumn("__other", each("__left")).withColumn("side", chunk_of("__all") * F.col("__left") + F.col("__other")).withColumn("first", F.lit(False))
     left = dealt.where("first").withColumn("__other", each("__all")).withColumn("side", F.col("__other") * F.col("__left") + chunk_of("__left"))
@@ -301,16 +315,16 @@ def near_in_sql(one: str, two: str, least: float, minima_: int) -> Column:
 def band_links(unique: DataFrame, least: float, minima_: int, chunk: int) -> DataFrame:
     """Candidate links (a, b) of documents that share a band: a star around the first member of each large group, and all
     pairs of small groups and of what no star holds."""
-    banded = unique.select("id", "signature", F.explode("keys").alias("key"))
+    banded = unique.select("id", F.explode("keys").alias("key"))
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    sized = cut(banded.join(sizes, "key"))
+    sized = cut(banded.join(sizes, "key").join(unique.select("id", "signature"), "id"))
     small = sized.where(F.col("__n") <= chunk).select("key", F.lit(0).cast("bigint").alias("side"), F.lit(True).alias("first"), F.col("id").alias("part"), "id", "signature")
     large = sized.where(F.col("__n") > chunk).drop("__n")
     centres = cut(large.groupBy("key").agg(F.min_by(F.struct("id", "signature"), "id").alias("__c")))
     near = F.when(near_in_sql("signature", "__c.signature", least, minima_), F.col("__c.id"))
-    stars = cut(large.join(centres, "key").select("key", "id", "signature", near.alias("part")))
+    stars = cut(attached(large, centres).select("key", "id", "signature", near.alias("part")))
     blocks = in_blocks(stars, chunk).select("key", "side", "first", "part", "id", "signature")
-    grouped = small.union(blocks).repartition("key", "side").sortWithinPartitions("key", "side", "id")
+    grouped = dealt_by_block(small.union(blocks), sized.count(), SIGNED_ROWS)
     links = grouped.mapInArrow(lambda batches: candidate_links(batches, least), "a bigint, b bigint")
     return stars.where("part <> id").select(F.col("part").alias("a"), F.col("id").alias("b")).union(links).distinct()
 
@@ -331,9 +345,9 @@ def whole_links(docs: DataFrame, candidates: DataFrame, weights: DataFrame, k: i
         texts = stored(docs.join(open_, "id").select("id", "text"), "near-texts")  # of large components, for all rounds
         while n:
             centres = open_.groupBy("key").agg(F.min("id").alias("centre"), F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum(heavy))).cast("int").alias("__chunks"))
-            dealt = open_.join(centres, "key")
+            dealt = attached(open_, centres)
             spread = dealt.where("id = centre").withColumn("side", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__chunks").cast("bigint") - 1))).union(dealt.where("id <> centre").withColumn("side", chunk_of("__chunks")))
-            rows = spread.select("id", "key", "side", "centre").join(texts, "id").repartition("key", "side").sortWithinPartitions("key", "side", "id")
+            rows = dealt_by_block(spread.select("id", "key", "side", "centre").join(texts, "id"), n, TEXT_ROWS)
             met = cut(rows.select("key", "side", "id", "centre", "text").mapInArrow(lambda batches: star_links(batches, k, numerator, denominator), "key bigint, centre bigint, id bigint"))
             links = met if links is None else links.union(met)
             gone = met.select("id").union(centres.select("centre"))
@@ -345,7 +359,7 @@ def whole_links(docs: DataFrame, candidates: DataFrame, weights: DataFrame, k: i
         blocks = in_blocks(held.join(parts, ["key", "id"], "left"), chunk, heavy).select("id", "key", "side", "first", "part")
         blocks = texts.join(blocks, "id").select("key", "side", "first", "part", "id", "text")
     rows = docs.join(small, "id").select("key", "side", "first", "part", "id", "text")
-    rows = (rows if blocks is None else rows.union(blocks)).repartition("key", "side").sortWithinPartitions("key", "side", "id")
+    rows = dealt_by_block(rows if blocks is None else rows.union(blocks), sized.count(), TEXT_ROWS)
     found = rows.mapInArrow(lambda batches: confirmed_links(batches, k, numerator, denominator, least, minima_), "a bigint, b bigint")
     return found if links is None else found.union(links.select("centre", "id"))
 
@@ -367,7 +381,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     some = signed.where("n_shingles > 0 and id is not null")
     same = cut(some.groupBy("digest", "n_shingles").agg(F.min("id").alias("representative")))  # cut: the join below can then split a hot set
     representative = cut(some.select("id", "digest", "n_shingles").join(same, ["digest", "n_shingles"]).select("id", "representative"))
-    unique = some.groupBy("digest").agg(F.min_by(F.struct("id", "signature", "keys"), "id").alias("r")).select("r.*")
+    unique = cut(some.groupBy("digest").agg(F.min_by(F.struct("id", "signature", "keys"), "id").alias("r")).select("r.*"))
     candidates = components(band_links(unique, least, minima_, chunk)).select(F.col("node").alias("id"), F.col("component").alias("key"))
     weights = some.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
     chosen = representative.where("id = representative").select("id").distinct()
