@@ -51,6 +51,16 @@ def opaque(token: str) -> bool:
     return digits >= 3 and upper + lower >= 6 and (min(upper, lower) >= 3 or digits * 4 >= len(token))
 
 
+def furthest(spans: list[tuple[int, int]]) -> tuple[list[int], list[list[tuple[int, int]]]]:
+    """Starts in order, and for each the two different spans so far that end last."""
+    starts, ends, best = [], [], []
+    for span in sorted(spans):
+        best = sorted({*best, span}, key=lambda s: (-s[1], s[0]))[:2]
+        starts.append(span[0])
+        ends.append(best)
+    return starts, ends
+
+
 def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH) -> list[tuple[int, int, str]]:
     """The weak parts that stand with complementary parts in their scope.
 
@@ -71,23 +81,17 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
     if not free:
         return []
     scopes = [m.start() for m in _SCOPE_END.finditer(text)]
-    sides: dict[str, list[tuple[int, int, int]]] = {"who": [], "what": [], "where": []}
+    sides: dict[tuple[str, int], list[tuple[int, int]]] = {}
     for start, end, kind in [*base, *free]:
-        sides[{"access": "who", "assign": "what", "hex": "what"}.get(kind, kind)].append((start, end, bisect_right(scopes, start)))
-    longest = {}
-    for side, spans in sides.items():
-        spans.sort()
-        longest[side] = max((e - s for s, e, _ in spans), default=0)
+        side = {"access": "who", "assign": "what", "hex": "what"}.get(kind, kind)
+        sides.setdefault((side, bisect_right(scopes, start)), []).append((start, end))
+    reaching = {key: furthest(spans) for key, spans in sides.items()}
 
     def near(span: tuple[int, int, str], side: str) -> bool:
-        scope, spans = bisect_right(scopes, span[0]), sides[side]
-        for i in range(bisect_left(spans, (span[0] - reach - longest[side], -1, -1)), len(spans)):
-            s, e, at = spans[i]
-            if s > span[1] + reach:
-                return False
-            if at == scope and e + reach >= span[0] and (s, e) != span[:2]:
-                return True
-        return False
+        """Whether a span of the side other than this one lies in its scope, `reach` away at most."""
+        starts, ends = reaching.get((side, bisect_right(scopes, span[0])), ([], []))
+        k = bisect_right(starts, span[1] + reach)
+        return k > 0 and any(e >= span[0] - reach and (s, e) != span[:2] for s, e in ends[k - 1])
 
     needs = {"who": lambda w: near(w, "what"), "what": lambda w: near(w, "who") or near(w, "where"), "where": lambda w: near(w, "what")}
     return [w for w in free if needs[w[2]](w)]
