@@ -2,7 +2,8 @@
 
 The three bytes of each window are hashed to one of BUCKETS counters. The digest holds a check byte, the code of the length,
 the quartile ratios, and for each bucket in which quartile of all counters it lies (2 bits). Two digests are compared by a
-difference score, the sum of bounded parts; likeness maps it to 0 to 1.
+difference score, the sum of bounded parts; likeness maps it to 0 to 1. A short text fills few buckets; its differences count
+by the most that two such digests can differ.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,8 @@ from .common import table
 BUCKETS = 256
 #: The most that buckets, length and ratios add to the difference; from LIMIT on two digests are not alike at all.
 LENGTH_MOST, RATIO_MOST, LIMIT = 60, 24, 420
-_STEP = 1 << 20
+#: Bytes of text of a range of ids; bytes that one vectorised step takes.
+RANGE_BYTES, _STEP = 32 << 20, 1 << 20
 _SPREAD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _PAIR = np.array([[abs(a - b) * 2 if abs(a - b) < 3 else 8 for b in range(4)] for a in range(4)], np.int64)
 
@@ -40,7 +43,7 @@ def counters(data: bytes) -> np.ndarray:
 
 
 def length_code(n: int) -> int:
-    """The length on a logarithmic scale of 1/16 octaves, 0 to 255 (lengths above 2^63 share the last code)."""
+    """The length on a logarithmic scale of quarter octaves, 0 to 255 (lengths above 2^63 share the last code)."""
     return 0 if n < 1 else min(255, 1 + int(np.floor(4 * np.log2(n))))
 
 
@@ -80,7 +83,12 @@ def difference(one: str, two: str) -> int:
 
 
 def likeness(one: str, two: str) -> float:
-    return max(0.0, 1.0 - difference(one, two) / LIMIT)
+    """1 for equal fingerprints; else 1 less the difference as a share of LIMIT, or of what the buckets of both add where they
+    share none, if that is less (short texts). Without any triplet in either, unequal texts are not alike at all."""
+    if one == two:
+        return 1.0
+    apart = int(sum(_PAIR[parsed(f)[3], 0].sum() for f in (one, two)))
+    return max(0.0, 1.0 - difference(one, two) / max(1, min(LIMIT, apart)))
 
 
 def edited(text: str, following: str) -> str:
@@ -89,51 +97,46 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def beside_next(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, text, part, copy) rows dealt to ranges of ids, so that each range also holds the first row after it (copy 1).
+def ranges(rows: DataFrame) -> tuple[DataFrame, list[tuple[int | None, int, int]], int]:
+    """rows with `part`, the number of their range of ids; for the first id of each range, that id, the range before it and
+    whether the first range of all is meant; and the number of ranges.
 
-    The ranges are quantiles of the ids, as many as there are shuffle partitions; only their limits and first ids reach the
-    driver. The row after the last one is the first of all. Equal ids are ordered by their texts.
+    The ranges are quantiles of the ids, of RANGE_BYTES of text each or as many as there are shuffle partitions; a null id
+    comes first. Only the limits and first ids of the ranges reach the driver.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    limits = rows.select("id").dropna().approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
-    limits = sorted({int(x) for x in limits})
-    where = F.lit(0)
-    if limits:
-        # the number of limits at or below the id, by bisection over nested conditions
-        def bisect(a: int, b: int):
-            if a == b:
-                return F.lit(a)
-            mid = (a + b) // 2
-            return F.when(F.col("id") < limits[mid], bisect(a, mid)).otherwise(bisect(mid + 1, b))
-
-        where = F.coalesce(bisect(0, len(limits)), F.lit(0))
-    dealt = rows.withColumn("part", where.cast("int"))
-    firsts = dealt.groupBy("part").agg(F.min("id").alias("id")).orderBy("part").collect()
-    before = {r["id"]: firsts[i - 1]["part"] for i, r in enumerate(firsts)}
-    wrap = max(n, len(limits) + 1) * 2
-    heads = [(i, p, wrap if k == 0 else 1) for k, (i, p) in enumerate(before.items())]
-    return dealt, heads
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    found = rows.select("id").dropna().approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
+    limits = spark.sparkContext.broadcast(np.array(sorted({int(x) for x in found}), np.int64))
+
+    @F.pandas_udf("int")
+    def part(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(limits.value, ids.fillna(0).astype("int64"), "right")).astype(np.int32))
+
+    dealt = rows.withColumn("part", part("id"))
+    first = F.min(F.struct(F.col("id").isNotNull().alias("has"), "id"))["id"]
+    firsts = rows.select("id").withColumn("part", part("id")).groupBy("part").agg(first.alias("id")).orderBy("part").collect()
+    return dealt, [(r["id"], firsts[k - 1]["part"], 1 + (k == 0)) for k, r in enumerate(firsts)], n
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row its id, n_chars, fingerprint, and those of its edited text and their likenesses.
 
     A null text counts as empty; the last row is followed by the first, a single row by itself. Ids are integers; a null id
-    comes before all others. Rows with equal ids follow one another in the order of their texts.
+    comes before all others. Rows with equal ids follow one another in the order of their texts. Each range of ids goes to a
+    task of its own, together with a copy of the first row after it.
     """
-    dealt, heads = beside_next(df, id_col, text_col)
     spark = df.sparkSession
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    dealt, heads, n = ranges(rows)
     schema = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not heads:
         return spark.createDataFrame([], schema)
     small = spark.createDataFrame(heads, "id bigint, to int, copy int")
-    order = F.struct("text")
-    first = dealt.join(F.broadcast(small), dealt.id.eqNullSafe(small.id)).groupBy(dealt.id, "to", "copy").agg(F.min(order)["text"].alias("text"))
+    first = rows.join(F.broadcast(small), rows.id.eqNullSafe(small.id)).groupBy(rows.id, "to", "copy").agg(F.min("text").alias("text"))
     both = dealt.select("id", "text", "part", F.lit(0).alias("copy")).union(first.select("id", "text", F.col("to").alias("part"), "copy"))
-    placed = both.repartition("part").sortWithinPartitions("part", "copy", "id", "text")
+    placed = both.repartitionById(n, F.col("part")).sortWithinPartitions("part", "copy", F.col("id").asc_nulls_first(), "text")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (id, text, part, fingerprint) still without its next
