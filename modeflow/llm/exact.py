@@ -7,6 +7,11 @@ merged after a comparison of their full content:
 2. salted: those rows meet by (digest, salt); the salt comes from the map task, so a text that fills a third of the table is
    spread over `salts` reducers;
 3. globally: at most `salts` winners of a text meet and give the row that stays.
+
+The verdicts return to the rows by digests (SHA-256, length and another hash). The winners hold every text there is, compared
+in full, so where a set of digests belongs to one winner only, each row with them has that very text; should two texts ever
+share them, the job fails rather than mix them up. Verdicts of the largest groups, 10,000 at most, are broadcast; the others
+meet their rows by digest.
 """
 
 from __future__ import annotations
@@ -15,15 +20,22 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, CalendarIntervalType, DataType, MapType, StructType, VariantType
+
+from .common import cut, table, text_or_empty
 
-from .common import table, text_or_empty
+#: Groups with more than this share of all rows count as hot: so there are 10,000 of them at most.
+HOT_SHARE = 1e-4
 
 
-def winners(df: DataFrame, best: Column, text: Column, salts: int = 16) -> DataFrame:
-    """One row for each distinct text: __sha, __text, __best (the largest `best` of its rows), __size (their number)."""
-    rows = df.select(F.sha2(text.cast("binary"), 256).alias("__sha"), text.alias("__text"), best.alias("__best"), (F.spark_partition_id() % salts).alias("__salt"))
-    salted = rows.groupBy("__sha", "__salt", "__text").agg(F.max("__best").alias("__best"), F.count(F.lit(1)).alias("__size"))
-    return salted.groupBy("__sha", "__text").agg(F.max("__best").alias("__best"), F.sum("__size").alias("__size"))
+def winners(df: DataFrame, best: Column, text: Column, salts: int = 16, order: Column | None = None) -> DataFrame:
+    """One row for each distinct text: __sha, __text, __best (of its rows the largest `best`, or that of the largest `order`),
+    __size (their number)."""
+    columns = [best.alias("__best")] + ([] if order is None else [order.alias("__order")])
+    rows = df.select(F.sha2(text.cast("binary"), 256).alias("__sha"), text.alias("__text"), (F.spark_partition_id() % salts).alias("__salt"), *columns)
+    top = [F.max("__best").alias("__best")] if order is None else [F.max_by("__best", "__order").alias("__best"), F.max("__order").alias("__order")]
+    salted = rows.groupBy("__sha", "__salt", "__text").agg(*top, F.count(F.lit(1)).alias("__size"))
+    return salted.groupBy("__sha", "__text").agg(*top, F.sum("__size").alias("__size"))
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] | None = None, salts: int = 16) -> DataFrame:
@@ -34,17 +46,35 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = text_or_empty(text_col)
     text = normalise(text) if normalise else text
-    best = winners(df, F.col(id_col), text, salts).select("__sha", F.length("__text").alias("__n"), F.xxhash64("__text").alias("__h"), "__best", "__size")
-    rows = df.select(F.col(id_col), F.sha2(text.cast("binary"), 256).alias("__sha"), F.length(text).alias("__n"), F.xxhash64(text).alias("__h"))
-    joined = rows.join(best, ["__sha", "__n", "__h"])
-    return joined.select(id_col, F.col("__best").alias("keep_id"), F.col("__size").alias("group_size"), F.col(id_col).eqNullSafe(F.col("__best")).alias("kept"), F.col("__sha").alias("text_sha256"))
+    digests = ["__sha", "__n", "__h"]
+    best = winners(df, F.col(id_col), text, salts).groupBy("__sha", F.length("__text").alias("__n"), F.xxhash64("__text").alias("__h"))
+    best = best.agg(F.max("__best").alias("__best"), F.max("__size").alias("__size"), F.count(F.lit(1)).alias("__texts"))
+    one = F.when(F.col("__texts") == 1, F.col("__size")).otherwise(F.raise_error(F.lit("two different texts share all their digests")))
+    best = cut(best.select(*digests, "__best", one.alias("__size")))
+    total = best.agg(F.sum("__size")).first()[0] or 0
+    hot = best.where(F.col("__size") > total * HOT_SHARE).select(*digests, F.struct("__best", "__size").alias("__hot"))
+    rows = df.select(F.col(id_col).alias("__id"), F.sha2(text.cast("binary"), 256).alias("__sha"), F.length(text).alias("__n"), F.xxhash64(text).alias("__h"))
+    rows = rows.join(F.broadcast(hot), digests, "left").withColumn("__key", F.when(F.col("__hot").isNull(), F.col("__h")).otherwise(F.xxhash64("__id")))
+    cold = best.where(F.col("__size") <= total * HOT_SHARE).select("__sha", "__n", F.col("__h").alias("__key"), F.struct("__best", "__size").alias("__cold"))
+    joined = rows.join(cold, ["__sha", "__n", "__key"], "left").withColumn("__v", F.coalesce("__hot", "__cold"))
+    return joined.select(F.col("__id").alias(id_col), F.col("__v.__best").alias("keep_id"), F.col("__v.__size").alias("group_size"), F.col("__id").eqNullSafe(F.col("__v.__best")).alias("kept"), F.col("__sha").alias("text_sha256"))
+
+
+def ordered(kind: DataType) -> bool:
+    """Whether values of a type can be compared (maps, variants and intervals of the calendar cannot)."""
+    if isinstance(kind, StructType):
+        return all(ordered(f.dataType) for f in kind.fields)
+    return ordered(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType, CalendarIntervalType))
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows that stay, with all columns of the input: one row for each distinct text (null counts as empty)."""
+    """The rows that stay, with all columns of the input: one row for each distinct text (null counts as empty), that of the
+    largest id. Of rows that repeat an id and a text the one with the largest other columns stays; columns that have no order
+    decide nothing."""
     others = [c for c in df.columns if c not in (id_col, text_col)]
-    best = F.struct(F.col(id_col), F.col(text_col).isNotNull().alias("__has"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(others)])
-    kept = winners(df, best, text_or_empty(text_col), salts)
+    columns = [F.col(id_col), F.col(text_col).isNotNull().alias("__has"), *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(others)]]
+    sortable = [c for c, name in zip(columns, [id_col, text_col, *others], strict=True) if ordered(df.schema[name].dataType)]
+    kept = winners(df, F.struct(*columns), text_or_empty(text_col), salts, None if len(sortable) == len(columns) else F.struct(*sortable))
     named = {c: F.col(f"__best.__c{i}") for i, c in enumerate(others)}
     named |= {id_col: F.col("__best").getField(id_col), text_col: F.when(F.col("__best.__has"), F.col("__text"))}
     return kept.select(*[named[c].alias(c) for c in df.columns])

@@ -34,6 +34,13 @@ def test_exact_of_one_hot_text(spark):
     assert tuple(r) == (6667, 6667, 1, 19_998)
 
 
+def test_exact_of_unordered_columns(spark):
+    """Maps have no order; the largest id still decides."""
+    df = spark.createDataFrame([(1, "a", {"k": 1}, 5), (2, "a", {"k": 2}, 4), (None, "b", None, 1), (None, "b", None, 2)], "doc_id bigint, text string, extra map<string, int>, n int")
+    assert sorted((r["doc_id"] or 0, r["text"], r["extra"], r["n"]) for r in exact.exact_dedup(df).collect()) == [(0, "b", None, 2), (2, "a", {"k": 2}, 4)]
+    assert sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"]) for r in exact.exact_groups(df).collect()) == [(0, 0, 2, True), (0, 0, 2, True), (1, 2, 2, False), (2, 2, 2, True)]
+
+
 def filled(sizes, weights, repeats=3.0):
     """Targets by repeated sharing: the plain form of the closed one."""
     total, out, open_ = float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))

@@ -290,6 +290,34 @@ def test_links_need_complements(spark, odd_docs, no_docs):
     assert len(got) == odd_docs.count() and all(r["spans"] == [] for r in got) and secrets.scan(no_docs).count() == 0
 
 
+def plain_links(text, reach):
+    """Every pair of a weak part and a complementary one, by the definition."""
+    base = secrets.base_spans(text)
+    weak = [(m.start(), m.end(), "what") for m in secrets._WHAT.finditer(text) if secrets.opaque(m.group())]
+    if not base and not weak:
+        return []
+    weak += [(m.start(), m.end(), k) for k, p in (("who", secrets._WHO), ("where", secrets._WHERE)) for m in p.finditer(text)]
+    free = [w for w in weak if not any(b[0] < w[1] and b[1] > w[0] for b in base)]
+    scope = lambda at: len([m for m in re.finditer(r"\n[ \t\r]*\n", text) if m.start() <= at])
+    side = {"access": "who", "assign": "what", "hex": "what"}
+    needs = {"who": {"what"}, "where": {"what"}, "what": {"who", "where"}}
+    return [w for w in free if any(side.get(s[2], s[2]) in needs[w[2]] and scope(s[0]) == scope(w[0]) and s[:2] != w[:2] and s[0] <= w[1] + reach and s[1] + reach >= w[0] for s in [*base, *free])]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["Zx81kQp0Lm29Rt47Vb53Nw ", "user=adm1n ", "user=Zx81kQp0Lm29Rt47Vb53Nw ", "https://db.example.com/x ", "a.b@example.com ", "AKIA" + "A1" * 10 + " ", "10.0.0.1 ", "\n\n", "words of text ", "secret=abcdef12 ", "0a1b2c3d4e5f" * 2 + " "]), max_size=14), st.sampled_from([0, 5, 30, 160]))
+def test_links_equal_brute_force(parts, reach):
+    text = "".join(parts)
+    assert sorted(secrets.linked_spans(text, secrets.base_spans(text), reach)) == sorted(plain_links(text, reach))
+
+
+def test_many_spans_in_time():
+    """One span that covers a scope's start, and very many weak ones after it."""
+    text = "https://a.example.com/" + "x" * 200_000 + " " + "a.b@example.com " * 20_000
+    began = time.time()
+    assert secrets.linked_spans(text, [(0, 3, "assign")]) is not None and time.time() - began < 5
+
+
 def test_secret_query(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in secrets.op5_secrets(spark, sf).collect():
@@ -430,21 +458,63 @@ def test_languages(spark, odd_docs, no_docs):
 
 
 # --- op7 ---------------------------------------------------------------------------------------------------------------
+def plain_digest(text):
+    """The digest by its definition, one triplet and one bucket at a time."""
+    raw = text.encode()
+    counts = [0] * 256
+    for i in range(len(raw) - 2):
+        h = (raw[i] * 0x9E3779B1 + raw[i + 1] * 0x85EBCA77 + raw[i + 2] * 0xC2B2AE3D) % 2**32
+        counts[((h ^ (h >> 15)) * 0x2C1B3C6D % 2**32) >> 24] += 1
+    q1, q2, q3 = (sorted(counts)[k] for k in (63, 127, 191))
+    codes = [(c > q1) + (c > q2) + (c > q3) for c in counts]
+    body = bytes(codes[i] << 6 | codes[i + 1] << 4 | codes[i + 2] << 2 | codes[i + 3] for i in range(0, 256, 4))
+    length = 0 if not raw else min(255, 1 + math.floor(4 * math.log2(len(raw))))
+    ratio = lambda q: q * 16 // q3 % 16 if q3 else 0
+    return (hashlib.blake2b(raw, digest_size=2).digest() + bytes([length, ratio(q1) << 4 | ratio(q2)]) + body).hex()
+
+
+def plain_likeness(one, two):
+    if one == two:
+        return 1.0
+    a, b = bytes.fromhex(one), bytes.fromhex(two)
+    codes = lambda x: [c >> s & 3 for c in x[4:] for s in (6, 4, 2, 0)]
+    cost = lambda x, y: 8 if abs(x - y) == 3 else 2 * abs(x - y)
+    ring = lambda x, y: min(abs(x - y), 16 - abs(x - y))
+    total = 1 + sum(map(cost, codes(a), codes(b))) + min(60, 4 * abs(a[2] - b[2])) + min(24, 2 * (ring(a[3] >> 4, b[3] >> 4) + ring(a[3] & 15, b[3] & 15)))
+    most = sum(cost(x, 0) for x in codes(a)) + sum(cost(x, 0) for x in codes(b))
+    return max(0.0, 1 - total / max(1, min(420, most)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=40), st.text(alphabet="abc de", max_size=2000))
+def test_digest_equals_its_definition(a, b):
+    assert fingerprint.digest(a) == plain_digest(a) and fingerprint.digest(b) == plain_digest(b)
+    assert fingerprint.likeness(plain_digest(a), plain_digest(b)) == pytest.approx(plain_likeness(plain_digest(a), plain_digest(b)))
+
+
+def test_short_texts_are_not_alike():
+    like = lambda a, b: fingerprint.likeness(fingerprint.digest(a), fingerprint.digest(b))
+    assert like("no", "ja") == like("", "zz") == like("cat", "dog") == 0 and like("cat", "cat") == like("", "") == 1
+    assert like("the quick brown fox", "the quick brown fix") > 0.5 > like("the quick brown fox", "völlig anderer Text")
+
+
 def check_prints(rows, docs):
-    docs = sorted((i, t or "") for i, t in docs)
-    got = sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[1], r[2]))
+    docs = sorted(((i, t or "") for i, t in docs), key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
+    got = sorted((tuple(r) for r in rows), key=order)
     want = []
     for k, (i, t) in enumerate(docs):
         nxt = docs[(k + 1) % len(docs)][1]
         new = fingerprint.edited(t, nxt)
         a, b, c = map(fingerprint.digest, (t, new, nxt))
         want.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), a, b, fingerprint.likeness(a, b), fingerprint.likeness(a, c)))
-    assert got == sorted(want, key=lambda r: (r[0], r[1], r[2]))
+    assert got == sorted(want, key=order)
 
 
 def test_fingerprints(spark, sf, odd_docs, no_docs):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for df in (docs, odd_docs, docs.limit(1), docs.limit(2)):
+    nulls = spark.createDataFrame([(1, "one text"), (None, "no id"), (3, "three"), (2, None), (None, "a second one")], "doc_id bigint, text string")
+    for df in (docs, odd_docs, docs.limit(1), docs.limit(2), nulls, nulls.where("doc_id is null")):
         rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
         check_prints(fingerprint.fingerprints(df).collect(), rows)
     assert fingerprint.fingerprints(no_docs).count() == 0
