@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,24 +21,40 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
+#: Applications that the package was shipped to.
+_shipped: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package even where only the driver has it on its path, and bound their batches."""
+    """Let Python workers import this package even where only the driver has it, and bound the batches that cross to them.
+
+    The bounds stay set in the session, as plans run later than they are made. On a cluster the package is shipped to the
+    executors as an archive, once for each application; workers of a local session read the driver's folder.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        env = context.environment
+        paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+        if ROOT not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    elif context.applicationId not in _shipped:
+        archive = os.path.join(tempfile.mkdtemp(prefix="modeflow-"), "modeflow.zip")  # of code, on the driver, which serves it
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(Path(ROOT, "modeflow").rglob("*.py")):
+                out.write(file, file.relative_to(ROOT))
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named by spark.checkpoint.dir; a temporary one only in a local session where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    held = spark.sparkContext.getCheckpointDir()
-    if held:
-        return held
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="modeflow-")
     spark.sparkContext.setCheckpointDir(own)
     return own
