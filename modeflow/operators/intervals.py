@@ -32,14 +32,23 @@ def overlap_labels(windows: DataFrame, intervals: DataFrame, keys: list[str], wi
 def as_of(frames: DataFrame, intervals: DataFrame, keys: list[str], frame: str = "ts_ms", label: str = "mode", name: str = "label") -> DataFrame:
     """frames with the label of the last interval that started at or before each, if that one still lasts (closed end).
 
-    An earlier interval that still covers the frame is not consulted. One sorted pass over the union of both sides.
+    An earlier interval that still covers the frame is not consulted. Both sides are cut into buckets of time; each bucket
+    starts with the last interval of the buckets before it, and is one sorted pass over the union of its frames and intervals.
+    So a long timeline is spread over many tasks.
     """
-    a = frames.select("*", F.col(frame).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("struct<e:bigint,l:string>").alias("__s"))
-    b = intervals.select(*keys, F.col("started_at").alias("__t"), F.lit(0).alias("__side"), F.col("seq").alias("__seq"), F.struct(F.col("finished_at").alias("e"), F.col(label).alias("l")).alias("__s"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = W.partitionBy(*keys).orderBy("__t", "__side", "__seq").rowsBetween(W.unboundedPreceding, 0)
+    kind = "struct<e:bigint,l:string>"
+    bucket = F.floor(F.col("__t") / BUCKET_MS)
+    a = frames.select("*", F.col(frame).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__s")).withColumn("__b", bucket)
+    b = intervals.select(*keys, F.col("started_at").alias("__t"), F.lit(0).alias("__side"), F.col("seq").alias("__seq"), F.struct(F.col("finished_at").alias("e"), F.col(label).alias("l")).cast(kind).alias("__s")).withColumn("__b", bucket)
+    ends = b.groupBy(*keys, "__b").agg(F.max_by("__s", F.struct("__t", "__seq")).alias("__s"))
+    spots = ends.unionByName(a.select(*keys, "__b").distinct(), allowMissingColumns=True).groupBy(*keys, "__b").agg(F.first("__s", ignorenulls=True).alias("__s"))
+    before = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    carried = spots.withColumn("__s", F.last("__s", ignorenulls=True).over(before)).withColumn("__side", F.lit(-1))
+    both = a.unionByName(b, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    w = W.partitionBy(*keys, "__b").orderBy("__before", "__t", "__side", "__seq").rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("__before", F.col("__side") >= 0)
     last = both.withColumn("__last", F.last("__s", ignorenulls=True).over(w)).where("__side = 1")
-    return last.withColumn(name, F.when(F.col(frame) <= F.col("__last.e"), F.col("__last.l"))).drop("__t", "__side", "__seq", "__s", "__last")
+    return last.withColumn(name, F.when(F.col(frame) <= F.col("__last.e"), F.col("__last.l"))).drop("__t", "__side", "__seq", "__s", "__last", "__b", "__before")
 
 
 def frames(spans: DataFrame, keys: list[str], step_ms: int = 1000, start: str = "t0_ms", end: str = "t1_ms") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.order import cumulated
+
 
 def cells(rows: DataFrame, true: str, pred: str) -> DataFrame:
     return rows.groupBy(F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
@@ -46,11 +48,11 @@ def tvd(rows: DataFrame, a: Column, b: Column) -> DataFrame:
 def gini(rows: DataFrame, value: str, top: int = 5) -> DataFrame:
     """Gini coefficient of non-negative values and the share of the `top` largest.
 
-    The rows are already one for each holder; ranks come from one sort of value counts, so equal values cost one row.
+    The rows are already one for each holder; ranks come from value counts in ranges of values, so equal values cost one row.
     """
     v = rows.groupBy(F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("k"))
-    up = v.withColumn("before", F.coalesce(F.sum("k").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    up = up.withColumn("after", F.sum("k").over(W.partitionBy()) - F.col("before") - F.col("k"))
+    up = cumulated(v, ["x"], ["k"]).withColumnRenamed("before_k", "before").join(F.broadcast(v.agg(F.sum("k").alias("__all"))))
+    up = up.withColumn("after", F.col("__all") - F.col("before") - F.col("k"))
     ranks = F.col("k") * F.col("before") + F.col("k") * (F.col("k") + 1) / 2
     largest = F.greatest(F.lit(0), F.least(F.col("k"), F.lit(top) - F.col("after")))
     s = up.agg(F.sum("k").alias("n"), F.sum(F.col("x") * F.col("k")).alias("sx"), F.sum(F.col("x") * ranks).alias("rx"), F.sum(F.col("x") * largest).alias("tx"))
@@ -60,15 +62,15 @@ def gini(rows: DataFrame, value: str, top: int = 5) -> DataFrame:
 def ks(rows: DataFrame, value: str, second: Column) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance; `second` tells the samples apart."""
     v = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count_if(~second).alias("a"), F.count_if(second).alias("b"))
-    w, whole = W.orderBy("x"), W.partitionBy()
-    d = F.abs(F.sum("a").over(w) / F.sum("a").over(whole) - F.sum("b").over(w) / F.sum("b").over(whole))
-    return v.withColumn("d", d).agg(F.max("d").alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    up = cumulated(v, ["x"], ["a", "b"]).join(F.broadcast(v.agg(F.sum("a").alias("__a"), F.sum("b").alias("__b"))))
+    d = F.abs((F.col("before_a") + F.col("a")) / F.col("__a") - (F.col("before_b") + F.col("b")) / F.col("__b"))
+    return up.withColumn("d", d).agg(F.max("d").alias("ks"), F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
 
 
 def average_rank(rows: DataFrame, value: str, name: str) -> DataFrame:
     """Adds ranks from 1, ties by their mean. Ranks come from value counts, joined back: equal values cost one row to sort."""
     v = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__x")).agg(F.count(F.lit(1)).alias("__k"))
-    v = v.withColumn("__c", F.sum("__k").over(W.orderBy("__x"))).select("__x", (F.col("__c") - (F.col("__k") - 1) / 2).alias(name))
+    v = cumulated(v, ["__x"], ["__k"]).select("__x", (F.col("before___k") + (F.col("__k") + 1) / 2).alias(name))
     return rows.join(v, F.col(value) == F.col("__x")).drop("__x")
 
 
@@ -84,7 +86,7 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
 def mutual_information(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Mutual information (nats) of two discrete columns from their counts."""
     c = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    c = c.withColumn("nx", F.sum("n").over(W.partitionBy("x"))).withColumn("ny", F.sum("n").over(W.partitionBy("y"))).withColumn("total", F.sum("n").over(W.partitionBy()))
+    c = c.withColumn("nx", F.sum("n").over(W.partitionBy("x"))).withColumn("ny", F.sum("n").over(W.partitionBy("y"))).join(F.broadcast(c.agg(F.sum("n").alias("total"))))
     return c.agg(F.sum(F.col("n") / F.col("total") * F.ln(F.col("n") * F.col("total") / F.col("nx") / F.col("ny"))).alias("mi"))
 
 

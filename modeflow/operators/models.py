@@ -13,6 +13,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.order import cumulated
+from ..session import cut
+
 STILL = "Still"
 SPECIALISTS = {"S1": ("Car", "Bus"), "S2": ("Train", "Subway")}
 FOREST = {"numTrees": 400, "maxDepth": 30, "minInstancesPerNode": 5, "seed": 42}
@@ -161,13 +164,12 @@ def cross_validate(windows: DataFrame, model, label: str, folds: list[tuple[str,
 
 def permuted(df: DataFrame, column: str, seed: int = 42) -> DataFrame:
     """df with one column's values dealt to other rows at random: each row takes that of the row at its place in a hashed
-    order. Places are found by sorting once each way, without a single-task window."""
-    spark = df.sparkSession
-    rows = df.withColumn("__id", F.monotonically_increasing_id())
-    a = rows.select("__id").rdd.map(lambda r: r[0]).zipWithIndex().toDF("__id bigint, __at bigint")
-    b = rows.select(F.col(column).alias("__v"), F.xxhash64("__id", F.lit(seed)).alias("__h")).orderBy("__h").select("__v")
-    b = spark.createDataFrame(b.rdd.map(lambda r: r[0]).zipWithIndex(), f"__v {df.schema[column].dataType.simpleString()}, __at bigint")
-    return rows.join(a, "__id").join(b, "__at").withColumn(column, F.col("__v")).drop("__id", "__at", "__v")
+    order. Places are found in ranges of both orders, without a single-task window."""
+    rows = cut(df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__one", F.lit(1).cast("bigint")))
+    a = cumulated(rows.select("__id", "__one"), ["__id"], ["__one"]).select("__id", F.col("before___one").alias("__at"))
+    dealt = rows.select("__id", "__one", F.col(column).alias("__v"), F.xxhash64("__id", F.lit(seed)).alias("__h"))
+    b = cumulated(dealt, ["__h", "__id"], ["__one"]).select("__v", F.col("before___one").alias("__at"))
+    return rows.drop("__one").join(a, "__id").join(b, "__at").withColumn(column, F.col("__v")).select(*df.columns)
 
 
 def save(model: Hierarchical, spark: SparkSession, root: str, name: str, **meta) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.order import drawn
 from ..functions.stats import pct
 from ..schemas import SOURCES
 
@@ -77,8 +78,8 @@ def binned(x: Column, edges: list[float], names: list[str]) -> Column:
 
 
 def mask_positions(windows: DataFrame, share: float, seed: int, keys: list[str]) -> DataFrame:
-    """Null the B and C columns of a share of the windows with positioning, chosen by a hash of their keys."""
-    chosen = (F.col("gps_frac") > 0) & (F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    """Null the B and C columns of a share of the windows with positioning, chosen by a seeded draw for their keys."""
+    chosen = (F.col("gps_frac") > 0) & (drawn(*keys, seed=seed) < share)
     columns = [c for c in windows.columns if c[:2] in ("B_", "C_")]
     return windows.withColumns({c: F.when(chosen, None).otherwise(F.col(c)) for c in columns})
 

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+# Kinds of modes.
 MOTORIZED, ISOLATED, RIDES = ("Car", "Bus", "Train", "Subway"), ("Walk", "Run", "Bike"), ("Bus", "Train", "Subway")
-#: Shortest runs in minutes; pairs of modes that cannot follow one another.
+#: Shortest runs in minutes; pairs of modes that cannot follow one another.
 MIN_MINUTES = {"Train": 10.0, "Bus": 8.0, "Bike": 4.0, "Car": 2.0, "Walk": 2.0, "Still": 0.0}
 IMPOSSIBLE = (frozenset(("Train", "Car")), frozenset(("Train", "Bus")), frozenset(("Train", "Bike")))
 

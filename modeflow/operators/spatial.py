@@ -24,22 +24,35 @@ LAYERS = {
 BROADCAST_PLACES = 2_000_000
 
 
-def cell(lat: Column, lon: Column, size_m: float, at_lat: float = 46.0) -> tuple[Column, Column]:
+def cell(lat: Column, lon: Column, size_m: float, at_lat: float) -> tuple[Column, Column]:
     """Row and column of a grid of about size_m, by a fixed latitude."""
     return F.floor(lat * DEGREE_M / size_m), F.floor(lon * DEGREE_M * math.cos(math.radians(at_lat)) / size_m)
 
 
-def near_pairs(points: DataFrame, places: DataFrame, within_m: float, at_lat: float = 46.0) -> DataFrame:
+def columns_of(row: Column, size_m: float) -> Column:
+    """How many columns a row of a grid has around the globe: each at least size_m wide, in this row and the next ones."""
+    edge = (F.greatest(F.abs(row), F.abs(row + 1)) + 1) * (size_m / DEGREE_M)
+    width = size_m * 1.001 / (DEGREE_M * F.cos(F.radians(F.least(edge, F.lit(89.9)))))
+    return F.when(edge >= 89.9, F.lit(1).cast("bigint")).otherwise(F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(360.0) / width)))
+
+
+def column_in(row: Column, lon: Column, size_m: float) -> Column:
+    n = columns_of(row, size_m)
+    return F.least(n - 1, F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * n))
+
+
+def near_pairs(points: DataFrame, places: DataFrame, within_m: float) -> DataFrame:
     """All pairs of points (latitude, longitude) and places (lat, lon) up to within_m apart, with dist_m.
 
-    A place is looked for in the cells around a point only: an equi-join on cells, never a cross join. at_lat is the highest
-    latitude of the data (cells narrow with latitude; a lower one would miss pairs).
+    A place is looked for in the cells around a point only: an equi-join on cells, never a cross join. Rows of cells have
+    fewer columns the nearer they are to a pole, and columns go on over the date line, so no pair is missed anywhere.
     """
-    row, column = cell(F.col("latitude"), F.col("longitude"), within_m, at_lat)
-    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    p = points.withColumn("__r", F.explode(F.transform(around, lambda d: row + d))).withColumn("__c", F.explode(F.transform(around, lambda d: column + d)))
-    row, column = cell(F.col("lat"), F.col("lon"), within_m, at_lat)
-    q = places.withColumn("__r", row).withColumn("__c", column)
+    around = lambda d: F.array(*[F.lit(x) for x in d])
+    row = F.floor(F.col("latitude") * (DEGREE_M / within_m))
+    p = points.withColumn("__r", F.explode(F.transform(around((-1, 0, 1)), lambda d: row + d)))
+    column = column_in(F.col("__r"), F.col("longitude"), within_m)
+    p = p.withColumn("__c", F.explode(F.array_distinct(F.transform(around((-1, 0, 1)), lambda d: F.pmod(column + d, columns_of(F.col("__r"), within_m))))))
+    q = places.withColumn("__r", F.floor(F.col("lat") * (DEGREE_M / within_m))).withColumn("__c", column_in(F.col("__r"), F.col("lon"), within_m))
     met = p.join(q, ["__r", "__c"]).drop("__r", "__c")
     return met.withColumn("dist_m", haversine(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))).where(F.col("dist_m") <= within_m)
 

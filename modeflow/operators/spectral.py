@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from ..schemas import FEATURES_A
 
+# The bands of the spectrum in Hz, named in the features.
 BANDS = (("psd_0_2", 0, 2), ("psd_2_4", 2, 4), ("psd_4_8", 4, 8), ("psd_8_20", 8, 20))
 
 
@@ -203,22 +204,26 @@ def inertial(acc: np.ndarray, gyr: np.ndarray, fs: float, lin: np.ndarray | None
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Whole groups of rows with equal keys (not null), from batches sorted by them; one group is held at a time."""
-    held = None
+    held: list[pa.Table] = []  # of the open group, joined once it is whole
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
         if not table.num_rows:
             continue
         new = np.zeros(table.num_rows - 1, bool)
         for k in keys:
             column = table.column(k).combine_chunks()
             new |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
+        if held and any(held[-1].column(k)[0] != table.column(k)[0] for k in keys):
+            yield pa.concat_tables(held).combine_chunks()
+            held = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield table.slice(a, b - a)
-        held = table.slice(cuts[-1])
-    if held is not None and held.num_rows:
-        yield held
+            if a:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            held.append(table.slice(a, b - a))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
 
 
 def features(samples: DataFrame, keys: list[str], fs: str | float = 50.0, columns: list[str] | None = None, tie: str = "event_id") -> DataFrame:

@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from ..functions.order import cumulated, drawn
 
 
 def session_starts(windows: DataFrame) -> DataFrame:
     """session_id, start, i (0-based by start, then id) and n: one row for each session."""
     s = windows.groupBy("session_id").agg(F.min("ts_start").alias("start"))
-    return s.withColumn("i", F.row_number().over(W.orderBy("start", "session_id")) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy()))
+    return numbered(s, ["start", "session_id"])
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with i, their place from 0 in a strict order, and n, their number."""
+    one = rows.withColumn("__one", F.lit(1).cast("bigint"))
+    placed = cumulated(one, order, ["__one"]).withColumnRenamed("before___one", "i").drop("__one")
+    return placed.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"))))
 
 
 def leave_one_user_out(windows: DataFrame) -> DataFrame:
     """fold (the user left out), n_train, n_test; counts from one row for each user."""
     n = windows.groupBy(F.col("userId").alias("fold")).agg(F.count(F.lit(1)).alias("n_test"))
-    return n.withColumn("n_train", F.sum("n_test").over(W.partitionBy()) - F.col("n_test"))
+    return n.join(F.broadcast(n.agg(F.sum("n_test").alias("__all")))).select("fold", "n_test", (F.col("__all") - F.col("n_test")).alias("n_train"))
 
 
 def temporal(windows: DataFrame, share: float = 0.2) -> DataFrame:
@@ -62,12 +70,11 @@ def fold_rows(windows: DataFrame, fold: int, folds: int = 5, last: float = 0.5)
 
 def hashed_folds(windows: DataFrame, folds: int = 5, group: str = "session_id", seed: int = 42) -> DataFrame:
     """Adds fold 0..folds-1 by a hash of the group, so that no group is split."""
-    return windows.withColumn("fold", F.pmod(F.xxhash64(group, F.lit(seed)), F.lit(folds)).cast("int"))
+    return windows.withColumn("fold", F.floor(drawn(group, seed=seed) * folds).cast("int"))
 
 
 def random_sessions(windows: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
     """windows with split: a share of the sessions, one at least, chosen by a seeded hash, is test."""
-    s = windows.select("session_id").distinct().withColumn("h", F.xxhash64("session_id", F.lit(seed)))
-    s = s.withColumn("i", F.row_number().over(W.orderBy("h", "session_id"))).withColumn("n", F.count(F.lit(1)).over(W.partitionBy()))
-    test = s.where(F.col("i") <= F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(share)))).select("session_id", F.lit("test").alias("split"))
+    s = numbered(windows.select("session_id").distinct().withColumn("h", drawn("session_id", seed=seed)), ["h", "session_id"])
+    test = s.where(F.col("i") < F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(share)))).select("session_id", F.lit("test").alias("split"))
     return windows.join(test, "session_id", "left").withColumn("split", F.coalesce("split", F.lit("train")))

@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import drawn_sql
 from ..operators import aggregate, intervals, labeling, metrics, models, quality, selection, smoothing, splits, windows
 from ..session import cut
 from . import trajectory as T
@@ -253,14 +254,23 @@ def frame_metrics(spark, sf):
     return rounded(rows.groupBy(F.col("label").alias("class")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == pred).cast("double")).alias("recall")))
 
 
-@query()
+FRAMES = PREDICTED + """, frames AS (SELECT DISTINCT "userId", unnest(range(t0_ms, t1_ms + 1, 10000)) AS ts_ms FROM sessions),
+r AS (SELECT *, row_number() OVER (PARTITION BY "userId", session_id ORDER BY ts_start) - row_number() OVER (PARTITION BY "userId", session_id, predicted ORDER BY ts_start) AS g FROM pred),
+runs AS (SELECT "userId", min(ts_start) AS started_at, max(ts_start) + 60000 AS finished_at, predicted AS mode FROM r GROUP BY "userId", session_id, predicted, g),
+evaluated AS (SELECT CASE WHEN ts_ms <= i.finished_at THEN i.mode END AS t, CASE WHEN ts_ms <= x.finished_at THEN x.mode END AS p FROM frames f
+  LEFT JOIN LATERAL (SELECT * FROM intervals i WHERE i."userId" = f."userId" AND i.started_at <= f.ts_ms ORDER BY i.started_at DESC, i.seq DESC LIMIT 1) i ON TRUE
+  LEFT JOIN LATERAL (SELECT * FROM runs x WHERE x."userId" = f."userId" AND x.started_at <= f.ts_ms ORDER BY x.started_at DESC LIMIT 1) x ON TRUE),
+pairs AS (SELECT * FROM evaluated WHERE t IS NOT NULL AND p IS NOT NULL)"""
+
+
+@query(FRAMES + CLASSES[len(PAIRS) :] + """ SELECT class, support, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1 FROM f""")
 def frame_evaluation(spark, sf):
     """Frames of all sessions with the reference mode and the run of predicted windows that holds each."""
     runs = smoothing.run_lengths(predictions(spark, sf), ["userId", "session_id"])
     seg = runs.select("userId", F.col("run_start").alias("started_at"), (F.col("run_end") + T.STEP_MS).alias("finished_at"), F.col("predicted").alias("mode"), F.col("run").alias("seq"))
     f = intervals.as_of(timeline(spark, sf), T.intervals(spark, sf), ["userId"], name="gt")
     both = intervals.as_of(f, seg, ["userId"], name="pred").where("gt is not null and pred is not null")
-    return metrics.by_class(both, "gt", "pred")
+    return rounded(metrics.by_class(both, "gt", "pred"))
 
 
 SESSION_STARTS = LABELLED + """, starts AS (SELECT session_id, min(ts_start) AS start, count(*) AS w FROM labelled GROUP BY ALL), numbered AS (SELECT *, row_number() OVER (ORDER BY start, session_id) - 1 AS i, count(*) OVER () AS n FROM starts)"""
@@ -283,7 +293,8 @@ def split_temporal(spark, sf):
     return splits.temporal(labelled(spark, sf)).groupBy("split").agg(F.count_distinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("windows"))
 
 
-@query()
+@query(SESSION_STARTS + f""", drawn AS (SELECT w, row_number() OVER (ORDER BY {drawn_sql('session_id', seed=42)}, session_id) - 1 AS i, count(*) OVER () AS n FROM starts)
+SELECT CASE WHEN i < greatest(1, CAST(floor(n * 0.2::DOUBLE) AS BIGINT)) THEN 'test' ELSE 'train' END AS split, count(*) AS sessions, CAST(sum(w) AS BIGINT) AS windows FROM drawn GROUP BY ALL""")
 def split_random(spark, sf):
     return splits.random_sessions(labelled(spark, sf)).groupBy("split").agg(F.count_distinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("windows"))
 
@@ -315,22 +326,32 @@ def spearman_matrix(spark, sf):
     return rounded(selection.spearman_pairs(correlated(spark, sf), CORRELATED))
 
 
-@query("SELECT 'x2' AS feature, 'x1' AS representative")
+@query(
+    CORRELATED_SQL.replace("WITH t AS", "WITH RECURSIVE t AS") + ", rho AS (" + " UNION ALL ".join(_rho(a, b) for i, a in enumerate(CORRELATED) for b in CORRELATED[i + 1 :]) + """),
+linked AS (SELECT a, b FROM rho WHERE abs(rho) >= 0.95 UNION SELECT b, a FROM rho WHERE abs(rho) >= 0.95),
+reached AS (SELECT a, b FROM linked UNION SELECT r.a, l.b FROM reached r JOIN linked l ON l.a = r.b),
+nulls AS (SELECT unnest(['x1', 'x2', 'x3', 'x4']) AS c, unnest([count(*) - count(x1), count(*) - count(x2), count(*) - count(x3), count(*) - count(x4)]) AS n FROM t)
+SELECT a AS feature, arg_min(b, (n, length(b), b)) AS representative FROM reached JOIN nulls ON c = b GROUP BY a HAVING representative <> a"""
+)
 def redundancy_clusters(spark, sf):
     return selection.redundancy(correlated(spark, sf), CORRELATED, 0.95)
 
 
-@query("""SELECT round(quantile_cont(l_discount, 0.5), 4) AS l_discount, round(quantile_cont(l_tax, 0.5), 4) AS l_tax, round(quantile_cont(CASE WHEN l_linenumber > 2 THEN l_quantity END, 0.5), 4) AS q FROM lineitem""")
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 <> 0 THEN l_discount END AS d, CASE WHEN l_linenumber > 2 THEN l_quantity END AS q, CASE WHEN l_suppkey % 5 <> 0 THEN l_extendedprice END AS x FROM lineitem),
+m AS (SELECT quantile_cont(d, 0.5) AS d, quantile_cont(q, 0.5) AS q, quantile_cont(x, 0.5) AS x FROM v)
+SELECT l_orderkey, l_linenumber, round(coalesce(v.d, m.d), 4) AS d, round(coalesce(v.q, m.q), 4) AS q, round(coalesce(v.x, m.x), 4) AS x FROM v, m""")
 def impute_median(spark, sf):
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("q", F.when(F.col("l_linenumber") > 2, F.col("l_quantity")))
-    return rounded(models.impute(li.limit(1).select(*[F.lit(None).cast("double").alias(c) for c in ("l_discount", "l_tax", "q")]), models.medians(li, ["l_discount", "l_tax", "q"])))
+    """All rows, with the missing values of three columns filled by the columns' medians."""
+    known = lambda c, test: F.when(test, F.col(c).cast("double"))
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", known("l_discount", F.col("l_orderkey") % 3 != 0).alias("d"), known("l_quantity", F.col("l_linenumber") > 2).alias("q"), known("l_extendedprice", F.col("l_suppkey") % 5 != 0).alias("x"))
+    return rounded(models.impute(li, models.medians(li, ["d", "q", "x"])))
 
 
-@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity / (l_quantity + l_discount * 100 + l_tax * 100 + 1) AS a, l_discount * 100 / (l_quantity + l_discount * 100 + l_tax * 100 + 1) AS b, (l_tax * 100 + 1) / (l_quantity + l_discount * 100 + l_tax * 100 + 1) AS c FROM lineitem WHERE l_orderkey % 10 = 0),
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity / (l_quantity + l_discount * 100 + l_tax * 100 + 1) AS a, l_discount * 100 / (l_quantity + l_discount * 100 + l_tax * 100 + 1) AS b, (l_tax * 100 + 1) / (l_quantity + l_discount * 100 + l_tax * 100 + 1) AS c FROM lineitem),
 s AS (SELECT *, list_reverse_sort([a, b, c]) AS o FROM p)
 SELECT l_orderkey, l_linenumber, round(1 - o[1], 4) AS least_confidence, round(-(a * ln(a) + CASE WHEN b > 0 THEN b * ln(b) ELSE 0 END + c * ln(c)), 4) AS entropy, round(1 - (o[1] - o[2]), 4) AS margin FROM s""")
 def active_scores(spark, sf):
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_orderkey % 10 = 0")
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
     total = F.col("l_quantity") + F.col("l_discount") * 100 + F.col("l_tax") * 100 + 1
     p = [F.col("l_quantity") / total, F.col("l_discount") * 100 / total, (F.col("l_tax") * 100 + 1) / total]
     return rounded(li.select("l_orderkey", "l_linenumber", *[v.alias(n) for n, v in models.uncertainty(p).items()]))
@@ -371,11 +392,14 @@ def isotonic_calibration(spark, sf):
     return fitted.transform(points).select("prob", F.col("prediction").alias("calibrated"))
 
 
-@query(LABELLED + """ SELECT count(*) AS n FROM labelled""")
+_MASKED = f"""n > 0 AND {drawn_sql('"userId"', 'session_id', 'ts_start', seed=42)} < 0.7"""
+
+
+@query(CASCADE + f""" SELECT f."userId", f.session_id, f.ts_start, CASE WHEN {_MASKED} THEN NULL ELSE n END AS "B_n_gps", round(CASE WHEN {_MASKED} THEN NULL ELSE k.speed_mean END, 4) AS "B_speed_mean", round(CASE WHEN {_MASKED} THEN NULL ELSE rail END, 4) AS "C_osm_rail_prop" FROM feat f LEFT JOIN kin k USING ("userId", session_id, ts_start)""")
 def masked_positions(spark, sf):
-    """Windows after a share of them lost their positions; the count stays."""
+    """All windows, a share of which lost their positions."""
     rows = feature_windows(spark, sf).withColumn("gps_frac", F.col("B_n_gps") / F.lit(120.0))
-    return quality.mask_positions(rows, 0.7, 42, KEYS).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(quality.mask_positions(rows, 0.7, 42, KEYS).select(*KEYS, "B_n_gps", "B_speed_mean", "C_osm_rail_prop"))
 
 
 def city():

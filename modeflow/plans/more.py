@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .. import schemas
+from ..functions.order import drawn, drawn_sql
 from ..operators import evaluation, models, selection, splits
 from ..sources import tables
 from . import trajectory as T
@@ -67,15 +68,16 @@ def cumulative_importance(spark, sf):
     return rounded(each.select("class", F.rank().over(W.orderBy(F.desc("f1"))).cast("bigint").alias("place"), (F.sum("f1").over(by_worth) / F.sum("f1").over(W.partitionBy())).alias("running")))
 
 
-@query("""SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_quantity > 40""")
+@query("""SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem""")
 def distinct_keys(spark, sf):
-    return spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity > 40").dropDuplicates(["l_suppkey", "l_returnflag"]).select("l_suppkey", "l_returnflag")
+    return spark.read.parquet(f"{sf}/lineitem.parquet").dropDuplicates(["l_suppkey", "l_returnflag"]).select("l_suppkey", "l_returnflag")
 
 
-@query()
+@query(f"""SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY {drawn_sql('o_orderkey', seed=42)}, o_orderkey LIMIT 100""")
 def seeded_sample(spark, sf):
-    """100 orders without replacement, by a seeded hash: the same on every run, and a top-k rather than a full sort."""
-    return spark.read.parquet(f"{sf}/orders.parquet").orderBy(F.xxhash64("o_orderkey", F.lit(42))).limit(100)
+    """100 orders without replacement, by a seeded draw: the same on every run, and a top-k rather than a full sort."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+    return orders.orderBy(drawn("o_orderkey", seed=42), "o_orderkey").limit(100)
 
 
 @query(PAIRS + """, k AS (SELECT t, CASE WHEN t = p THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END AS own, count(*) AS n FROM pairs GROUP BY ALL),
@@ -89,7 +91,7 @@ def noisy_labels(spark, sf):
     return w.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("weight") < 1).alias("suspect"))
 
 
-@query()
+@query(LABELLED + f""" SELECT CAST(floor({drawn_sql('session_id', seed=42)} * 5) AS INT) AS fold, count(DISTINCT session_id) AS sessions, count(*) AS n FROM labelled GROUP BY ALL""")
 def hashed_fold_counts(spark, sf):
     rows = splits.hashed_folds(labelled(spark, sf))
     return rows.groupBy("fold").agg(F.count_distinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("n"))

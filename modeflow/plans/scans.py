@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.order import cumulated
 from ..operators import quality
+from ..session import shared_dir
 from ..sources import external, tables
 from . import trajectory as T
 from .registry import query, rounded
@@ -37,14 +41,21 @@ def dedup_keep_last(spark, sf):
 
 @query("SELECT strftime(ts, '%Y-%m') AS year_month, count(*) AS n, max(epoch_us(ts) // 1000) AS last_ms FROM events GROUP BY ALL")
 def month_partition_counts(spark, sf):
-    ms = F.expr("unix_micros(cast(ts as timestamp)) div 1000")
-    rows = spark.read.parquet(f"{sf}/events.parquet").withColumn("ms", ms)
-    return rows.groupBy(tables.month(F.col("ms")).alias("year_month")).agg(F.count(F.lit(1)).alias("n"), F.max("ms").alias("last_ms"))
+    """Events written by month and read again."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("ms"))
+    path = f"{shared_dir(spark).rstrip('/')}/months-{uuid.uuid4().hex}"
+    tables.write_by_month(rows, path, "ms")
+    months = spark.read.schema("event_id bigint, ms bigint, year_month string").parquet(path)
+    return months.groupBy("year_month").agg(F.count(F.lit(1)).alias("n"), F.max("ms").alias("last_ms"))
 
 
 @query("SELECT max(event_id) AS last_id, max(ts) AS last_ts, count(DISTINCT user_id) AS users FROM events")
 def scan_high_water(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").agg(F.max("event_id").alias("last_id"), F.max("ts").cast("timestamp_ntz").alias("last_ts"), F.count_distinct("user_id").alias("users"))
+    """The marks by the library's own readers: maxima from the footers, users by enumeration."""
+    path = f"{sf}/events.parquet"
+    last_id, last_ts = (tables.last_time(spark, path, c) for c in ("event_id", "ts"))
+    users = tables.users(spark.read.parquet(path).withColumnRenamed("user_id", "userId"))
+    return users.agg(F.lit(last_id).cast("bigint").alias("last_id"), F.lit(last_ts).cast("timestamp_ntz").alias("last_ts"), F.count(F.lit(1)).alias("users"))
 
 
 @query("""
@@ -107,14 +118,11 @@ def binning(spark, sf):
     return T.fixes(spark, sf).groupBy(quality.binned(F.col("speed"), [0.0, 1.5, 9.0, 40.0], ["slow", "middle", "fast"]).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(SQL + """ SELECT "userId", event_id, row_number() OVER (ORDER BY CAST("userId" AS BIGINT), "timestamp", event_id) AS place FROM fixes WHERE CAST("userId" AS BIGINT) < 5""")
+@query(SQL + """ SELECT "userId", event_id, row_number() OVER (ORDER BY CAST("userId" AS BIGINT), "timestamp", event_id) AS place FROM fixes""")
 def stable_sort(spark, sf):
-    from pyspark.sql.window import Window as W
-
-    few = T.fixes(spark, sf).where(F.col("userId").cast("bigint") < 5)
-    per = few.withColumn("i", F.row_number().over(W.partitionBy("userId").orderBy("timestamp", "event_id")))
-    before = few.groupBy("userId").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy(F.col("userId").cast("bigint")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return per.join(before, "userId").select("userId", "event_id", (F.col("before") + F.col("i")).alias("place"))
+    """The place of every fix in the order by user and time."""
+    rows = T.fixes(spark, sf).select("userId", F.col("userId").cast("bigint").alias("user"), "timestamp", "event_id", F.lit(1).cast("bigint").alias("one"))
+    return cumulated(rows, ["user", "timestamp", "event_id"], ["one"]).select("userId", "event_id", (F.col("before_one") + 1).alias("place"))
 
 
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, user_id LIMIT 10")
@@ -169,12 +177,12 @@ def semi_anti_sessions(spark, sf):
     return n("semi").union(n("anti"))
 
 
-@query("""SELECT l_orderkey, coalesce(['Walk', 'Car', 'Bus'][o_orderkey % 4 + 1], 'Still') AS mode, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 48""")
+@query("""SELECT l_orderkey, coalesce(['Walk', 'Car', 'Bus'][o_orderkey % 4 + 1], 'Still') AS mode, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def map_lookup(spark, sf):
     from ..operators.models import remapped
 
     orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") % 4).cast("string").alias("m"))
-    rows = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity > 48").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select("l_orderkey", remapped(F.col("m"), {"0": "Walk", "1": "Car", "2": "Bus", "3": "Still"}).alias("mode"), "l_linenumber")
 
 

@@ -235,11 +235,16 @@ def time_entropy(spark, sf):
     return rounded(imu.time_entropy(T.samples(spark, sf), ["userId"], "gyr_x"))
 
 
-@query(T.SQL + """, d AS (SELECT "userId", sqrt((gyr_x - 2 * lag(gyr_x, 1) OVER w + lag(gyr_x, 2) OVER w) ** 2 + (gyr_y - 2 * lag(gyr_y, 1) OVER w + lag(gyr_y, 2) OVER w) ** 2 + (gyr_z - 2 * lag(gyr_z, 1) OVER w + lag(gyr_z, 2) OVER w) ** 2) AS d2v, gyr_x, gyr_y, gyr_z FROM samples WINDOW w AS (PARTITION BY "userId" ORDER BY "timestamp", event_id))
-SELECT "userId", round(CASE WHEN count(*) >= 4 THEN avg(d2v) END, 4) AS "A_gyr_d2v_mean", round(CASE WHEN count(*) >= 4 THEN quantile_cont(d2v, 0.95) END, 4) AS "A_gyr_d2v_p95", round(CASE WHEN count(*) >= 3 THEN var_samp(gyr_x) + var_samp(gyr_y) + var_samp(gyr_z) END, 4) AS eig_sum FROM d GROUP BY ALL""")
+@query(T.SQL + """, d AS (SELECT "userId", sqrt((gyr_x - 2 * lag(gyr_x, 1) OVER w + lag(gyr_x, 2) OVER w) ** 2 + (gyr_y - 2 * lag(gyr_y, 1) OVER w + lag(gyr_y, 2) OVER w) ** 2 + (gyr_z - 2 * lag(gyr_z, 1) OVER w + lag(gyr_z, 2) OVER w) ** 2) AS d2v, gyr_x, gyr_y, gyr_z, CASE WHEN lag(gyr_x) OVER w IS NOT NULL THEN acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (gyr_x * lag(gyr_x) OVER w + gyr_y * lag(gyr_y) OVER w + gyr_z * lag(gyr_z) OVER w) / (sqrt(gyr_x ** 2 + gyr_y ** 2 + gyr_z ** 2) * sqrt(lag(gyr_x) OVER w ** 2 + lag(gyr_y) OVER w ** 2 + lag(gyr_z) OVER w ** 2) + 1e-9)))) END AS angle FROM samples WINDOW w AS (PARTITION BY "userId" ORDER BY "timestamp", event_id))
+SELECT "userId", round(CASE WHEN count(*) >= 4 THEN avg(d2v) END, 4) AS "A_gyr_d2v_mean", round(CASE WHEN count(*) >= 4 THEN quantile_cont(d2v, 0.95) END, 4) AS "A_gyr_d2v_p95", round(CASE WHEN count(*) >= 3 THEN var_samp(gyr_x) + var_samp(gyr_y) + var_samp(gyr_z) END, 4) AS eig_sum,
+  round(CASE WHEN count(*) >= 3 THEN var_samp(gyr_x) ** 2 + var_samp(gyr_y) ** 2 + var_samp(gyr_z) ** 2 + 2 * (covar_samp(gyr_x, gyr_y) ** 2 + covar_samp(gyr_x, gyr_z) ** 2 + covar_samp(gyr_y, gyr_z) ** 2) END, 5) AS eig_squares,
+  round(CASE WHEN count(*) >= 3 THEN var_samp(gyr_x) * (var_samp(gyr_y) * var_samp(gyr_z) - covar_samp(gyr_y, gyr_z) ** 2) - covar_samp(gyr_x, gyr_y) * (covar_samp(gyr_x, gyr_y) * var_samp(gyr_z) - covar_samp(gyr_y, gyr_z) * covar_samp(gyr_x, gyr_z)) + covar_samp(gyr_x, gyr_z) * (covar_samp(gyr_x, gyr_y) * covar_samp(gyr_y, gyr_z) - var_samp(gyr_y) * covar_samp(gyr_x, gyr_z)) END, 6) AS eig_product,
+  round(CASE WHEN count(*) >= 4 THEN stddev_pop(d2v) END, 4) AS "A_gyr_d2v_std", round(CASE WHEN count(*) >= 4 THEN quantile_cont(d2v, 0.75) - quantile_cont(d2v, 0.25) END, 4) AS "A_gyr_d2v_iqr", round(CASE WHEN count(*) >= 3 THEN avg(angle) END, 4) AS "A_gyr_angle_mean", round(CASE WHEN count(*) >= 3 THEN stddev_pop(angle) END, 4) AS "A_gyr_angle_std" FROM d GROUP BY ALL""")
 def imu_eigen(spark, sf):
     e = imu.rotation_invariant(T.samples(spark, sf), ["userId"], ("gyr_x", "gyr_y", "gyr_z"), "A_gyr")
-    return rounded(e.select("userId", "A_gyr_d2v_mean", "A_gyr_d2v_p95", (F.col("A_gyr_eig1") + F.col("A_gyr_eig2") + F.col("A_gyr_eig3")).alias("eig_sum")))
+    e1, e2, e3 = (F.col(f"A_gyr_eig{i}") for i in (1, 2, 3))  # which their sum, squares and product determine
+    made = [F.round(e1 + e2 + e3, 4).alias("eig_sum"), F.round(e1 * e1 + e2 * e2 + e3 * e3, 5).alias("eig_squares"), F.round(e1 * e2 * e3, 6).alias("eig_product")]
+    return e.select("userId", *[(F.round(c, 4) + 0.0).alias(c) for c in ("A_gyr_d2v_mean", "A_gyr_d2v_p95", "A_gyr_d2v_std", "A_gyr_d2v_iqr", "A_gyr_angle_mean", "A_gyr_angle_std")], *made)
 
 
 @query()
@@ -310,15 +315,18 @@ def nearest_layer(spark, sf):
     return spatial.nearest(points, T.layer(spark, sf)).select("userId", "event_id", (F.round("dist_m", 2) + 0.0).alias("dist_m"))
 
 
-@query(NEAREST + """ SELECT "userId", round(avg(CASE WHEN d < 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS "C_bus_stops_prop", round(avg(d), 2) AS "C_bus_stops_mean", CASE WHEN min(d) < 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "C_bus_stops_flag", round(quantile_cont(d, 0.1), 2) AS "C_osm_rail_p10",
-  round(avg(CASE WHEN d < 30 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS "C_osm_rail_prop", 0.0::DOUBLE AS "C_osm_subway_prop", CAST(NULL AS DOUBLE) AS "C_osm_motorway_min" FROM nearest GROUP BY ALL""")
+@query(NEAREST + """, others AS (SELECT 46.07::DOUBLE + CAST((c_custkey * 7919) % 2003 AS DOUBLE) / 2003.0::DOUBLE * 0.01::DOUBLE AS lat, 11.12::DOUBLE + CAST((c_custkey * 104729) % 1999 AS DOUBLE) / 1999.0::DOUBLE * 0.01::DOUBLE AS lon FROM customer WHERE c_custkey % 11 = 0),
+other AS (SELECT f."userId", f.event_id, min(2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, sin(radians(p.lat - f.latitude) / 2) ** 2 + cos(radians(f.latitude)) * cos(radians(p.lat)) * sin(radians(p.lon - f.longitude) / 2) ** 2)))) AS o FROM fixes f, others p GROUP BY ALL)
+SELECT "userId", round(avg(CASE WHEN d < 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS "C_bus_stops_prop", round(avg(d), 2) AS "C_bus_stops_mean", CASE WHEN min(d) < 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "C_bus_stops_flag", round(quantile_cont(d, 0.1), 2) AS "C_osm_rail_p10",
+  round(avg(CASE WHEN d < 30 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS "C_osm_rail_prop", 0.0::DOUBLE AS "C_osm_subway_prop", round(min(o), 2) AS "C_osm_motorway_min", CASE WHEN min(o) < 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "C_osm_motorway_flag",
+  round(min(o), 2) AS "C_rail_stations_min", CASE WHEN min(o) < 500 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "C_rail_stations_flag", round(avg(o), 2) AS "C_subway_stations_mean", CASE WHEN min(o) < 200 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "C_subway_stations_flag",
+  CASE WHEN min(d) < 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "C_osm_cycleway_flag", round(avg(d), 2) AS "C_osm_cycleway_mean", round(min(d), 2) AS "C_osm_cycleway_min" FROM nearest JOIN other USING ("userId", event_id) GROUP BY ALL""")
 def proximity_features(spark, sf):
     points = T.fixes(spark, sf).select("userId", "event_id", "latitude", "longitude")
     near = spatial.nearest(points, T.layer(spark, sf), "d")
-    c = spatial.proximity(near, ["userId"], {"bus_stops": "d", "osm_rail": "d"})
-    two = {"C_bus_stops_mean", "C_osm_rail_p10"}
-    names = ["C_bus_stops_prop", "C_bus_stops_mean", "C_bus_stops_flag", "C_osm_rail_p10", "C_osm_rail_prop", "C_osm_subway_prop", "C_osm_motorway_min"]
-    return c.select("userId", *[(F.round(x, 2 if x in two else 4) + 0.0).alias(x) for x in names])
+    near = spatial.nearest(near, T.layer(spark, sf, "customer").where("place_id % 11 = 0"), "o")  # a sparser layer
+    c = spatial.proximity(near, ["userId"], {"bus_stops": "d", "osm_rail": "d", "osm_cycleway": "d", "osm_motorway": "o", "rail_stations": "o", "subway_stations": "o"})
+    return c.select("userId", *[(F.round(x, 2 if x.endswith(("mean", "min", "p10")) else 4) + 0.0).alias(x) for x in c.columns if x != "userId"])
 
 
 @query(T.SQL + """, hit AS (SELECT DISTINCT f."userId", f.event_id, p.place_id % 7 AS shape FROM fixes f, places p WHERE 2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, sin(radians(p.lat - f.latitude) / 2) ** 2 + cos(radians(f.latitude)) * cos(radians(p.lat)) * sin(radians(p.lon - f.longitude) / 2) ** 2))) < 50),
@@ -353,7 +361,11 @@ def arc_length(spark, sf):
     return rounded(spatial.arc_length(v).groupBy("shape_id").agg(F.max("along_m").alias("length_m")), 1)
 
 
-@query()
+@query(T.SQL + """, s AS (SELECT place_id % 5 AS shape_id, place_id AS seq, lat, lon, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM places WINDOW w AS (PARTITION BY place_id % 5 ORDER BY place_id)),
+d AS (SELECT *, sum(CASE WHEN la IS NULL THEN 0 ELSE 2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, sin(radians(lat - la) / 2) ** 2 + cos(radians(la)) * cos(radians(lat)) * sin(radians(lon - lo) / 2) ** 2))) END) OVER (PARTITION BY shape_id ORDER BY seq) AS m FROM s),
+e AS (SELECT *, lead(lat) OVER w AS la2, lead(lon) OVER w AS lo2, lead(m) OVER w AS m2 FROM d WINDOW w AS (PARTITION BY shape_id ORDER BY seq)),
+k AS (SELECT *, unnest(range(CAST(ceil(m / 100) AS BIGINT), CAST(ceil(m2 / 100) AS BIGINT))) AS k FROM e WHERE m2 > m)
+SELECT shape_id, k * 100.0::DOUBLE AS along_m, round(lat + (k * 100 - m) / (m2 - m) * (la2 - lat), 6) AS lat, round(lon + (k * 100 - m) / (m2 - m) * (lo2 - lon), 6) AS lon FROM k""")
 def line_points(spark, sf):
     v = T.layer(spark, sf).select((F.col("place_id") % 5).alias("shape_id"), F.col("place_id").alias("seq"), "lat", "lon")
-    return spatial.points_along(v, 100.0)
+    return rounded(spatial.points_along(v, 100.0), 6)

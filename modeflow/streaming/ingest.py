@@ -32,29 +32,38 @@ def since(marks: DataFrame, overlap_ms: int) -> int | None:
     return None if least is None else least - overlap_ms
 
 
-def upsert(stream: DataFrame, target: str, keys: list[str], checkpoint: str, table_exists=None):
-    """Write each micro-batch into a Parquet table of versions, the last row of each key winning.
+def upsert(stream: DataFrame, target: str, keys: list[str], checkpoint: str, kept_versions: int = 2):
+    """Write each micro-batch into a Parquet table of versions, the last row of each key winning, in every batch.
 
-    Version b is complete before the pointer names it, and replayed batches give the same version, so a lost driver or
-    executor leaves a whole table behind.
+    Version b is made of the last complete version below b and of batch b alone. A replayed batch therefore reads the same
+    version as before and never the one that it writes anew; a lost driver or executor leaves the version before as it was.
+    Versions older than the last `kept_versions` go. Each batch rewrites the table: a large one is best upserted by month.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        before = current(spark, target)
-        whole = batch if before is None else appended(before, batch, keys)
-        whole.dropDuplicates(keys).write.mode("overwrite").parquet(f"{target}/v{batch_id:09d}")
+        before = current(spark, target, below=batch_id)
+        whole = appended(batch.limit(0) if before is None else before, batch, keys)
+        whole.write.mode("overwrite").parquet(f"{target}/v{batch_id:09d}")
+        for name in complete(spark, target)[:-kept_versions]:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
-    """The latest complete version of an upserted table, None before the first."""
+def complete(spark: SparkSession, target: str) -> list[str]:
+    """Names of the complete versions of an upserted table, oldest first."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return None
-    done = sorted(s.getPath().getName() for s in fs.listStatus(path) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(path) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
+
+def current(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
+    """The latest complete version of an upserted table, or the latest below a batch's number; None where there is none."""
+    done = [v for v in complete(spark, target) if below is None or v < f"v{below:09d}"]
     return spark.read.parquet(f"{target}/{done[-1]}") if done else None
 
 

@@ -80,3 +80,23 @@ def test_entry(spark):
     import __spark_entry__
 
     assert {r["mode"] for r in __spark_entry__.entry(spark).collect()} == {"Walk", "Bus", "Car", "Train"}
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    """The entry point and the other queries work where those folders are gone, and only then are they left out."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    shutil.copytree(f"{root}/modeflow", tmp_path / "modeflow", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    count = [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"]
+    alone = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run(count, cwd=tmp_path, env=alone, capture_output=True, text=True, check=True)
+    assert said.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))]
+    broken = tmp_path / "modeflow" / "llm"
+    broken.mkdir()
+    (broken / "__init__.py").write_text("import modeflow.not_there\n")
+    (tmp_path / "corpus_pipeline.py").write_text("import modeflow.llm\n")
+    assert subprocess.run(count, cwd=tmp_path, env=alone, capture_output=True).returncode != 0

@@ -1,5 +1,7 @@
 """Hand-computed cases of the operators."""
 
+import math
+import random
 import re
 
 import numpy as np
@@ -218,3 +220,73 @@ def test_redundancy():
 def test_average_ranks(spark):
     rows = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,)], "x double")
     assert sorted(r["r"] for r in metrics.average_rank(rows, "x", "r").collect()) == [1.0, 2.5, 2.5, 4.0]
+
+
+def haversine(a, b, c, d):
+    x, y, u, v = map(math.radians, (a, b, c, d))
+    return 2 * 6371000 * math.asin(min(1, math.sqrt(math.sin((u - x) / 2) ** 2 + math.cos(x) * math.cos(u) * math.sin((v - y) / 2) ** 2)))
+
+
+@pytest.mark.parametrize(("lat", "lon"), [(0.0, 10.0), (46.0, 11.0), (51.5, -0.1), (60.0, 25.0), (-72.0, 180.0), (89.99, 0.0)])
+def test_near_pairs_at_any_latitude(spark, lat, lon):
+    """All pairs within the distance, also near a pole and across the date line."""
+    rng = random.Random(int(lat))
+    step = 49 / 111_195
+    points, places = [], []
+    for i in range(150):
+        a, b = lat + rng.uniform(-0.005, 0.005), lon + rng.uniform(-0.01, 0.01)
+        angle = rng.uniform(0, 2 * math.pi)
+        points.append((i, a, (b + 180) % 360 - 180))
+        places.append((i, a + step * math.sin(angle), (b + step * math.cos(angle) / math.cos(math.radians(a)) + 180) % 360 - 180))
+    want = {(i, j) for i, a, b in points for j, c, d in places if haversine(a, b, c, d) <= 50}
+    got = spatial.near_pairs(spark.createDataFrame(points, "i int, latitude double, longitude double"), spark.createDataFrame(places, "j int, lat double, lon double"), 50.0)
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == sorted(want) and len(want) >= 140
+    nearest = {r["i"]: r["d"] for r in spatial.nearest_by_cells(spark.createDataFrame(points, "i int, latitude double, longitude double"), spark.createDataFrame(places, "j int, lat double, lon double"), "d", 50.0).collect()}
+    assert all(nearest[i] == pytest.approx(min(haversine(a, b, c, d) for _, c, d in places), abs=1e-3) for i, a, b in points)
+
+
+def test_cumulated_in_ranges(spark):
+    from modeflow.functions.order import cumulated
+
+    rows = [(i * 7919 % 1000, i % 5) for i in range(1000)]
+    df = spark.createDataFrame(rows, "x int, n bigint").repartition(7)
+    got = cumulated(df, ["x"], ["n"])
+    total, want = 0, {}
+    for x, n in sorted(rows):
+        want[x] = total
+        total += n
+    assert {r["x"]: r["before_n"] for r in got.collect()} == want
+
+
+def test_permuted_keeps_the_values(spark):
+    from modeflow.operators import models
+
+    df = spark.range(200).selectExpr("id", "id * 2 as v")
+    got = models.permuted(df, "v").collect()
+    assert sorted(r["v"] for r in got) == [2 * i for i in range(200)] and sum(r["v"] == 2 * r["id"] for r in got) < 20 and [c for c in got[0].asDict()] == ["id", "v"]
+
+
+def test_as_of_over_many_buckets(spark):
+    """The last interval may have started many buckets before the frame."""
+    from modeflow.operators import intervals
+
+    hour = intervals.BUCKET_MS
+    spans = [("u", 0, 5, 40 * hour, "Bus"), ("u", 1, 9 * hour, 9 * hour + 10, "Car"), ("v", 0, 3 * hour, 90 * hour, "Train"), ("v", 1, 3 * hour, 4 * hour, "Walk")]
+    times = [("u", t) for t in (4, 5, 8 * hour, 9 * hour, 9 * hour + 11, 50 * hour)] + [("v", t) for t in (3 * hour, 4 * hour + 1, 80 * hour)] + [(None, 7)]
+    got = intervals.as_of(spark.createDataFrame(times, "userId string, ts_ms bigint"), spark.createDataFrame(spans, "userId string, seq bigint, started_at bigint, finished_at bigint, mode string"), ["userId"])
+    want = {("u", 4): None, ("u", 5): "Bus", ("u", 8 * hour): "Bus", ("u", 9 * hour): "Car", ("u", 9 * hour + 11): None, ("u", 50 * hour): None, ("v", 3 * hour): "Walk", ("v", 4 * hour + 1): None, ("v", 80 * hour): None, (None, 7): None}
+    assert {(r["userId"], r["ts_ms"]): r["label"] for r in got.collect()} == want
+
+
+def test_one_long_group_is_walked_in_time():
+    import time
+
+    import pyarrow as pa
+
+    from modeflow.operators.spectral import sorted_groups
+
+    keys = ["a"] * 3 + ["b"] * 1_000_000 + ["c"] * 2
+    table = pa.table([pa.array(keys), pa.array(range(len(keys)))], ["k", "x"])
+    began = time.time()
+    groups = list(sorted_groups(iter(table.to_batches(max_chunksize=1000)), ["k"]))
+    assert [(g.column("k")[0].as_py(), g.num_rows) for g in groups] == [("a", 3), ("b", 1_000_000), ("c", 2)] and time.time() - began < 5
