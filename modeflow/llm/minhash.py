@@ -32,6 +32,8 @@ MINIMA, BITS, CHUNK, CHUNK_SHINGLES = 192, 2, 256, 1 << 19
 STAR_GAIN = 16
 #: Salts over which a hot group meets what is known about groups; rows of signatures and of texts that one task compares, about.
 SALTS, SIGNED_ROWS, TEXT_ROWS = 32, 20_000, 4000
+#: Up to so many candidates (of some 40 bytes) are broadcast to fetch their texts; more of them meet the texts by a merge join.
+BROADCAST_ROWS = 500_000
 _rng = np.random.default_rng(20240611)
 _MULTIPLIERS = (_rng.integers(0, 1 << 32, 256, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 _ADDENDS = _rng.integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -279,6 +281,11 @@ def attached(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(salted, ["key", "__salt"]).drop("__salt")
 
 
+def with_texts(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """docs (id, text) with the n rows (id, ...) that need their texts; the texts of others do not move."""
+    return docs.join(F.broadcast(rows) if n <= BROADCAST_ROWS else rows.hint("merge"), "id")
+
+
 def dealt_by_block(rows: DataFrame, n: int, a_task: int) -> DataFrame:
     """n rows (key, side, ...), each block in one task and by id; about `a_task` of them in each."""
     partitions = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // a_task)
@@ -317,14 +324,17 @@ def band_links(unique: DataFrame, least: float, minima_: int, chunk: int) -> Dat
     pairs of small groups and of what no star holds."""
     banded = unique.select("id", F.explode("keys").alias("key"))
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    sized = cut(banded.join(sizes, "key").join(unique.select("id", "signature"), "id"))
+    sized = cut(banded.join(sizes.hint("merge"), "key").join(unique.select("id", "signature"), "id"))
     small = sized.where(F.col("__n") <= chunk).select("key", F.lit(0).cast("bigint").alias("side"), F.lit(True).alias("first"), F.col("id").alias("part"), "id", "signature")
     large = sized.where(F.col("__n") > chunk).drop("__n")
+    n, n_large = sized.agg(F.count(F.lit(1)), F.count_if(F.col("__n") > chunk)).first()
+    if not n_large:
+        return dealt_by_block(small, n, SIGNED_ROWS).mapInArrow(lambda batches: candidate_links(batches, least), "a bigint, b bigint").distinct()
     centres = cut(large.groupBy("key").agg(F.min_by(F.struct("id", "signature"), "id").alias("__c")))
     near = F.when(near_in_sql("signature", "__c.signature", least, minima_), F.col("__c.id"))
     stars = cut(attached(large, centres).select("key", "id", "signature", near.alias("part")))
     blocks = in_blocks(stars, chunk).select("key", "side", "first", "part", "id", "signature")
-    grouped = dealt_by_block(small.union(blocks), sized.count(), SIGNED_ROWS)
+    grouped = dealt_by_block(small.union(blocks), n, SIGNED_ROWS)
     links = grouped.mapInArrow(lambda batches: candidate_links(batches, least), "a bigint, b bigint")
     return stars.where("part <> id").select(F.col("part").alias("a"), F.col("id").alias("b")).union(links).distinct()
 
@@ -342,7 +352,7 @@ def whole_links(docs: DataFrame, candidates: DataFrame, weights: DataFrame, k: i
     links, blocks, n = None, None, open_.count()
     if n:
         held = open_
-        texts = stored(docs.join(open_, "id").select("id", "text"), "near-texts")  # of large components, for all rounds
+        texts = stored(with_texts(docs, open_.select("id").distinct(), n), "near-texts")  # of large components, for all rounds
         while n:
             centres = open_.groupBy("key").agg(F.min("id").alias("centre"), F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum(heavy))).cast("int").alias("__chunks"))
             dealt = attached(open_, centres)
@@ -358,8 +368,9 @@ def whole_links(docs: DataFrame, candidates: DataFrame, weights: DataFrame, k: i
         parts = links.select("key", "id", F.col("centre").alias("part")).distinct()
         blocks = in_blocks(held.join(parts, ["key", "id"], "left"), chunk, heavy).select("id", "key", "side", "first", "part")
         blocks = texts.join(blocks, "id").select("key", "side", "first", "part", "id", "text")
-    rows = docs.join(small, "id").select("key", "side", "first", "part", "id", "text")
-    rows = dealt_by_block(rows if blocks is None else rows.union(blocks), sized.count(), TEXT_ROWS)
+    n_small = sized.count()
+    rows = with_texts(docs, small, n_small).select("key", "side", "first", "part", "id", "text")
+    rows = dealt_by_block(rows if blocks is None else rows.union(blocks), n_small, TEXT_ROWS)
     found = rows.mapInArrow(lambda batches: confirmed_links(batches, k, numerator, denominator, least, minima_), "a bigint, b bigint")
     return found if links is None else found.union(links.select("centre", "id"))
 
@@ -380,7 +391,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     signed = cut(docs.mapInArrow(lambda batches: signatures(batches, k, rows, minima_), schema))
     some = signed.where("n_shingles > 0 and id is not null")
     same = cut(some.groupBy("digest", "n_shingles").agg(F.min("id").alias("representative")))  # cut: the join below can then split a hot set
-    representative = cut(some.select("id", "digest", "n_shingles").join(same, ["digest", "n_shingles"]).select("id", "representative"))
+    representative = cut(some.select("id", "digest", "n_shingles").join(same.hint("merge"), ["digest", "n_shingles"]).select("id", "representative"))
     unique = cut(some.groupBy("digest").agg(F.min_by(F.struct("id", "signature", "keys"), "id").alias("r")).select("r.*"))
     candidates = components(band_links(unique, least, minima_, chunk)).select(F.col("node").alias("id"), F.col("component").alias("key"))
     weights = some.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
