@@ -27,13 +27,13 @@ from .common import cut, stored, table
 from .components import components
 
 #: Minima, bits kept of each, members of a block side and shingles of one (about; a larger document is a side of its own).
-MINIMA, BITS, CHUNK, CHUNK_SHINGLES = 192, 2, 256, 1 << 19
+MINIMA, BITS, CHUNK, CHUNK_SHINGLES = 192, 2, 512, 1 << 20
 #: A further round of stars must have joined at least one in so many members that were left.
 STAR_GAIN = 16
 #: Salts over which a hot group meets what is known about groups; rows of signatures and of texts that one task compares, about.
-SALTS, SIGNED_ROWS, TEXT_ROWS = 32, 20_000, 4000
+SALTS, SIGNED_ROWS, TEXT_ROWS = 32, 10_000, 1500
 #: Up to so many candidates (of some 40 bytes) are broadcast to fetch their texts; more of them meet the texts by a merge join.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 _rng = np.random.default_rng(20240611)
 _MULTIPLIERS = (_rng.integers(0, 1 << 32, 256, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 _ADDENDS = _rng.integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -288,8 +288,7 @@ def with_texts(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
 
 def dealt_by_block(rows: DataFrame, n: int, a_task: int) -> DataFrame:
     """n rows (key, side, ...), each block in one task and by id; about `a_task` of them in each."""
-    partitions = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // a_task)
-    return rows.repartition(partitions, "key", "side").sortWithinPartitions("key", "side", "id")
+    return rows.repartition(-(-n // a_task) + 1, "key", "side").sortWithinPartitions("key", "side", "id")
 
 
 def in_blocks(rows: DataFrame, chunk: int, heavy: Column | None = None) -> DataFrame:
@@ -324,7 +323,7 @@ def band_links(unique: DataFrame, least: float, minima_: int, chunk: int) -> Dat
     pairs of small groups and of what no star holds."""
     banded = unique.select("id", F.explode("keys").alias("key"))
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    sized = cut(banded.join(sizes.hint("merge"), "key").join(unique.select("id", "signature"), "id"))
+    sized = cut(banded.join(sizes.hint("merge"), "key").join(unique.select("id", "signature").hint("merge"), "id"))
     small = sized.where(F.col("__n") <= chunk).select("key", F.lit(0).cast("bigint").alias("side"), F.lit(True).alias("first"), F.col("id").alias("part"), "id", "signature")
     large = sized.where(F.col("__n") > chunk).drop("__n")
     n, n_large = sized.agg(F.count(F.lit(1)), F.count_if(F.col("__n") > chunk)).first()
@@ -343,10 +342,10 @@ def whole_links(docs: DataFrame, candidates: DataFrame, weights: DataFrame, k: i
     """Links (a, b) within the candidate components (id, key) that hold on the whole sets; enough of them to connect all that
     any such links connect."""
     heavy = F.col("n_shingles") / CHUNK_SHINGLES
-    members = candidates.join(weights, "id")
+    members = candidates.join(weights.hint("merge"), "id")
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), F.sum("n_shingles").alias("__w"))
     large = F.greatest(F.col("__n") / chunk, F.col("__w") / CHUNK_SHINGLES) > 1
-    sized = cut(members.join(sizes, "key").withColumn("__large", large))
+    sized = cut(members.join(sizes.hint("merge"), "key").withColumn("__large", large))
     small = sized.where("not __large").select("id", "key", F.lit(0).cast("bigint").alias("side"), F.lit(True).alias("first"), F.col("id").alias("part"))
     open_ = sized.where("__large").select("key", "id", "n_shingles")
     links, blocks, n = None, None, open_.count()
@@ -396,10 +395,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     candidates = components(band_links(unique, least, minima_, chunk)).select(F.col("node").alias("id"), F.col("component").alias("key"))
     weights = some.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
     chosen = representative.where("id = representative").select("id").distinct()
-    held = whole_links(docs, candidates.join(chosen, "id", "left_semi"), weights, k, numerator, denominator, least, minima_, chunk)
+    held = whole_links(docs, candidates.join(chosen.hint("merge"), "id", "left_semi"), weights, k, numerator, denominator, least, minima_, chunk)
     found = components(held.union(representative.where("id <> representative").select("id", "representative")))
     sizes = signed.select("id", "n_shingles")
-    return sizes.join(found, sizes.id == found.node, "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    return sizes.join(found.hint("merge"), sizes.id == found.node, "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
