@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import labeling, metrics, models, selection, smoothing, splits
+from . import labeling, metrics, models, quality, selection, smoothing, splits
 
 
 def evaluate(rows: DataFrame, true: str, pred: str, classes: list[str]) -> dict[str, float]:
@@ -15,14 +15,18 @@ def evaluate(rows: DataFrame, true: str, pred: str, classes: list[str]) -> dict[
     return {"accuracy": one["accuracy"], "macro_seen": one["macro_seen"], "macro_all": one["macro_all"]} | {f"f1_{c}": each[c]["f1"] if c in each else 0.0 for c in classes}
 
 
-def rolling_training(windows: DataFrame, columns: list[str], classes: list[str], label: str, folds: int = 5, keys: tuple[str, ...] = ("userId", "session_id"), **options) -> tuple[dict[str, float], DataFrame]:
-    """Mean and population spread of the measures over rolling-origin folds, and the out-of-fold predictions (smoothed)."""
+def rolling_training(windows: DataFrame, columns: list[str], classes: list[str], label: str, folds: int = 5, keys: tuple[str, ...] = ("userId", "session_id"), prune: float | None = None, **options) -> tuple[dict[str, float], DataFrame]:
+    """Mean and population spread of the measures over rolling-origin folds, and the out-of-fold predictions (smoothed).
+
+    With prune, each fold leaves out the columns that are that close to an earlier one in its own training rows.
+    """
     done, scores = None, []
     for r in splits.rolling(windows, folds).orderBy("fold").collect():
         train, test = splits.fold_rows(windows, r["fold"], folds)
-        model = models.Hierarchical(columns, classes).fit(train, label, **options)
+        used = columns if prune is None else selection.apart(train, columns, prune)
+        model = models.Hierarchical(used, classes).fit(train, label, **options)
         got = smoothing.majority(model.predict(test), list(keys)).withColumn("fold", F.lit(r["fold"]))
-        scores.append(evaluate(got, label, "predicted", classes))
+        scores.append(evaluate(got, label, "predicted", classes) | {"columns": float(len(used))})
         done = got if done is None else done.unionByName(got)
     out = {}
     for k in scores[0] if scores else ():
@@ -76,6 +80,29 @@ def learning_curve(train: DataFrame, test: DataFrame, make, label: str, shares:
     return out
 
 
+def degradation_curve(fitted: dict[str, models.Hierarchical], rows: DataFrame, label: str, shares: list[float], keys: tuple[str, ...] = ("userId", "session_id", "ts_start"), seed: int = 42) -> dict[float, dict[str, float]]:
+    """Macro F1 of each model over the same rows, a share of which lost their positions; larger shares hold the smaller ones."""
+    out = {}
+    for s in shares:
+        part = quality.mask_positions(rows, s, seed, list(keys))
+        out[s] = {name: evaluate(m.predict(part), label, "predicted", m.classes)["macro_all"] for name, m in fitted.items()}
+    return out
+
+
+def label_permutation(train: DataFrame, test: DataFrame, make, label: str, true: str, seeds: tuple[int, ...] = (0, 1, 2)) -> dict[str, float]:
+    """Macro F1 on test of training on the labels, of training on the same labels dealt to other rows (mean and population
+    spread over the seeds), and of always naming the most frequent label: what the labels are worth beyond their number."""
+    classes = make().classes
+    score = lambda got: evaluate(got, true, "predicted", classes)["macro_all"]
+    dealt = [score(make().fit(models.permuted(train, label, s), label).predict(test)) for s in seeds]
+    mean = sum(dealt) / len(dealt)
+    top = train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).first()[0]
+    return {
+        "labels": score(make().fit(train, label).predict(test)), "permuted_mean": mean, "permuted_std": (sum((d - mean) ** 2 for d in dealt) / len(dealt)) ** 0.5,
+        "majority": score(test.withColumn("predicted", F.lit(top))),
+    }
+
+
 def physics_flags(windows: DataFrame, label: str, speed: Column, most: dict[str, float]) -> DataFrame:
     """Adds impossible: the speed is above what the labelled mode can reach."""
     bound = F.element_at(F.create_map(*[F.lit(x) for kv in most.items() for x in kv]), F.col(label))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.order import cumulated
+from ..session import cut
+from . import models
+
 
 def feature_columns(df: DataFrame, prefixes: tuple[str, ...] = ("A_", "B_", "C_", "D_")) -> list[str]:
     """Feature columns that are not null throughout, in one pass."""
@@ -44,11 +52,35 @@ def audit(df: DataFrame, columns: list[str], present: Column, constant: float =
 
 
 def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, rho of all pairs of columns over rows where both are known: ranks within the pair's complete rows.
+    """a, b, n, rho of all pairs of columns over the n rows where both are known: ranks within the pair's complete rows.
 
-    The number of columns is a fixed width of the feature table; pairs are cells of arrays, so no row meets another row.
+    Columns without a null are ranked once each and correlated together; only pairs with a null in one of them are ranked
+    pair by pair. The number of columns is a fixed width of the feature table. Pairs never known together have no row.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    known = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(c).alias(c) for c in columns]).first()
+    whole = [c for c in columns if known["__n"] and known[c] == known["__n"]]
+    out = [(a, b, known["__n"], r) for a, b, r in correlated_ranks(df, whole)] if len(whole) > 1 else []
+    done = df.sparkSession.createDataFrame(out, "a string, b string, n bigint, rho double")
+    rest = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :] if len(whole) < 2 or a not in whole or b not in whole]
+    return done.unionByName(spearman_each(df, rest)) if rest else done
+
+
+def correlated_ranks(df: DataFrame, columns: list[str]) -> list[tuple[str, str, float]]:
+    """(a, b, rho) of all pairs of columns that hold no null; 0 for constant ones. A cell is made for each value of a row,
+    ranks come from counts of equal values in ranges of (column, value), and the matrix is summed in the tasks."""
+    rows = cut(df.select(*columns).withColumn("__id", F.monotonically_increasing_id()))
+    cells = unpivot(rows, columns, ["__id"])
+    placed = cumulated(cells.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("k")), ["feature", "value"], ["k"])
+    first = placed.groupBy("feature").agg(F.min("before_k").alias("__first"))
+    ranks = placed.join(F.broadcast(first), "feature").select("feature", "value", (F.col("before_k") - F.col("__first") + (F.col("k") + 1) / 2).alias("rank"))
+    by_row = cells.join(ranks, ["feature", "value"]).groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "rank"))).alias("__m"))
+    vectors = by_row.select(array_to_vector(F.array(*[F.element_at("__m", c) for c in columns])).alias("v"))
+    m = Correlation.corr(vectors, "v").first()[0].toArray()
+    return [(a, columns[j], 0.0 if math.isnan(m[i, j]) else float(m[i, j])) for i, a in enumerate(columns) for j in range(i + 1, len(columns))]
+
+
+def spearman_each(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """a, b, n, rho of these pairs, each ranked within its own complete rows: pairs are cells of arrays, no row meets another."""
     cells = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("c")
     rows = df.select(cells).select("c.*").where("x is not null and y is not null").groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
@@ -95,6 +127,13 @@ def redundancy(df: DataFrame, columns: list[str], limit: float = 0.95) -> DataFr
     return df.sparkSession.createDataFrame(sorted(gone.items()), "feature string, representative string")
 
 
+def apart(df: DataFrame, columns: list[str], limit: float = 0.95) -> list[str]:
+    """The columns, in their order, without those whose |rho| to one kept before reaches the limit in these rows, where
+    missing values count as the column's median. Called with the training rows of a fold, it sees nothing of its test rows."""
+    filled = models.impute(df, models.medians(df, columns))
+    return prune(columns, {frozenset((r["a"], r["b"])): r["rho"] for r in spearman_pairs(filled, columns).collect()}, limit)
+
+
 def prune(order: list[str], rho: dict[frozenset, float], limit: float = 0.95) -> list[str]:
     """Greedy pruning: columns in order of worth, each kept unless it is too close to one kept before."""
     kept: list[str] = []

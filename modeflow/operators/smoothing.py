@@ -95,7 +95,9 @@ def coherent(modes: list, least: dict[str, int], impossible: tuple[frozenset, ..
 
 
 def coherence(windows: DataFrame, keys: list[str], mode: str = "smooth", name: str = "coherent", order: str = "ts_start", least: dict[str, int] | None = None) -> DataFrame:
-    """Adds the healed mode. A session is one array of its windows (one a minute); many arrays cross to Python at once."""
+    """Adds the healed mode. Only a session's modes, in order, meet in one array (one a minute), many arrays in an Arrow batch;
+    the windows themselves are sorted where they are and take their place of the healed array. Windows without a session
+    keep their mode."""
     limits = least or min_windows()
 
     @F.pandas_udf("array<string>")
@@ -103,10 +105,11 @@ def coherence(windows: DataFrame, keys: list[str], mode: str = "smooth", name: s
         return modes.map(lambda m: coherent(list(m), limits))
 
     rest = [c for c in windows.columns if c not in (*keys, order)]
-    sessions = windows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("__w"))
-    healed = sessions.withColumn("__h", heal(F.col(f"__w.{mode}")))
-    rows = healed.select(*keys, "__h", F.posexplode("__w").alias("__i", "__r"))
-    return rows.select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in windows.columns], F.get("__h", F.col("__i")).alias(name))
+    rows = windows.withColumn("__i", F.row_number().over(W.partitionBy(*keys).orderBy(order, *rest)) - 1)
+    modes = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", F.col(mode).alias("__m")))).alias("__w"))
+    healed = modes.select(*keys, heal(F.col("__w.__m")).alias("__h"))
+    found = F.when(F.col("__h").isNull(), F.col(mode)).otherwise(F.get("__h", F.col("__i")))
+    return rows.join(healed, keys, "left").select(*windows.columns, found.alias(name))
 
 
 def plausible(mode: Column, speed: Column, bounds: dict[str, tuple[float | None, float | None]]) -> Column:

@@ -73,6 +73,20 @@ def hashed_folds(windows: DataFrame, folds: int = 5, group: str = "session_id",
     return windows.withColumn("fold", F.floor(drawn(group, seed=seed) * folds).cast("int"))
 
 
+def stratified_folds(windows: DataFrame, label: str, folds: int = 5, group: str = "session_id", seed: int = 42) -> DataFrame:
+    """Adds fold 0..folds-1 so that no group is split and every fold gets its part of each kind of group.
+
+    A group's kind is its most frequent label (of equals the first by name; no label is a kind, too). Groups of a kind are
+    dealt to and fro over the folds, the largest first, equal ones by a seeded draw. Rows without a group have no fold.
+    """
+    counts = windows.groupBy(group, F.coalesce(F.col(label), F.lit("")).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
+    groups = counts.where(F.col(group).isNotNull()).groupBy(group).agg(F.min_by("__label", F.struct(-F.col("__n"), F.col("__label"))).alias("__kind"), (-F.sum("__n")).alias("__less"))
+    placed = numbered(groups.withColumn("__draw", drawn(group, seed=seed)), ["__kind", "__less", "__draw", group])
+    turn = F.col("i") % (2 * folds)
+    dealt = placed.select(group, F.when(turn < folds, turn).otherwise(2 * folds - 1 - turn).cast("int").alias("fold"))
+    return windows.join(dealt, group, "left")
+
+
 def random_sessions(windows: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
     """windows with split: a share of the sessions, one at least, chosen by a seeded hash, is test."""
     s = numbered(windows.select("session_id").distinct().withColumn("h", drawn("session_id", seed=seed)), ["h", "session_id"])

@@ -95,3 +95,12 @@ def noisy_labels(spark, sf):
 def hashed_fold_counts(spark, sf):
     rows = splits.hashed_folds(labelled(spark, sf))
     return rows.groupBy("fold").agg(F.count_distinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("n"))
+
+
+@query(LABELLED + f""", c AS (SELECT session_id, coalesce(label, '') AS l, count(*) AS n FROM labelled GROUP BY ALL), g AS (SELECT session_id, arg_min(l, (-n, l)) AS kind, CAST(sum(n) AS BIGINT) AS size FROM c GROUP BY session_id),
+d AS (SELECT *, (row_number() OVER (ORDER BY kind, -size, {drawn_sql('session_id', seed=42)}, session_id) - 1) % 10 AS turn FROM g)
+SELECT CAST(CASE WHEN turn < 5 THEN turn ELSE 9 - turn END AS INT) AS fold, l AS label, count(DISTINCT session_id) AS sessions, CAST(sum(n) AS BIGINT) AS n FROM d JOIN c USING (session_id) GROUP BY ALL""")
+def stratified_fold_counts(spark, sf):
+    """Sessions and windows of each label in each of five folds that are alike in labels and split no session."""
+    rows = splits.stratified_folds(labelled(spark, sf), "label")
+    return rows.groupBy("fold", F.coalesce("label", F.lit("")).alias("label")).agg(F.count_distinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("n"))

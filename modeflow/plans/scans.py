@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.order import cumulated
-from ..operators import quality
+from ..operators import joins, quality
 from ..session import shared_dir
 from ..sources import external, tables
 from . import trajectory as T
@@ -155,7 +155,8 @@ def gtfs_like_join(spark, sf):
 def left_join_metrics(spark, sf):
     orders, customers = spark.read.parquet(f"{sf}/orders.parquet"), spark.read.parquet(f"{sf}/customer.parquet").where("c_acctbal > 0")
     n = orders.count()
-    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_custkey", F.col("c_mktsegment").alias("segment"), F.lit(n).cast("bigint").alias("n"))
+    segments = customers.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
+    return joins.left_kept(orders, segments, ["o_custkey"]).select("o_orderkey", "o_custkey", "segment", F.lit(n).cast("bigint").alias("n"))
 
 
 @query(SQL + """, g AS (SELECT "userId", count(*) AS n_gps FROM fixes WHERE speed > 10 GROUP BY ALL), i AS (SELECT "userId", count(*) AS n_imu FROM samples WHERE gyr_x > 0.3 GROUP BY ALL), l AS (SELECT "userId", count(*) AS n_labels FROM intervals GROUP BY ALL)

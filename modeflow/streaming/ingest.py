@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,37 @@ def windowed(points: DataFrame, lateness: str = LATENESS, size: str = "120 secon
     return late.groupBy("userId", F.window("time", size, step)).agg(F.count(F.lit(1)).alias("n"), F.avg("speed").alias("speed")).select("userId", F.col("window.start").alias("ts_start"), F.col("window.end").alias("ts_end"), "n", "speed")
 
 
+def swept(times: np.ndarray, speeds: np.ndarray, size: int, step: int) -> list[dict]:
+    """k, n and mean speed of the windows [k * step, k * step + size] from a session's first point on, by two searches each."""
+    order = np.argsort(times, kind="stable")
+    t, v = times[order] - times[order[0]], speeds[order]
+    k = np.arange(max(0, (int(t[-1]) + step - size) // step + 1))
+    low, high = np.searchsorted(t, k * step, "left"), np.searchsorted(t, k * step + size, "right")
+    known, total = (np.concatenate(([0], np.cumsum(x))) for x in (~np.isnan(v), np.nan_to_num(v)))
+    n = known[high] - known[low]
+    means = (total[high] - total[low]) / np.maximum(n, 1)
+    return [{"k": int(i), "n": int(h - l), "speed": float(m) if some else None} for i, l, h, m, some in zip(k, low, high, means, n > 0, strict=True)]
+
+
+def anchored(points: DataFrame, gap: str = "300 seconds", lateness: str = LATENESS, size_s: int = 120, step_s: int = 60) -> DataFrame:
+    """userId, t0, ts_start, ts_end, n and mean speed of the windows of each session, anchored at its first point and closed at
+    both ends as in batch; emitted once no late row can extend the session. points: userId, time, speed.
+
+    Where windows lie is known only when the first point is, so the state holds a session's points until it ends.
+    """
+
+    @F.pandas_udf("array<struct<k:bigint,n:bigint,speed:double>>")
+    def windows(times: pd.Series, speeds: pd.Series) -> pd.Series:
+        return pd.Series([swept(np.asarray(t, dtype=np.int64), np.asarray(v, dtype=float), size_s * 1_000_000, step_s * 1_000_000) for t, v in zip(times, speeds, strict=True)])
+
+    late = points.withWatermark("time", lateness)
+    held = F.collect_list(F.struct(F.unix_micros("time").alias("t"), F.col("speed").cast("double").alias("v")))
+    s = late.groupBy("userId", F.session_window("time", gap)).agg(F.min("time").alias("t0"), held.alias("__p"))
+    rows = s.select("userId", "t0", F.explode(windows(F.col("__p.t"), F.col("__p.v"))).alias("w"))
+    start = F.unix_micros("t0") + F.col("w.k") * (step_s * 1_000_000)
+    return rows.select("userId", "t0", F.timestamp_micros(start).alias("ts_start"), F.timestamp_micros(start + size_s * 1_000_000).alias("ts_end"), "w.n", "w.speed")
+
+
 def deduplicated(stream: DataFrame, keys: list[str], time: str = "time", lateness: str = LATENESS) -> DataFrame:
     """The first row of each key within the watermark."""
     return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)

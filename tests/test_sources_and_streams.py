@@ -181,3 +181,23 @@ def test_upsert_keeps_the_last_row_in_every_batch(spark, tmp_path):
     write([("d", "n")])
     run("c")
     assert table() == {"a": "last", "b": "z", "c": "w", "d": "n"} and len(ingest.complete(spark, target)) == 2
+
+
+def test_streamed_windows_are_anchored_as_in_batch(spark, tmp_path):
+    """Rows in another order, a gap, points on both ends of a window, unknown speeds; the last session is still open."""
+    from modeflow.operators import windows
+
+    base = 1_700_000_000_000
+    at = [0, 60, 119, 120, 180, 250, 365, 1000, 1001, 1121, 1300]
+    rows = [(u, base + (s + 7 * i) * 1000, None if s == 119 else float(s)) for i, u in enumerate(("u", "v")) for s in at] + [("u", base + 9 * 86_400_000, 1.0)]
+    df = spark.createDataFrame(rows, "userId string, ms bigint, speed double").withColumn("time", F.timestamp_millis("ms"))
+    df.orderBy(F.desc("ms")).coalesce(1).write.parquet(str(tmp_path / "p"))
+    stream = ingest.anchored(ingest.read_new(spark, str(tmp_path / "p"), df.schema)).writeStream.format("memory").queryName("anchored").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    got = {(r["userId"], r["a"], r["b"]): (r["n"], r["speed"]) for r in spark.table("anchored").select("userId", F.unix_millis("ts_start").alias("a"), F.unix_millis("ts_end").alias("b"), "n", "speed").collect()}
+    parts = df.where(F.col("ms") < base + 86_400_000).withColumn("s", (F.col("ms") % 86_400_000 - base % 86_400_000 >= 900_000).cast("int"))
+    anchors = windows.anchors(parts, ["userId", "s"], "ms")
+    full = windows.sliding(anchors).select("userId", "ts_start", "ts_end")
+    held = windows.assign(parts, anchors, ["userId", "s"], time="ms").groupBy("userId", "ts_start").agg(F.count(F.lit(1)).alias("n"), F.avg("speed").alias("speed"))
+    batch = {(r["userId"], r["ts_start"], r["ts_end"]): (r["n"] or 0, r["speed"]) for r in full.join(held, ["userId", "ts_start"], "left").collect()}
+    assert len(got) == len(batch) > 10 and got == batch

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modeflow import schemas
 from modeflow.config import City
-from modeflow.operators import evaluation, models, quality, splits
+from modeflow.operators import evaluation, models, quality, selection, splits
 from modeflow.plans import labels, workflows
 
 
@@ -76,3 +76,63 @@ def test_small_helpers(spark):
     assert 600 < masked.where("B_x is null").count() < 800
     edges = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (2.1,)], "x double").select(quality.binned(F.col("x"), [0.0, 1.0, 2.0], ["a", "b"]).alias("b"))
     assert [r["b"] for r in edges.collect()] == [None, "a", "b", None]
+
+
+def test_curves_and_permuted_labels(spark):
+    """Masking more positions costs accuracy, down to guessing; labels dealt to other rows are worth as little."""
+    rows = [(f"u{i % 4}", f"s{i // 5}", i * 60_000, 1.0, float(i % 3) * 5 + (i % 7) / 10, ("Still", "Walk", "Car")[i % 3]) for i in range(240)]
+    df = spark.createDataFrame(rows, "userId string, session_id string, ts_start bigint, gps_frac double, B_a double, label string")
+    make = lambda: FewTrees(["B_a"], ["Still", "Walk", "Car"])
+    curve = evaluation.degradation_curve({"plain": make().fit(df, "label")}, df, "label", [0.0, 0.5, 1.0])
+    assert curve[0.0]["plain"] == pytest.approx(1.0) and curve[0.0]["plain"] > curve[0.5]["plain"] > curve[1.0]["plain"]
+    worth = evaluation.label_permutation(df, df, make, "label", "label", (0, 1))
+    assert worth["labels"] == pytest.approx(1.0) and worth["permuted_mean"] < 0.7 and worth["majority"] == pytest.approx(0.5 / 3)
+
+
+class FewTrees(models.Hierarchical):
+    def fit(self, df, label):
+        return super().fit(df, label, numTrees=3, maxDepth=3)
+
+
+def test_columns_too_close_go_within_the_fold(spark):
+    rows = [(float(i), float(i) ** 3 if i % 4 else None, float((i * 37) % 50)) for i in range(50)]
+    df = spark.createDataFrame(rows, "x double, cubed double, other double")
+    assert selection.apart(df, ["x", "cubed", "other"], 0.7) == ["x", "other"]
+    assert selection.apart(df, ["cubed", "x", "other"], 0.7) == ["cubed", "other"]
+    assert selection.apart(df, ["x", "cubed", "other"], 1.1) == ["x", "cubed", "other"]
+
+
+def test_ranks_of_whole_and_of_broken_columns_agree(spark):
+    """Columns without nulls go together, pairs with one apart: the same numbers as ranking each pair by itself."""
+    import pandas as pd
+
+    rows = [(float(i % 7), float((i * 13) % 11), float(i % 3) if i % 5 else None, 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, one double")
+    got = {(r["a"], r["b"]): (r["n"], r["rho"]) for r in selection.spearman_pairs(df, ["a", "b", "c", "one"]).collect()}
+    each = {(r["a"], r["b"]): (r["n"], r["rho"]) for r in selection.spearman_each(df, list(got)).collect()}
+    assert len(got) == 6 and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in each.items()}
+    assert all(got[k][1] == pytest.approx(each[k][1]) for k in got) and got[("a", "one")][1] == 0
+    known = pd.DataFrame(rows, columns=["a", "b", "c", "one"])
+    assert got[("a", "b")][1] == pytest.approx(known["a"].rank().corr(known["b"].rank()))
+    assert selection.spearman_pairs(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_stratified_folds(spark):
+    """No session is split; each kind of session is spread evenly; null labels count as a kind, null sessions have no fold."""
+    rows = [(f"s{i}", ("Walk", "Car", None)[i % 3] if j else "Bus") for i in range(60) for j in range(3 + i % 4)] + [(None, "Walk")]
+    df = splits.stratified_folds(spark.createDataFrame(rows, "session_id string, label string"), "label")
+    assert df.where("session_id is not null").groupBy("session_id").agg(F.count_distinct("fold").alias("k"), F.count("fold").alias("f")).where("k <> 1 or f < 3").count() == 0
+    assert df.count() == len(rows) and df.where("fold is null").count() == 1
+    kinds = spark.createDataFrame([(f"s{i}", i % 3) for i in range(60)], "session_id string, kind int")
+    n = df.select("session_id", "fold").distinct().join(kinds, "session_id").groupBy("fold", "kind").count().collect()
+    assert len(n) == 15 and {r["count"] for r in n} == {4}
+
+
+def test_left_joins_keep_their_rows(spark):
+    from modeflow.operators.joins import left_kept
+
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string")
+    once = spark.createDataFrame([(1, 10), (3, 30), (None, 40), (None, 50)], "k int, w int")
+    assert sorted(map(str, left_kept(left, once, ["k"]).collect())) == sorted(map(str, left.join(once, "k", "left").collect()))
+    with pytest.raises(Exception, match="more than one row on the right"):
+        left_kept(left, once.union(once), ["k"]).collect()
