@@ -57,19 +57,20 @@ def near_pairs(points: DataFrame, places: DataFrame, within_m: float) -> DataFra
     return met.withColumn("dist_m", haversine(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))).where(F.col("dist_m") <= within_m)
 
 
-def nearest(points: DataFrame, places: DataFrame, name: str = "dist_m", step: int = 2048) -> DataFrame:
-    """points with the exact distance to the nearest place, null without places.
+def nearest(points: DataFrame, places: DataFrame, name: str = "dist_m", step: int = 1024) -> DataFrame:
+    """points with the exact distance to the nearest place, null without places; places without a position are none.
 
-    Layers are small maps: they are collected only after a count shows them within BROADCAST_PLACES, and each task compares
-    its points to them in blocks, by chord lengths. Larger layers go through `nearest_by_cells`.
+    Layers are small maps: they are collected only after a count shows them within BROADCAST_PLACES, and travel in boxes, so
+    a point meets about the square root of their number. Larger layers go through `nearest_by_cells`.
     """
     spark = points.sparkSession
+    places = places.select("lat", "lon").where("lat is not null and lon is not null")
     n = places.count()
     if n == 0:
         return points.withColumn(name, F.lit(None).cast("double"))
     if n > BROADCAST_PLACES:
         return nearest_by_cells(points, places, name)
-    known = spark.sparkContext.broadcast(unit(*(places.select("lat", "lon").toPandas().to_numpy(float).T)))
+    known = spark.sparkContext.broadcast(boxes(unit(*(places.toPandas().to_numpy(float).T))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,12 +79,7 @@ def nearest(points: DataFrame, places: DataFrame, name: str = "dist_m", step: in
             ok = np.flatnonzero(~np.isnan(lat) & ~np.isnan(lon))
             for i in range(0, len(ok), step):
                 at = ok[i : i + step]
-                mine = unit(lat[at], lon[at])
-                best = np.full(len(at), np.inf)
-                for j in range(0, len(known.value), step):
-                    other = known.value[j : j + step]
-                    best = np.minimum(best, ((mine[:, None, :] - other[None, :, :]) ** 2).sum(axis=2).min(axis=1))
-                out[at] = 2 * EARTH_M * np.arcsin(np.minimum(1, np.sqrt(best) / 2))
+                out[at] = 2 * EARTH_M * np.arcsin(np.minimum(1, np.sqrt(chords(unit(lat[at], lon[at]), *known.value)) / 2))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, from_pandas=True)], [*batch.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
@@ -91,6 +87,35 @@ def nearest(points: DataFrame, places: DataFrame, name: str = "dist_m", step: in
     return points.mapInArrow(run, StructType([*points.schema.fields, StructField(name, DoubleType())]))
 
 
+def boxes(places: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Places on the unit sphere in boxes of at most the square root of their number, with the lower and upper corners."""
+    most, todo, done = max(16, math.isqrt(len(places))), [places], []
+    while todo:
+        part = todo.pop()
+        if len(part) <= most:
+            done.append(part)
+            continue
+        half = len(part) // 2
+        part = part[np.argpartition(part[:, np.ptp(part, axis=0).argmax()], half)]
+        todo += [part[:half], part[half:]]
+    return done, np.stack([d.min(axis=0) for d in done]), np.stack([d.max(axis=0) for d in done])
+
+
+def chords(points: np.ndarray, parts: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared chords to the nearest place: each point looks into the nearest box left, until none can hold a nearer place."""
+    gap = sum(np.maximum(0, np.maximum(low[:, a] - points[:, a, None], points[:, a, None] - high[:, a])) ** 2 for a in range(3))
+    best, looking = np.full(len(points), np.inf), np.arange(len(points))
+    while len(looking):
+        box = gap[looking].argmin(axis=1)
+        nearer = gap[looking, box] < best[looking]
+        looking, box = looking[nearer], box[nearer]
+        gap[looking, box] = np.inf
+        for b in np.unique(box):
+            at = looking[box == b]
+            best[at] = np.minimum(best[at], ((points[at, None, :] - parts[b]) ** 2).sum(axis=2).min(axis=1))
+    return best
+
+
 def unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     a, b = np.radians(lat), np.radians(lon)
     return np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)], axis=1)

@@ -116,10 +116,18 @@ def confusion_weighted(spark, sf):
     return rounded(aggregate.confusion(pairs(spark, sf), "t", "p", weight=F.col("w")))
 
 
-@query()
+@query(PAIRS + """, c AS (SELECT t, p, count(*) AS n FROM pairs WHERE l_orderkey % 2 = 1 GROUP BY ALL), k AS (SELECT unnest([1, 2, 3, 4]) AS k, unnest(['Walk', 'Bus', 'Car', 'Train']) AS mode),
+m AS (SELECT a.k AS i, b.k AS j, coalesce(coalesce(n, 0) / (SELECT sum(n) FROM c WHERE t = a.mode)::DOUBLE, CASE WHEN a.k = b.k THEN 1 ELSE 0 END) AS v FROM k a CROSS JOIN k b LEFT JOIN c ON c.t = a.mode AND c.p = b.mode),
+s AS (SELECT k AS j, count(p) / sum(count(p)) OVER ()::DOUBLE AS v FROM k LEFT JOIN pairs ON p = mode AND l_orderkey % 2 = 0 GROUP BY k),
+orders AS (SELECT a.k AS a, b.k AS b, c.k AS c, d.k AS d, sign((b.k - a.k) * (c.k - a.k) * (d.k - a.k) * (c.k - b.k) * (d.k - b.k) * (d.k - c.k)) AS sign FROM k a, k b, k c, k d),
+system AS (SELECT x.x, m.j, m.i, CASE WHEN m.i = x.x THEN s.v ELSE m.v END AS v FROM m JOIN s USING (j), (SELECT unnest([0, 1, 2, 3, 4]) AS x) x),
+det AS (SELECT w.x, sum(sign * w.v * x.v * y.v * z.v) AS det FROM orders JOIN system w ON w.j = 1 AND w.i = a JOIN system x ON x.x = w.x AND x.j = 2 AND x.i = b JOIN system y ON y.x = w.x AND y.j = 3 AND y.i = c JOIN system z ON z.x = w.x AND z.j = 4 AND z.i = d WHERE sign <> 0 GROUP BY w.x),
+solved AS (SELECT x AS k, greatest(0, det / (SELECT det FROM det WHERE x = 0)) AS v FROM det WHERE x > 0)
+SELECT mode, round(s.v, 6) AS share, round(solved.v / (SELECT sum(v) FROM solved), 6) AS corrected FROM k JOIN s ON s.j = k.k JOIN solved ON solved.k = k.k""")
 def quantify(spark, sf):
+    """Shares freed from confusion; the SQL solves the same four equations by determinants."""
     rows = pairs(spark, sf)
-    return aggregate.corrected_split(rows.where("l_orderkey % 2 = 0"), "p", rows.where("l_orderkey % 2 = 1"), "t", "p")
+    return rounded(aggregate.corrected_split(rows.where("l_orderkey % 2 = 0"), "p", rows.where("l_orderkey % 2 = 1"), "t", "p"), 6)
 
 
 @query(PAIRS + """ SELECT p AS mode, round(sum(w / 10.0::DOUBLE), 2) AS km, round(sum(w / 10.0::DOUBLE) * CASE p WHEN 'Bus' THEN 100 WHEN 'Car' THEN 170 WHEN 'Train' THEN 40 ELSE 0 END, 1) AS co2_g FROM pairs GROUP BY p""")
@@ -384,12 +392,15 @@ def bootstrap_ci(spark, sf):
     return f.agg(F.percentile("macro_f1", F.lit(0.025)).alias("low"), F.avg("macro_f1").alias("mean"), F.percentile("macro_f1", F.lit(0.975)).alias("high"))
 
 
-@query()
+@query(PAIRS + """, g AS (SELECT l_orderkey % 997 AS k, count(*) AS n, count(*) FILTER (WHERE t = p) AS s FROM pairs GROUP BY ALL), r AS (SELECT k, row_number() OVER o AS i, sum(n) OVER o AS n, sum(s) OVER o AS s FROM g WINDOW o AS (ORDER BY k)),
+f AS (SELECT i AS first, n, s FROM r UNION ALL SELECT 0, 0, 0), spans AS (SELECT f.first, r.i, (r.s - f.s) / (r.n - f.n)::DOUBLE AS mean FROM f JOIN r ON r.i > f.first), lows AS (SELECT first, i, min(mean) OVER (PARTITION BY first ORDER BY i DESC) AS low FROM spans)
+SELECT k / 997.0::DOUBLE AS prob, round(max(low), 6) AS calibrated FROM lows JOIN r USING (i) GROUP BY k""")
 def isotonic_calibration(spark, sf):
+    """The fitted map at each probability; the SQL takes, of all runs that begin at or before it, the largest of the least means."""
     rows = pairs(spark, sf).withColumn("prob", (F.col("l_orderkey") % 997) / F.lit(997.0))
     fitted = metrics.isotonic(rows, "prob", F.col("t") == F.col("p"))
     points = rows.select("prob").distinct().select("prob", array_to_vector(F.array("prob")).alias("__f"))
-    return fitted.transform(points).select("prob", F.col("prediction").alias("calibrated"))
+    return fitted.transform(points).select("prob", (F.round("prediction", 6) + 0.0).alias("calibrated"))
 
 
 _MASKED = f"""n > 0 AND {drawn_sql('"userId"', 'session_id', 'ts_start', seed=42)} < 0.7"""

@@ -187,7 +187,7 @@ def map_lookup(spark, sf):
     return rows.select("l_orderkey", remapped(F.col("m"), {"0": "Walk", "1": "Car", "2": "Bus", "3": "Still"}).alias("mode"), "l_linenumber")
 
 
-@query()
+@query("""SELECT CAST(user_id AS VARCHAR) AS "userId", CAST(round((epoch_us(ts) / 86400000000.0::DOUBLE + 25569 - 25569) * 86400000.0::DOUBLE) AS BIGINT) AS "timestamp", 46.0::DOUBLE + event_id / 1000000.0::DOUBLE AS latitude, 11.1::DOUBLE AS longitude FROM events""")
 def archive_readers(spark, sf):
     """Points and labels of a trajectory archive written from events, in its own text formats."""
     ev = spark.read.parquet(f"{sf}/events.parquet")

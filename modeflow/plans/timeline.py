@@ -247,6 +247,67 @@ def imu_eigen(spark, sf):
     return e.select("userId", *[(F.round(c, 4) + 0.0).alias(c) for c in ("A_gyr_d2v_mean", "A_gyr_d2v_p95", "A_gyr_d2v_std", "A_gyr_d2v_iqr", "A_gyr_angle_mean", "A_gyr_angle_std")], *made)
 
 
+#: Signals of the inertial features that SQL repeats: column of `sig`, prefix, with mean and so on, with crossings of zero.
+_PACKS = [("acc_mag", "A_acc_mag", True, True), *[(f"a{a}", f"A_acc_{a}", False, False) for a in "xyz"], ("gyr_mag", "A_gyr_mag", True, True), *[(f"gyr_{a}", f"A_gyr_{a}", True, True) for a in "xyz"], ("jerk", "A_jerk", True, True)]
+_CROSSED = [x for x, _, _, zcr in _PACKS if zcr]  # a z-scored axis may differ from 0 by rounding alone
+_SPREADS = [(f"{n}_{q}", f"A_{n}_{q}", least) for n in ("acc", "gyr") for q, least in (("angle", 3), ("d2v", 4))]
+
+
+def _packs() -> dict[str, str]:
+    """Features by name, as SQL over a session's rows: columns are the signals, <signal>_z standardised and <signal>_c crossed."""
+    out = {}
+    for x, name, full, zcr in _PACKS:
+        of = lambda sql, x=x: f"round(CASE WHEN count({x}) > 0 THEN {sql} END, 5) + 0"
+        out |= {f"{name}_skew": of(f"coalesce(avg({x}_z ** 3), 0)"), f"{name}_kurt": of(f"coalesce(avg({x}_z ** 4) - 3, 0)"), f"{name}_iqr": of(f"quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25)")}
+        if zcr:
+            out[f"{name}_zcr"] = of(f"count(*) FILTER (WHERE {x}_c) / count({x})::DOUBLE")
+        if full:
+            out |= {f"{name}_mean": of(f"avg({x})"), f"{name}_std": of(f"stddev_pop({x})"), f"{name}_rms": of(f"sqrt(avg({x} * {x}))")}
+    for x, name, least in _SPREADS:
+        of = lambda sql, least=least: f"round(CASE WHEN count(*) >= {least} THEN {sql} END, 5) + 0"
+        out |= {f"{name}_mean": of(f"avg({x})"), f"{name}_std": of(f"stddev_pop({x})"), f"{name}_iqr": of(f"quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25)"), f"{name}_p95": of(f"quantile_cont({x}, 0.95)")}
+    for n, axes in (("acc", ("ax", "ay", "az")), ("gyr", ("gyr_x", "gyr_y", "gyr_z"))):
+        out[f"A_{n}_sma"] = f"round(avg({' + '.join(f'abs({a})' for a in axes)}), 5)"
+        for a, b in ((0, 1), (0, 2), (1, 2)):
+            x, y = axes[a], axes[b]
+            norm = f"(count(*) * stddev_pop({x}) * stddev_pop({y}))"
+            out[f"A_{n}_corr_{'xyz'[a]}{'xyz'[b]}"] = f"round(CASE WHEN {norm} < 1e-10 THEN 0 ELSE count(*) * covar_pop({x}, {y}) / {norm} END, 5) + 0"
+    out |= {f"A_acc_mag_p{k}": f"round(quantile_cont(acc_mag, 0.{k}), 5)" for k in (25, 75)}
+    out |= {"A_acc_mag_ptp": "round(max(acc_mag) - min(acc_mag), 5) + 0", "A_gyr_acc_ratio": "round(avg(gyr_mag) / (avg(acc_mag) + 1e-6), 5)"}
+    return out
+
+
+def _turned(axes: tuple[str, ...]) -> str:
+    """The angle between a row's vector and the one before, in SQL."""
+    dot = " + ".join(f"{a} * lag({a}) OVER w" for a in axes)
+    norms = [f"sqrt({' + '.join(f'{v} * {v}' for v in vs)})" for vs in (axes, [f"lag({a}) OVER w" for a in axes])]
+    return f"acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ({dot}) / nullif({norms[0]} * {norms[1]} + 1e-9, 0))))"
+
+
+def _bent(axes: tuple[str, ...]) -> str:
+    return "sqrt(" + " + ".join(f"({a} - 2 * lag({a}) OVER w + lag({a}, 2) OVER w) ** 2" for a in axes) + ")"
+
+
+_ACC, _GYR = ("ax", "ay", "az"), ("gyr_x", "gyr_y", "gyr_z")
+_ORDER = """w AS (PARTITION BY "userId", session_id ORDER BY "timestamp", event_id), u AS (PARTITION BY "userId", session_id)"""
+PACKS = (
+    WINDOWS
+    + f""", mine AS (SELECT s.session_id, p.* FROM work s JOIN samples p ON p."userId" = s."userId" AND p."timestamp" BETWEEN s.t0_ms AND s.t1_ms),
+zed AS (SELECT "userId", session_id, event_id, "timestamp", gyr_x, gyr_y, gyr_z, {", ".join(f"CASE WHEN stddev_pop(acc_{a}) OVER u > 1e-6 THEN (acc_{a} - avg(acc_{a}) OVER u) / stddev_pop(acc_{a}) OVER u ELSE acc_{a} END AS a{a}" for a in "xyz")} FROM mine WINDOW {_ORDER}),
+sig AS (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS acc_mag, sqrt(gyr_x * gyr_x + gyr_y * gyr_y + gyr_z * gyr_z) AS gyr_mag, 50.0::DOUBLE * sqrt({" + ".join(f"({a} - lag({a}) OVER w) ** 2" for a in _ACC)}) AS jerk, CASE WHEN lag(ax) OVER w IS NOT NULL THEN {_turned(_ACC)} END AS acc_angle, CASE WHEN lag(ax) OVER w IS NOT NULL THEN {_turned(_GYR)} END AS gyr_angle, {_bent(_ACC)} AS acc_d2v, {_bent(_GYR)} AS gyr_d2v FROM zed WINDOW {_ORDER}),
+std AS (SELECT *, {", ".join(f"CASE WHEN stddev_pop({x}) OVER u >= 1e-10 THEN ({x} - avg({x}) OVER u) / stddev_pop({x}) OVER u END AS {x}_z" for x, *_ in _PACKS)}, {", ".join(f"sign({x}) <> lag(sign({x})) OVER w AS {x}_c" for x in _CROSSED)} FROM sig WINDOW {_ORDER})"""
+)
+
+
+@query(PACKS + f""" SELECT "userId", session_id, {", ".join(f'{sql} AS "{name}"' for name, sql in _packs().items())} FROM std GROUP BY ALL""")
+def imu_packs(spark, sf):
+    """Those inertial features of each session that SQL can repeat, by the operator behind `imu_full`."""
+    from ..operators.spectral import features
+
+    names = list(_packs())
+    return rounded(features(View(spark, sf).inside(T.samples(spark, sf)), ["userId", "session_id"], columns=names), 5)
+
+
 @query()
 def imu_full(spark, sf):
     """All 188 inertial features of each session: filters and spectra in grouped Arrow batches."""

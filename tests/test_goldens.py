@@ -157,6 +157,24 @@ def test_proximity_of_missing_layers(spark):
     assert all(none[c] is None for c in schemas.FEATURES_C)
 
 
+@pytest.mark.parametrize("n", [1, 16, 17, 500, 3000])
+def test_nearest_by_boxes_is_exact(n):
+    draw = np.random.default_rng(n)
+    places, points = (spatial.unit(draw.uniform(-90, 90, k), draw.uniform(-180, 180, k)) for k in (n, 400))
+    places = np.concatenate([places, places[: n // 2]])  # repeated places, too
+    parts = spatial.boxes(places)
+    assert sum(map(len, parts[0])) == len(places) and max(map(len, parts[0])) <= max(16, len(places) ** 0.5)
+    assert np.allclose(spatial.chords(points, *parts), ((points[:, None] - places) ** 2).sum(axis=2).min(axis=1), rtol=0, atol=1e-15)
+
+
+def test_nearest_passes_over_missing_positions(spark):
+    points = spark.createDataFrame([(1, 46.0, 11.0), (2, None, 11.0)], "i int, latitude double, longitude double")
+    places = spark.createDataFrame([(None, 11.0), (46.0, 11.001)], "lat double, lon double")
+    got = {r["i"]: r["dist_m"] for r in spatial.nearest(points, places).collect()}
+    assert got[1] == pytest.approx(77.24, abs=0.01) and got[2] is None
+    assert all(r["dist_m"] is None for r in spatial.nearest(points, places.where("lat is null")).collect())
+
+
 def test_nearest_by_cells_agrees(spark, sf):
     from modeflow.plans import trajectory as T
 
