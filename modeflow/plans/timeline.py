@@ -145,6 +145,16 @@ def gps_kinematics(spark, sf):
     return k.select(*KEYS, "B_n_gps", "B_n_valid_pairs", F.round("B_dist_total_m", 2).alias("B_dist_total_m"), "B_n_stops", *[(F.round(c, 4) + 0.0).alias(c) for c in names])
 
 
+@query(KINEMATICS + """, high AS (SELECT "userId", session_id, ts_start, CASE WHEN event_id % 10 > 0 THEN 180 + CAST(event_id * 43 % 211 AS DOUBLE) / 2 END AS altitude FROM ok), alt AS (SELECT "userId", session_id, ts_start, avg(altitude) AS m, stddev_pop(altitude) AS s, max(altitude) - min(altitude) AS r FROM high GROUP BY ALL HAVING count(altitude) >= 3)
+SELECT "userId", session_id, ts_start, round(m, 4) AS "B_alt_mean", round(s, 4) AS "B_alt_std", round(r, 4) AS "B_alt_range" FROM kin JOIN alt USING ("userId", session_id, ts_start) WHERE speed_mean IS NOT NULL""")
+def gps_altitude(spark, sf):
+    """Altitudes of the windows: the view's fixes with a made-up height, a tenth of them without a valid one."""
+    height = F.when(F.col("event_id") % 10 > 0, F.lit(180.0) + (F.col("event_id") * 43 % 211).cast("double") / 2).otherwise(-9999.0)
+    fixes = quality.accuracy_filter(T.fixes(spark, sf)).withColumn("altitude", height)
+    k = gps.kinematics(View(spark, sf).assigned(fixes), KEYS)
+    return rounded(k.where("B_alt_mean is not null").select(*KEYS, "B_alt_mean", "B_alt_std", "B_alt_range"))
+
+
 @query(KINEMATICS + """ SELECT "userId", session_id, ts_start, round(path_efficiency, 4) AS "B_path_efficiency" FROM kin WHERE path_efficiency IS NOT NULL""")
 def path_efficiency(spark, sf):
     return rounded(kinematic(spark, sf).where("B_path_efficiency is not null").select(*KEYS, "B_path_efficiency"))
@@ -308,6 +318,21 @@ def imu_packs(spark, sf):
     return rounded(features(View(spark, sf).inside(T.samples(spark, sf)), ["userId", "session_id"], columns=names), 5)
 
 
+_FIELD = {"mag_x": ("gyr_x", 40.0, 21.0), "mag_y": ("gyr_y", 35.0, -7.0), "mag_z": ("gyr_z", 30.0, -40.0)}
+
+
+@query(PACKS + f""", field AS (SELECT "userId", session_id, event_id, {", ".join(f"{x} * {by}::DOUBLE + {to}::DOUBLE AS {m}" for m, (x, by, to) in _FIELD.items())} FROM mine)
+SELECT "userId", session_id, round(avg(sqrt(mag_x * mag_x + mag_y * mag_y + mag_z * mag_z)), 5) AS "A_mag_mag_mean", round(stddev_pop(sqrt(mag_x * mag_x + mag_y * mag_y + mag_z * mag_z)), 5) AS "A_mag_mag_std",
+  {", ".join(f'round(CASE WHEN count(*) * stddev_pop(mag_{a}) * stddev_pop(mag_{b}) < 1e-10 THEN 0 ELSE covar_pop(mag_{a}, mag_{b}) / (stddev_pop(mag_{a}) * stddev_pop(mag_{b})) END, 5) + 0 AS "A_mag_corr_{a}{b}"' for a, b in ("xy", "xz", "yz"))} FROM field GROUP BY ALL""")
+def imu_magnetometer(spark, sf):
+    """Magnetometer features of each session: the view's samples with a field made of their rotations."""
+    from ..operators.spectral import features
+
+    samples = T.samples(spark, sf).withColumns({m: F.col(x) * by + to for m, (x, by, to) in _FIELD.items()})
+    names = ["A_mag_mag_mean", "A_mag_mag_std", "A_mag_corr_xy", "A_mag_corr_xz", "A_mag_corr_yz"]
+    return rounded(features(View(spark, sf).inside(samples), ["userId", "session_id"], columns=names), 5)
+
+
 @query()
 def imu_full(spark, sf):
     """All 188 inertial features of each session: filters and spectra in grouped Arrow batches."""
