@@ -68,11 +68,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """The rows of df with __size, __source_size, __target and __taken (words that the mix takes, repeats counted).
 
     A null text has size 0, a null source is a source of its own and comes last. Rows that repeat an id are separate
-    documents. Columns of df may have any names that do not begin with two underscores.
+    documents, in the order of their texts; rows without an id are dealt to shards by theirs. Columns of df may have any
+    names that do not begin with two underscores.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     rows = df.withColumn("__size", F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("bigint"))
-    rows = rows.withColumn("__key", key).withColumn("__digest", seeded(F.coalesce(F.col(id_col), F.lit(-1))))
+    identity = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(text_or_empty(text_col).cast("binary"))))
+    rows = rows.withColumn("__key", key).withColumn("__digest", seeded(identity)).withColumn("__tie", F.xxhash64(text_or_empty(text_col)))
     small = cut(rows.select(F.col(source_col).alias("source"), "__key", "__digest", F.col("__size").alias("size")))
     targets = source_targets(small).withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
     targets = targets.withColumn("__seats", F.round(F.sum("target").over(W.partitionBy()) / block).cast("bigint")).withColumn("__all", F.lit(1))
@@ -87,7 +89,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     quotas = quotas.withColumn("__o", F.pmod(number(seeded(F.col("__key"), F.col("__shard"))), F.col("__n")))
     quotas = cut(quotas.select("__key", "__shard", "__words", "__n", "__q", "__o", F.col("source_size").alias("__source_size"), F.col("target").alias("__target")))
     placed = rows.withColumn("__shard", shard)
-    placed = placed.withColumn("__end", F.sum("__size").over(W.partitionBy("__key", "__shard").orderBy("__digest", "__size").rowsBetween(W.unboundedPreceding, 0)))
+    placed = placed.withColumn("__end", F.sum("__size").over(W.partitionBy("__key", "__shard").orderBy("__digest", "__size", "__tie").rowsBetween(W.unboundedPreceding, 0)))
     placed = placed.join(quotas, ["__key", "__shard"])
     edge = lambda b: F.expr(f"(({b}) * __words) div __n")
     overlap = lambda a, b: F.greatest(F.lit(0), F.least(F.col("__end"), b) - F.greatest(F.col("__end") - F.col("__size"), a))
@@ -110,7 +112,7 @@ def op4_mixing(spark, sf_dir):
 
 #: The same rows by ranking every quotient of every party.
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '-1') || '/17') AS h FROM documents),
+WITH d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, ''))) || '/17') AS h FROM documents),
 ranked AS (SELECT k, CAST(sum(size) AS BIGINT) AS total, row_number() OVER (ORDER BY any_value(source) NULLS LAST) AS rn FROM d GROUP BY k),
 weighed AS (SELECT *, CAST([1, 2, 3][(rn - 1) % 3 + 1] AS DOUBLE) AS w, total * 3.0::DOUBLE AS most FROM ranked),
 levels AS (SELECT *, (sum(total) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY most / w, rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),

@@ -7,7 +7,7 @@ windows have the size of their tier, a power of two, and so need no padding. Wha
 into powers of two. The sequences of a block are dealt to step groups of about equal tokens.
 
 No shuffle: each task packs the documents of its partition in blocks of bounded tokens, and hands the open rest to the next
-block.
+block. Each partition ends in a few short sequences, so a table of very many tiny partitions is better coalesced before.
 """
 
 from __future__ import annotations
@@ -56,6 +56,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {}
 
@@ -71,15 +72,15 @@ class Encoder:
             if own is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4"))
             else:
-                out.append(np.frombuffer(b"".join([kept[p] for p in own]), "<u2").astype("<u4"))
+                out.append(np.frombuffer(b"".join([kept[p] for p in own]), self.kind).astype("<u4"))
         return out
 
     def learn(self, missing: list[str]) -> None:
         for i in range(0, len(missing), 1000):
             some = missing[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
             raw, at = ids.tobytes(), 0
-            for part, end in zip(some, ((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist(), strict=True):
+            for part, end in zip(some, ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist(), strict=True):
                 self.kept[part] = raw[at:end]
                 at = end
 

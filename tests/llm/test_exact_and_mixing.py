@@ -91,6 +91,14 @@ def test_mix(spark, sf, odd_docs, no_docs):
     assert {r["__taken"] for r in mixing.mix(blank).collect()} == {0}
 
 
+def test_mix_deals_rows_without_an_id(spark):
+    """Null ids go to shards by their texts; rows that repeat an id and a size stand in the order of their texts."""
+    rows = [(None, f"w{i} x y", "a") for i in range(300)] + [(7, f"{i % 10} words", "a") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken = [sorted((r["text"], r["__taken"]) for r in mixing.mix(d, shard_words=100).collect()) for d in (df, df.orderBy(F.desc("text")).repartition(7))]
+    assert taken[0] == taken[1] and sum(t for _, t in taken[0]) == pytest.approx(1100, abs=64)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 11), (11, 12), (12, 10), (5, 5)] + [(100 + i, 101 + i) for i in range(200)] + [(1000, 2000 + i) for i in range(500)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

@@ -137,6 +137,13 @@ def test_encoder_equals_tokenizer(a, b):
     assert [x.tolist() for x in e(texts)] == [e.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_encoder_of_larger_vocabularies():
+    wide = packing.Encoder(packing.default_path())
+    wide.kind = np.dtype("<u4")
+    text = "A page of words, 12 of them; it's over."
+    assert wide([text])[0].tolist() == wide.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 5000), max_size=40))
 def test_packer_keeps_every_token(lengths):
