@@ -157,6 +157,24 @@ def test_proximity_of_missing_layers(spark):
     assert all(none[c] is None for c in schemas.FEATURES_C)
 
 
+def test_bootstrap_weighs_whole_clusters(spark):
+    """Each replicate's macro F1 is that of all rows repeated by a Poisson number of times for their cluster."""
+    draw = random.Random(5)
+    rows = [(c, draw.choice("abc"), draw.choice("abcd")) for c in range(12) for _ in range(draw.randint(1, 5))]
+    df = spark.createDataFrame(rows, "c bigint, t string, p string")
+    got = {r["replicate"]: r["macro_f1"] for r in metrics.bootstrap_f1(df, "c", "t", "p", 40).collect()}
+    drawn = spark.range(12).withColumnRenamed("id", "c").crossJoin(spark.range(1, 41).select(F.col("id").cast("int").alias("k")))
+    u = {(r["c"], r["k"]): r["u"] for r in drawn.select("c", "k", (F.pmod(F.xxhash64("c", "k", F.lit(7)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)).alias("u")).collect()}
+    below = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    weights = {at: int((x > below).sum()) for at, x in u.items()}
+    assert 0.85 < np.mean(list(weights.values())) < 1.15
+    for k in range(1, 41):
+        many = [(t, p) for c, t, p in rows for _ in range(weights[c, k])]
+        classes = {t for t, _ in many}
+        f1 = [2 * sum(t == p == x for t, p in many) / (sum(t == x for t, _ in many) + sum(p == x for _, p in many)) for x in classes]
+        assert got.get(k) == (pytest.approx(sum(f1) / len(f1)) if f1 else None)
+
+
 @pytest.mark.parametrize("n", [1, 16, 17, 500, 3000])
 def test_nearest_by_boxes_is_exact(n):
     draw = np.random.default_rng(n)
