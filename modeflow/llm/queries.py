@@ -11,9 +11,11 @@ from .minhash import op8_minhash
 from .mixing import OP4_SQL, op4_mixing
 from .negatives import OP13_SQL, op13_hard_negatives
 from .packing import op2_packing
+from .phrases import OP11_SQL, op11_collocations
 from .secrets import op5_secrets
 from .toxicity import op3_toxicity
+from .urls import OP12_SQL, op12_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_packing, op3_toxicity, op4_mixing, op5_secrets, op6_lattice_lm, op7_fingerprint, op8_minhash, op9_langid, op10_exact_dedup, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_packing, op3_toxicity, op4_mixing, op5_secrets, op6_lattice_lm, op7_fingerprint, op8_minhash, op9_langid, op10_exact_dedup, op11_collocations, op12_url_filter, op13_hard_negatives)}
 
-ORACLE_SQL = {"op4_mixing": OP4_SQL, "op10_exact_dedup": OP10_SQL, "op13_hard_negatives": OP13_SQL}
+ORACLE_SQL = {"op4_mixing": OP4_SQL, "op10_exact_dedup": OP10_SQL, "op11_collocations": OP11_SQL, "op12_url_filter": OP12_SQL, "op13_hard_negatives": OP13_SQL}
