@@ -445,12 +445,13 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents
-), lines AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
-words AS (SELECT lang, unnest(w) AS p FROM lines),
+), lines AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+words AS (SELECT id, lang, unnest(w) AS p, generate_subscripts(w, 1) AS i FROM lines),
+following AS (SELECT lang, p, lead(p) OVER line AS p2, lead(p, 2) OVER line AS p3 FROM words WINDOW line AS (PARTITION BY id ORDER BY i)),
 grams AS (
   SELECT lang, p, 1 AS size FROM words
-  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p, 2 AS size FROM lines WHERE len(w) >= 2
-  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS p, 3 AS size FROM lines WHERE len(w) >= 3
+  UNION ALL SELECT lang, p || ' ' || p2 AS p, 2 AS size FROM following WHERE p2 IS NOT NULL
+  UNION ALL SELECT lang, p || ' ' || p2 || ' ' || p3 AS p, 3 AS size FROM following WHERE p3 IS NOT NULL
 ), f AS (SELECT lang, p, size, count(*) AS f FROM grams GROUP BY lang, p, size HAVING count(*) >= 10),
 totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
 split AS (SELECT lang, p, size, f AS a, string_split(p, ' ') AS w FROM f WHERE size > 1),
