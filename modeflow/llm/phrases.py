@@ -26,7 +26,9 @@ from . import textops as T
 from .common import stored, table
 
 #: Keys that a task holds before it sends them; words of a shard, about; bits of a filter (as a power of two); copies of a shard that is read.
-FLUSH_KEYS, SHARD_WORDS, MOST_BITS, REPLICAS = 1 << 20, 1 << 22, 26, 4
+FLUSH_KEYS, SHARD_WORDS, MOST_BITS, REPLICAS = 1 << 18, 1 << 22, 26, 4
+#: Words after which a task sends its counts, which then fit 32 bits.
+MOST_SEEN = 1 << 31
 #: Languages whose word counts may be broadcast.
 MOST_LANGS = 10_000
 _GAMMA, _LEVELS = 2, 64
@@ -216,14 +218,16 @@ def occurrences(docs: DataFrame, length: int, frequent, shards: int) -> DataFram
         keys, counts, to = np.column_stack(columns)[order], counts[order], to[order]
         first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
         ends = np.r_[first[1:], len(to)]
+        counts = counts.astype(np.uint32)  # a task sends what it holds before 2^31 words have come
         packed = [(keys[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(first, ends, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(to[first].astype(np.int32)), pa.array([k for k, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary())], ["shard", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[list[np.ndarray], np.ndarray]] = []
-        held = 0
+        held = seen = 0
         for batch in batches:
             for _, _, _, _, hashes, follows in steps(batch):
+                seen += len(hashes)
                 n = len(hashes) - length + 1
                 if n <= 0:
                     continue
@@ -235,12 +239,12 @@ def occurrences(docs: DataFrame, length: int, frequent, shards: int) -> DataFram
                 at = np.flatnonzero(whole)
                 parts.append(merged([hashes[i + at] for i in range(length)], np.ones(len(at), np.int64)))
                 held += len(parts[-1][1])
-                if held > FLUSH_KEYS:
+                if held > FLUSH_KEYS or seen > MOST_SEEN:
                     parts = [merged([np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)], np.concatenate([p[1] for p in parts]))]
                     held = len(parts[0][1])
-                    if held > FLUSH_KEYS // 2:
+                    if held > FLUSH_KEYS // 2 or seen > MOST_SEEN:
                         yield sent(*parts[0])
-                        parts, held = [], 0
+                        parts, held, seen = [], 0, 0
         if held:
             yield sent(*merged([np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)], np.concatenate([p[1] for p in parts])))
 
@@ -285,7 +289,7 @@ def shards_of(found: DataFrame, length: int, least: int, shards: int) -> DataFra
             for s, k, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 shard = s
                 keys = np.frombuffer(k.as_buffer(), np.uint64).reshape(-1, length)
-                runs.append(([np.ascontiguousarray(x) for x in keys.T], np.frombuffer(c.as_buffer(), np.int64)))
+                runs.append(([np.ascontiguousarray(x) for x in keys.T], np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64)))
                 held += len(keys)
                 if held > 2 * last:
                     runs = [together()]
