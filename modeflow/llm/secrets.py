@@ -2,8 +2,9 @@
 
 Strong patterns are reported wherever they match: assignments to secret-like names, access key identifiers, long hexadecimal
 runs. Weaker parts - identifiers, opaque tokens, endpoints - say little alone; they are reported only where complementary
-parts stand in one scope. Scopes are blocks of lines; inside a scope the parts are joined by interval: two parts are linked
-when the gap between them is at most REACH code points.
+parts stand in one scope. Scopes are blocks of lines (an empty line ends one); inside a scope the parts are joined by
+interval: any two that do not overlap are linked, or, where a caller gives a reach, those with a gap of so many code points at
+most.
 """
 
 from __future__ import annotations
@@ -19,8 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Code points between linked parts at most; the end of a scope (an empty line).
-REACH = 160
+#: The end of a scope: an empty line.
 _SCOPE_END = re.compile(r"\n[ \t\r]*\n")
 
 # Fixed patterns of the contract, in the order of its kinds. A run of 24 or more hexadecimal digits is the same set of matches
@@ -30,7 +30,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 BASE = ("assign", "access", "hex")
 # Weak parts: who (an identifier of an account), what (an opaque token), where (an endpoint).
-_WHO = re.compile(r"""\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\b(?:user(?:name|id)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,}+)""", re.IGNORECASE | re.ASCII)
+# An address is read from the start of its run of letters, so no run is read twice, however long it is.
+_WHO = re.compile(r"""(?<![A-Za-z0-9._%+-])[.%+-]*+(?P<mail>[A-Za-z0-9_][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)|\b(?:user(?:name|id)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,}+)""", re.IGNORECASE | re.ASCII)
 _WHAT = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
 _WHERE = re.compile(r"""\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}+|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?\b""", re.ASCII)
 KINDS = (*BASE, "who", "what", "where")
@@ -61,7 +62,7 @@ def furthest(spans: list[tuple[int, int]]) -> tuple[list[int], list[list[tuple[i
     return starts, ends
 
 
-def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH) -> list[tuple[int, int, str]]:
+def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int | None = None) -> list[tuple[int, int, str]]:
     """The weak parts that stand with complementary parts in their scope.
 
     An identifier (`who`) and an endpoint (`where`) need a secret: a strong span other than an access key, or a weak token.
@@ -71,7 +72,7 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
     weak = [(m.start(), m.end(), "what") for m in _WHAT.finditer(text) if opaque(m.group())]
     if not base and not weak:
         return []
-    weak += [(m.start(), m.end(), "who") for m in _WHO.finditer(text)]
+    weak += [(max(m.start(), m.start("mail")), m.end(), "who") for m in _WHO.finditer(text)]
     weak += [(m.start(), m.end(), "where") for m in _WHERE.finditer(text)]
     ends: list[int] = []
     for s in sorted(base):
@@ -80,6 +81,7 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
     free = [w for w in weak if not (k := bisect_left(begins, w[1])) or ends[k - 1] <= w[0]]
     if not free:
         return []
+    apart = len(text) if reach is None else reach
     scopes = [m.start() for m in _SCOPE_END.finditer(text)]
     sides: dict[tuple[str, int], list[tuple[int, int]]] = {}
     for start, end, kind in [*base, *free]:
@@ -88,10 +90,10 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = REACH
     reaching = {key: furthest(spans) for key, spans in sides.items()}
 
     def near(span: tuple[int, int, str], side: str) -> bool:
-        """Whether a span of the side other than this one lies in its scope, `reach` away at most."""
+        """Whether a span of the side other than this one lies in its scope, `apart` away at most."""
         starts, ends = reaching.get((side, bisect_right(scopes, span[0])), ([], []))
-        k = bisect_right(starts, span[1] + reach)
-        return k > 0 and any(e >= span[0] - reach and (s, e) != span[:2] for s, e in ends[k - 1])
+        k = bisect_right(starts, span[1] + apart)
+        return k > 0 and any(e >= span[0] - apart and (s, e) != span[:2] for s, e in ends[k - 1])
 
     needs = {"who": lambda w: near(w, "what"), "what": lambda w: near(w, "who") or near(w, "where"), "where": lambda w: near(w, "what")}
     return [w for w in free if needs[w[2]](w)]
@@ -101,11 +103,11 @@ def spelled(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None) -> DataFrame:
     """id and spans array<struct<start, end, kind, base>> of every row, by start, then by kind as listed in KINDS.
 
     Positions are code points, ends exclusive. A null or empty text has no spans; texts are scanned whole. Repeated rows give
-    repeated results; other columns are ignored. No shuffle.
+    repeated results; other columns are ignored. No shuffle; the time of a text is linear in its length, but for sorting its spans.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

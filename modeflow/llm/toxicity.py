@@ -29,6 +29,9 @@ from .common import bounded_sample, cut, held_out, table
 SAMPLE, SEED = 40_000, 41
 #: Lengths of stems; support and strength that a term needs; words on either side of a match; the most that a text's terms add.
 STEMS, SUPPORT, STRENGTH, WINDOW, MOST = (4, 5, 6), 6, 3.0, 8, 14.0
+#: Terms that chance alone may let pass, of all that are tested; the largest log-odds of a text before any evidence: whatever
+#: share of the labels is toxic, a text without a match stays below 0.2.
+BY_CHANCE, NO_EVIDENCE = 0.05, -1.4
 #: Factors of the contexts (quoted or not; nothing, a reporting word or a word of address near) before any is learned, and
 #: the number of labelled documents that weighs as much as they do.
 FACTORS = {"plain": 1.0, "reported": 0.3, "addressed": 1.25, "quoted plain": 0.35, "quoted reported": 0.105, "quoted addressed": 0.4375}
@@ -41,9 +44,8 @@ _QUOTES = re.compile('["“”„«»‹›\n]')
 # Fixed word lists: reporting words and words of address.
 REPORTING = frozenset("said says say wrote writes called calls quoted quote quotes quoting cited cites word term phrase sagte sagt schrieb nannte zitiert wort begriff dit disait écrit appelé cite mot terme dijo dice escribió llamó cita palabra".split())
 ADDRESS = frozenset("you your you're youre u ya du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti tus usted ustedes".split())
-#: Terms of a lexicon where the labels teach none, and their weight.
-SEEDS = "idiot moron scum loser stupid clown trash pathetic worthless disgusting bastard arschloch trottel connard salaud cabrón imbécil".split()
-SEED_WEIGHT = 4.0
+#: The least weight of a misspelling that clean texts do not hold.
+LEAST_WEIGHT = 4 / 3
 #: Words that a worker keeps as known.
 CLEAN_KEPT = 200_000
 
@@ -284,13 +286,25 @@ class Model:
         hits = matching(self.terms, _TOKEN.findall(low))
         hits = {w: k for w, k in hits.items() if self.weights[k] > 0}
         if not hits:
-            return 1 / (1 + math.exp(-self.prior - self.without))
+            return 1 / (1 + math.exp(-min(NO_EVIDENCE, self.prior + self.without)))
         total = sum(self.weights[k] * max(self.factors[c] for c in kinds) for k, kinds in contexts(low, hits).items())
         return 1 / (1 + math.exp(-self.prior - min(MOST, total)))
 
 
+def support(tested: int, pos: int, neg: int) -> int:
+    """Toxic documents that a term needs: with fewer, chance would let more than BY_CHANCE of the tested terms pass that have
+    nothing to do with the label."""
+    if not pos or not neg:
+        return SUPPORT
+    return max(SUPPORT, math.ceil(math.log(max(1, tested) / BY_CHANCE) / math.log((pos + neg) / pos)))
+
+
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """labelled: (id, text, toxic 0 or 1), of which a bounded sample is used. Seed terms count only where no term is learned.
+    """labelled: (id, text, toxic 0 or 1), of which a bounded sample is used. Where no term is learned every text has the score
+    of one without a match.
+
+    A term needs SUPPORT toxic documents, or as many more as chance would give one of all the terms tested (that a word of so
+    many documents meets toxic ones only): this floor grows with the logarithm of the number of terms, not with the sample.
 
     Terms may have any length; they are those of a cover of the toxic documents, and all strong words whose neighbours vary: words that often stand beside
     other terms, but not in copies only. Every learned word is matched with the edits that its length allows. A stem is matched
@@ -298,21 +312,22 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """
     chosen = bounded_sample(labelled, "id", sample, SEED).select(F.col("toxic").cast("int"), "text")
     pos, neg = chosen.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
-    prior = math.log((pos + 0.5) / (neg + 0.5)) if pos + neg else -3.0
+    prior = min(NO_EVIDENCE, math.log((pos + 0.5) / (neg + 0.5)) if pos + neg else -3.0)
     p, n = F.col("pos"), F.col("neg")
     sure = F.log((p - 1.5 * F.sqrt(p) + 0.5) / (pos + 1.0)) - F.log((n + 0.5) / (neg + 1.0))
-    strong = cut(label_counts(chosen, candidates).where(p >= max(SUPPORT, pos // 100)).withColumn("sure", sure).where(F.col("sure") >= STRENGTH))
+    counted = cut(label_counts(chosen, candidates).where(p >= SUPPORT // 2))
+    least = support(counted.count(), pos, neg)
+    strong = cut(counted.where(p >= least).withColumn("sure", sure).where(F.col("sure") >= STRENGTH))
     rows = strong.orderBy(F.col("sure").desc(), "key").collect()
-    found_terms = cover(chosen, strong.select("key", "sure"), max(SUPPORT // 2, pos // 200)) if rows else []
+    found_terms = cover(chosen, strong.select("key", "sure"), least // 2) if rows else []
     stems = [k[1:] for k in found_terms if k[0] == "^"]
     strong_words = {r["key"][1:]: r["pos"] for r in rows if r["key"][0] == "="}
     near = varied(chosen, frozenset(strong_words)) if strong_words else {}
-    own = [w for w, k in strong_words.items() if w.startswith(tuple(stems)) or near.get(w, 0) >= max(SUPPORT, pos // 100, k / 2)]
+    own = [w for w, k in strong_words.items() if w.startswith(tuple(stems)) or near.get(w, 0) >= max(least, k / 2)]
     words = list(dict.fromkeys([*(k[1:] for k in found_terms if k[0] == "="), *own]))
     terms = tuple((w, False, allowed(w)) for w in words) + tuple((s, True, 0) for s in stems)
     if not terms:
-        seeds = tuple((w, False, allowed(w)) for w in SEEDS)
-        return Model(seeds, {(t, e): SEED_WEIGHT / (1 + e) for t, x in enumerate(seeds) for e in range(x[2] + 1)}, min(prior, -2.0), 0.0)
+        return Model((), {}, prior, 0.0)
 
     def found(text: str) -> set[str]:
         met = contexts(text, matching(terms, _TOKEN.findall(text)))
@@ -329,7 +344,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         for e in range(1, edits + 1):  # unseen misspellings weigh half of the term; those that clean texts hold as well, nothing
             a, b = counts.get(f"{t} {e}", (0, 0))
             weight = 0.5 * weights[t, 0] if not a + b else min(weights[t, 0], odds(a, b, 0.5))
-            weights[t, e] = weight if weight >= SEED_WEIGHT / 3 and (not b or weight >= STRENGTH) else 0.0
+            weights[t, e] = weight if weight >= LEAST_WEIGHT and (not b or weight >= STRENGTH) else 0.0
     return Model(terms, weights, prior, odds(*counts.get("none", (0, 0)), 0.5), learned_factors(counts, odds))
 
 
@@ -383,4 +398,4 @@ def op3_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = learn(labelled_rows(docs, labels, ~held_out(4, 2)))
     found = scored(docs, model)
-    return found.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -1,6 +1,7 @@
 import functools
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -187,11 +188,11 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert len(out) == 10 and all(0 <= x < 0.3 for x in out.values()) and out[1] == out[2]
     assert toxicity.scored(no_docs, model).count() == 0
     none = toxicity.learn(spark.createDataFrame([], "id bigint, text string, toxic int"))
-    assert none.score("hello") < 0.3 and none.score("you idiot") > 0.3
+    assert none.score("hello") == none.score("you idiot") == none.score("") < 0.3  # without labels there is no evidence
 
 
 def test_toxicity_of_a_broad_lexicon(spark):
-    """Misspellings of learned words that a small share of the toxic documents holds; seeds do not count beside learned words."""
+    """Misspellings of learned words that a small share of the toxic documents holds."""
     terms = [f"{a}{b}" for a in ("zwark", "plonth", "vurmig", "quesk", "drabul", "fnorpel") for b in ("iddle", "omat", "ung", "esque", "arro", "ibus")]
     rows = [(i, f"the {terms[i // 2 % 36] if i % 2 else 'calm'} of plain words number{i} here", i % 2) for i in range(1440)]
     model = toxicity.learn(spark.createDataFrame(rows, "id bigint, text string, toxic int"))
@@ -241,6 +242,74 @@ def test_terms_of_any_length(spark):
     assert model.score("a zog here") > 0.9 and model.score(f"a {blob} here") > 0.9 and model.score(f"a {blob}x here") < 0.3 and model.score("a calm here") < 0.3
 
 
+def named(n, rng):
+    """Different made-up words of eight letters, far from each other."""
+    out = []
+    while len(out) < n:
+        w = "".join(rng.choice("bcdfghjklmnpqrstvwz" if i % 2 else "aeiou") for i in range(8))
+        if all(distance(w, o) > 3 for o in out):
+            out.append(w)
+    return out
+
+
+def test_rare_terms_are_learned(spark):
+    """200 terms, each in one of 200 toxic documents and in no other: learned, with their misspellings."""
+    rng = random.Random(1)
+    terms = named(200, rng)
+    text = lambda w, i: " ".join([*(f"p{rng.randrange(300)}" for _ in range(6)), w, *(f"p{rng.randrange(300)}" for _ in range(6)), f"number{i}"])
+    rows = [(i, text(terms[i % 200], i), 1) for i in range(4000)] + [(i, text("calm", i), 0) for i in range(4000, 8000)]
+    model = toxicity.learn(spark.createDataFrame(rows, "id bigint, text string, toxic int"))
+    found = [t for t in terms if model.score(f"a {t} here") >= 0.3]
+    assert len(found) >= 0.9 * len(terms)
+    assert sum(model.score(f"a {t[:3]}x{t[4:]} here") >= 0.3 for t in found) >= 0.9 * len(found)
+    assert all(model.score(f"a p{i} calm thing here") < 0.3 for i in range(300)) and model.score("") < 0.3
+
+
+@pytest.mark.parametrize("share", [0.05, 0.5, 0.9])
+def test_no_evidence_stays_below_the_limit(spark, share):
+    """Whatever share of the labels is toxic, texts without a match are clean, also where no term can be learned."""
+    rows = [(i, f"the {'grumbel' if i < 2000 * share else 'calm'} of plain words number{i} here", int(i < 2000 * share)) for i in range(2000)]
+    frame = lambda rows: spark.createDataFrame(rows, "id bigint, text string, toxic int")
+    model = toxicity.learn(frame(rows))
+    assert model.score("a grumbel here") > 0.5 and model.score("a calm here") == model.score("") < 0.3
+    blind = toxicity.learn(frame([(i, f"plain words number{i}", t) for i, _, t in rows]))
+    assert blind.score("plain words") < 0.3 and blind.score("") < 0.3
+
+
+def test_support_follows_chance():
+    """A term passes if hardly any of the tested ones would by chance; the size of the sample does not matter."""
+    assert toxicity.support(10_000, 4000, 4000) == toxicity.support(10_000, 40, 40) == 18
+    assert toxicity.support(10_000, 400, 3600) == toxicity.SUPPORT == toxicity.support(0, 0, 0) == toxicity.support(5, 9, 0)
+    assert toxicity.support(10**6, 4000, 4000) < toxicity.support(10**9, 4000, 4000) < 40
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "idiat", "tortoise", "tortoisse", "tortose", "calm", "mold", "said", "you", '"', "\n", "x", "dorado"]), max_size=30))
+def test_scores_equal_their_definition(parts):
+    """Every word against every term by edit distance, every context by looking at the words around."""
+    terms = (("idiot", False, 1), ("tortoise", False, 1), ("mold", False, 0), ("dora", True, 0))
+    weights = {(0, 0): 5.0, (0, 1): 2.0, (1, 0): 4.0, (1, 1): 0.0, (2, 0): 3.0, (3, 0): 1.5}
+    model = toxicity.Model(terms, weights, -2.0, -1.0)
+    text = " ".join(parts)
+    tokens = [(m.start(), m.group()) for m in toxicity._TOKEN.finditer(text)]
+    kinds = {}
+    for i, (at, w) in enumerate(tokens):
+        near = [(distance(w, t), k) for k, (t, stem, e) in enumerate(terms) if not stem and distance(w, t) <= e]
+        hit = (min(near)[1], min(near)[0]) if near else (3, 0) if w.startswith("dora") else None
+        if hit is None or not weights[hit]:
+            continue
+        around = {x for _, x in tokens[max(0, i - toxicity.WINDOW) : i + toxicity.WINDOW + 1]}
+        line = text[text.rfind("\n", 0, at) + 1 : (text + "\n").index("\n", at)]
+        marks = [k for k, c in enumerate(line) if c == '"']
+        place = at - text.rfind("\n", 0, at) - 1
+        quoted = any(a < place < b for a, b in zip(marks[::2], marks[1::2], strict=False))
+        kind = "reported" if "said" in around else "addressed" if "you" in around else "plain"
+        kinds.setdefault(hit, set()).add(f"quoted {kind}" if quoted else kind)
+    total = sum(weights[h] * max(toxicity.FACTORS[k] for k in ks) for h, ks in kinds.items())
+    want = 1 / (1 + math.exp(2.0 - min(toxicity.MOST, total))) if kinds else 1 / (1 + math.exp(3.0))
+    assert model.score(text) == pytest.approx(want)
+
+
 @pytest.mark.parametrize(("sf", "recall"), [("sf0.01", 0.6), ("sf0.1", 0.8)])
 def test_toxicity_query(spark, sf, recall):
     """Held-out recall and false positives; with few labels the rarer word families are not learned."""
@@ -292,18 +361,26 @@ def test_links_need_complements(spark, odd_docs, no_docs):
     assert kinds(f"just {token} here") == [] and kinds("see https://db.example.com/x") == [] and kinds("mail a.b@example.com") == []
     assert kinds(f"id {key} and {token}") == ["what"]
     assert sorted(kinds(f"user=adm1n {token} at https://db.example.com/x")) == ["what", "where", "who"]
-    assert kinds(f"user=adm1n\n\n{token}") == [] and kinds("user=adm1n " + "x " * 200 + token) == []
+    assert kinds(f"user=adm1n\n\n{token}") == [] and sorted(kinds("user=adm1n " + "x " * 2500 + token)) == ["what", "who"]
+    text = "user=adm1n " + "x " * 200 + token
+    assert secrets.linked_spans(text, [], 160) == [] != secrets.linked_spans(text, [], 600)
+    mail = "a" * 80 + ".b+c@mail.example.com"
+    assert [(text[s:e], k) for text in [f"{mail} {token}"] for s, e, k in sorted(secrets.linked_spans(text, []))] == [(mail, "who"), (token, "what")]
+    odd = f"..x@a.co ._y@b.co -@c.co %z@d-e.co @f.co w@g {token}"
+    assert [odd[s:e] for s, e, k in sorted(secrets.linked_spans(odd, [])) if k == "who"] == ["x@a.co", "_y@b.co", "z@d-e.co"]
     got = secrets.scan(odd_docs).collect()
     assert len(got) == odd_docs.count() and all(r["spans"] == [] for r in got) and secrets.scan(no_docs).count() == 0
 
 
 def plain_links(text, reach):
     """Every pair of a weak part and a complementary one, by the definition."""
+    reach = len(text) if reach is None else reach
     base = secrets.base_spans(text)
     weak = [(m.start(), m.end(), "what") for m in secrets._WHAT.finditer(text) if secrets.opaque(m.group())]
     if not base and not weak:
         return []
-    weak += [(m.start(), m.end(), k) for k, p in (("who", secrets._WHO), ("where", secrets._WHERE)) for m in p.finditer(text)]
+    weak += [(m.start(), m.end(), k) for k, p in (("where", secrets._WHERE),) for m in p.finditer(text)]
+    weak += [(max(m.start(), m.start("mail")), m.end(), "who") for m in secrets._WHO.finditer(text)]
     free = [w for w in weak if not any(b[0] < w[1] and b[1] > w[0] for b in base)]
     scope = lambda at: len([m for m in re.finditer(r"\n[ \t\r]*\n", text) if m.start() <= at])
     side = {"access": "who", "assign": "what", "hex": "what"}
@@ -312,12 +389,21 @@ def plain_links(text, reach):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["Zx81kQp0Lm29Rt47Vb53Nw ", "user=adm1n ", "user=Zx81kQp0Lm29Rt47Vb53Nw ", "https://db.example.com/x ", "a.b@example.com ", "AKIA" + "A1" * 10 + " ", "10.0.0.1 ", "\n\n", "words of text ", "secret=abcdef12 ", "0a1b2c3d4e5f" * 2 + " "]), max_size=14), st.sampled_from([0, 5, 30, 160]))
+@given(st.lists(st.sampled_from(["Zx81kQp0Lm29Rt47Vb53Nw ", "user=adm1n ", "user=Zx81kQp0Lm29Rt47Vb53Nw ", "https://db.example.com/x ", "a.b@example.com ", "AKIA" + "A1" * 10 + " ", "10.0.0.1 ", "\n\n", "words of text ", "secret=abcdef12 ", "0a1b2c3d4e5f" * 2 + " "]), max_size=14), st.sampled_from([0, 5, 30, 160, None]))
 def test_links_equal_brute_force(parts, reach):
     text = "".join(parts)
     assert sorted(secrets.linked_spans(text, secrets.base_spans(text), reach)) == sorted(plain_links(text, reach))
 
 
+@pytest.mark.parametrize("part", ["a.", "a@", "a-b.", "user=", "%", "a.b@c", "x@y.z ", "Zx81kQp0Lm29Rt47Vb53Nw.", "http://"])
+def test_long_runs_in_time(part):
+    """A million letters of anything that begins a weak part."""
+    text = "Zx81kQp0Lm29Rt47Vb53Nw " + part * (1_000_000 // len(part))
+    began = time.time()
+    secrets.linked_spans(text, secrets.base_spans(text))
+    assert time.time() - began < 8
+
+
 def test_many_spans_in_time():
     """One span that covers a scope's start, and very many weak ones after it."""
     text = "https://a.example.com/" + "x" * 200_000 + " " + "a.b@example.com " * 20_000
