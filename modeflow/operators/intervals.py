@@ -54,3 +54,54 @@ def as_of(frames: DataFrame, intervals: DataFrame, keys: list[str], frame: str =
 def frames(spans: DataFrame, keys: list[str], step_ms: int = 1000, start: str = "t0_ms", end: str = "t1_ms") -> DataFrame:
     """keys and ts_ms of all frames of fixed resolution from the start to the end of each span."""
     return spans.select(*keys, F.explode(F.sequence(F.col(start), F.col(end), F.lit(step_ms).cast("bigint"))).alias("ts_ms")).distinct()
+
+
+def pieces(lists: dict[str, DataFrame], keys: list[str], bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """keys, a, b and a column for each list: the stretches [a, b] (ms, closed) on which no list changes, with its values there.
+
+    lists: keys, started_at, finished_at (closed), seq and value. At each time a list has the value of the interval that started
+    last, then of the last seq, if that one still lasts, else null. Stretches before the first start and after the last end of
+    a key are left out. Rows follow the intervals, not the time between them. Events are sorted within time buckets; the
+    last start of each list and the first event of the next bucket are carried between them, so a long timeline is spread.
+    """
+    names = list(lists)
+    events = None
+    for i, name in enumerate(names):
+        rows = lists[name]
+        state = F.struct(F.col("finished_at").cast("bigint").alias("e"), F.col("value").alias("v"))
+        start = rows.select(*keys, F.col("started_at").cast("bigint").alias("__t"), F.lit(i).alias("__side"), F.col("seq").alias("__seq"), state.alias(f"__s{i}"))
+        end = rows.select(*keys, (F.col("finished_at").cast("bigint") + 1).alias("__t"))
+        part = start.unionByName(end, allowMissingColumns=True)
+        events = part if events is None else events.unionByName(part, allowMissingColumns=True)
+    events = events.where("__t is not null").withColumn("__b", F.floor(F.col("__t") / bucket_ms))
+    states = [f"__s{i}" for i in range(len(names))]
+    last = [F.max_by(s, F.when(F.col(s).isNotNull(), F.struct("__t", "__seq"))).alias(s) for s in states]
+    spots = events.groupBy(*keys, "__b").agg(F.min("__t").alias("__first"), *last)
+    order = W.partitionBy(*keys).orderBy("__b")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    carried = spots.select(*keys, "__b", F.lead("__first").over(order).alias("__after"), *[F.last(s, ignorenulls=True).over(before).alias(f"__c{s}") for s in states])
+    inside = W.partitionBy(*keys, "__b").orderBy("__t", F.col("__seq").asc_nulls_first())
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    seen = events.withColumns({"__next": F.lead("__t").over(inside)} | {s: F.last(s, ignorenulls=True).over(upto) for s in states})
+    both = seen.join(carried, [*keys, "__b"]).withColumn("__next", F.coalesce("__next", "__after")).where("__next > __t")
+    value = lambda s: F.when(F.col("__t") <= F.coalesce(F.col(s), F.col(f"__c{s}"))["e"], F.coalesce(F.col(s), F.col(f"__c{s}"))["v"])
+    return both.select(*keys, F.col("__t").alias("a"), (F.col("__next") - 1).alias("b"), *[value(s).alias(n) for s, n in zip(states, names, strict=True)])
+
+
+def frame_cells(truth: DataFrame, predicted: DataFrame, keys: list[str], step_ms: int = 1000, spans: DataFrame | None = None) -> DataFrame:
+    """keys, t, p, n: how many frames of each true and predicted label there are, without making a frame.
+
+    truth, predicted: keys, started_at, finished_at, seq, mode. Frames lie every step_ms from the start of each span (keys, t0_ms,
+    t1_ms; disjoint, closed), or, without spans, from the first start of a key in either list. A frame has the label of the
+    interval that started last, if that one still lasts (null if not); frames without any label are left out.
+    """
+    as_list = lambda df, v: df.select(*keys, "started_at", "finished_at", "seq", F.col(v).alias("value"))
+    lists = {"t": as_list(truth, "mode"), "p": as_list(predicted, "mode")}
+    if spans is not None:
+        lists["o"] = spans.select(*keys, F.col("t0_ms").alias("started_at"), F.col("t1_ms").alias("finished_at"), F.lit(0).alias("seq"), F.col("t0_ms").alias("value"))
+        parts = pieces(lists, keys).where("o is not null")
+    else:
+        first = lists["t"].union(lists["p"]).groupBy(*keys).agg(F.min("started_at").alias("o"))
+        parts = pieces(lists, keys).join(first, keys)
+    n = F.floor((F.col("b") - F.col("o")) / step_ms) - F.ceil((F.col("a") - F.col("o")) / step_ms) + 1
+    return parts.where("t is not null or p is not null").withColumn("n", n).where("n > 0").groupBy(*keys, "t", "p").agg(F.sum("n").alias("n"))

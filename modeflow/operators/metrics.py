@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.order import cumulated
+from ..session import cut
 
 
-def cells(rows: DataFrame, true: str, pred: str) -> DataFrame:
-    return rows.groupBy(F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+def cells(rows: DataFrame, true: str, pred: str, weight: str | None = None) -> DataFrame:
+    """t, p and n, the number of rows or the sum of their weights."""
+    return rows.groupBy(F.col(true).alias("t"), F.col(pred).alias("p")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
 
 
-def by_class(rows: DataFrame, true: str, pred: str) -> DataFrame:
+def by_class(rows: DataFrame, true: str, pred: str, weight: str | None = None) -> DataFrame:
     """class, support, precision, recall, f1 of every class met on either side; a division by zero gives 0."""
-    c = cells(rows, true, pred)
+    c = cells(rows, true, pred, weight)
     ends = c.select(F.explode(F.array(F.struct(F.col("t").alias("class"), F.when(F.col("t").eqNullSafe(F.col("p")), F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("bigint").alias("pp"), F.col("n").alias("tt")), F.struct(F.col("p").alias("class"), F.lit(0).cast("bigint").alias("tp"), F.col("n").alias("pp"), F.lit(0).cast("bigint").alias("tt")))).alias("e")).select("e.*")
     s = ends.where("class is not null").groupBy("class").agg(F.sum("tp").alias("tp"), F.sum("pp").alias("pp"), F.sum("tt").alias("support"))
     zero = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
@@ -31,9 +39,9 @@ def macro_f1(rows: DataFrame, true: str, pred: str, classes: list[str]) -> DataF
     return accuracy.join(macro)
 
 
-def kappa(rows: DataFrame, true: str, pred: str) -> DataFrame:
+def kappa(rows: DataFrame, true: str, pred: str, weight: str | None = None) -> DataFrame:
     """Observed and expected agreement, and Cohen's kappa (0 where they are both 1)."""
-    c = cells(rows, true, pred)
+    c = cells(rows, true, pred, weight)
     total = c.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("t").eqNullSafe(F.col("p")), F.col("n")).otherwise(0)).alias("same"))
     t, p = (c.groupBy(F.col(x).alias("class")).agg(F.sum("n").alias(f"n_{x}")) for x in "tp")
     expected = t.join(p, "class").agg(F.sum(F.col("n_t").cast("double") * F.col("n_p")).alias("e"))
@@ -90,6 +98,63 @@ def mutual_information(rows: DataFrame, x: str, y: str) -> DataFrame:
     return c.agg(F.sum(F.col("n") / F.col("total") * F.ln(F.col("n") * F.col("total") / F.col("nx") / F.col("ny"))).alias("mi"))
 
 
+def digamma(n: Column) -> Column:
+    """The digamma function of a whole number from 1 on: six steps up, then its asymptotic series."""
+    far = n.cast("double") + 6
+    steps = sum((F.lit(1.0) / (n + i) for i in range(1, 6)), F.lit(1.0) / n)
+    inverse = F.lit(1.0) / (far * far)
+    return F.ln(far) - F.lit(0.5) / far - inverse * (F.lit(1 / 12) - inverse * (F.lit(1 / 120) - inverse * (F.lit(1 / 252) - inverse / 240))) - steps
+
+
+def neighbour_radii(values: DataFrame, k: int) -> DataFrame:
+    """values (y, x, c: the rows of that x in that class, __k) with r, the distance to the __k-th nearest other row of the class; __k is k at most.
+
+    Only the k values on either side can hold it. Values are sorted in ranges of (y, x); each range also gets the k values
+    before and after it (a halo), which come from a table of at most 2 k rows for each range and class.
+    """
+    placed = cut(values.repartitionByRange("y", "x").withColumn("__range", F.spark_partition_id()))
+    own = W.partitionBy("__range", "y").orderBy("x")
+    back = W.partitionBy("__range", "y").orderBy(F.desc("x"))
+    ends = placed.withColumns({"__i": F.row_number().over(own), "__j": F.row_number().over(back)}).where((F.col("__i") <= k) | (F.col("__j") <= k))
+    order = W.partitionBy("y").orderBy("x")
+    ends = ends.withColumn("__near", F.collect_list(F.struct("__range", "x", "c")).over(order.rowsBetween(-k, k)))
+    # an end value of another range is needed by each range that has it within k values
+    far = ends.select("y", F.explode("__near").alias("e"), F.col("__range").alias("__to")).where("e.__range <> __to").select("y", F.col("e.x").alias("x"), F.col("e.c").alias("c"), F.col("__to").alias("__range")).distinct()
+    both = placed.withColumn("__own", F.lit(True)).unionByName(far.withColumn("__own", F.lit(False)), allowMissingColumns=True)
+    near = F.concat(F.collect_list(F.struct("x", "c")).over(own.rowsBetween(-k, -1)), F.collect_list(F.struct("x", "c")).over(own.rowsBetween(1, k)))
+    away = F.array_sort(F.flatten(F.transform(near, lambda e: F.array_repeat(F.abs(e["x"] - F.col("x")), F.least(e["c"], F.lit(k)).cast("int")))))
+    found = both.withColumn("__away", away).where("__own")
+    return found.withColumn("r", F.when(F.col("c") > F.col("__k"), F.lit(0.0)).otherwise(F.get("__away", (F.col("__k") - F.col("c")).cast("int")))).drop("__away", "__own", "__range")
+
+
+def knn_information(rows: DataFrame, x: str, y: str, k: int = 3) -> DataFrame:
+    """n, estimate and mi (not below 0): mutual information (nats) of a number and a class by nearest neighbours.
+
+    For each row the distance r to its k-th neighbour of the same class (the last one in smaller classes) and the number m of
+    rows of any class nearer than r (as near, if r is 0; itself included) give psi(n) + mean(psi(k) - psi(rows of the class) -
+    psi(m)). Rows with a null (or NaN) and classes of one row are left out. Equal numbers are counted, not repeated, and no
+    noise is added; classes are sorted in ranges, and counts come from places in one global order.
+    """
+    known = rows.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")) & F.col(y).isNotNull())
+    values = known.groupBy(F.col(y).alias("y"), (F.col(x).cast("double") + 0.0).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    sizes = values.groupBy("y").agg(F.sum("c").alias("__ny")).where("__ny > 1")
+    sizes = F.broadcast(sizes) if sizes.limit(10_001).count() <= 10_000 else sizes
+    values = cut(values.join(sizes, "y").withColumn("__k", F.least(F.lit(k), F.col("__ny") - 1)))
+    near = cut(neighbour_radii(values, k))
+    points = values.groupBy("x").agg(F.sum("c").alias("amount")).select(F.col("x").alias("v"), F.lit(1).alias("kind"), "amount")
+    zero = F.col("r") == 0
+    bound = lambda v, first, last, side: near.select(v.alias("v"), F.when(zero, first).otherwise(last).alias("kind"), F.lit(0).cast("bigint").alias("amount"), "y", "x", F.lit(side).alias("side"))
+    asked = bound(F.col("x") - F.col("r"), 0, 2, 0).unionByName(bound(F.col("x") + F.col("r"), 2, 0, 1))
+    both = points.withColumns({"y": F.lit(None).cast(values.schema["y"].dataType), "x": F.lit(None).cast("double"), "side": F.lit(None).cast("int")}).unionByName(asked)
+    placed = cumulated(both, ["v", "kind", "y", "x", "side"], ["amount"]).where("kind <> 1")
+    m = placed.groupBy("y", "x").agg((F.max(F.when(F.col("side") == 1, F.col("before_amount"))) - F.max(F.when(F.col("side") == 0, F.col("before_amount")))).alias("m"))
+    each = near.join(m, ["y", "x"])
+    term = F.col("c") * (digamma(F.col("__k")) - digamma(F.col("__ny")) - digamma(F.col("m")))
+    s = each.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum(term).alias("t"))
+    s = s.select("n", F.when(F.col("n") > 0, digamma(F.greatest("n", F.lit(1))) + F.col("t") / F.greatest("n", F.lit(1))).alias("estimate"))
+    return s.withColumn("mi", F.greatest(F.col("estimate"), F.lit(0.0)))
+
+
 def calibration(rows: DataFrame, prob: str, correct: Column, bins: int = 15) -> DataFrame:
     """Expected and maximum calibration error over equal bins (0, 1], and the Brier score."""
     k = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.ceil(F.col(prob) * bins) - 1))
@@ -111,18 +176,60 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
-def bootstrap_f1(rows: DataFrame, cluster: str, true: str, pred: str, replicates: int = 200, seed: int = 7) -> DataFrame:
-    """replicate and macro F1 under Poisson weights of clusters (sessions): their confusion counts are summed first, so each
-    replicate weighs a few rows of a cluster and no row is drawn again."""
-    c = rows.groupBy(cluster, F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    r = c.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(cluster, "replicate", F.lit(seed)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    weight, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):  # the inverse distribution function of a Poisson variable of mean 1
+def poisson(u: float, most: int = 8) -> list[float]:
+    """The distribution function of a Poisson variable of mean u, at 0 to most - 1."""
+    total, term, out = 0.0, math.exp(-u), []
+    for k in range(most):
         total += term
-        weight = weight + (u > total).cast("int")
-        term /= k + 1
-    w = r.withColumn("w", weight * F.col("n")).groupBy("replicate", "t", "p").agg(F.sum("w").alias("w"))
+        out.append(total)
+        term *= u / (k + 1)
+    return out
+
+
+#: Limits of the weights 0 to 8 on a draw in [0, 1): a cluster weighs as many as its draw exceeds.
+WEIGHTS = poisson(1.0)
+
+
+def weights(clusters: list[str], replicates: int, seed: int) -> np.ndarray:
+    """(clusters, replicates) weights: replicate r takes the (r mod 4)-th 32 bits of the MD5 digest of cluster/(r div 4)/seed."""
+    tail = f"/{seed}".encode()
+    blocks = [f"/{b}".encode() + tail for b in range(-(-replicates // 4))]
+    raw = b"".join(md5(c + b).digest() for c in (c.encode() for c in clusters) for b in blocks)
+    draws = np.frombuffer(raw, ">u4").reshape(len(clusters), -1)[:, :replicates]
+    return np.searchsorted(np.array(WEIGHTS), draws / 4294967296.0, "left").astype(np.int8)
+
+
+def bootstrap_cells(rows: DataFrame, cluster: str, true: str, pred: str, replicates: int, seed: int = 7) -> DataFrame:
+    """replicate (from 1), t, p and w: confusion counts under Poisson weights of whole clusters (sessions).
+
+    The counts of each cluster are summed first. Then each task multiplies the weights of its clusters with their counts, a
+    batch at a time, and sends one sum for each replicate and cell: tasks x replicates x cells rows, whatever the size of
+    the data. A null cluster is the cluster of that name (an empty text).
+    """
+    c = rows.groupBy(F.coalesce(F.col(cluster).cast("string"), F.lit("")).alias("c"), F.col(true).cast("string").alias("t"), F.col(pred).cast("string").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                names = part.column(0).dictionary_encode()
+                w = weights(names.dictionary.to_pylist(), replicates, seed)
+                owner, n = names.indices.to_numpy(), part.column(3).to_numpy()
+                cells = list(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True))
+                for cell in set(cells):
+                    at_ = np.array([i for i, x in enumerate(cells) if x == cell])
+                    sums[cell] = sums.get(cell, 0) + n[at_] @ w[owner[at_]].astype(np.int64)
+        for (t, p), w in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, replicates + 1, dtype=np.int32)), pa.array([t] * replicates, pa.string()), pa.array([p] * replicates, pa.string()), pa.array(w)], ["replicate", "t", "p", "w"])
+
+    dealt = c.repartition(rows.sparkSession.sparkContext.defaultParallelism, "c")  # the work is in the draws, not in the rows
+    return dealt.mapInArrow(run, "replicate int, t string, p string, w bigint").groupBy("replicate", "t", "p").agg(F.sum("w").alias("w"))
+
+
+def bootstrap_f1(rows: DataFrame, cluster: str, true: str, pred: str, replicates: int = 200, seed: int = 7) -> DataFrame:
+    """replicate and macro F1 (over the classes met as true) under Poisson weights of clusters (sessions)."""
+    w = bootstrap_cells(rows, cluster, true, pred, replicates, seed)
     w = w.withColumn("tt", F.sum("w").over(W.partitionBy("replicate", "t"))).withColumn("pp", F.sum("w").over(W.partitionBy("replicate", "p")))
     diagonal = w.where(F.col("t") == F.col("p")).select("replicate", F.col("t").alias("class"), (2 * F.col("w")).alias("a"), (F.col("tt") + F.col("pp")).alias("b"))
     met = w.where("tt > 0").groupBy("replicate").agg(F.count_distinct("t").alias("k"))

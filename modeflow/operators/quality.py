@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.order import drawn
-from ..functions.stats import pct
+from ..functions.quantiles import quantiles
 from ..schemas import SOURCES
 
 G = 9.80665
@@ -34,9 +34,9 @@ def magnitude(prefix: str = "acc") -> Column:
 def to_g(samples: DataFrame, keys: list[str], limit: float = 5.0) -> DataFrame:
     """Divide accelerations by G in groups whose median magnitude is above the limit (m/s2 rather than g).
 
-    The medians are one aggregate row for each group, joined back: no group is sorted or held as a whole.
+    The medians are one row for each group, found by selection and joined back: no group is sorted or held as a whole.
     """
-    medians = samples.groupBy(*keys).agg(pct(magnitude(), 0.5).alias("__median"))
+    medians = quantiles(samples, keys, {"__median": magnitude()}, [0.5]).select(*keys, F.col("__median")[0].alias("__median"))
     joined = samples.join(medians, keys)
     scale = F.when(F.col("__median") > limit, F.lit(G)).otherwise(F.lit(1.0))
     return joined.withColumns({f"acc_{a}": F.col(f"acc_{a}") / scale for a in "xyz"}).drop("__median")
@@ -60,7 +60,7 @@ def within_box(df: DataFrame, lat: tuple[float, float], lon: tuple[float, float]
 
 def devices(samples: DataFrame, user: str = "userId", limit: float = 5.0) -> DataFrame:
     """The platform of each user by the unit of its accelerometer."""
-    return samples.groupBy(user).agg(pct(magnitude(), 0.5).alias("median_mag")).withColumn("device", F.when(F.col("median_mag") < limit, "iOS").otherwise("Android"))
+    return quantiles(samples, [user], {"median_mag": magnitude()}, [0.5]).withColumn("median_mag", F.col("median_mag")[0]).withColumn("device", F.when(F.col("median_mag") < limit, "iOS").otherwise("Android"))
 
 
 def stratum(frac: Column) -> Column:

@@ -51,24 +51,55 @@ def audit(df: DataFrame, columns: list[str], present: Column, constant: float =
     return f.withColumn("dropped", why)
 
 
+def null_masks(df: DataFrame, columns: list[str]) -> list[list[str]]:
+    """The columns in groups that are null in the very same rows, in their order.
+
+    Columns of equal sums of the hashes of their known rows are candidates; a count of the rows where two of a group differ, which
+    must be none, confirms them.
+    """
+    h = F.xxhash64("__id").cast("decimal(38,0)")
+    marks = df.agg(*[F.sum(F.when(F.col(c).isNotNull(), h)).alias(c) for c in columns]).first()
+    groups: dict = {}
+    for c in columns:
+        groups.setdefault(marks[c], []).append(c)
+    pairs = [(g[0], c) for g in groups.values() for c in g[1:]]
+    if pairs:
+        apart = df.agg(*[F.count_if(F.col(a).isNull() != F.col(b).isNull()).alias(b) for a, b in pairs]).first()
+        for a, b in pairs:
+            if apart[b]:
+                groups[marks[a]].remove(b)
+                groups[b] = [b]
+    return list(groups.values())
+
+
 def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, n, rho of all pairs of columns over the n rows where both are known: ranks within the pair's complete rows.
 
-    Columns without a null are ranked once each and correlated together; only pairs with a null in one of them are ranked
-    pair by pair. The number of columns is a fixed width of the feature table. Pairs never known together have no row.
+    Columns that are null in the same rows are ranked together: once by themselves, and once within the rows that they have
+    in common with each other such group. So a row makes cells for columns x groups, not for pairs of columns. Pairs never
+    known together have no row.
     """
-    known = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(c).alias(c) for c in columns]).first()
-    whole = [c for c in columns if known["__n"] and known[c] == known["__n"]]
-    out = [(a, b, known["__n"], r) for a, b, r in correlated_ranks(df, whole)] if len(whole) > 1 else []
-    done = df.sparkSession.createDataFrame(out, "a string, b string, n bigint, rho double")
-    rest = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :] if len(whole) < 2 or a not in whole or b not in whole]
-    return done.unionByName(spearman_each(df, rest)) if rest else done
+    rows = cut(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).withColumn("__id", F.monotonically_increasing_id()))
+    masks = null_masks(rows, columns) if columns else []
+    out = []
+    for i, one in enumerate(masks):
+        for two in masks[i:]:
+            if one is two and len(one) < 2:
+                continue
+            names = one if one is two else [*one, *two]
+            met = rows.where(F.col(one[0]).isNotNull() & F.col(two[0]).isNotNull())
+            n = met.count()
+            if n:
+                out += [(a, b, n, r) for a, b, r in correlated_ranks(met, names) if one is two or (a in one) != (b in one)]
+    place = {c: k for k, c in enumerate(columns)}
+    ordered = [(a, b, n, r) if place[a] < place[b] else (b, a, n, r) for a, b, n, r in out]
+    return df.sparkSession.createDataFrame(ordered, "a string, b string, n bigint, rho double")
 
 
 def correlated_ranks(df: DataFrame, columns: list[str]) -> list[tuple[str, str, float]]:
     """(a, b, rho) of all pairs of columns that hold no null; 0 for constant ones. A cell is made for each value of a row,
     ranks come from counts of equal values in ranges of (column, value), and the matrix is summed in the tasks."""
-    rows = cut(df.select(*columns).withColumn("__id", F.monotonically_increasing_id()))
+    rows = df if "__id" in df.columns else cut(df.select(*columns).withColumn("__id", F.monotonically_increasing_id()))
     cells = unpivot(rows, columns, ["__id"])
     placed = cumulated(cells.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("k")), ["feature", "value"], ["k"])
     first = placed.groupBy("feature").agg(F.min("before_k").alias("__first"))

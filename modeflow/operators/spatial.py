@@ -44,15 +44,16 @@ def column_in(row: Column, lon: Column, size_m: float) -> Column:
 def near_pairs(points: DataFrame, places: DataFrame, within_m: float) -> DataFrame:
     """All pairs of points (latitude, longitude) and places (lat, lon) up to within_m apart, with dist_m.
 
-    A place is looked for in the cells around a point only: an equi-join on cells, never a cross join. Rows of cells have
-    fewer columns the nearer they are to a pole, and columns go on over the date line, so no pair is missed anywhere.
+    A point stands in one cell, a place in each cell from which it can be reached: an equi-join on cells, never a cross join, in
+    which the points, the larger side, are not multiplied. Rows of cells have fewer columns the nearer they are to a pole,
+    and columns go on over the date line, so no pair is missed anywhere.
     """
     around = lambda d: F.array(*[F.lit(x) for x in d])
-    row = F.floor(F.col("latitude") * (DEGREE_M / within_m))
-    p = points.withColumn("__r", F.explode(F.transform(around((-1, 0, 1)), lambda d: row + d)))
-    column = column_in(F.col("__r"), F.col("longitude"), within_m)
-    p = p.withColumn("__c", F.explode(F.array_distinct(F.transform(around((-1, 0, 1)), lambda d: F.pmod(column + d, columns_of(F.col("__r"), within_m))))))
-    q = places.withColumn("__r", F.floor(F.col("lat") * (DEGREE_M / within_m))).withColumn("__c", column_in(F.col("__r"), F.col("lon"), within_m))
+    p = points.withColumn("__r", F.floor(F.col("latitude") * (DEGREE_M / within_m))).withColumn("__c", column_in(F.col("__r"), F.col("longitude"), within_m))
+    row = F.floor(F.col("lat") * (DEGREE_M / within_m))
+    q = places.withColumn("__r", F.explode(F.transform(around((-1, 0, 1)), lambda d: row + d)))
+    column = column_in(F.col("__r"), F.col("lon"), within_m)
+    q = q.withColumn("__c", F.explode(F.array_distinct(F.transform(around((-1, 0, 1)), lambda d: F.pmod(column + d, columns_of(F.col("__r"), within_m))))))
     met = p.join(q, ["__r", "__c"]).drop("__r", "__c")
     return met.withColumn("dist_m", haversine(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))).where(F.col("dist_m") <= within_m)
 

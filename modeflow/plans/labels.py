@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order import drawn_sql
+from ..functions.quantiles import quantiles
 from ..operators import aggregate, intervals, labeling, metrics, models, quality, selection, smoothing, splits, windows
 from ..session import cut
 from . import trajectory as T
 from .registry import query, rounded
-from .timeline import ASOF, KEYS, KINEMATICS, LABELLED, View, kinematic, labelled, timeline
+from .timeline import ASOF, KEYS, KINEMATICS, LABELLED, View, built, kinematic, labelled
 
 #: The cascade in SQL over kinematic features, with a constructed rail and bus share.
 CASCADE = (
@@ -188,6 +189,31 @@ def mutual_information(spark, sf):
     return rounded(metrics.mutual_information(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_returnflag", "l_linestatus"), 6)
 
 
+KNN = """{start}
+s{i} AS (SELECT y, x, least(3, count(*) OVER (PARTITION BY y) - 1) AS k, count(*) OVER (PARTITION BY y) AS ny, list_sort(list_filter([x - lag(x, 1) OVER o, x - lag(x, 2) OVER o, x - lag(x, 3) OVER o, lead(x, 1) OVER o - x, lead(x, 2) OVER o - x, lead(x, 3) OVER o - x], lambda d: d IS NOT NULL)) AS near FROM v{i} WINDOW o AS (PARTITION BY y ORDER BY x)),
+r{i} AS (SELECT x, k, ny, greatest(near[k] - 1, 0) AS r FROM s{i} WHERE ny > 1),
+m{i} AS (SELECT k, ny, count(*) OVER (ORDER BY x RANGE BETWEEN r PRECEDING AND r FOLLOWING) AS m, count(*) OVER () AS n FROM r{i}),
+e{i} AS (SELECT '{name}' AS feature, max(n) AS n, max(a.h) + avg(b.h - c.h - d.h) AS estimate FROM m{i} JOIN psi a ON a.i = n JOIN psi b ON b.i = k JOIN psi c ON c.i = ny JOIN psi d ON d.i = m)"""
+
+
+@query(
+    """WITH psi AS (SELECT i, coalesce(sum(1.0::DOUBLE / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 0.5772156649015329::DOUBLE AS h FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM lineitem))) AS i)),
+v1 AS (SELECT l_linestatus AS y, CAST(round(l_extendedprice * 100) AS BIGINT) AS x FROM lineitem), v2 AS (SELECT l_linestatus AS y, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS x FROM lineitem),
+v3 AS (SELECT l_returnflag AS y, CAST(l_orderkey AS BIGINT) AS x FROM lineitem),"""
+    + ",".join(KNN.format(start="", i=i, name=n) for i, n in ((1, "price"), (2, "date"), (3, "order")))
+    + """ SELECT feature, n, round(estimate, 6) AS estimate, round(greatest(estimate, 0), 6) AS mi FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3) t"""
+)
+def knn_information(spark, sf):
+    """What numbers tell of a class, by nearest neighbours: prices (few ties), days and order numbers (many)."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    of = {"price": (F.round(F.col("l_extendedprice") * 100), "l_linestatus"), "date": (F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01")), "l_linestatus"), "order": (F.col("l_orderkey"), "l_returnflag")}
+    out = None
+    for name, (x, y) in of.items():
+        got = metrics.knn_information(li.select(x.cast("double").alias("x"), y), "x", y).select(F.lit(name).alias("feature"), "n", "estimate", "mi")
+        out = got if out is None else out.union(got)
+    return rounded(out, 6)
+
+
 @query(PAIRS + """, q AS (SELECT (l_orderkey % 997) / 997.0::DOUBLE AS prob, CASE WHEN t = p THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok FROM pairs), b AS (SELECT greatest(0, least(14, CAST(ceil(prob * 15) AS BIGINT) - 1)) AS bin, count(*) AS n, avg(prob) AS p, avg(ok) AS a, sum((prob - ok) ** 2) AS s FROM q GROUP BY ALL)
 SELECT round(sum(n * abs(p - a)) / sum(n), 4) AS ece, round(max(abs(p - a)), 4) AS mce, round(sum(s) / sum(n), 4) AS brier FROM b""")
 def ece(spark, sf):
@@ -232,7 +258,8 @@ def majority_label(spark, sf):
 @query("""WITH q AS (SELECT l_returnflag AS c, quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem GROUP BY ALL)
 SELECT x.c AS c1, y.c AS c2, round(greatest(0, least(x.b, y.b) - greatest(x.a, y.a)) / (greatest(x.b, y.b) - least(x.a, y.a)), 4) AS overlap FROM q x JOIN q y ON x.c < y.c""")
 def iqr_overlap(spark, sf):
-    q = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("c")).agg(F.percentile("l_extendedprice", F.lit(0.25)).alias("a"), F.percentile("l_extendedprice", F.lit(0.75)).alias("b"))
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").withColumnRenamed("l_returnflag", "c")
+    q = quantiles(li, ["c"], {"q": F.col("l_extendedprice")}, [0.25, 0.75]).select("c", F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
     x, y = (q.select(F.col("c").alias(f"c{i}"), F.col("a").alias(f"a{i}"), F.col("b").alias(f"b{i}")) for i in (1, 2))
     met = F.greatest(F.lit(0.0), F.least("b1", "b2") - F.greatest("a1", "a2")) / (F.greatest("b1", "b2") - F.least("a1", "a2"))
     return rounded(x.join(y, F.col("c1") < F.col("c2")).select("c1", "c2", met.alias("overlap")))
@@ -262,23 +289,43 @@ def frame_metrics(spark, sf):
     return rounded(rows.groupBy(F.col("label").alias("class")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == pred).cast("double")).alias("recall")))
 
 
-FRAMES = PREDICTED + """, frames AS (SELECT DISTINCT "userId", unnest(range(t0_ms, t1_ms + 1, 10000)) AS ts_ms FROM sessions),
-r AS (SELECT *, row_number() OVER (PARTITION BY "userId", session_id ORDER BY ts_start) - row_number() OVER (PARTITION BY "userId", session_id, predicted ORDER BY ts_start) AS g FROM pred),
-runs AS (SELECT "userId", min(ts_start) AS started_at, max(ts_start) + 60000 AS finished_at, predicted AS mode FROM r GROUP BY "userId", session_id, predicted, g),
-evaluated AS (SELECT CASE WHEN ts_ms <= i.finished_at THEN i.mode END AS t, CASE WHEN ts_ms <= x.finished_at THEN x.mode END AS p FROM frames f
+RUNS = PREDICTED + """, r AS (SELECT *, row_number() OVER (PARTITION BY "userId", session_id ORDER BY ts_start) - row_number() OVER (PARTITION BY "userId", session_id, predicted ORDER BY ts_start) AS g FROM pred),
+runs AS (SELECT "userId", min(ts_start) AS started_at, max(ts_start) + 60000 AS finished_at, predicted AS mode FROM r GROUP BY "userId", session_id, predicted, g)"""
+EVALUATED = """, evaluated AS (SELECT CASE WHEN ts_ms <= i.finished_at THEN i.mode END AS t, CASE WHEN ts_ms <= x.finished_at THEN x.mode END AS p FROM frames f
   LEFT JOIN LATERAL (SELECT * FROM intervals i WHERE i."userId" = f."userId" AND i.started_at <= f.ts_ms ORDER BY i.started_at DESC, i.seq DESC LIMIT 1) i ON TRUE
-  LEFT JOIN LATERAL (SELECT * FROM runs x WHERE x."userId" = f."userId" AND x.started_at <= f.ts_ms ORDER BY x.started_at DESC LIMIT 1) x ON TRUE),
-pairs AS (SELECT * FROM evaluated WHERE t IS NOT NULL AND p IS NOT NULL)"""
+  LEFT JOIN LATERAL (SELECT * FROM runs x WHERE x."userId" = f."userId" AND x.started_at <= f.ts_ms ORDER BY x.started_at DESC LIMIT 1) x ON TRUE)"""
+FRAMES = RUNS + """, frames AS (SELECT DISTINCT "userId", unnest(range(t0_ms, t1_ms + 1, 1000)) AS ts_ms FROM sessions)""" + EVALUATED + """, pairs AS (SELECT * FROM evaluated WHERE t IS NOT NULL AND p IS NOT NULL)"""
 
 
 @query(FRAMES + CLASSES[len(PAIRS) :] + """ SELECT class, support, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1 FROM f""")
 def frame_evaluation(spark, sf):
-    """Frames of all sessions with the reference mode and the run of predicted windows that holds each."""
+    """Frames, one a second, of all sessions with the reference mode and the run of predicted windows that holds each."""
+    both = intervals.frame_cells(T.intervals(spark, sf), predicted_runs(spark, sf), ["userId"], spans=built(spark, sf).select("userId", "t0_ms", "t1_ms"))
+    return rounded(metrics.by_class(both.where("t is not null and p is not null"), "t", "p", "n"))
+
+
+def predicted_runs(spark, sf) -> DataFrame:
+    """Runs of equal predictions as intervals."""
     runs = smoothing.run_lengths(predictions(spark, sf), ["userId", "session_id"])
-    seg = runs.select("userId", F.col("run_start").alias("started_at"), (F.col("run_end") + T.STEP_MS).alias("finished_at"), F.col("predicted").alias("mode"), F.col("run").alias("seq"))
-    f = intervals.as_of(timeline(spark, sf), T.intervals(spark, sf), ["userId"], name="gt")
-    both = intervals.as_of(f, seg, ["userId"], name="pred").where("gt is not null and pred is not null")
-    return rounded(metrics.by_class(both, "gt", "pred"))
+    return runs.select("userId", F.col("run_start").alias("started_at"), (F.col("run_end") + T.STEP_MS).alias("finished_at"), F.col("predicted").alias("mode"), F.col("run").alias("seq"))
+
+
+@query(
+    RUNS
+    + """, ends AS (SELECT "userId", started_at, finished_at FROM intervals UNION ALL SELECT "userId", started_at, finished_at FROM runs),
+frames AS (SELECT "userId", unnest(range(min(started_at), max(finished_at) + 1, 1000)) AS ts_ms FROM ends GROUP BY "userId")"""
+    + EVALUATED
+    + """, k AS (SELECT t, p, count(*) AS n FROM evaluated WHERE t IS NOT NULL OR p IS NOT NULL GROUP BY ALL)
+SELECT CAST(sum(n) AS BIGINT) AS frames, CAST(sum(n) FILTER (WHERE t IS NOT NULL AND p IS NOT NULL) AS BIGINT) AS comparable, CAST(sum(n) FILTER (WHERE p IS NULL) AS BIGINT) AS no_prediction,
+  CAST(sum(n) FILTER (WHERE t IS NULL) AS BIGINT) AS no_truth, round(sum(n) FILTER (WHERE t = p) / sum(n) FILTER (WHERE t IS NOT NULL AND p IS NOT NULL), 4) AS accuracy FROM k"""
+)
+def frame_index(spark, sf):
+    """All frames between the first start and the last end of a user: how many can be compared, and how many agree."""
+    c = intervals.frame_cells(T.intervals(spark, sf), predicted_runs(spark, sf), ["userId"])
+    both = F.col("t").isNotNull() & F.col("p").isNotNull()
+    n = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    s = c.agg(n(F.lit(True)).alias("frames"), n(both).alias("comparable"), n(F.col("p").isNull()).alias("no_prediction"), n(F.col("t").isNull()).alias("no_truth"), n(F.col("t") == F.col("p")).alias("same"))
+    return rounded(s.select("frames", "comparable", "no_prediction", "no_truth", F.try_divide("same", "comparable").alias("accuracy")))
 
 
 SESSION_STARTS = LABELLED + """, starts AS (SELECT session_id, min(ts_start) AS start, count(*) AS w FROM labelled GROUP BY ALL), numbered AS (SELECT *, row_number() OVER (ORDER BY start, session_id) - 1 AS i, count(*) OVER () AS n FROM starts)"""
@@ -386,6 +433,23 @@ def hier_rf(spark, sf):
     return model.predict(train.where("split = 'test'")).select(*KEYS, "silver_label", "predicted", "max_prob")
 
 
+REPLICATES = 40
+
+
+@query(
+    PAIRS
+    + f""", c AS (SELECT l_orderkey AS k, t, p, count(*) AS n FROM pairs GROUP BY ALL), keys AS (SELECT DISTINCT k FROM c),
+d AS (SELECT k, r, CAST('0x' || substr(md5(CAST(k AS VARCHAR) || '/' || CAST((r - 1) // 4 AS VARCHAR) || '/7'), 1 + 8 * ((r - 1) % 4), 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM keys, (SELECT unnest(range(1, {REPLICATES + 1})) AS r)),
+w AS (SELECT k, r, {" + ".join(f"CASE WHEN u > {x!r}::DOUBLE THEN 1 ELSE 0 END" for x in metrics.WEIGHTS)} AS w FROM d),
+b AS (SELECT r, t, p, sum(n * w) AS w FROM c JOIN w USING (k) GROUP BY ALL),
+s AS (SELECT r, t, p, w, sum(w) OVER (PARTITION BY r, t) AS tt, sum(w) OVER (PARTITION BY r, p) AS pp FROM b)
+SELECT CAST(r AS INTEGER) AS replicate, round(coalesce(sum(CASE WHEN t = p AND tt + pp > 0 THEN 2 * w / CAST(tt + pp AS DOUBLE) END), 0) / count(DISTINCT CASE WHEN tt > 0 THEN t END), 4) AS macro_f1 FROM s GROUP BY r"""
+)
+def bootstrap_replicates(spark, sf):
+    """Macro F1 of a few replicates, whose draws SQL repeats."""
+    return rounded(metrics.bootstrap_f1(pairs(spark, sf), "l_orderkey", "t", "p", REPLICATES))
+
+
 @query()
 def bootstrap_ci(spark, sf):
     f = metrics.bootstrap_f1(pairs(spark, sf), "l_orderkey", "t", "p", 3000)

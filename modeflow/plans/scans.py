@@ -10,6 +10,7 @@ from ..functions.order import cumulated
 from ..operators import joins, quality
 from ..session import shared_dir
 from ..sources import external, tables
+from ..streaming import merging
 from . import trajectory as T
 from .registry import query, rounded
 
@@ -143,12 +144,50 @@ def first_n_keys(spark, sf):
     return spark.read.parquet(f"{sf}/lineitem.parquet").join(few, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT DISTINCT s_suppkey AS stop_id, n_name AS kind, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN lineitem ON l_suppkey = s_suppkey""")
+@query("""SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS stop_id, CAST(s_suppkey % 90 AS DOUBLE) AS lat, CAST(s_suppkey % 180 AS DOUBLE) AS lon, CAST(c_nationkey % 4 AS VARCHAR) AS route_type
+FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE s_suppkey % 97 <> 0""")
 def gtfs_like_join(spark, sf):
+    """Stops that routes serve: suppliers are stops, orders trips with items as stop times, customers routes; some stops lie nowhere."""
     read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
-    kinds = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    served = read("lineitem").select("l_suppkey").distinct()
-    return kinds.join(served, F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").select(F.col("s_suppkey").alias("stop_id"), F.col("n_name").alias("kind"), F.col("r_name").alias("region"))
+    text = lambda c: F.col(c).cast("string")
+    place = lambda n: F.when(F.col("s_suppkey") % 97 == 0, "").otherwise((F.col("s_suppkey") % n).cast("string"))
+    stops = read("supplier").select(text("s_suppkey").alias("stop_id"), place(90).alias("stop_lat"), place(180).alias("stop_lon"))
+    times = read("lineitem").select(text("l_orderkey").alias("trip_id"), text("l_suppkey").alias("stop_id"))
+    trips = read("orders").select(text("o_orderkey").alias("trip_id"), text("o_custkey").alias("route_id"))
+    routes = read("customer").select(text("c_custkey").alias("route_id"), (F.col("c_nationkey") % 4).cast("string").alias("route_type"))
+    return external.served_stops(stops, times, trips, routes)
+
+
+WRITTEN = """SELECT user_id AS "userId", count(*) AS n, min(epoch_us(ts) // 1000) AS first_ms, max(epoch_us(ts) // 1000) AS last_ms FROM events WHERE event_id % 3 <> 0 AND epoch_us(ts) // 1000 BETWEEN (SELECT min(epoch_us(ts) // 1000) + 5 * 86400000 FROM events) AND (SELECT max(epoch_us(ts) // 1000) - 5 * 86400000 FROM events) GROUP BY ALL"""
+
+
+@query(WRITTEN)
+def written_range_scan(spark, sf):
+    """Fixes written with row groups of their own size and scanned for a range of times by the library's reader."""
+    ev = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 3 <> 0").select(F.col("user_id").cast("string").alias("userId"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.lit(46.0).alias("latitude"), F.lit(11.0).alias("longitude"), F.col("value").alias("speed"))
+    path = f"{shared_dir(spark).rstrip('/')}/fixes-{uuid.uuid4().hex}"
+    tables.write(ev.repartitionByRange("timestamp").sortWithinPartitions("timestamp"), path)
+    ends = spark.read.parquet(f"{sf}/events.parquet").agg(F.min(F.unix_millis(F.col("ts").cast("timestamp"))), F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()
+    found = tables.gps(spark, path, ends[0] + 5 * 86_400_000, ends[1] - 5 * 86_400_000)
+    return found.groupBy(F.col("userId").cast("bigint").alias("userId")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_ms"), F.max("timestamp").alias("last_ms"))
+
+
+#: The events over five months: a user's are a whole number of months later.
+MONTHS_MS = 31 * 86_400_000
+
+
+@query(f"""WITH e AS (SELECT event_id, value, strftime(make_timestamp(epoch_us(ts) + user_id % 5 * {MONTHS_MS * 1000}), '%Y-%m') AS month FROM events),
+v AS (SELECT month, CASE WHEN event_id % 5 = 0 AND month = '2024-01' THEN value + 2 WHEN event_id % 2 = 0 THEN value + 1 ELSE value END AS value FROM e)
+SELECT month, count(*) AS n, round(sum(value), 3) AS total FROM v GROUP BY ALL""")
+def upsert_months(spark, sf):
+    """All events merged by month, then two batches of corrections, of which the last touches January only."""
+    ev = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").cast("string").alias("userId"), "event_id", (F.unix_millis(F.col("ts").cast("timestamp")) + F.col("user_id") % 5 * MONTHS_MS).alias("timestamp"), F.col("value").cast("double").alias("value"))
+    target = f"{shared_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
+    january = tables.month(F.col("timestamp")) == "2024-01"
+    for number, batch in enumerate((ev, ev.where("event_id % 2 = 0").withColumn("value", F.col("value") + 1), ev.where((F.col("event_id") % 5 == 0) & january).withColumn("value", F.col("value") + 2))):
+        merging.merge(batch, number, target, ["userId", "event_id", "timestamp"])
+    rows = merging.table(spark, target, ev.schema)
+    return rounded(rows.groupBy(tables.month(F.col("timestamp")).alias("month")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 3)
 
 
 @query("""SELECT o_orderkey, o_custkey, c_mktsegment AS segment, count(*) OVER () AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0""")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.quantiles import quantiles
 from ..operators import gps, imu, intervals, quality, sessions, spatial, windows
 from ..session import cut
 from . import trajectory as T
@@ -87,7 +88,8 @@ SELECT "userId", quantile_cont(d, 0.5) AS gap, count(DISTINCT day) AS days FROM
 def fix_intervals(spark, sf):
     w = W.partitionBy("userId").orderBy("timestamp", "event_id")
     g = T.fixes(spark, sf).withColumn("d", F.col("timestamp") - F.lag("timestamp").over(w))
-    return g.groupBy("userId").agg(F.percentile("d", F.lit(0.5)).alias("gap"), F.count_distinct(F.expr("timestamp div 86400")).alias("days"))
+    middle = quantiles(g, ["userId"], {"gap": F.col("d")}, [0.5]).select("userId", F.col("gap")[0].alias("gap"))
+    return middle.join(g.groupBy("userId").agg(F.count_distinct(F.expr("timestamp div 86400")).alias("days")), "userId").select("userId", "gap", "days")
 
 
 @query(WINDOWS + """ SELECT * FROM windows""")
@@ -380,16 +382,14 @@ def asof_segment(spark, sf):
     return intervals.as_of(frames, T.intervals(spark, sf), ["userId"]).select("userId", "event_id", "label")
 
 
-TIMELINE = SESSIONS + """, frames AS (SELECT DISTINCT "userId", unnest(range(t0_ms, t1_ms + 1, 10000)) AS ts_ms FROM sessions)"""
-
-
-def timeline(spark, sf) -> DataFrame:
-    return intervals.frames(built(spark, sf), ["userId"], 10_000)
+TIMELINE = SESSIONS + """, frames AS (SELECT DISTINCT "userId", unnest(range(t0_ms, t1_ms + 1, 1000)) AS ts_ms FROM sessions)"""
 
 
 @query(TIMELINE + """ SELECT "userId", count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM frames GROUP BY ALL""")
 def frame_timeline(spark, sf):
-    return timeline(spark, sf).groupBy("userId").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+    """How many frames of a second there are, without making one: sessions are disjoint."""
+    more = F.floor((F.col("t1_ms") - F.col("t0_ms")) / 1000)
+    return built(spark, sf).groupBy("userId").agg(F.sum(more + 1).alias("n"), F.min("t0_ms").alias("first_ms"), F.max(F.col("t0_ms") + 1000 * more).alias("last_ms"))
 
 
 NEAREST = T.SQL + """, nearest AS (SELECT f."userId", f.event_id, f."timestamp", min(2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, sin(radians(p.lat - f.latitude) / 2) ** 2 + cos(radians(f.latitude)) * cos(radians(p.lat)) * sin(radians(p.lon - f.longitude) / 2) ** 2)))) AS d FROM fixes f, places p GROUP BY ALL)"""

@@ -58,11 +58,15 @@ def month(ms: Column) -> Column:
 
 
 def write_by_month(df: DataFrame, path: str, time: str = "timestamp", mode: str = "append") -> None:
-    df.withColumn("year_month", month(F.col(time))).repartition("year_month", F.floor(F.col(time) / 86_400_000)).write.mode(mode).partitionBy("year_month").parquet(path)
+    df.withColumn("year_month", month(F.col(time))).repartition("year_month", F.floor(F.col(time) / 86_400_000)).write.mode(mode).option("parquet.block.row.count.limit", ROW_GROUP).partitionBy("year_month").parquet(path)
 
 
-def write(df: DataFrame, path: str, schema: T.StructType | None = None, mode: str = "overwrite") -> None:
-    (conformed(df, schema) if schema else df).write.mode(mode).option("compression", "snappy").parquet(path)
+#: Rows of a row group: a scan for a range of times skips the others by their statistics.
+ROW_GROUP = 50_000
+
+
+def write(df: DataFrame, path: str, schema: T.StructType | None = None, mode: str = "overwrite", row_group: int = ROW_GROUP) -> None:
+    (conformed(df, schema) if schema else df).write.mode(mode).option("compression", "snappy").option("parquet.block.row.count.limit", row_group).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -83,6 +87,16 @@ def appended(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return keep_last(both, keys, ["__batch", "__seq"]).drop("__batch", "__seq")
 
 
+def largest(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """One row with the largest value of each column. Whole numbers, floats and dates come from the files' footers alone: only
+    the scan of Spark's second data source version takes aggregates, so the table is read by it, in a session of its own."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return own.read.parquet(path).agg(*[F.max(c).alias(c) for c in columns])
+
+
 def last_time(spark: SparkSession, path: str, time: str = "timestamp") -> int | None:
-    """The largest time of a table, from the files' footers where the session lets aggregates reach them."""
-    return spark.read.parquet(path).agg(F.max(time)).first()[0]
+    """The largest time of a table, without reading its rows where the footers hold it."""
+    return largest(spark, path, time).first()[0]
