@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import quantiles
 from ..functions.order import equal_keys, numbered, shifted, with_totals
-from ..functions.quantiles import quantiles
-from ..functions.stats import excess_kurtosis, pearson, rms, skew
+from ..functions.stats import excess_kurtosis, pct, pearson, rms, skew
 from .quality import magnitude
 
 #: Rows of a group meet within buckets of time, so that a group of any length is spread over tasks.
@@ -19,17 +19,20 @@ def bucket() -> Column:
     return F.floor(F.col("timestamp") / BUCKET_MS)
 
 
-def with_quantiles(table: DataFrame, rows: DataFrame, keys: list[str], of: dict[str, tuple[Column, float | tuple[float, float]]]) -> DataFrame:
-    """table, one row for each of the keys, with quantiles of the rows: name -> (expression, share), or a pair of shares whose
-    quantiles are subtracted."""
-    named: dict[str, Column] = {}
-    for i, (x, _) in enumerate(of.values()):
-        named[f"__x{i}"] = x
+def aggregated(rows: DataFrame, keys: list[str], aggs: list[Column], of: dict[str, tuple[Column, float | tuple[float, float]]], sized: DataFrame) -> DataFrame:
+    """One row for each of the keys: aggregates, and quantiles of the rows: name -> (expression, share), or a pair of shares
+    whose quantiles are subtracted. `sized` has at least as many rows of each key; where none has more than quantiles.MOST, all
+    come from one aggregation, else the quantiles are found by selection."""
+    largest = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
+    if largest <= quantiles.MOST:
+        direct = [(pct(x, ps[1]) - pct(x, ps[0]) if isinstance(ps, tuple) else pct(x, ps)).alias(n) for n, (x, ps) in of.items()]
+        return rows.groupBy(*keys).agg(*aggs, *direct)
+    named = {f"__x{i}": x for i, (x, _) in enumerate(of.values())}
     shares = sorted({p for _, ps in of.values() for p in (ps if isinstance(ps, tuple) else (ps,))})
     at = lambda i, p: F.get(F.col(f"q.__x{i}"), F.lit(shares.index(p)))
     made = [(at(i, ps[1]) - at(i, ps[0]) if isinstance(ps, tuple) else at(i, ps)).alias(n) for i, (n, (_, ps)) in enumerate(of.items())]
-    found = quantiles(rows, keys, named, shares)
-    return table.alias("t").join(found.alias("q"), equal_keys("t", "q", keys), "left").select("t.*", *made)
+    found = quantiles.quantiles(rows, keys, named, shares)
+    return rows.groupBy(*keys).agg(*aggs).alias("t").join(found.alias("q"), equal_keys("t", "q", keys), "left").select("t.*", *made)
 
 
 IQR = (0.25, 0.75)
@@ -60,9 +63,9 @@ def statistics(samples: DataFrame, keys: list[str], tie: str = "event_id") -> Da
     corr = [pearson(F.col(f"{c}{a}"), F.col(f"{c}{b}")).alias(f"A_{n}_corr_{a}{b}") for c, n in (("a", "acc"), ("gyr_", "gyr")) for a, b in ("xy", "xz", "yz")]
     sma = [F.avg(sum((F.abs(F.col(f"{c}{a}")) for a in "yz"), F.abs(F.col(f"{c}x")))).alias(f"A_{n}_sma") for c, n in (("a", "acc"), ("gyr_", "gyr"))]
     more = [(F.max("acc_mag") - F.min("acc_mag")).alias("A_acc_mag_ptp"), (F.avg("gyr_mag") / (F.avg("acc_mag") + 1e-6)).alias("A_gyr_acc_ratio")]
-    out = rows.groupBy(*keys).agg(*[c for s, (p, full) in names.items() for c in pack(s, p, f"__p_{s}", full)], *sma, *corr, *more)
+    aggs = [*[c for s, (p, full) in names.items() for c in pack(s, p, f"__p_{s}", full)], *sma, *corr, *more]
     ranks = {f"{p}_iqr": (F.col(s), IQR) for s, (p, _) in names.items()} | {"A_acc_mag_p25": (F.col("acc_mag"), 0.25), "A_acc_mag_p75": (F.col("acc_mag"), 0.75)}
-    return with_quantiles(out, signals(samples, keys, tie), keys, ranks)
+    return aggregated(rows, keys, aggs, ranks, samples)
 
 
 def jerk(samples: DataFrame, keys: list[str], fs: float = 50.0, tie: str = "event_id") -> DataFrame:
@@ -70,8 +73,8 @@ def jerk(samples: DataFrame, keys: list[str], fs: float = 50.0, tie: str = "even
     rows = shifted(signals(samples, keys, tie), keys, ["timestamp", tie], {f"__p{a}": (f"a{a}", -1) for a in "xyz"}, bucket())
     length = F.sqrt(sum(((F.col(f"a{a}") - F.col(f"__p{a}")) ** 2 for a in "yz"), (F.col("ax") - F.col("__px")) ** 2)) * fs
     rows = rows.withColumn("jerk", length).where("jerk is not null").select(*keys, "timestamp", tie, "jerk")
-    out = shifted(rows, keys, ["timestamp", tie], {"__p": ("jerk", -1)}, bucket()).groupBy(*keys).agg(*pack("jerk", "A_jerk", "__p"))
-    return with_quantiles(out, rows, keys, {"A_jerk_iqr": (F.col("jerk"), IQR)})
+    rows = shifted(rows, keys, ["timestamp", tie], {"__p": ("jerk", -1)}, bucket())
+    return aggregated(rows, keys, pack("jerk", "A_jerk", "__p"), {"A_jerk_iqr": (F.col("jerk"), IQR)}, samples)
 
 
 def autocorrelation(samples: DataFrame, keys: list[str], lags: dict[str, int], least: int = 100, tie: str = "event_id") -> DataFrame:
@@ -119,8 +122,8 @@ def rotation_invariant(rows: DataFrame, keys: list[str], axes: tuple[str, str, s
     many = {"d2v": 4, "angle": 3}
     stats = [F.when(F.count(F.lit(1)) >= many[s], f).alias(f"{prefix}_{s}_{n}") for s in many for n, f in (("mean", F.avg(s)), ("std", F.stddev_pop(s)))]
     cov = [F.covar_samp(axes[i], axes[j]).alias(f"__c{i}{j}") for i in range(3) for j in range(i, 3)]
-    out = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *cov, *stats)
-    out = with_quantiles(out, x, keys, {f"{prefix}_{s}_{n}": (F.col(s), p) for s in many for n, p in (("iqr", IQR), ("p95", 0.95))})
+    ranks = {f"{prefix}_{s}_{n}": (F.col(s), p) for s in many for n, p in (("iqr", IQR), ("p95", 0.95))}
+    out = aggregated(x, keys, [F.count(F.lit(1)).alias("__n"), *cov, *stats], ranks, rows)
     enough = {f"{prefix}_{s}_{n}": F.when(F.col("__n") >= many[s], F.col(f"{prefix}_{s}_{n}")) for s in many for n in ("iqr", "p95")}
     return eigenvalues(out.withColumns(enough), prefix)
 
