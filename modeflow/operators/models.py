@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.order import cumulated
 from ..functions.quantiles import quantiles
 from ..session import cut
+from .boosting import BOOST, Boosted, boost
 
 STILL = "Still"
 SPECIALISTS = {"S1": ("Car", "Bus"), "S2": ("Train", "Subway")}
@@ -39,10 +40,13 @@ def balanced(df: DataFrame, label: str, name: str = "__weight") -> DataFrame:
     return df.join(F.broadcast(n.join(total)), label).withColumn(name, F.col("__all") / (F.col("__k") * F.col("__n"))).drop("__n", "__all", "__k")
 
 
-def forest(df: DataFrame, label: Column, options: dict, weight: Column | None = None) -> RandomForestClassificationModel:
+def stage(df: DataFrame, label: Column, classes: int, learner: str, options: dict, weight: Column | None = None) -> RandomForestClassificationModel | Boosted:
+    """A fitted stage over numbered labels: a forest, or boosted trees ("boosted")."""
     data = balanced(df.withColumn("__y", label.cast("double")), "__y")
     if weight is not None:
         data = data.withColumn("__weight", F.col("__weight") * weight)
+    if learner == "boosted":
+        return boost(data, classes, **options)
     return RandomForestClassifier(featuresCol="__features", labelCol="__y", weightCol="__weight", **options).fit(data)
 
 
@@ -53,9 +57,10 @@ class Hierarchical:
     columns: list[str]
     classes: list[str]
     values: dict[str, float] = field(default_factory=dict)
-    first: RandomForestClassificationModel | None = None
-    second: RandomForestClassificationModel | None = None
-    special: dict[str, RandomForestClassificationModel] = field(default_factory=dict)
+    first: RandomForestClassificationModel | Boosted | None = None
+    second: RandomForestClassificationModel | Boosted | None = None
+    special: dict[str, RandomForestClassificationModel | Boosted] = field(default_factory=dict)
+    learner: str = "forest"
 
     @property
     def moving(self) -> list[str]:
@@ -65,18 +70,18 @@ class Hierarchical:
         return VectorAssembler(inputCols=self.columns, outputCol="__features").transform(impute(df, self.values))
 
     def fit(self, df: DataFrame, label: str, specialists: tuple[str, ...] = (), weight: str | None = None, **options) -> Hierarchical:
-        options = FOREST | options
+        options = (BOOST if self.learner == "boosted" else FOREST) | options
         held = df.select(*self.columns, label, *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
         self.values = medians(held, self.columns)
         data = self.prepared(held)
         w = F.col(weight) if weight else None
-        self.first = forest(data, F.col(label) != STILL, options, w)
+        self.first = stage(data, F.col(label) != STILL, 2, self.learner, options, w)
         number = F.array_position(F.array(*[F.lit(c) for c in self.moving]), F.col(label)) - 1
-        self.second = forest(data.where(F.col(label) != STILL), number, options, w)
+        self.second = stage(data.where(F.col(label) != STILL), number, len(self.moving), self.learner, options, w)
         for s in specialists:
             pair = data.where(F.col(label).isin(*SPECIALISTS[s]))
             if pair.count() > 20:
-                self.special[s] = forest(pair, F.col(label) == SPECIALISTS[s][1], options, w)
+                self.special[s] = stage(pair, F.col(label) == SPECIALISTS[s][1], 2, self.learner, options, w)
         held.unpersist()
         return self
 
@@ -174,7 +179,9 @@ def permuted(df: DataFrame, column: str, seed: int = 42) -> DataFrame:
 
 
 def save(model: Hierarchical, spark: SparkSession, root: str, name: str, **meta) -> str:
-    """Write the stages and a JSON description under root/name/<time>, through Spark's own file systems."""
+    """Write the stages (forests only) and a JSON description under root/name/<time>, through Spark's own file systems."""
+    if model.learner != "forest":
+        raise ValueError("only models of forests can be saved")
     path = f"{root.rstrip('/')}/{name}/{int(time.time() * 1000)}"
     stages = {"first": model.first, "second": model.second, **model.special}
     for stage, fitted in stages.items():

@@ -433,6 +433,16 @@ def hier_rf(spark, sf):
     return model.predict(train.where("split = 'test'")).select(*KEYS, "silver_label", "predicted", "max_prob")
 
 
+@query()
+def hier_boosted(spark, sf):
+    """The hierarchy with boosted stages, trained and tested as hier_rf is."""
+    cols = ["B_speed_mean", "B_speed_max", "B_stop_frac", "C_osm_rail_prop", "C_bus_stops_prop"]
+    rows = cut(training_rows(spark, sf).select(*KEYS, *cols, "silver_label"))
+    train = splits.temporal(rows)
+    model = models.Hierarchical(cols, ["Still", "Walk", "Bus", "Car", "Train"], learner="boosted").fit(train.where("split = 'train'"), "silver_label", rounds=6)
+    return model.predict(train.where("split = 'test'")).select(*KEYS, "silver_label", "predicted", "max_prob")
+
+
 REPLICATES = 40
 
 
