@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.order import cumulated
 from ..operators import joins, quality
 from ..session import shared_dir
-from ..sources import external, tables
+from ..sources import documents, external, tables
 from ..streaming import merging
 from . import trajectory as T
 from .registry import query, rounded
@@ -172,6 +172,18 @@ def written_range_scan(spark, sf):
     return found.groupBy(F.col("userId").cast("bigint").alias("userId")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_ms"), F.max("timestamp").alias("last_ms"))
 
 
+@query("""SELECT CAST(user_id AS VARCHAR) AS "userId", count(*) AS n, round(sum(value), 3) AS total, max(epoch_us(ts) // 1000) AS last_ms FROM events WHERE event_type = 'purchase' AND value > 10 GROUP BY ALL""")
+def document_store_scan(spark, sf):
+    """All events exported as nested documents, found by type and value and projected by the document source."""
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    path = f"{shared_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    nested = F.struct(F.col("event_type").alias("type"), F.col("value").cast("double").alias("value"))
+    ev.select(F.col("user_id").cast("string").alias("userId"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), nested.alias("event")).write.json(path)
+    found = documents.documents(spark, path, "userId string, ms bigint, `event.type` string, `event.value` double")
+    found = found.where((F.col("`event.type`") == "purchase") & (F.col("`event.value`") > 10))
+    return rounded(found.groupBy("userId").agg(F.count(F.lit(1)).alias("n"), F.sum("`event.value`").alias("total"), F.max("ms").alias("last_ms")), 3)
+
+
 #: The events over five months: a user's are a whole number of months later.
 MONTHS_MS = 31 * 86_400_000
 
