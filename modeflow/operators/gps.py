@@ -21,7 +21,7 @@ def pairs(fixes: DataFrame, keys: list[str], tie: str = "event_id") -> DataFrame
     lat, lon = F.lag("latitude").over(w), F.lag("longitude").over(w)
     chip = F.when((F.col("speed") >= 0) & (F.col("speed") <= CAP), F.col("speed"))
     rows = fixes.withColumn("__chip", chip).select(
-        *keys, "timestamp", tie, "latitude", "longitude", F.lag("timestamp").over(w).alias("__t"), lat.alias("__lat"), lon.alias("__lon"), ((F.lag("__chip").over(w) + F.col("__chip")) / 2).alias("__mid")
+        *keys, "timestamp", tie, "latitude", "longitude", *[c for c in ("altitude",) if c in fixes.columns], F.lag("timestamp").over(w).alias("__t"), lat.alias("__lat"), lon.alias("__lon"), ((F.lag("__chip").over(w) + F.col("__chip")) / 2).alias("__mid")
     )
     here = [F.col(c) for c in ("__lat", "__lon", "latitude", "longitude")]
     dt = (F.col("timestamp") - F.col("__t")) / F.lit(1000.0)
@@ -44,34 +44,40 @@ def stops(valid: DataFrame, keys: list[str], tie: str = "event_id") -> DataFrame
 
 
 def kinematics(fixes: DataFrame, keys: list[str], tie: str = "event_id") -> DataFrame:
-    """The 22 B features of each group; below 3 fixes only B_n_gps, below 2 valid pairs also B_n_valid_pairs."""
+    """The 22 B features of each group; below 3 fixes only B_n_gps, below 2 valid pairs also B_n_valid_pairs.
+
+    One exchange by the keys serves all windows, one aggregation and the runs of stops, which are joined where they are.
+    """
     p = pairs(fixes, keys, tie)
     w = W.partitionBy(*keys).orderBy("timestamp", tie)
-    n = W.partitionBy(*keys)
-    valid = p.where("sv is not null")
-    valid = valid.select("*", F.abs(F.col("sv") - F.lag("sv").over(w)).alias("__acc"), turn(F.lag("direction").over(w), F.col("direction")).alias("__turn"), F.row_number().over(w).alias("__i"), F.count(F.lit(1)).over(n).alias("__n"))
-    moving = valid.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__valid"), F.avg("sv").alias("B_speed_mean"), F.stddev_pop("sv").alias("B_speed_std"), F.max("sv").alias("B_speed_max"), pct("sv", 0.25).alias("B_speed_p25"), pct("sv", 0.5).alias("B_speed_p50"), pct("sv", 0.95).alias("B_speed_p95"),
-        F.sum("dist").alias("B_dist_total_m"), F.avg("__acc").alias("B_acc_mean"), F.stddev_pop("__acc").alias("B_acc_std"), F.count_if(F.col("sv") < STOP).alias("B_n_stops"), share(F.col("sv") < STOP).alias("B_stop_frac"),
-        F.avg("__turn").alias("B_bearing_change_mean"), share(F.col("__acc") > CHANGE).alias("B_speed_change_rate"),
-        F.when(F.count(F.lit(1)) >= 5, slope(F.col("sv"), F.col("__i"), F.col("__n"))).alias("B_speed_trend"),
-    ).where("__valid >= 2")
+    ok = F.col("sv").isNotNull()
+    last = F.last(F.when(ok, F.struct("sv", "direction")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    rows = p.withColumn("__last", last).withColumns({
+        "__acc": F.when(ok, F.abs(F.col("sv") - F.col("__last.sv"))), "__turn": F.when(ok, turn(F.col("__last.direction"), F.col("direction"))),
+        "__i": F.when(ok, F.count("sv").over(w.rowsBetween(W.unboundedPreceding, 0))), "__n": F.count("sv").over(W.partitionBy(*keys)),
+    })
     altitude = F.when(F.col("altitude") > -500, F.col("altitude")) if "altitude" in fixes.columns else F.lit(None).cast("double")
     enough = lambda x: F.when(F.count(altitude) >= 3, x)
     order = F.struct("timestamp", tie)
-    whole = fixes.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("B_n_gps"), *[f(c, order).alias(f"__{n}_{c}") for n, f in (("a", F.min_by), ("z", F.max_by)) for c in ("latitude", "longitude")],
+    moving = [
+        F.avg("sv").alias("B_speed_mean"), F.stddev_pop("sv").alias("B_speed_std"), F.max("sv").alias("B_speed_max"), pct("sv", 0.25).alias("B_speed_p25"), pct("sv", 0.5).alias("B_speed_p50"), pct("sv", 0.95).alias("B_speed_p95"),
+        F.sum(F.when(ok, F.col("dist"))).alias("B_dist_total_m"), F.avg("__acc").alias("B_acc_mean"), F.stddev_pop("__acc").alias("B_acc_std"), F.count_if(F.col("sv") < STOP).alias("B_n_stops"), share(F.col("sv") < STOP).alias("B_stop_frac"),
+        F.avg("__turn").alias("B_bearing_change_mean"), share(F.col("__acc") > CHANGE).alias("B_speed_change_rate"),
+        F.when(F.count("sv") >= 5, slope(F.when(ok, F.col("sv")), F.col("__i"), F.col("__n"))).alias("B_speed_trend"),
+    ]
+    whole = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("B_n_gps"), F.count("sv").alias("__valid"), F.count_if(F.col("dt") <= PAIR_S).alias("__pairs"), *moving,
+        *[f(c, order).alias(f"__{n}_{c}") for n, f in (("a", F.min_by), ("z", F.max_by)) for c in ("latitude", "longitude")],
         enough(F.avg(altitude)).alias("__am"), enough(F.stddev_pop(altitude)).alias("__as"), enough(F.max(altitude) - F.min(altitude)).alias("__ar"),
     )
-    close = p.groupBy(*keys).agg(F.count_if(F.col("dt") <= PAIR_S).alias("__pairs"))
-    halts = stops(valid, keys, tie)
+    halts = stops(p.where(ok), keys, tie)
     o = W.partitionBy(*keys).orderBy("start")
     halts = halts.withColumn("__gap", F.col("start") - F.lag("start").over(o)).groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= 3, F.stddev_pop("__gap")).alias("B_stop_regularity"), F.avg("dwell").alias("B_dwell_mean"))
-    joined = whole.join(close, keys, "left").join(moving, keys, "left").join(halts, keys, "left")
+    joined = whole.join(halts, keys, "left")
     three = F.col("B_n_gps") >= 3
-    has = F.col("__valid").isNotNull() & three
+    has = (F.col("__valid") >= 2) & three
     displacement = haversine(F.col("__a_latitude"), F.col("__a_longitude"), F.col("__z_latitude"), F.col("__z_longitude"))
-    made = [c for c in moving.columns if c.startswith("B_")] + ["B_stop_regularity", "B_dwell_mean"]
+    made = [c for c in whole.columns if c.startswith("B_") and c != "B_n_gps"] + ["B_stop_regularity", "B_dwell_mean"]
     return joined.select(
         *keys, "B_n_gps", F.when(three, F.col("__pairs")).alias("B_n_valid_pairs"), *[F.when(has, F.col(c)).alias(c) for c in made],
         F.when(has & (F.col("B_dist_total_m") > 1), F.least(F.lit(1.0), displacement / F.col("B_dist_total_m"))).alias("B_path_efficiency"),
