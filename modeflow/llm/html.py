@@ -9,7 +9,8 @@ it stands to the page's article, and whether it lies in an element that is boile
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -195,7 +196,7 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
     linked = anchors = in_link = in_article = headings = 0
     new_link = False
     stack: list[tuple[str, int]] = []  # open elements, with their numbers in elements or -1
-    opened: Counter[str] = Counter()
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # the places of open elements in the stack, by name
     holder = -1
     at, end = 0, len(page)
 
@@ -230,21 +231,22 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
         nonlocal in_article, headings, holder
         while len(stack) > depth:
             name, number = stack.pop()
-            opened[name] -= 1
+            opened[name].pop()
             in_article -= name in _ARTICLE
             headings -= name in _HEADINGS
             if number >= 0:
                 holder = elements[number].holder
 
+    def nearest(names) -> int:
+        """The place of the last open element of these names, -1 without one."""
+        return max((opened[x][-1] for x in names if opened[x]), default=-1)
+
     def end_up_to(ended: tuple[str, ...], limits) -> None:
-        depth = -1
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in ended:
-                depth = i
-            elif stack[i][0] in limits:
-                break
-        if depth >= 0:
-            leave(depth)
+        """End from the first open element of these names on that stands after the last limit."""
+        limit = nearest(x for x in limits if x not in ended)
+        first = [opened[x][i] for x in ended if (i := bisect_right(opened[x], limit)) < len(opened[x])]
+        if first:
+            leave(min(first))
 
     while at < end:
         m = _TAG.search(page, at)
@@ -274,8 +276,8 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
         if closing:
             in_link = 0
             if opened[name]:
-                depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
-                if name != "p" or not any(s[0] in _P_STAYS for s in stack[depth + 1 :]):
+                depth = opened[name][-1]
+                if name != "p" or nearest(_P_STAYS) < depth:
                     leave(depth)
             continue
         if name in _P_ENDS and opened["p"]:
@@ -292,8 +294,8 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
             number = len(elements)
             elements.append(Element(name, kind, holder))
             holder = number
+        opened[name].append(len(stack))
         stack.append((name, number))
-        opened[name] += 1
         in_article += name in _ARTICLE
         headings += name in _HEADINGS
     close()

@@ -622,3 +622,11 @@ def test_difference():
     big = fingerprint.digest("x" * (2 << 20))
     assert len(big) == len(a)
     assert pa  # very long texts go in steps
+
+
+@pytest.mark.parametrize("page", ["<p><td>" + "<div></p>" * 110_000, "<p><button>" + "<div>" * 200_000, "<ul><li>" + "<div><li>" * 110_000, "<p>" * 300_000, "<table>" + "<tr><td>" * 120_000, "<select>" + "<option>x" * 100_000])
+def test_broken_pages_in_time(page):
+    """A megabyte of elements that are never closed."""
+    began = time.time()
+    html.main_text(page)
+    assert time.time() - began < 6
