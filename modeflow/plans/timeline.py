@@ -401,7 +401,7 @@ def nearest_layer(spark, sf):
     return spatial.nearest(points, T.layer(spark, sf)).select("userId", "event_id", (F.round("dist_m", 2) + 0.0).alias("dist_m"))
 
 
-@query(NEAREST + """, others AS (SELECT 46.07::DOUBLE + CAST((c_custkey * 7919) % 2003 AS DOUBLE) / 2003.0::DOUBLE * 0.01::DOUBLE AS lat, 11.12::DOUBLE + CAST((c_custkey * 104729) % 1999 AS DOUBLE) / 1999.0::DOUBLE * 0.01::DOUBLE AS lon FROM customer WHERE c_custkey % 11 = 0),
+@query(NEAREST + """, others AS (SELECT 46.07::DOUBLE + CAST((c_custkey * 7919) % 2003 AS DOUBLE) / 2003.0::DOUBLE * 0.01::DOUBLE AS lat, 11.12::DOUBLE + CAST((c_custkey * 104729) % 1999 AS DOUBLE) / 1999.0::DOUBLE * 0.01::DOUBLE AS lon FROM customer),
 other AS (SELECT f."userId", f.event_id, min(2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, sin(radians(p.lat - f.latitude) / 2) ** 2 + cos(radians(f.latitude)) * cos(radians(p.lat)) * sin(radians(p.lon - f.longitude) / 2) ** 2)))) AS o FROM fixes f, others p GROUP BY ALL)
 SELECT "userId", round(avg(CASE WHEN d < 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS "C_bus_stops_prop", round(avg(d), 2) AS "C_bus_stops_mean", CASE WHEN min(d) < 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "C_bus_stops_flag", round(quantile_cont(d, 0.1), 2) AS "C_osm_rail_p10",
   round(avg(CASE WHEN d < 30 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS "C_osm_rail_prop", 0.0::DOUBLE AS "C_osm_subway_prop", round(min(o), 2) AS "C_osm_motorway_min", CASE WHEN min(o) < 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "C_osm_motorway_flag",
@@ -410,7 +410,7 @@ SELECT "userId", round(avg(CASE WHEN d < 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE EN
 def proximity_features(spark, sf):
     points = T.fixes(spark, sf).select("userId", "event_id", "latitude", "longitude")
     near = spatial.nearest(points, T.layer(spark, sf), "d")
-    near = spatial.nearest(near, T.layer(spark, sf, "customer").where("place_id % 11 = 0"), "o")  # a sparser layer
+    near = spatial.nearest(near, T.layer(spark, sf, "customer"), "o")
     c = spatial.proximity(near, ["userId"], {"bus_stops": "d", "osm_rail": "d", "osm_cycleway": "d", "osm_motorway": "o", "rail_stations": "o", "subway_stations": "o"})
     return c.select("userId", *[(F.round(x, 2 if x.endswith(("mean", "min", "p10")) else 4) + 0.0).alias(x) for x in c.columns if x != "userId"])
 
