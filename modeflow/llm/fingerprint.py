@@ -22,8 +22,9 @@ from .common import table
 BUCKETS = 256
 #: The most that buckets, length and ratios add to the difference; from LIMIT on two digests are not alike at all.
 LENGTH_MOST, RATIO_MOST, LIMIT = 60, 24, 420
-#: Bytes of text of a range of ids; bytes that one vectorised step takes.
-RANGE_BYTES, _STEP = 32 << 20, 1 << 20
+#: Bytes of text of a range of ids, ranges at most (larger tables have larger ranges, which tasks sort and stream, so that what
+#: the driver holds has a bound); bytes that one vectorised step takes.
+RANGE_BYTES, MOST_RANGES, _STEP = 32 << 20, 1 << 14, 1 << 20
 _SPREAD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _PAIR = np.array([[abs(a - b) * 2 if abs(a - b) < 3 else 8 for b in range(4)] for a in range(4)], np.int64)
 
@@ -101,12 +102,12 @@ def ranges(rows: DataFrame) -> tuple[DataFrame, list[tuple[int | None, int, int]
     """rows with `part`, the number of their range of ids; for the first id of each range, that id, the range before it and
     whether the first range of all is meant; and the number of ranges.
 
-    The ranges are quantiles of the ids, of RANGE_BYTES of text each or as many as there are shuffle partitions; a null id
-    comes first. Only the limits and first ids of the ranges reach the driver.
+    The ranges are quantiles of the ids, of RANGE_BYTES of text each or as many as there are shuffle partitions, but MOST_RANGES
+    at most; a null id comes first. Only the limits and first ids of the ranges reach the driver.
     """
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    n = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
     found = rows.select("id").dropna().approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
     limits = spark.sparkContext.broadcast(np.array(sorted({int(x) for x in found}), np.int64))
 

@@ -81,7 +81,7 @@ class Round:
         self.ids, self.labels = ids, labels
         # integers up to 2^24 are exact in single precision, up to 2^53 in double
         self.kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
-        self.q = np.ascontiguousarray(q.astype(self.kind).T)
+        self.q, self.bits = np.ascontiguousarray(q.astype(self.kind).T), DIGIT
 
     def windows(self, owner: np.ndarray, same: bool, low: np.ndarray, high: np.ndarray, k: int) -> None:
         order = np.argsort(owner, kind="stable")
@@ -93,7 +93,7 @@ class Round:
         self.ceiling = np.full(len(self.ids), -_NONE)
         np.maximum.at(self.ceiling, self.owner, self.high)
         span = int((self.high - self.low).max(initial=0)) + 1
-        self.digits = max(1, -(-span.bit_length() // DIGIT))
+        self.digits = max(1, -(-span.bit_length() // self.bits))
         self.prefix, self.done, self.level = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64), 0
 
     def pairs(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -119,12 +119,12 @@ class Round:
 
     def histogram(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(window, digit, rows) of a task, up to the digit with which the task alone has k rows."""
-        size, shift = 1 << DIGIT, DIGIT * (self.digits - 1 - self.level)
+        size, shift = 1 << self.bits, self.bits * (self.digits - 1 - self.level)
         total = np.zeros(len(self.owner) * size, np.int64)
         for batch in batches:
             for w, s, _ in self.pairs(batch):
                 d = (self.high[w] - s) >> shift
-                here = (d >> DIGIT) == self.prefix[w]
+                here = (d >> self.bits) == self.prefix[w]
                 total += np.bincount(w[here] * size + (d[here] & (size - 1)), minlength=len(total))
         counts = total.reshape(-1, size)
         before = np.cumsum(counts, axis=1) - counts
@@ -133,12 +133,12 @@ class Round:
 
     def refine(self, found: pa.Table) -> None:
         """Take the summed histograms: the bucket that holds the kth row comes next; without so many rows, the last bucket."""
-        counts = np.zeros((len(self.owner), 1 << DIGIT), np.int64)
+        counts = np.zeros((len(self.owner), 1 << self.bits), np.int64)
         counts[found["w"].to_numpy(), found["digit"].to_numpy()] = found["n"].to_numpy()
         upto = self.done[:, None] + np.cumsum(counts, axis=1)
-        digit = np.minimum((upto < self.k).sum(axis=1), (1 << DIGIT) - 1)
+        digit = np.minimum((upto < self.k).sum(axis=1), (1 << self.bits) - 1)
         self.done = (upto - counts)[np.arange(len(digit)), digit]
-        self.prefix, self.level = (self.prefix << DIGIT) + digit, self.level + 1
+        self.prefix, self.level = (self.prefix << self.bits) + digit, self.level + 1
 
     def gather(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(window, score, id) of the rows at or above the kth score, of a task the first k of each window only."""

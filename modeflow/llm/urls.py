@@ -26,7 +26,7 @@ from .common import cut, table
 BITS_A_KEY, MOST_BLOCKS, BROADCAST_KEYS, BROADCAST_BYTES = 16, 1 << 17, 50_000, 4 << 20
 _WORDS, _BLOCK_BITS = 8, 512
 # Query parameters that do not tell pages apart, and default ports.
-TRACKING, PORTS = r"^(utm_[^=]*|gclid|fbclid|ref)(=|$)", r":(80|443)$"
+TRACKING, PORTS = r"^(utm_[^=]*|gclid|fbclid|ref)(=|\z)", r":(80|443)\z"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,7 +52,7 @@ def canonical(url: Column) -> Column:
     host = F.regexp_replace(F.regexp_replace(host_of(url), PORTS, ""), r"^www\.", "")
     query = F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
     asked = F.array_sort(F.filter(F.split(query, "&", -1), lambda p: (p != "") & ~p.rlike(TRACKING)))
-    return F.when(rest.isNotNull(), F.concat(host, F.regexp_replace(path_of(url), r"/+$", ""), F.when(F.size(asked) > 0, F.concat(F.lit("?"), F.array_join(asked, "&"))).otherwise("")))
+    return F.when(rest.isNotNull(), F.concat(host, F.regexp_replace(path_of(url), r"/+\z", ""), F.when(F.size(asked) > 0, F.concat(F.lit("?"), F.array_join(asked, "&"))).otherwise("")))
 
 
 def hashes(keys: pa.Array) -> np.ndarray:
@@ -92,9 +92,14 @@ def passed(words: np.ndarray, keys: pa.Array) -> np.ndarray:
     return ((words[at] & want) == want).all(axis=1)
 
 
+def fitting(rules: DataFrame) -> DataFrame:
+    """The rules that can fit a url: with a host, a verdict, and a path that is empty or begins as paths do."""
+    return rules.where((F.col("host") != "") & F.col("path").isNotNull() & F.col("verdict").isNotNull() & ((F.col("path") == "") | F.col("path").startswith("/")))
+
+
 def listing(rules: DataFrame, listed: DataFrame) -> DataFrame:
     """key, rule and verdict of all listed keys, one row each: rules (r:), their hosts (h:, for the filter), urls (u:)."""
-    good = rules.where((F.col("host") != "") & F.col("path").isNotNull() & F.col("verdict").isNotNull()).select(F.translate("host", _UPPER, _LOWER).alias("host"), "path", "verdict")
+    good = fitting(rules).select(F.translate("host", _UPPER, _LOWER).alias("host"), "path", "verdict")
     named = F.concat("host", "path")
     keys = good.select(F.concat(F.lit("r:"), named).alias("key"), F.when(F.col("verdict") == "block", 0).otherwise(1).alias("soft"))
     keys = keys.union(good.select(F.concat(F.lit("h:"), "host"), F.lit(0)))
@@ -148,7 +153,7 @@ def judge(df: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "pag
     host = F.when(F.col("key").startswith("h:"), F.col("key"))
     keys, labels = entries.agg(F.count(F.lit(1)), F.max(F.size(F.split(host, r"\.", -1)))).first()
     # lengths of paths: as many numbers as the longest path has letters, at most
-    lengths = [r[0] for r in rules.where("host != '' and path is not null and verdict is not null").select(F.length("path")).distinct().collect()]
+    lengths = [r[0] for r in fitting(rules).select(F.length("path")).distinct().collect()]
     words = bloom(entries, keys)
     found = probed(rows, words, labels or 0, lengths)
     maybe = cut(found.where(F.size("maybe") > 0))
@@ -168,7 +173,7 @@ def judge(df: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "pag
 # Fixed values of the contract.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 # Fixed words: names of junk hosts. The tables hold no list of urls, so the query lists the pages of hosts with such a part.
-JUNK = r"(^|[.-])(casino|pills|bets|spam)([.-]|$)"
+JUNK = r"(^|[.-])(casino|pills|bets|spam)([.-]|\z)"
 
 
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +192,7 @@ WITH cutting AS (
          list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{TRACKING}'))) AS asked
   FROM cutting
 ), canon AS (
-  SELECT *, CASE WHEN rest IS NOT NULL THEN regexp_replace(regexp_replace(host, '{PORTS}', ''), '^www\\.', '') || regexp_replace(path, '/+$', '')
+  SELECT *, CASE WHEN rest IS NOT NULL THEN regexp_replace(regexp_replace(host, '{PORTS}', ''), '^www\\.', '') || regexp_replace(path, '/+\\z', '')
                 || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END END AS canonical
   FROM parsed
 ), rules(rhost, rpath, rverdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}),

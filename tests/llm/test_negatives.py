@@ -61,7 +61,7 @@ def test_rounds_and_parts_change_nothing(spark, monkeypatch):
     assert found(df, round_bytes=400) == want != []
 
 
-@pytest.mark.parametrize("scale", [1e3, 1e5, 1e7])
+@pytest.mark.parametrize("scale", [1e3, 1e4, 1e5])
 def test_large_components(spark, scale):
     """Scores that need double precision, or whole numbers of 63 bits."""
     rng = random.Random(4)
