@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import appended, month
+from ..sources.tables import appended, meeting, month
 
 
 def _fs(spark: SparkSession, path: str):
@@ -115,3 +115,24 @@ def upsert_by_month(stream: DataFrame, target: str, keys: list[str], checkpoint:
         merge(batch, batch_id, target, keys, time, kept)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def refresh_labels(source: DataFrame, target: str, run: int, until_ms: int, days: int = 60, floor_ms: int | None = None, kept: int = 3) -> dict[str, int]:
+    """Merge the reference intervals that meet the last `days` before until_ms again, as labels are corrected after the fact.
+
+    source: userId, started_at, finished_at, mode (an export, a table or a micro-batch); the range reaches its scan. An interval is
+    known by its user and start: a corrected one replaces it, others stay. Only the months in the range are read and written;
+    floor_ms bounds it from below. Returns the months that were read, as `merge` does.
+    """
+    since = until_ms - days * 86_400_000
+    since = since if floor_ms is None else max(since, floor_ms)
+    return merge(meeting(source, since, until_ms), run, target, ["userId", "started_at"], "started_at", kept)
+
+
+def streamed_labels(stream: DataFrame, target: str, checkpoint: str, until_ms: int, days: int = 60, floor_ms: int | None = None):
+    """The same for each micro-batch of a stream of label files."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        refresh_labels(batch, target, batch_id, until_ms, days, floor_ms)
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -185,6 +185,25 @@ def test_upsert_edges(spark, tmp_path):
     assert merging.merge(batch(spark, FIRST), 1, str(target), ["userId", "timestamp"]) == {}  # committed before: nothing to do
 
 
+def test_labels_look_back(spark, tmp_path):
+    """A corrected label within the look-back replaces the old one; labels before it, and their months, are not touched."""
+    schema = "userId string, started_at bigint, finished_at bigint, mode string"
+    target = str(tmp_path / "labels")
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    hour, now = 3_600_000, 400 * DAY
+    first = [("u", k * 20 * DAY, k * 20 * DAY + hour, "Car") for k in range(20)]
+    merging.refresh_labels(frame(first), target, 0, now, 10_000)
+    changed = [("u", s, e, "Bus") for _, s, e, _ in first] + [("v", now - DAY, now, "Walk"), ("v", now + 5 * DAY, now + 6 * DAY, "Walk")]
+    read = merging.refresh_labels(frame(changed), target, 1, now)
+    assert 0 < len(read) <= 3 and set(read.values()) == {0}
+    got = {(r["userId"], r["started_at"]): r["mode"] for r in merging.table(spark, target, frame([]).schema).collect()}
+    assert got == {("u", s): "Bus" if e >= now - 60 * DAY else "Car" for _, s, e, _ in first} | {("v", now - DAY): "Walk"}
+    assert merging.refresh_labels(frame(changed), target, 2, now, floor_ms=now + DAY) == {}
+    frame(changed).coalesce(1).write.parquet(str(tmp_path / "src"))
+    merging.streamed_labels(ingest.read_new(spark, str(tmp_path / "src"), frame([]).schema), str(tmp_path / "again"), str(tmp_path / "c"), now).awaitTermination()
+    assert merging.table(spark, str(tmp_path / "again"), frame([]).schema).count() == sum(v == "Bus" for v in got.values()) + 1
+
+
 # ---------------------------------------------------------------- windows from bounded state
 
 
