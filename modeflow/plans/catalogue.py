@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import labels, more, registry, scans, timeline  # noqa: F401  (importing registers)
+from . import files, labels, more, registry, scans, timeline  # noqa: F401  (importing registers)
 
 
 def queries() -> dict[str, registry.Plan]:
