@@ -1,5 +1,6 @@
 """Hand-computed cases of the operators."""
 
+import hashlib
 import math
 import random
 import re
@@ -163,8 +164,8 @@ def test_bootstrap_weighs_whole_clusters(spark):
     rows = [(c, draw.choice("abc"), draw.choice("abcd")) for c in range(12) for _ in range(draw.randint(1, 5))]
     df = spark.createDataFrame(rows, "c bigint, t string, p string")
     got = {r["replicate"]: r["macro_f1"] for r in metrics.bootstrap_f1(df, "c", "t", "p", 40).collect()}
-    drawn = spark.range(12).withColumnRenamed("id", "c").crossJoin(spark.range(1, 41).select(F.col("id").cast("int").alias("k")))
-    u = {(r["c"], r["k"]): r["u"] for r in drawn.select("c", "k", (F.pmod(F.xxhash64("c", "k", F.lit(7)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)).alias("u")).collect()}
+    word = lambda c, r: int(hashlib.md5(f"{c}/{r // 4}/7".encode()).hexdigest()[8 * (r % 4) : 8 * (r % 4) + 8], 16)
+    u = {(c, k): word(c, k - 1) / 2**32 for c in range(12) for k in range(1, 41)}
     below = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
     weights = {at: int((x > below).sum()) for at, x in u.items()}
     assert 0.85 < np.mean(list(weights.values())) < 1.15
