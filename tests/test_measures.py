@@ -124,6 +124,25 @@ def test_weights_are_poisson():
     assert share[:5] == pytest.approx([math.exp(-1) / math.factorial(k) for k in range(5)], abs=0.005)
 
 
+def test_draws_side_by_side_are_md5_digests():
+    """Names of any length, also beyond one block of the digest, weigh as their digests by hashlib say."""
+    names = ["", "a", "\u00e9" * 30, "x" * 48, "x" * 49, "x" * 50, "x" * 200, *map(str, range(0, 5000, 37))]
+    got = metrics.weights(names, 403, 7)
+    raw = [b"".join(md5(f"{c}/{b}/7".encode()).digest() for b in range(101)) for c in names]
+    draws = np.frombuffer(b"".join(raw), ">u4").reshape(len(names), -1)[:, :403]
+    assert (got == np.searchsorted(np.array(metrics.WEIGHTS), draws / 2**32, "left")).all()
+
+
+def test_replicates_are_drawn_once(spark, monkeypatch):
+    """Each cluster is drawn in one task and by one run, whatever number of cells it has."""
+    drawn = spark.sparkContext.accumulator(0)
+    real = metrics.weights
+    monkeypatch.setattr(metrics, "weights", lambda clusters, replicates, seed: drawn.add(len(clusters)) or real(clusters, replicates, seed))
+    df = spark.range(100_000).select((F.col("id") % 10_000).cast("string").alias("s"), (F.col("id") % 2).cast("string").alias("t"), (F.floor(F.col("id") / 10_000) % 5).cast("string").alias("p"))
+    assert metrics.bootstrap_f1(df, "s", "t", "p", 8).count() == 8
+    assert 10_000 <= drawn.value < 10_200  # a cluster whose cells fall into two batches is drawn twice
+
+
 # ---------------------------------------------------------------- dealt columns
 
 
