@@ -1,5 +1,6 @@
 """Inertial statistics whose rows meet in buckets of time: equal to windows over whole keys, for any size of bucket and group."""
 
+import math
 import random
 
 import pytest
@@ -88,3 +89,33 @@ def test_points_are_not_multiplied(spark):
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     left = plan[plan.index("Join") :].split("+- ")[0]
     assert "Generate" not in left
+
+
+@pytest.mark.parametrize("lat,lon", [(46.0, 11.0), (-0.0001, 179.9999), (78.0, -179.9999), (89.9995, 20.0)])
+def test_groups_near_equal_all_pairs(spark, lat, lon):
+    """Answers from whole cells and from single pairs are those of all pairs, over the date line and at a pole too."""
+    rng = random.Random(8)
+    wide = 0.0015 / max(0.01, math.cos(math.radians(lat)))
+    spot = lambda: (min(90.0, lat + rng.uniform(0, 0.0015)), (lon + rng.uniform(0, wide) + 180) % 360 - 180)
+    points, places = [(i, *spot()) for i in range(300)] + [(300, None, 1.0)], [(j % 3 if j % 5 else None, *spot()) for j in range(60)] + [(1, None, None)]
+
+    def metres(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371000.0 * math.asin(math.sqrt(min(1.0, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    p, q = spark.createDataFrame(points, "i int, latitude double, longitude double"), spark.createDataFrame(places, "g int, lat double, lon double")
+    got = {r["i"]: {x["g"] for x in r["__near"] or []} for r in spatial.groups_near(p, q, 50.0, F.struct("g")).collect()}
+    want = {i: {g for g, c, d in places if a is not None and c is not None and metres(a, b, c, d) < 50} for i, a, b in points}
+    assert got == want and any(len(x) == 4 for x in want.values()) and any(len(x) < 4 for x in want.values())
+
+
+def test_dense_layers_are_settled_by_cells(spark):
+    """Where places lie close, whole cells answer for the points: no pair of a point and a place is left to be made."""
+    at = lambda n: [(46.07 + i % n * 5e-5, 11.12 + i // n * 5e-5) for i in range(n * n)]
+    places = spark.createDataFrame(at(60), "lat double, lon double")
+    cells = spatial.reached_cells(places, 30.0, F.lit(0)).select("__sr", "__sc")
+    size = 30.0 / 4
+    points = spark.createDataFrame(at(59), "latitude double, longitude double")
+    mine = points.withColumn("__sr", F.floor(F.col("latitude") * (spatial.DEGREE_M / size))).withColumn("__sc", spatial.column_in(F.col("__sr"), F.col("longitude"), size))
+    assert mine.join(cells, ["__sr", "__sc"], "left_anti").count() == 0
+    assert spatial.away_from(points.toDF("lat", "lon"), places).count() == 0
