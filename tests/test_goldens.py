@@ -327,3 +327,21 @@ def test_one_long_group_is_walked_in_time():
     began = time.time()
     groups = list(sorted_groups(iter(table.to_batches(max_chunksize=1000)), ["k"]))
     assert [(g.column("k")[0].as_py(), g.num_rows) for g in groups] == [("a", 3), ("b", 1_000_000), ("c", 2)] and time.time() - began < 5
+
+
+def test_windows_side_by_side_equal_single_ones(spark, monkeypatch):
+    """Windows of equally many samples are computed together, whatever their rates; the features are those of each by itself."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 9, 14, 15, 120):
+        acc, gyr = rng.normal(size=(2, 6, n, 3))
+        gyr[2], acc[3] = 0.0, 1.0
+        fs = np.linspace(20.0, 60.0, 6) if n < spectral.SETTLES else 50.0
+        many = spectral.inertial(acc, gyr, fs, mag=acc + 1)
+        for i in range(6):
+            one = spectral.inertial(acc[i], gyr[i], float(np.broadcast_to(fs, 6)[i]), mag=acc[i] + 1)
+            assert one.keys() == many.keys() and all(np.broadcast_to(many[k], 6)[i] == pytest.approx(x, rel=1e-7, abs=1e-9, nan_ok=True) for k, x in one.items())
+    calls = spark.sparkContext.accumulator(0)
+    real = spectral.inertial
+    monkeypatch.setattr(spectral, "inertial", lambda *a, **b: calls.add(1) or real(*a, **b))
+    rows = spark.range(3000).select((F.col("id") % 1000).alias("w"), F.col("id").alias("event_id"), F.col("id").alias("timestamp"), *[F.sin(F.col("id") * k).alias(c) for k, c in enumerate(("acc_x", "acc_y", "acc_z", "gyr_x", "gyr_y", "gyr_z"), 1)])
+    assert spectral.features(rows, ["w"]).count() == 1000 and calls.value <= 64
