@@ -119,3 +119,16 @@ def test_dense_layers_are_settled_by_cells(spark):
     mine = points.withColumn("__sr", F.floor(F.col("latitude") * (spatial.DEGREE_M / size))).withColumn("__sc", spatial.column_in(F.col("__sr"), F.col("longitude"), size))
     assert mine.join(cells, ["__sr", "__sc"], "left_anti").count() == 0
     assert spatial.away_from(points.toDF("lat", "lon"), places).count() == 0
+
+
+def test_dense_layers_begin_with_small_cells(spark, monkeypatch):
+    """Beyond the broadcast a point meets a few places of a dense layer, and the distances are those of the boxes."""
+    places = spark.range(10_000).select((46.07 + F.col("id") % 100 * 1e-5).alias("lat"), (11.12 + F.floor(F.col("id") / 100) * 1e-5).alias("lon"))
+    points = spark.range(300).select("id", (46.0695 + F.col("id") * 7919 % 2003 * 1e-6).alias("latitude"), (11.1195 + F.col("id") * 104729 % 1999 * 1e-6).alias("longitude"))
+    want = {r["id"]: r["d"] for r in spatial.nearest(points, places, "d").collect()}
+    met, real = [], spatial.near_pairs
+    monkeypatch.setattr(spatial, "near_pairs", lambda p, q, m: met.append((p.count(), q.count(), m)) or real(p, q, m))
+    monkeypatch.setattr(spatial, "BROADCAST_PLACES", 9_999)
+    got = {r["id"]: r["d"] for r in spatial.nearest(points, places.unionAll(places), "d").collect()}
+    assert met[0][1] == 10_000 and met[0][2] < 3 and met[-1][2] > met[0][2] and met[-1][0] < 300
+    assert got == pytest.approx(want, abs=1e-5)
