@@ -50,6 +50,16 @@ def test_neighbours_of_nothing(spark):
     assert tuple(metrics.knn_information(spark.createDataFrame([(1.0, "a")], "x double, y string"), "x", "y").first())[:2] == (0, None)
 
 
+def test_rank_correlations_count_equal_rows_once(spark, monkeypatch):
+    """A thousand rows of at most 18 distinct ones, some with nulls: cells are made for distinct rows only."""
+    seen, cells = [], selection.unpivot
+    monkeypatch.setattr(selection, "unpivot", lambda df, *more: seen.append(df.count()) or cells(df, *more))
+    df = spark.range(1000).selectExpr("cast(id % 3 as double) as a", "case when id % 2 = 0 or id % 3 > 0 then cast(least(id % 9, 8) as double) end as b", "case when id % 3 > 0 then cast(id % 3 * -1 as double) end as c")
+    got = {(r["a"], r["b"]): (r["n"], pytest.approx(r["rho"], abs=1e-12)) for r in selection.spearman_pairs(df, ["a", "b", "c"]).collect()}
+    assert seen and max(seen) <= 18
+    assert got == {(r["a"], r["b"]): (r["n"], r["rho"]) for r in selection.spearman_each(df, [("a", "b"), ("a", "c"), ("b", "c")]).collect()}
+
+
 def test_digamma(spark):
     got = [r[0] for r in spark.range(1, 60).select(metrics.digamma(F.col("id"))).collect()]
     assert got == [pytest.approx(psi(n), abs=1e-10) for n in range(1, 60)]
