@@ -46,6 +46,18 @@ def test_neighbours_against_all_pairs(spark, k, pool, n):
     assert got["n"] == want[0] and got["estimate"] == pytest.approx(want[1], abs=1e-9) and got["mi"] == pytest.approx(want[2], abs=1e-9)
 
 
+@pytest.mark.parametrize("k,pool,n,most", [(3, 10_000, 300, 16), (3, 60, 300, 9), (2, 400, 200, 5), (1, 90, 150, 4), (3, 10_000, 120, 1)])
+def test_neighbours_by_ranges(spark, monkeypatch, k, pool, n, most):
+    """Ranges of few values, some with fewer of a class than k and some that a rare class's distances pass over; no global order is made."""
+    monkeypatch.setattr(metrics, "RANGE_VALUES", most, raising=False)
+    monkeypatch.setattr(metrics, "cumulated", lambda *_: pytest.fail("all rows were put in one order"))
+    rng = random.Random(k * pool + most)
+    rows = [(rng.randrange(pool) / 4, rng.choice("aabbbc")) for _ in range(n)] + [(0.0, "far"), (pool / 4, "far"), (3.0, "lone"), (-1.0, "a"), (-1.0, "a")]
+    got = metrics.knn_information(spark.createDataFrame(rows, "x double, y string").repartition(3), "x", "y", k).first()
+    want = information(rows, k)
+    assert got["n"] == want[0] and got["estimate"] == pytest.approx(want[1], abs=1e-9)
+
+
 def test_neighbours_of_nothing(spark):
     assert tuple(metrics.knn_information(spark.createDataFrame([(1.0, "a")], "x double, y string"), "x", "y").first())[:2] == (0, None)
 
