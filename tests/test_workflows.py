@@ -136,3 +136,15 @@ def test_left_joins_keep_their_rows(spark):
     assert sorted(map(str, left_kept(left, once, ["k"]).collect())) == sorted(map(str, left.join(once, "k", "left").collect()))
     with pytest.raises(Exception, match="more than one row on the right"):
         left_kept(left, once.union(once), ["k"]).collect()
+
+
+def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """A hundred rows in forty partitions are one task of a stage, or four of at most thirty rows on average; none is lost."""
+    seen = []
+    monkeypatch.setattr(models, "stage", lambda df, *_: seen.append((df.rdd.getNumPartitions(), df.count())))
+    rows = spark.range(100).selectExpr("cast(id as double) as a", "if(id % 4 = 0, 'Still', 'Walk') as label").repartition(40)
+    models.Hierarchical(["a"], ["Still", "Walk"]).fit(rows, "label")
+    monkeypatch.setattr(models, "TASK_ROWS", 30)
+    models.Hierarchical(["a"], ["Still", "Walk"]).fit(rows, "label")
+    models.Hierarchical(["a"], ["Still", "Walk"]).fit(rows.limit(0), "label")
+    assert seen == [(1, 100), (1, 75), (4, 100), (4, 75), (1, 0), (1, 0)]
