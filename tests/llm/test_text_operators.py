@@ -534,6 +534,21 @@ def test_lm_is_a_distribution(spark):
     assert 0 < total <= 1 - 10 ** scores[9999] + 1e-9
 
 
+def test_lm_word_scores(spark, sf, odd_docs):
+    """With words as arcs held-out texts cost little more than their word counts say, which spell no unknown word; the model is a distribution."""
+    held = [r for r in lm.op6_lattice_lm(spark, sf).collect() if r["held_out"]]
+    total = {c: sum(r[c] for r in held) for c in ("base_score", "adapted_score", "word_score")}
+    assert all(math.isfinite(r["word_score"]) for r in held) and total["word_score"] > 0.95 * total["adapted_score"] and total["word_score"] > 1.35 * total["base_score"]
+    letters = "abcdefghij"
+    words = [a + b for a in letters for b in letters]
+    rows = [(i, f"{words[i * 7 % 23]} ab") for i in range(50)] + [(1000 + i, w) for i, w in enumerate(words)] + [(9999, "")]
+    got = {r["id"]: r["word_score"] for r in lm.score(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") < 1000).collect()}
+    assert 0.8 < sum(10 ** (x - got[9999]) for i, x in got.items() if 1000 <= i < 9999) / (1 - 10 ** got[9999]) <= 1 + 1e-9
+    for learn in (F.lit(True), F.lit(False)):
+        odd = lm.score(odd_docs, learn).collect()
+        assert all(math.isfinite(r["word_score"]) and r["word_score"] < 0 for r in odd)
+
+
 def test_languages(spark, odd_docs, no_docs):
     sf = "/root/testdata/sf0.01"
     got = langid.op9_langid(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
